@@ -70,10 +70,36 @@ kw AS (
 )"""
 
 
+_EMB = """
+e AS (
+  SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(unnest(embedding) AS DOUBLE) AS x,
+         CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim
+  FROM embeddings
+),
+cent AS (SELECT label AS cluster_id, dim, avg(x) AS value FROM e GROUP BY label, dim),
+d AS (
+  SELECT e.vec_id, c.cluster_id, sum((e.x - c.value) * (e.x - c.value)) AS dist2
+  FROM e JOIN cent c ON c.dim = e.dim GROUP BY e.vec_id, c.cluster_id
+),
+best AS (
+  SELECT vec_id, cluster_id, dist2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist2, cluster_id) AS rn FROM d) WHERE rn = 1
+),
+moved AS (SELECT b.cluster_id, e.dim, avg(e.x) AS value FROM e JOIN best b USING (vec_id) GROUP BY b.cluster_id, e.dim),
+step AS (
+  SELECT cluster_id, dim, value FROM moved
+  UNION ALL SELECT cluster_id, dim, value FROM cent WHERE cluster_id NOT IN (SELECT cluster_id FROM moved)
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     tok = _tokens_cte()
     voc = _vocab_ctes()
     q: dict[str, str] = {}
+    q["centroid_update"] = f"WITH {_EMB} SELECT cluster_id, dim, round(value, 6) AS value FROM cent"
+    q["assign_nearest"] = f"WITH {_EMB} SELECT vec_id, cluster_id, round(dist2, 6) AS dist2 FROM best"
+    q["inertia"] = f"WITH {_EMB} SELECT count(*) AS n_vectors, round(sum(dist2), 4) AS inertia FROM best"
+    q["lloyd_step"] = f"WITH {_EMB} SELECT cluster_id, dim, round(value, 6) AS value FROM step"
     q["term_freq"] = f"WITH {tok} SELECT doc_id, term, tf FROM tf"
     q["doc_freq"] = f"WITH {tok} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term"
     q["vocabulary"] = f"WITH {tok}, {voc} SELECT term_idx, term, df, cf FROM vocab"

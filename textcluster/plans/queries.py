@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cluster as cl
 from ..operators import features as fe
 from ..operators import report as rp
 from ..operators import tokens as tk
@@ -94,8 +95,44 @@ def q_collate_urls(spark, sf_dir):
     return rp.collate(_quality_membership(spark, sf_dir), k=3)
 
 
+def _label_centroids(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return emb, cl.centroids_from_labels(emb, "label", "embedding")
+
+
+def q_centroid_update(spark, sf_dir):
+    """Label means of ``embeddings`` (labels as the given assignment)."""
+    _, cents = _label_centroids(spark, sf_dir)
+    return cents.select("cluster_id", "dim", F.round("value", 6).alias("value"))
+
+
+def q_assign_nearest(spark, sf_dir):
+    """Nearest label-mean centroid of every embedding."""
+    emb, cents = _label_centroids(spark, sf_dir)
+    a = cl.assign(emb, cents)
+    return a.select("vec_id", "cluster_id", F.round("dist2", 6).alias("dist2"))
+
+
+def q_inertia(spark, sf_dir):
+    """A10: total squared distance to the nearest label-mean centroid."""
+    emb, cents = _label_centroids(spark, sf_dir)
+    i = cl.inertia(cl.assign(emb, cents))
+    return i.select("n_vectors", F.round("inertia", 4).alias("inertia"))
+
+
+def q_lloyd_step(spark, sf_dir):
+    """One Lloyd iteration from the label means."""
+    emb, cents = _label_centroids(spark, sf_dir)
+    new, _ = cl.lloyd_step(emb, cents)
+    return new.select("cluster_id", "dim", F.round("value", 6).alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "centroid_update": q_centroid_update,
+        "assign_nearest": q_assign_nearest,
+        "inertia": q_inertia,
+        "lloyd_step": q_lloyd_step,
         "term_freq": q_term_freq,
         "doc_freq": q_doc_freq,
         "vocabulary": q_vocabulary,
