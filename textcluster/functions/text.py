@@ -59,7 +59,7 @@ def collapse_ws(text: Column) -> Column:
 
 def extract_id(text: Column) -> Column:
     """The eight-digit record id after ``PMID:``, or null."""
-    return F.nullif(F.regexp_extract(text, F.lit(ID_PATTERN), 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, ID_PATTERN, 1), F.lit(""))
 
 
 def split_literal(text: Column, sep: str) -> Column:

@@ -92,10 +92,76 @@ step AS (
 )"""
 
 
+_XML = """
+x AS (
+  SELECT doc_id, lang, CAST(doc_id + 10000000 AS VARCHAR) AS permalink,
+         trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r\n]+', ' ', 'g')) AS title,
+         trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS body
+  FROM documents
+),
+xv AS (
+  SELECT doc_id, permalink, title, CASE WHEN lang = 'es' THEN title ELSE body END AS content, lang
+  FROM x WHERE lang <> 'de'
+)"""
+
+_TEXT = """
+t0 AS (
+  SELECT doc_id, lang, source, text,
+         CASE WHEN lang = 'de' THEN chr(10) || chr(10) || chr(10) ELSE chr(10) || chr(10) END AS gap
+  FROM documents
+),
+t1 AS (
+  SELECT doc_id, lang,
+         CAST(doc_id AS VARCHAR) || '. J ' || coalesce(source, '') || '. 2017.' || gap
+         || regexp_replace(split_part(text, chr(10), 1), '[\r\n]', ' ', 'g') || gap
+         || CASE WHEN lang = 'es' THEN '' ELSE 'Auth A.' || gap || 'Author information: X' || gap END
+         || regexp_replace(text, '[\r\n]', ' ', 'g') || gap
+         || 'PMID: ' || CAST(doc_id + 10000000 AS VARCHAR) || '  [Indexed]' || chr(10) AS record
+  FROM t0
+),
+t2 AS (
+  SELECT doc_id, record,
+         list_transform(string_split(replace(regexp_replace(regexp_replace(
+             regexp_replace(record, '\r\n?', chr(10), 'g'), '^\n+|\n+$', '', 'g'),
+             '\n[ \t]*\n(?:[ \t]*\n)*', 'SEGMENTBREAK', 'g'), chr(10), ' '), 'SEGMENTBREAK'),
+             lambda s: trim(s)) AS segs
+  FROM t1
+),
+t3 AS (
+  SELECT doc_id, record, CASE WHEN len(segs) >= 5 THEN segs[5] END AS content,
+         CASE WHEN len(segs) >= 5 THEN segs[2] END AS title
+  FROM t2
+),
+tx AS (
+  SELECT doc_id, title, content,
+         CASE WHEN title IS NOT NULL THEN nullif(regexp_extract(record, 'PMID:\s+(\d{8})', 1), '') END AS permalink
+  FROM t3
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     tok = _tokens_cte()
     voc = _vocab_ctes()
     q: dict[str, str] = {}
+    q["xml_extract"] = f"WITH {_XML} SELECT doc_id, permalink, title, content FROM xv"
+    q["xml_fallback"] = f"WITH {_XML} SELECT doc_id, permalink, content FROM xv WHERE lang = 'es'"
+    q["xml_reject_counts"] = (
+        "SELECT count(*) AS n_read, count(*) FILTER (WHERE lang <> 'de') AS n_valid, "
+        "count(*) FILTER (WHERE lang = 'de') AS n_rejected FROM documents"
+    )
+    q["parser_identity"] = q["xml_extract"]
+    q["parser_custom"] = f"WITH {_XML} SELECT doc_id, permalink, title AS content FROM xv"
+    q["project_stream"] = f"WITH {_XML} SELECT permalink, content FROM xv"
+    q["text_segments"] = (
+        f"WITH {_TEXT} SELECT doc_id, CAST(generate_subscripts(segs, 1) - 1 AS BIGINT) AS seg_idx, "
+        "unnest(segs) AS segment FROM t2"
+    )
+    q["text_extract"] = f"WITH {_TEXT} SELECT doc_id, permalink, title, content FROM tx"
+    q["drop_null"] = (
+        f"WITH {_TEXT} SELECT doc_id, permalink, title, content FROM tx "
+        "WHERE doc_id IS NOT NULL AND permalink IS NOT NULL AND title IS NOT NULL AND content IS NOT NULL"
+    )
+    q["dir_scan"] = "SELECT lang, count(*) AS n_records FROM documents GROUP BY lang"
     q["centroid_update"] = f"WITH {_EMB} SELECT cluster_id, dim, round(value, 6) AS value FROM cent"
     q["assign_nearest"] = f"WITH {_EMB} SELECT vec_id, cluster_id, round(dist2, 6) AS dist2 FROM best"
     q["inertia"] = f"WITH {_EMB} SELECT count(*) AS n_vectors, round(sum(dist2), 4) AS inertia FROM best"

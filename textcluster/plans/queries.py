@@ -10,11 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import clean as cn
 from ..operators import cluster as cl
+from ..operators import parse as ps
 from ..operators import features as fe
 from ..operators import report as rp
 from ..operators import tokens as tk
+from ..functions.text import last_path_component
+from ..session import scratch_path
+from ..sources import records as rc
 from ..sources.tables import articles, read_table
+from ..sources.xml import read_xml_records
 
 TOP_N = 20
 
@@ -127,8 +133,104 @@ def q_lloyd_step(spark, sf_dir):
     return new.select("cluster_id", "dim", F.round("value", 6).alias("value"))
 
 
+def _xml_cleaned(spark, sf_dir, parser=None):
+    recs = ps.apply_parser(rc.xml_records(read_table(spark, sf_dir, "documents")), parser)
+    return cn.finalize(ps.parse_xml(recs, keep=("doc_id", "seq")), require_title=True)
+
+
+def q_xml_extract(spark, sf_dir):
+    """Fields of every valid XML record."""
+    return cn.valid(_xml_cleaned(spark, sf_dir)).select("doc_id", "permalink", "title", "content")
+
+
+def q_xml_fallback(spark, sf_dir):
+    """records without an abstract take their title as content."""
+    v = cn.valid(_xml_cleaned(spark, sf_dir))
+    return v.where("title_as_content").select("doc_id", "permalink", "content")
+
+
+def q_xml_reject_counts(spark, sf_dir):
+    """Records read, valid and rejected."""
+    return cn.ingest_counts(_xml_cleaned(spark, sf_dir))
+
+
+def q_parser_identity(spark, sf_dir):
+    """X1 with the default (identity) parser."""
+    v = cn.valid(_xml_cleaned(spark, sf_dir, ps.identity_parser))
+    return v.select("doc_id", "permalink", "title", "content")
+
+
+def drop_abstract(record):
+    """A custom record parser: remove the abstract element before field extraction."""
+    return F.regexp_replace(record, r"(?s)<Abstract>.*</Abstract>", "")
+
+
+def q_parser_custom(spark, sf_dir):
+    """X1 with a custom parser: every record then falls back to its title."""
+    v = cn.valid(_xml_cleaned(spark, sf_dir, drop_abstract))
+    return v.select("doc_id", "permalink", "content")
+
+
+def q_project_stream(spark, sf_dir):
+    """F5 + C5: the (permalink, content) pairs the vectorizer reads."""
+    v = cn.valid(_xml_cleaned(spark, sf_dir))
+    return cn.project_stream(v).select(last_path_component(F.col("permalink")).alias("permalink"), "content")
+
+
+def _text_parsed(spark, sf_dir):
+    return ps.parse_text(rc.text_records(read_table(spark, sf_dir, "documents")), keep=("doc_id", "seq"))
+
+
+def q_text_segments(spark, sf_dir):
+    """Segments of every text record."""
+    recs = rc.text_records(read_table(spark, sf_dir, "documents"))
+    return recs.select("doc_id", F.posexplode(ps.segments(F.col("record"))).alias("seg_idx", "segment")).select(
+        "doc_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "segment"
+    )
+
+
+def q_text_extract(spark, sf_dir):
+    """Fields of every text record (null when too few segments)."""
+    return _text_parsed(spark, sf_dir).select("doc_id", "permalink", "title", "content")
+
+
+def q_drop_null(spark, sf_dir):
+    """text records with every field present."""
+    return cn.drop_null(_text_parsed(spark, sf_dir).select("doc_id", "permalink", "title", "content"))
+
+
+def q_dir_scan(spark, sf_dir):
+    """XML files written one folder per language plus a file with another extension;
+    the scan skips that file and counts records per folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    root = scratch_path(spark, "dir_scan")
+    (
+        rc.xml_struct(docs)
+        .write.partitionBy("lang")
+        .format("xml")
+        .option("rowTag", ps.RECORD_TAG)
+        .option("rootTag", "PubmedArticleSet")
+        .save(root)
+    )
+    docs.select("doc_id").write.json(f"{root}/lang=zz")
+    recs = read_xml_records(spark, root)
+    parsed = cn.valid(cn.finalize(ps.parse_xml(recs)))
+    lang = F.regexp_extract(F.col("source_file"), r"lang=([^/]+)", 1)
+    return parsed.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "xml_extract": q_xml_extract,
+        "xml_fallback": q_xml_fallback,
+        "xml_reject_counts": q_xml_reject_counts,
+        "parser_identity": q_parser_identity,
+        "parser_custom": q_parser_custom,
+        "project_stream": q_project_stream,
+        "text_segments": q_text_segments,
+        "text_extract": q_text_extract,
+        "drop_null": q_drop_null,
+        "dir_scan": q_dir_scan,
         "centroid_update": q_centroid_update,
         "assign_nearest": q_assign_nearest,
         "inertia": q_inertia,
