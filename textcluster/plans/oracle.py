@@ -143,6 +143,27 @@ def oracle_sql() -> dict[str, str]:
     tok = _tokens_cte()
     voc = _vocab_ctes()
     q: dict[str, str] = {}
+    parts = (
+        "WITH i AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM documents), "
+        "p AS (SELECT doc_id, idx, CAST(greatest(1, ceil(idx / 100)) AS BIGINT) AS part FROM i) "
+    )
+    q["part_numbers"] = parts + "SELECT doc_id, idx, part FROM p"
+    q["running_count"] = (
+        parts + ", c AS (SELECT part, count(*) AS n_docs FROM p GROUP BY part) "
+        "SELECT part, n_docs, CAST(sum(n_docs) OVER (ORDER BY part) AS BIGINT) AS running_total FROM c"
+    )
+    q["first_n"] = (
+        "SELECT doc_id, CAST(doc_id + 10000000 AS VARCHAR) AS permalink FROM documents ORDER BY doc_id LIMIT 100"
+    )
+    q["staged_roundtrip"] = parts + (
+        "SELECT d.doc_id, p.part, CAST(d.doc_id + 10000000 AS VARCHAR) AS permalink, "
+        "split_part(d.text, chr(10), 1) AS title, d.text AS content FROM documents d JOIN p USING (doc_id)"
+    )
+    q["union_parts"] = parts + "SELECT doc_id, part, CAST(doc_id + 10000000 AS VARCHAR) AS permalink FROM p"
+    q["vector_tsv"] = (
+        "SELECT array_to_string(list_transform(embedding, lambda x: "
+        "CAST(CAST(round(CAST(x AS DOUBLE), 6) AS DECIMAL(38,6)) AS VARCHAR)), chr(9)) AS line FROM embeddings"
+    )
     q["xml_extract"] = f"WITH {_XML} SELECT doc_id, permalink, title, content FROM xv"
     q["xml_fallback"] = f"WITH {_XML} SELECT doc_id, permalink, content FROM xv WHERE lang = 'es'"
     q["xml_reject_counts"] = (
@@ -188,7 +209,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {tok}, {voc}, {_weights_cte('l1')}, {top_q} "
         "SELECT cluster_id, format('Cluster #: {}   Top terms: {}', cluster_id, keywords) AS line FROM kw"
     )
-    q["collate_urls"] = f"""
+    collate = f"""
 WITH mem AS (
   SELECT CAST(l.quality AS INTEGER) AS cluster_id, d.doc_id AS ord, CAST(d.doc_id + 10000000 AS VARCHAR) AS member
   FROM documents d JOIN labels l USING (doc_id)
@@ -207,4 +228,6 @@ SELECT cluster_id, page, clickable_content FROM urls
 UNION ALL
 SELECT CAST(r.range AS INTEGER) AS cluster_id, CAST(0 AS BIGINT) AS page, '{DEFAULT_SEARCH_URL}' AS clickable_content
 FROM range(3) r WHERE r.range NOT IN (SELECT cluster_id FROM mem)"""
+    q["collate_urls"] = collate
+    q["export_roundtrip"] = collate
     return q

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as cn
 from ..operators import cluster as cl
+from ..operators import counts as ct
 from ..operators import parse as ps
 from ..operators import features as fe
 from ..operators import report as rp
@@ -21,6 +22,10 @@ from ..session import scratch_path
 from ..sources import records as rc
 from ..sources.tables import articles, read_table
 from ..sources.xml import read_xml_records
+from ..sinks import export as ex
+from ..sinks import staged as sg
+
+SMALL_THRESHOLD = 100  # part size for the staging queries, so sf 0.01 spans several parts
 
 TOP_N = 20
 
@@ -219,8 +224,74 @@ def q_dir_scan(spark, sf_dir):
     return parsed.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def q_part_numbers(spark, sf_dir):
+    """W1 + W2: row index in read order and staged part number."""
+    parts = ct.with_parts(articles(spark, sf_dir).select("doc_id", "seq"), "seq", SMALL_THRESHOLD)
+    return parts.select("doc_id", "idx", "part")
+
+
+def q_running_count(spark, sf_dir):
+    """A6 + W4: documents per part and the running total."""
+    parts = ct.with_parts(articles(spark, sf_dir).select("seq"), "seq", SMALL_THRESHOLD)
+    return ct.part_counts(parts)
+
+
+def q_first_n(spark, sf_dir):
+    """L1 / L2: the first 100 records in read order (the record limit is the feature)."""
+    return ct.first_n(articles(spark, sf_dir).select("doc_id", "seq", "permalink"), 100, "seq").select("doc_id", "permalink")
+
+
+def _staged(spark, sf_dir):
+    path = scratch_path(spark, "staged")
+    sg.write_parts(articles(spark, sf_dir), path, SMALL_THRESHOLD)
+    return path
+
+
+def q_staged_roundtrip(spark, sf_dir):
+    """K1 + S6: stage articles in parts, read them back."""
+    back = sg.read_staged(spark, _staged(spark, sf_dir))
+    return back.select("doc_id", "part", "permalink", "title", "content")
+
+
+def q_union_parts(spark, sf_dir):
+    """U1 + S7: replay parts 1, 3 and the rest as a union of three reads."""
+    path = _staged(spark, sf_dir)
+    lo = sg.read_staged(spark, f"{path}/part=1", f"{path}/part=3")
+    rest = sg.read_staged(spark, path).where(~F.col("part").isin(1, 3))
+    both = lo.unionByName(rest)
+    again = sg.load_or_stage(spark, path, lambda: articles(spark, sf_dir), SMALL_THRESHOLD)
+    return both.join(again.select("doc_id"), "doc_id", "left_semi").select("doc_id", "part", "permalink")
+
+
+def q_export_roundtrip(spark, sf_dir):
+    """K6/K7/K8: collated URLs and keywords exported as CSV folders, read back."""
+    mem = _quality_membership(spark, sf_dir)
+    root = scratch_path(spark, "export")
+    kw = spark.createDataFrame([(0, "a, b"), (1, "c")], "cluster_id int, keywords string")
+    tables = ex.assemble_output(mem, kw, True, collated=rp.collate(mem, k=3))
+    paths = ex.export_tables(root, tables, "csv")
+    return spark.read.schema("cluster_id int, page bigint, clickable_content string").option("header", True).csv(
+        paths["clusters"]
+    )
+
+
+def q_vector_tsv(spark, sf_dir):
+    """K5: embedding vectors as tab-separated text, appended to a folder, read back."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    path = scratch_path(spark, "tsv")
+    ex.write_tsv(emb.select(ex.tsv_line(F.col("embedding")).alias("line")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "part_numbers": q_part_numbers,
+        "running_count": q_running_count,
+        "first_n": q_first_n,
+        "staged_roundtrip": q_staged_roundtrip,
+        "union_parts": q_union_parts,
+        "export_roundtrip": q_export_roundtrip,
+        "vector_tsv": q_vector_tsv,
         "xml_extract": q_xml_extract,
         "xml_fallback": q_xml_fallback,
         "xml_reject_counts": q_xml_reject_counts,
