@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from ..operators import clean as cn
 from ..operators import cluster as cl
 from ..operators import counts as ct
+from ..operators import models as md
 from ..operators import parse as ps
+from ..operators import topics as tp
+from ..operators import vectors as vz
 from ..operators import features as fe
 from ..operators import report as rp
 from ..operators import tokens as tk
@@ -283,8 +286,113 @@ def q_vector_tsv(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+def _vectors(spark, sf_dir, kind="tfidf"):
+    from pyspark import StorageLevel
+
+    arts = articles(spark, sf_dir)
+    vec = vz.fit_vectorizer(arts, kind)
+    vectors = vec.transform(arts, keep=("doc_id", "seq", "permalink")).persist(StorageLevel.MEMORY_AND_DISK)
+    return vec, vectors
+
+
+def q_kmeans_membership(spark, sf_dir):
+    """M1 + M3 + M6 + J1: tfidf vectors of every document, k-means (k 20, best of 3), labels."""
+    _, vectors = _vectors(spark, sf_dir)
+    model, _ = md.kmeans_restarts(vectors)
+    return md.assign_model(model, vectors)
+
+
+def q_kmeans_best_of_n(spark, sf_dir):
+    """M3: cost of each restart and the one kept."""
+    _, vectors = _vectors(spark, sf_dir)
+    _, runs = md.kmeans_restarts(vectors)
+    best = min(r[2] for r in runs)
+    rows = [(r[0], r[1], r[2], r[2] == best) for r in runs]
+    return spark.createDataFrame(rows, "run int, seed int, cost double, chosen boolean")
+
+
+def q_kmeans_keywords(spark, sf_dir):
+    """J3 + W3 on fitted centres: 20 keywords for each of the 20 clusters."""
+    vec, vectors = _vectors(spark, sf_dir)
+    model, _ = md.kmeans_restarts(vectors)
+    vocab = vec.vocabulary_df(spark)
+    cents = md.centroid_terms(spark, md.centers_of(model), vocab)
+    clusters = spark.range(md.DEFAULT_K).select(F.col("id").cast("int").alias("cluster_id"))
+    return rp.top_terms(cents, TOP_N, "cluster_id", clusters=clusters, vocab=vocab)
+
+
+def q_kmeans_pp_membership(spark, sf_dir):
+    """M5: one k-means|| (scalable k-means++) run of 30 iterations, no standardising."""
+    _, vectors = _vectors(spark, sf_dir)
+    model, _ = md.kmeans_restarts(vectors, n_init=1)
+    return md.assign_model(model, vectors)
+
+
+def q_minibatch_membership(spark, sf_dir):
+    """M4: mini-batch k-means, then every document labelled."""
+    _, vectors = _vectors(spark, sf_dir)
+    res = md.minibatch_kmeans(spark, vectors)
+    return md.assign_with_centres(spark, vectors, res.centers).drop("dist2")
+
+
+def q_hash_tf(spark, sf_dir):
+    """M2: hashing vectors; per document the non-zero buckets and the L1 norm (1, or 0 when empty)."""
+    _, vectors = _vectors(spark, sf_dir, "hashing")
+    return vz.vector_stats(vectors.select("doc_id", "features")).select(
+        "doc_id", "n_buckets", F.round("l1", 6).alias("l1")
+    )
+
+
+def q_lda_topics(spark, sf_dir):
+    """M7 + M8: 10 LDA topics on term counts, 20 keywords each."""
+    vec, _ = _vectors(spark, sf_dir)
+    arts = articles(spark, sf_dir)
+    counts = vz.counts_pipeline(vec).transform(tk.add_tokens(arts.select("doc_id", "content"), "content", "tokens"))
+    model = tp.fit_lda(counts, n_topics=10, max_iter=30)
+    return tp.topic_terms(model, vec.vocabulary_df(spark), TOP_N)
+
+
+def q_end_to_end_tfidf(spark, sf_dir):
+    """XML files -> parse -> tfidf -> k-means -> keywords + collated URLs -> CSV; the
+    collated table read back."""
+    from . import jobs
+
+    docs = read_table(spark, sf_dir, "documents")
+    src = scratch_path(spark, "e2e_xml")
+    rc.xml_struct(docs).write.partitionBy("lang").format("xml").option("rowTag", ps.RECORD_TAG).option(
+        "rootTag", "PubmedArticleSet"
+    ).save(src)
+    out = scratch_path(spark, "e2e_out")
+    paths = jobs.run(spark, src, out, "xml", jobs.JobConfig(collate=True))
+    return spark.read.schema("cluster_id int, page bigint, clickable_content string").option("header", True).csv(
+        paths["clusters"]
+    )
+
+
+def q_end_to_end_hashing(spark, sf_dir):
+    """Text files -> staged parts -> hashing vectors -> mini-batch k-means -> CSV membership."""
+    from . import jobs
+
+    docs = read_table(spark, sf_dir, "documents")
+    src = scratch_path(spark, "e2e_txt")
+    rc.text_records(docs).select("record").write.text(src)
+    out = scratch_path(spark, "e2e_out")
+    cfg = jobs.JobConfig(vectorizer="hashing", algorithm="minibatch", gen_keywords=False, require_title=False)
+    paths = jobs.run(spark, src, out, "txt", cfg, staged_path=scratch_path(spark, "e2e_staged"))
+    return spark.read.schema("cluster_id int, permalink string").option("header", True).csv(paths["clusters"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "kmeans_membership": q_kmeans_membership,
+        "kmeans_best_of_n": q_kmeans_best_of_n,
+        "kmeans_keywords": q_kmeans_keywords,
+        "kmeans_pp_membership": q_kmeans_pp_membership,
+        "minibatch_membership": q_minibatch_membership,
+        "hash_tf": q_hash_tf,
+        "lda_topics": q_lda_topics,
+        "end_to_end_tfidf": q_end_to_end_tfidf,
+        "end_to_end_hashing": q_end_to_end_hashing,
         "part_numbers": q_part_numbers,
         "running_count": q_running_count,
         "first_n": q_first_n,

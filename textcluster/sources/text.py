@@ -23,7 +23,7 @@ def split_records(text_col) -> "F.Column":
 
 def read_text_records(spark: SparkSession, path, extensions=SUPPORTED_EXTENSIONS, on_bad: str = "skip") -> DataFrame:
     """``(source_file, seq, record)``, ``seq`` = 0-based record number within its file."""
-    raw = spark.read.option("wholetext", True).option("encoding", "UTF-8").text(path)
+    raw = spark.read.option("encoding", "UTF-8").text(path, wholetext=True)
     raw = with_source(raw.select("value", "_metadata"), extensions, on_bad)
     return raw.select("source_file", F.posexplode(split_records(F.col("value"))).alias("seq", "record")).select(
         "source_file", F.col("seq").cast("bigint").alias("seq"), "record"
