@@ -153,6 +153,24 @@ def assign_with_centres(spark, vectors: DataFrame, centers: np.ndarray, keep=("d
     return vectors.select(*cols, features_col).mapInPandas(_assign_fn(bc, cols, features_col), schema)
 
 
+def fold_step(centers: np.ndarray, counts: np.ndarray, agg) -> tuple[np.ndarray, np.ndarray]:
+    """Fold one batch's per-(centre, term) sums and per-centre sizes (term_idx -1) into the
+    centres: c <- (c * n + batch_sum) / (n + batch_n), i.e. learning rate 1 / count per member."""
+    centers = centers.copy()
+    k = centers.shape[0]
+    sums = np.zeros_like(centers)
+    n_b = np.zeros(k)
+    for r in agg:
+        if r["term_idx"] < 0:
+            n_b[r["cluster_id"]] += r["s"]
+        else:
+            sums[r["cluster_id"], r["term_idx"]] += r["s"]
+    moved = n_b > 0
+    new_counts = counts + n_b
+    centers[moved] = (centers[moved] * counts[moved, None] + sums[moved]) / new_counts[moved, None]
+    return centers, new_counts
+
+
 @dataclass
 class MiniBatchResult:
     centers: np.ndarray
@@ -207,15 +225,5 @@ def minibatch_kmeans(
         part = batch.mapInPandas(_step_fn(bc, features_col), "cluster_id int, term_idx bigint, s double")
         agg = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).collect()  # <= k x (V + 1) rows
         bc.unpersist()
-        sums = np.zeros_like(centers)
-        n_b = np.zeros(k)
-        for r in agg:
-            if r["term_idx"] < 0:
-                n_b[r["cluster_id"]] += r["s"]
-            else:
-                sums[r["cluster_id"], r["term_idx"]] += r["s"]
-        moved = n_b > 0
-        new_counts = counts + n_b
-        centers[moved] = (centers[moved] * counts[moved, None] + sums[moved]) / new_counts[moved, None]
-        counts = new_counts
+        centers, counts = fold_step(centers, counts, agg)
     return MiniBatchResult(centers, counts, init_costs, max_steps)

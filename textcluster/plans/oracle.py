@@ -228,6 +228,8 @@ SELECT cluster_id, page, clickable_content FROM urls
 UNION ALL
 SELECT CAST(r.range AS INTEGER) AS cluster_id, CAST(0 AS BIGINT) AS page, '{DEFAULT_SEARCH_URL}' AS clickable_content
 FROM range(3) r WHERE r.range NOT IN (SELECT cluster_id FROM mem)"""
+    q["stream_replay"] = q["union_parts"]
+    q["stream_stage"] = f"WITH {_XML} SELECT permalink, title, body AS content FROM x"
     q["collate_urls"] = collate
     q["export_roundtrip"] = collate
     return q

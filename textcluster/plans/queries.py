@@ -382,8 +382,67 @@ def q_end_to_end_hashing(spark, sf_dir):
     return spark.read.schema("cluster_id int, permalink string").option("header", True).csv(paths["clusters"])
 
 
+def q_stream_replay(spark, sf_dir):
+    """Staged parts replayed one file per micro-batch into a Parquet sink."""
+    from ..streaming import replay as st
+
+    path = _staged(spark, sf_dir)
+    sink, ckpt = scratch_path(spark, "replay_sink"), scratch_path(spark, "replay_ckpt")
+    st.drain(st.replay(spark, path), sink, ckpt)
+    return spark.read.schema(st.STAGED_SCHEMA).parquet(sink).select("doc_id", "part", "permalink")
+
+
+def q_stream_stage(spark, sf_dir):
+    """XML files (one folder per language) staged as they arrive, one file per micro-batch."""
+    from ..streaming import replay as st
+
+    docs = read_table(spark, sf_dir, "documents")
+    src = scratch_path(spark, "arriving_xml")
+    rc.xml_struct(docs).write.partitionBy("lang").format("xml").option("rowTag", ps.RECORD_TAG).option(
+        "rootTag", "PubmedArticleSet"
+    ).save(src)
+    out, ckpt = scratch_path(spark, "stream_staged"), scratch_path(spark, "stream_stage_ckpt")
+    st.stage_arriving(spark, src, out, ckpt)
+    return spark.read.parquet(out).select("permalink", "title", "content")
+
+
+def q_stream_hash(spark, sf_dir):
+    """Hashed, normalised term counts computed on the replayed stream (no fit needed)."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import HashingTF, Normalizer
+
+    from ..streaming import replay as st
+
+    path = _staged(spark, sf_dir)
+    stages = PipelineModel(
+        [HashingTF(numFeatures=vz.HASH_FEATURES, inputCol="tokens", outputCol="tf"), Normalizer(p=1.0, inputCol="tf", outputCol="features")]
+    )
+    sink, ckpt = scratch_path(spark, "hash_sink"), scratch_path(spark, "hash_ckpt")
+    st.drain(st.hash_stream(st.replay(spark, path), stages), sink, ckpt)
+    return vz.vector_stats(spark.read.parquet(sink)).select("doc_id", "n_buckets", F.round("l1", 6).alias("l1"))
+
+
+def q_stream_minibatch(spark, sf_dir):
+    """T4: one mini-batch k-means step per replayed part (tfidf fitted on the staged batch), then
+    every document labelled with the final centres."""
+    from ..streaming import replay as st
+
+    path = _staged(spark, sf_dir)
+    vec = vz.fit_tfidf(spark.read.parquet(path))
+    vectors_stream = vec.transform(st.replay(spark, path), keep=("doc_id", "permalink"))
+    state, ckpt = scratch_path(spark, "mb_state"), scratch_path(spark, "mb_ckpt")
+    st.minibatch_stream(spark, vectors_stream, state, ckpt)
+    centers, _ = st.final_centres(spark, state)
+    all_vectors = vec.transform(spark.read.parquet(path), keep=("doc_id", "permalink"))
+    return md.assign_with_centres(spark, all_vectors, centers).drop("dist2")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "stream_replay": q_stream_replay,
+        "stream_stage": q_stream_stage,
+        "stream_hash": q_stream_hash,
+        "stream_minibatch": q_stream_minibatch,
         "kmeans_membership": q_kmeans_membership,
         "kmeans_best_of_n": q_kmeans_best_of_n,
         "kmeans_keywords": q_kmeans_keywords,
