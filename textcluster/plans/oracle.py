@@ -92,7 +92,7 @@ step AS (
 )"""
 
 
-_XML = """
+_XML = r"""
 x AS (
   SELECT doc_id, lang, CAST(doc_id + 10000000 AS VARCHAR) AS permalink,
          trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r\n]+', ' ', 'g')) AS title,
@@ -104,7 +104,7 @@ xv AS (
   FROM x WHERE lang <> 'de'
 )"""
 
-_TEXT = """
+_TEXT = r"""
 t0 AS (
   SELECT doc_id, lang, source, text,
          CASE WHEN lang = 'de' THEN chr(10) || chr(10) || chr(10) ELSE chr(10) || chr(10) END AS gap
