@@ -7,7 +7,7 @@ dimensions. Vectors stay in executors, cached across passes.
   aggregations); ``n_init`` restarts with different seeds, the lowest training cost wins.
 * M4: mini-batch k-means (Sculley, WWW 2010, with per-centre learning rate 1/count). Each step
   picks a batch by hashing (id, seed, step), assigns it to the broadcast centres with numpy inside
-  ``mapInPandas`` (sparse dot products), and sums members per (centre, term) with a partial
+  ``mapInArrow`` (sparse dot products on whole Arrow batches), and sums members per (centre, term) with a partial
   aggregation; the driver folds the k x V sums into the centres.
 """
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,27 +71,30 @@ def centroid_terms(spark, centers: np.ndarray, vocab: DataFrame) -> DataFrame:
     return long.join(F.broadcast(vocab.select("term_idx", "term")), "term_idx").select("cluster_id", "term", "weight")
 
 
-# ---- numpy helpers used inside mapInPandas ---------------------------------------------------
+# ---- numpy helpers used inside mapInArrow ----------------------------------------------------
 
 
-def _flatten(vecs: pd.Series):
-    """Arrow gives ML vectors as dicts {type, size, indices, values}; return row ids, indices,
-    values of all non-zeros in the batch."""
-    idx, val, lens = [], [], []
-    for v in vecs:
-        if v["type"] == 1:  # dense
-            vals = np.asarray(v["values"], dtype=float)
-            ind = np.arange(len(vals))
-        else:
-            vals = np.asarray(v["values"], dtype=float)
-            ind = np.asarray(v["indices"], dtype=np.int64)
-        idx.append(ind)
-        val.append(vals)
-        lens.append(len(vals))
-    n = len(lens)
-    if n == 0 or sum(lens) == 0:
-        return n, np.repeat(np.arange(n), lens), np.zeros(0, np.int64), np.zeros(0)
-    return n, np.repeat(np.arange(n), lens), np.concatenate(idx), np.concatenate(val)
+def flatten_vectors(arr):
+    """An Arrow column of ML vectors (struct<type, size, indices, values>) -> (n, row ids,
+    indices, values) of all stored entries, without a Python loop over rows. Dense rows
+    (type 1) have null indices; their positions are 0..len-1."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    n = len(arr)
+    values = pc.struct_field(arr, "values")
+    lens = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    vals = pc.list_flatten(values).to_numpy(zero_copy_only=False).astype(float)
+    rows = np.repeat(np.arange(n), lens)
+    types = pc.struct_field(arr, "type").to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if n else np.zeros(0, np.int64)
+    idx = np.arange(len(vals), dtype=np.int64) - np.repeat(starts, lens)
+    sparse = np.repeat(types == 0, lens)
+    if sparse.any():
+        idx[sparse] = pc.list_flatten(pc.struct_field(arr, "indices")).to_numpy(zero_copy_only=False)
+    return n, rows, idx, vals
 
 
 def nearest_centres(n, rows, idx, val, centers: np.ndarray, c_sq: np.ndarray):
@@ -109,26 +111,28 @@ def nearest_centres(n, rows, idx, val, centers: np.ndarray, c_sq: np.ndarray):
 
 def _assign_fn(bc, id_cols, features_col):
     def run(batches):
+        import pyarrow as pa
+
         centers = bc.value
         c_sq = (centers * centers).sum(axis=1)
-        for pdf in batches:
-            n, rows, idx, val = _flatten(pdf[features_col])
+        for b in batches:
+            n, rows, idx, val = flatten_vectors(b.column(features_col))
             lab, d2 = nearest_centres(n, rows, idx, val, centers, c_sq)
-            out = pdf[list(id_cols)].copy()
-            out["cluster_id"] = lab.astype("int32")
-            out["dist2"] = d2
-            yield out
+            cols = [b.column(c) for c in id_cols] + [pa.array(lab.astype(np.int32)), pa.array(d2)]
+            yield pa.RecordBatch.from_arrays(cols, names=list(id_cols) + ["cluster_id", "dist2"])
 
     return run
 
 
 def _step_fn(bc, features_col):
     def run(batches):
+        import pyarrow as pa
+
         centers = bc.value
         k, dim = centers.shape
         c_sq = (centers * centers).sum(axis=1)
-        for pdf in batches:
-            n, rows, idx, val = _flatten(pdf[features_col])
+        for b in batches:
+            n, rows, idx, val = flatten_vectors(b.column(features_col))
             if n == 0:
                 continue
             lab, _ = nearest_centres(n, rows, idx, val, centers, c_sq)
@@ -136,21 +140,32 @@ def _step_fn(bc, features_col):
             uk, inv = np.unique(key, return_inverse=True)
             sums = np.bincount(inv, weights=val)
             counts = np.bincount(lab, minlength=k)
-            cid = np.concatenate([uk // dim, np.nonzero(counts)[0]]).astype("int32")
-            tid = np.concatenate([uk % dim, np.full(np.count_nonzero(counts), -1)]).astype("int64")
+            cid = np.concatenate([uk // dim, np.nonzero(counts)[0]]).astype(np.int32)
+            tid = np.concatenate([uk % dim, np.full(np.count_nonzero(counts), -1)]).astype(np.int64)
             s = np.concatenate([sums, counts[counts > 0].astype(float)])
-            yield pd.DataFrame({"cluster_id": cid, "term_idx": tid, "s": s})
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(tid), pa.array(s)], names=["cluster_id", "term_idx", "s"])
 
     return run
 
 
+def step_sums(spark, batch: DataFrame, centers: np.ndarray, features_col: str = "features") -> list:
+    """One mini-batch step's per-(centre, term) sums and per-centre sizes (term_idx -1): assign in
+    tasks, aggregate partially, collect at most k x (V + 1) rows."""
+    bc = spark.sparkContext.broadcast(centers)
+    try:
+        part = batch.select(features_col).mapInArrow(_step_fn(bc, features_col), "cluster_id int, term_idx bigint, s double")
+        return part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).collect()
+    finally:
+        bc.unpersist()
+
+
 def assign_with_centres(spark, vectors: DataFrame, centers: np.ndarray, keep=("doc_id", "permalink"), features_col="features"):
     """M6 with explicit centres: ``keep + (cluster_id, dist2)``."""
     cols = [c for c in keep if c in vectors.columns]
     bc = spark.sparkContext.broadcast(centers)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*cols).schema.fields)
     schema = (schema + ", " if schema else "") + "cluster_id int, dist2 double"
-    return vectors.select(*cols, features_col).mapInPandas(_assign_fn(bc, cols, features_col), schema)
+    return vectors.select(*cols, features_col).mapInArrow(_assign_fn(bc, cols, features_col), schema)
 
 
 def fold_step(centers: np.ndarray, counts: np.ndarray, agg) -> tuple[np.ndarray, np.ndarray]:
@@ -218,12 +233,8 @@ def minibatch_kmeans(
         centers = np.vstack([centers, np.repeat(centers[:1], k - centers.shape[0], axis=0)])
     counts = np.zeros(k)
     frac = min(1.0, batch_size / n_docs)
-    sc = spark.sparkContext
     for step in range(max_steps):
-        bc = sc.broadcast(centers)
-        batch = vectors.where(_batch_filter(id_col, seed, step, frac)).select(features_col)
-        part = batch.mapInPandas(_step_fn(bc, features_col), "cluster_id int, term_idx bigint, s double")
-        agg = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).collect()  # <= k x (V + 1) rows
-        bc.unpersist()
+        batch = vectors if frac >= 1.0 else vectors.where(_batch_filter(id_col, seed, step, frac))
+        agg = step_sums(spark, batch, centers, features_col)
         centers, counts = fold_step(centers, counts, agg)
     return MiniBatchResult(centers, counts, init_costs, max_steps)

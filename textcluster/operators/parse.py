@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from ..functions.text import collapse_blank_lines, element_at_index, extract_id, split_literal
 
 RECORD_TAG = "PubmedArticle"
@@ -91,7 +92,7 @@ def xml_record_udf(records: pd.Series) -> pd.DataFrame:
 def parse_xml(df: DataFrame, record_col: str = "record", keep: tuple[str, ...] = ("source_file", "seq")) -> DataFrame:
     """``keep + (title, content, permalink, error)`` from XML record strings."""
     cols = [c for c in keep if c in df.columns]
-    parsed = df.select(*cols, xml_record_udf(F.col(record_col)).alias("p"))
+    parsed = spread(df.select(*cols, record_col)).select(*cols, xml_record_udf(F.col(record_col)).alias("p"))
     return parsed.select(*cols, "p.title", "p.content", "p.permalink", "p.error")
 
 

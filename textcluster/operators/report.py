@@ -121,7 +121,8 @@ def collate(
         F.concat(F.lit(base_url), url_quote(F.col("ids"))).alias("clickable_content"),
     )
     all_ids = m.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster_id"))
-    empty = all_ids.join(full.select("cluster_id").distinct(), "cluster_id", "left_anti").select(
+    # Non-empty clusters come from the small per-bucket counts, not from the URLs.
+    empty = all_ids.join(counts.select("cluster_id"), "cluster_id", "left_anti").select(
         "cluster_id", F.lit(0).cast("bigint").alias("page"), F.lit(base_url).alias("clickable_content")
     )
     in_range = full.where((F.col("cluster_id") >= 0) & (F.col("cluster_id") < k))

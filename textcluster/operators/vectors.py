@@ -19,6 +19,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import features as fe
 from .tokens import add_tokens, term_freq
 
@@ -41,7 +42,7 @@ class Vectorizer:
 
     def transform(self, df: DataFrame, text_col: str = "content", keep=("doc_id", "permalink")) -> DataFrame:
         cols = [c for c in keep if c in df.columns]
-        tok = add_tokens(df.select(*cols, text_col), text_col, "tokens", self.params.stop_words)
+        tok = add_tokens(spread(df.select(*cols, text_col)), text_col, "tokens", self.params.stop_words)
         return self.pipeline.transform(tok).select(*cols, "features")
 
     def vocabulary_df(self, spark) -> DataFrame:
@@ -83,7 +84,7 @@ def fit_hashing(
 ) -> Vectorizer:
     """M2 fit: hashed counts, normalised, idf (+1) fitted on them, normalised again."""
     p = _p(params.norm)
-    tok = add_tokens(docs.select(text_col), text_col, "tokens", params.stop_words)
+    tok = add_tokens(spread(docs.select(text_col)), text_col, "tokens", params.stop_words)
     htf = HashingTF(numFeatures=num_features, inputCol="tokens", outputCol="tf")
     n1 = Normalizer(p=p, inputCol="tf", outputCol="tfn")
     idf_model = IDF(inputCol="tfn", outputCol="_unused").fit(n1.transform(htf.transform(tok)))
@@ -118,17 +119,15 @@ def write_features(vectors: DataFrame, path: str) -> None:
 def _stats_fn(id_col: str, features_col: str):
     def run(batches):
         import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            vals = [np.asarray(v["values"], dtype=float) for v in pdf[features_col]]
-            yield pd.DataFrame(
-                {
-                    id_col: pdf[id_col],
-                    "n_buckets": [int(np.count_nonzero(v)) for v in vals],
-                    "l1": [float(np.abs(v).sum()) for v in vals],
-                }
-            )
+        import pyarrow as pa
+
+        from .models import flatten_vectors
+
+        for b in batches:
+            n, rows, _, val = flatten_vectors(b.column(features_col))
+            nnz = np.bincount(rows, weights=(val != 0).astype(float), minlength=n).astype(np.int64)
+            l1 = np.bincount(rows, weights=np.abs(val), minlength=n)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(nnz), pa.array(l1)], names=[id_col, "n_buckets", "l1"])
 
     return run
 
@@ -136,6 +135,6 @@ def _stats_fn(id_col: str, features_col: str):
 def vector_stats(vectors: DataFrame, id_col: str = "doc_id", features_col: str = "features") -> DataFrame:
     """``(id, n_buckets, l1)`` read from the sparse form (no densifying of wide vectors)."""
     id_type = vectors.schema[id_col].dataType.simpleString()
-    return vectors.select(id_col, features_col).mapInPandas(
+    return vectors.select(id_col, features_col).mapInArrow(
         _stats_fn(id_col, features_col), f"{id_col} {id_type}, n_buckets bigint, l1 double"
     )

@@ -52,3 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written intermediate table."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Before heavy per-row work (parsing, tokenising): if the input has fewer partitions than the
+    cluster has cores (a few large files), deal rows round-robin over that many. Large inputs
+    already have many splits and pass through untouched; streams are left alone."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -136,10 +136,7 @@ def minibatch_stream(
             counts = np.zeros(k)
         else:
             centers, counts = prev
-        bc = spark.sparkContext.broadcast(centers)
-        part = feats.mapInPandas(md._step_fn(bc, features_col), "cluster_id int, term_idx bigint, s double")
-        agg = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).collect()  # <= k x (V+1)
-        bc.unpersist()
+        agg = md.step_sums(spark, feats, centers, features_col)
         centers, counts = md.fold_step(centers, counts, agg)
         rows = [(int(c), centers[c].tolist(), float(counts[c])) for c in range(k)]
         spark.createDataFrame(rows, "cluster_id int, center array<double>, n double").write.mode("overwrite").parquet(
