@@ -74,9 +74,6 @@ def test_numpy_nearest_matches_brute_force():
 
 def test_fold_step_is_running_mean():
     centers, counts = np.zeros((2, 3)), np.array([1.0, 0.0])
-    agg = [
-        {"cluster_id": 0, "term_idx": 0, "s": 3.0},
-        {"cluster_id": 0, "term_idx": -1, "s": 2.0},
-    ]
+    agg = (np.array([0, 0]), np.array([0, -1]), np.array([3.0, 2.0]))
     c, n = md.fold_step(centers, counts, agg)
     assert np.allclose(c[0], [1.0, 0, 0]) and n.tolist() == [3.0, 0.0] and np.allclose(c[1], 0)

@@ -148,15 +148,17 @@ def _step_fn(bc, features_col):
     return run
 
 
-def step_sums(spark, batch: DataFrame, centers: np.ndarray, features_col: str = "features") -> list:
+def step_sums(spark, batch: DataFrame, centers: np.ndarray, features_col: str = "features"):
     """One mini-batch step's per-(centre, term) sums and per-centre sizes (term_idx -1): assign in
-    tasks, aggregate partially, collect at most k x (V + 1) rows."""
+    tasks, aggregate partially, fetch at most k x (V + 1) rows as Arrow columns.
+    Returns ``(cluster_id, term_idx, s)`` numpy arrays."""
     bc = spark.sparkContext.broadcast(centers)
     try:
         part = batch.select(features_col).mapInArrow(_step_fn(bc, features_col), "cluster_id int, term_idx bigint, s double")
-        return part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).collect()
+        t = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).toArrow()
     finally:
         bc.unpersist()
+    return tuple(t.column(c).to_numpy() for c in ("cluster_id", "term_idx", "s"))
 
 
 def assign_with_centres(spark, vectors: DataFrame, centers: np.ndarray, keep=("doc_id", "permalink"), features_col="features"):
@@ -170,16 +172,15 @@ def assign_with_centres(spark, vectors: DataFrame, centers: np.ndarray, keep=("d
 
 def fold_step(centers: np.ndarray, counts: np.ndarray, agg) -> tuple[np.ndarray, np.ndarray]:
     """Fold one batch's per-(centre, term) sums and per-centre sizes (term_idx -1) into the
-    centres: c <- (c * n + batch_sum) / (n + batch_n), i.e. learning rate 1 / count per member."""
+    centres: c <- (c * n + batch_sum) / (n + batch_n), i.e. learning rate 1 / count per member.
+    ``agg`` is ``(cluster_id, term_idx, s)`` arrays."""
+    cid, tid, s = (np.asarray(a) for a in agg)
     centers = centers.copy()
     k = centers.shape[0]
+    size_rows = tid < 0
+    n_b = np.bincount(cid[size_rows].astype(np.int64), weights=s[size_rows], minlength=k)
     sums = np.zeros_like(centers)
-    n_b = np.zeros(k)
-    for r in agg:
-        if r["term_idx"] < 0:
-            n_b[r["cluster_id"]] += r["s"]
-        else:
-            sums[r["cluster_id"], r["term_idx"]] += r["s"]
+    np.add.at(sums, (cid[~size_rows].astype(np.int64), tid[~size_rows].astype(np.int64)), s[~size_rows])
     moved = n_b > 0
     new_counts = counts + n_b
     centers[moved] = (centers[moved] * counts[moved, None] + sums[moved]) / new_counts[moved, None]
