@@ -116,6 +116,7 @@ def parse_text(
     has no fields). There is no title fallback for text records.
     """
     cols = [c for c in keep if c in df.columns]
+    df = spread(df.select(*cols, record_col))
     segs = segments(F.col(record_col), sep)
     content = element_at_index(segs, content_idx)
     title = F.when(content.isNotNull(), element_at_index(segs, title_idx))
