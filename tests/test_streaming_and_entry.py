@@ -51,3 +51,19 @@ def test_entry_and_registry(spark):
     assert df.columns == ["lang", "keywords"] and len(rows) >= 1
     assert all(len(r["keywords"].split(", ")) == 20 for r in rows)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stage_per_source_and_reuse_saved_vectorizer(spark):
+    from textcluster.plans import jobs
+
+    arts = _articles(spark).withColumn("source_file", F.concat(F.lit("file:/in/f"), (F.col("doc_id") % 3).cast("string"), F.lit(".xml")))
+    path = scratch_path(spark, "t_per_source")
+    sg.write_per_source(arts, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 30 and back.select("source_name").distinct().count() == 3
+    feats = scratch_path(spark, "t_features")
+    cfg = jobs.JobConfig(k=2, n_init=1, max_iter=5, gen_keywords=True, params=fe.TfidfParams(min_df=0.0, max_df=1.0))
+    first = jobs.cluster_articles(spark, arts, cfg, features_path=feats)
+    again = jobs.cluster_articles(spark, arts, cfg, features_path=feats)  # S8: loads the saved model
+    assert again.vectorizer.vocabulary == first.vectorizer.vocabulary
+    assert again.membership.count() == 30 and again.keywords.count() == 2

@@ -31,3 +31,19 @@ def test_records_and_fields(spark, tmp_dir):
     r3 = rows[("a.txt", 3)]
     assert (r3["content"], r3["permalink"]) == ("Abstract four.", "28111114")  # id line without newline
     assert rows[("one.txt", 0)]["permalink"] == "12345678"
+
+
+def test_line_based_records_equal_whole_file_records(spark, tmp_dir):
+    from textcluster.sources.text import read_text_records_by_lines
+
+    os.makedirs(tmp_dir, exist_ok=True)
+    with open(f"{tmp_dir}/a.txt", "w", encoding="utf-8") as f:
+        f.write(FILE + "\ntrailing text without id\n")
+    whole = {(r["seq"], r["record"].strip("\n")) for r in read_text_records(spark, tmp_dir).collect()}
+    # Tiny splits force one file over many tasks.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        by_lines = {(r["seq"], r["record"].strip("\n")) for r in read_text_records_by_lines(spark, tmp_dir).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert by_lines == whole and len(whole) == 4

@@ -1,15 +1,14 @@
 """End-to-end clustering jobs.
 
 One path serves every input size: records are read and parsed by Spark tasks, optionally staged
-as Parquet parts, vectorised row-locally, clustered with the vectors cached in executors, and the
-membership / keyword / collated tables are exported one folder each.
+as Parquet parts, vectorised row-locally, clustered over vectors written to the shared checkpoint
+folder, and the membership / keyword / collated tables are exported one folder each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from ..operators import parse as ps
 from ..operators import report as rp
 from ..operators import vectors as vz
 from ..sinks import export as ex
+from ..session import materialize
 from ..sinks import staged as sg
 from ..sources.files import validate_file
 from ..sources.text import read_text_records
@@ -47,6 +47,7 @@ class JobConfig:
     out_format: str = "csv"
     require_title: bool = True
     seed: int = 1
+    materialize: str = "checkpoint"
     params: fe.TfidfParams = field(default_factory=fe.TfidfParams)
 
     def check(self) -> "JobConfig":
@@ -111,7 +112,8 @@ def cluster_articles(
         vec = vz.fit_vectorizer(arts, cfg.vectorizer, cfg.params)
         if features_path:
             vec.save(features_path + "/model")
-    vectors = vec.transform(arts, keep=("doc_id", "seq", "permalink")).persist(StorageLevel.MEMORY_AND_DISK)
+    # Written to the shared checkpoint folder: restarts and batch steps re-read vectors, never re-tokenise.
+    vectors = materialize(vec.transform(arts, keep=("doc_id", "seq", "permalink")), cfg.materialize)
     runs: list = []
     try:
         if cfg.algorithm in ("kmeans", "kmeans_pp"):

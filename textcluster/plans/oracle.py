@@ -178,6 +178,7 @@ def oracle_sql() -> dict[str, str]:
         "unnest(segs) AS segment FROM t2"
     )
     q["text_extract"] = f"WITH {_TEXT} SELECT doc_id, permalink, title, content FROM tx"
+    q["text_lines_extract"] = q["text_extract"]
     q["drop_null"] = (
         f"WITH {_TEXT} SELECT doc_id, permalink, title, content FROM tx "
         "WHERE doc_id IS NOT NULL AND permalink IS NOT NULL AND title IS NOT NULL AND content IS NOT NULL"

@@ -21,7 +21,7 @@ from ..operators import features as fe
 from ..operators import report as rp
 from ..operators import tokens as tk
 from ..functions.text import last_path_component
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import records as rc
 from ..sources.tables import articles, read_table
 from ..sources.xml import read_xml_records
@@ -202,6 +202,18 @@ def q_text_extract(spark, sf_dir):
     return _text_parsed(spark, sf_dir).select("doc_id", "permalink", "title", "content")
 
 
+def q_text_lines_extract(spark, sf_dir):
+    """S2 + S3 (line form): text records written to files, read back as numbered lines split over
+    many tasks, reassembled per record and parsed."""
+    from ..sources.text import read_text_records_by_lines
+
+    src = scratch_path(spark, "text_lines")
+    rc.text_records(read_table(spark, sf_dir, "documents")).select("record").write.text(src)
+    recs = read_text_records_by_lines(spark, src)
+    recs = recs.withColumn("doc_id", F.regexp_extract("record", r"^\s*(\d+)\.", 1).cast("bigint"))
+    return ps.parse_text(recs, keep=("doc_id",)).select("doc_id", "permalink", "title", "content")
+
+
 def q_drop_null(spark, sf_dir):
     """text records with every field present."""
     return cn.drop_null(_text_parsed(spark, sf_dir).select("doc_id", "permalink", "title", "content"))
@@ -287,11 +299,9 @@ def q_vector_tsv(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir, kind="tfidf"):
-    from pyspark import StorageLevel
-
     arts = articles(spark, sf_dir)
     vec = vz.fit_vectorizer(arts, kind)
-    vectors = vec.transform(arts, keep=("doc_id", "seq", "permalink")).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = materialize(vec.transform(arts, keep=("doc_id", "seq", "permalink")))
     return vec, vectors
 
 
@@ -467,6 +477,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "project_stream": q_project_stream,
         "text_segments": q_text_segments,
         "text_extract": q_text_extract,
+        "text_lines_extract": q_text_lines_extract,
         "drop_null": q_drop_null,
         "dir_scan": q_dir_scan,
         "centroid_update": q_centroid_update,

@@ -62,3 +62,17 @@ def spread(df):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialize(df, how: str = "checkpoint"):
+    """Cut lineage before iterative passes: ``checkpoint`` writes the rows to the shared checkpoint
+    folder (survives executor loss without recomputing upstream); ``persist`` keeps them in executor
+    memory and disk (recomputed from lineage if an executor is lost)."""
+    from pyspark import StorageLevel
+
+    if how == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if how == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    raise ValueError("how must be 'checkpoint' or 'persist'")
