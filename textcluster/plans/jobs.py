@@ -22,7 +22,7 @@ from ..sinks import export as ex
 from ..session import materialize
 from ..sinks import staged as sg
 from ..sources.files import validate_file
-from ..sources.text import read_text_records
+from ..sources.text import read_text_records_by_lines
 from ..sources.xml import read_xml_records
 
 ALGORITHMS = ("kmeans", "kmeans_pp", "minibatch")
@@ -90,7 +90,7 @@ def load_articles(
             parsed = ps.parse_xml(read_xml_records(spark, source))
             cleaned = cn.finalize(parsed, require_title)
         else:
-            parsed = ps.parse_text(read_text_records(spark, source))
+            parsed = ps.parse_text(read_text_records_by_lines(spark, source))
             cleaned = cn.finalize(parsed, require_title, title_fallback=False)
         return cn.valid(cleaned).drop("title_as_content")
 

@@ -197,6 +197,12 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {tok}, {voc}, {_weights_cte(norm)} "
             "SELECT doc_id, term_idx, term, tf, round(weight, 6) AS weight FROM weights"
         )
+    q["vector_dense_dump"] = (
+        f"WITH {tok}, {voc}, {_weights_cte('l1')}, "
+        "grid AS (SELECT d.doc_id, v.term_idx FROM documents d, vocab v) "
+        "SELECT g.doc_id, list(round(coalesce(w.weight, 0.0), 6) ORDER BY g.term_idx) AS vec "
+        "FROM grid g LEFT JOIN weights w ON w.doc_id = g.doc_id AND w.term_idx = g.term_idx GROUP BY g.doc_id"
+    )
     top_lang = _top_terms_sql(
         "SELECT doc_id, lang FROM documents", "SELECT DISTINCT lang FROM documents", "lang"
     )

@@ -305,6 +305,19 @@ def _vectors(spark, sf_dir, kind="tfidf"):
     return vec, vectors
 
 
+def q_vector_dense_dump(spark, sf_dir):
+    """K4 + M1 (ML form): L1 tf-idf vectors of every document as dense arrays over the vocabulary,
+    written as Parquet and read back."""
+    arts = articles(spark, sf_dir)
+    vec = vz.fit_vectorizer(arts, "tfidf")
+    dense = vec.transform(arts, keep=("doc_id",)).select(
+        "doc_id", F.transform(ex.dense_array(F.col("features")), lambda x: F.round(x, 6)).alias("vec")
+    )
+    path = scratch_path(spark, "dense")
+    dense.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def q_kmeans_membership(spark, sf_dir):
     """M1 + M3 + M6 + J1: tfidf vectors of every document, k-means (k 20, best of 3), labels."""
     _, vectors = _vectors(spark, sf_dir)
@@ -453,6 +466,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_stage": q_stream_stage,
         "stream_hash": q_stream_hash,
         "stream_minibatch": q_stream_minibatch,
+        "vector_dense_dump": q_vector_dense_dump,
         "kmeans_membership": q_kmeans_membership,
         "kmeans_best_of_n": q_kmeans_best_of_n,
         "kmeans_keywords": q_kmeans_keywords,
