@@ -6,7 +6,7 @@ dimensions. Vectors stay in executors, cached across passes.
 * M3 / M5: Spark ML ``KMeans`` (k-means|| initialisation, Lloyd iterations as distributed
   aggregations); ``n_init`` restarts with different seeds, the lowest training cost wins.
 * M4: mini-batch k-means (Sculley, WWW 2010, with per-centre learning rate 1/count). Each step
-  picks a batch by hashing (id, seed, step), assigns it to the broadcast centres with numpy inside
+  reads one hashed batch (a pruned partition of a written table), assigns it to the broadcast centres with numpy inside
   ``mapInArrow`` (sparse dot products on whole Arrow batches), and sums members per (centre, term) with a partial
   aggregation; the driver folds the k x V sums into the centres.
 """
@@ -195,9 +195,8 @@ class MiniBatchResult:
     steps: int = 0
 
 
-def _batch_filter(id_col: str, seed: int, step: int, fraction: float):
-    h = F.xxhash64(F.col(id_col), F.lit(seed), F.lit(step))
-    return F.pmod(h, F.lit(1 << 30)) < F.lit(int(fraction * (1 << 30)))
+def _bucket(id_col: str, seed: int, n_buckets: int):
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_buckets)).cast("int")
 
 
 def minibatch_kmeans(
@@ -211,20 +210,41 @@ def minibatch_kmeans(
     id_col: str = "doc_id",
     features_col: str = "features",
 ) -> MiniBatchResult:
-    """M4: mini-batch k-means. ``vectors`` should be cached.
+    """M4: mini-batch k-means.
 
-    Initialisation: ``n_init`` k-means|| seedings (Spark ML with zero Lloyd iterations) on a hashed
-    sample of 3 x batch_size documents; the seeding with the lowest cost on that sample wins. Then
-    ``max_steps`` batch steps. Every document is labelled afterwards by ``assign_with_centres``.
+    Documents are dealt once into ceil(N / batch_size) batches by hashing (id, seed); when there is
+    more than one batch, the vectors are written to the shared checkpoint folder partitioned by
+    batch, so step s reads only batch s mod n (partition pruning), never the whole table. Batches
+    are disjoint, so every ceil(N / batch_size) steps visit each document once.
+
+    Initialisation: ``n_init`` k-means|| seedings (Spark ML with zero Lloyd iterations) on the
+    first batch; the seeding with the lowest cost there wins. Then ``max_steps`` batch steps.
+    Every document is labelled afterwards by ``assign_with_centres``.
     """
+    from ..session import scratch_path
+
     n_docs = vectors.count()
     if n_docs == 0:
         raise ValueError("no documents to cluster")
-    init_frac = min(1.0, 3.0 * batch_size / n_docs)
-    sample = vectors.where(_batch_filter(id_col, seed, -1, init_frac)).select(features_col)
+    n_batches = max(1, -(-n_docs // batch_size))
+    if n_batches > 1:
+        path = scratch_path(spark, "minibatches")
+        vectors.select(id_col, features_col).withColumn("mb", _bucket(id_col, seed, n_batches)).write.partitionBy(
+            "mb"
+        ).parquet(path)
+        staged = spark.read.parquet(path)
+
+        def batch_of(step: int) -> DataFrame:
+            return staged.where(F.col("mb") == step % n_batches).select(features_col)
+
+    else:
+
+        def batch_of(step: int) -> DataFrame:
+            return vectors.select(features_col)
+
     best, init_costs = None, []
     for run in range(n_init):
-        m = KMeans(k=k, maxIter=0, seed=seed + run, initMode="k-means||", featuresCol=features_col).fit(sample)
+        m = KMeans(k=k, maxIter=0, seed=seed + run, initMode="k-means||", featuresCol=features_col).fit(batch_of(0))
         cost = float(m.summary.trainingCost)
         init_costs.append((run, seed + run, cost))
         if best is None or cost < best[1]:
@@ -233,9 +253,6 @@ def minibatch_kmeans(
     if centers.shape[0] < k:  # fewer distinct points than k: pad with copies of the first centre
         centers = np.vstack([centers, np.repeat(centers[:1], k - centers.shape[0], axis=0)])
     counts = np.zeros(k)
-    frac = min(1.0, batch_size / n_docs)
     for step in range(max_steps):
-        batch = vectors if frac >= 1.0 else vectors.where(_batch_filter(id_col, seed, step, frac))
-        agg = step_sums(spark, batch, centers, features_col)
-        centers, counts = fold_step(centers, counts, agg)
+        centers, counts = fold_step(centers, counts, step_sums(spark, batch_of(step), centers, features_col))
     return MiniBatchResult(centers, counts, init_costs, max_steps)
