@@ -43,7 +43,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="textcluster-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path.rstrip("/")
