@@ -95,13 +95,7 @@ def _quality_membership(spark, sf_dir) -> DataFrame:
 
 def q_top_terms_report(spark, sf_dir):
     """K9 lines with ``labels.quality`` as a given clustering (k = 2)."""
-    _, dt, vocab, idf = _tfidf_parts(spark, sf_dir)
-    weights = fe.tfidf_long(dt, idf, "l1")
-    mem = _quality_membership(spark, sf_dir)
-    cents = rp.centroids_long(weights, mem, "cluster_id")
-    clusters = spark.range(2).select(F.col("id").cast("int").alias("cluster_id"))
-    kw = rp.top_terms(cents, TOP_N, "cluster_id", clusters=clusters, vocab=vocab)
-    return rp.report_lines(kw, "kmeans")
+    return rp.report_lines(_quality_keywords(spark, sf_dir), "kmeans")
 
 
 def q_collate_urls(spark, sf_dir):
@@ -278,12 +272,20 @@ def q_union_parts(spark, sf_dir):
     return both.join(again.select("doc_id"), "doc_id", "left_semi").select("doc_id", "part", "permalink")
 
 
+def _quality_keywords(spark, sf_dir, k: int = 2) -> DataFrame:
+    _, dt, vocab, idf = _tfidf_parts(spark, sf_dir)
+    weights = fe.tfidf_long(dt, idf, "l1")
+    cents = rp.centroids_long(weights, _quality_membership(spark, sf_dir), "cluster_id")
+    clusters = spark.range(k).select(F.col("id").cast("int").alias("cluster_id"))
+    return rp.top_terms(cents, TOP_N, "cluster_id", clusters=clusters, vocab=vocab)
+
+
 def q_export_roundtrip(spark, sf_dir):
-    """K6/K7/K8: collated URLs and keywords exported as CSV folders, read back."""
+    """K6/K7/K8: collated URLs and cluster keywords (``labels.quality`` as the clustering) exported
+    as CSV folders, one per table; the collated table read back."""
     mem = _quality_membership(spark, sf_dir)
     root = scratch_path(spark, "export")
-    kw = spark.createDataFrame([(0, "a, b"), (1, "c")], "cluster_id int, keywords string")
-    tables = ex.assemble_output(mem, kw, True, collated=rp.collate(mem, k=3))
+    tables = ex.assemble_output(mem, _quality_keywords(spark, sf_dir), True, collated=rp.collate(mem, k=3))
     paths = ex.export_tables(root, tables, "csv")
     return spark.read.schema("cluster_id int, page bigint, clickable_content string").option("header", True).csv(
         paths["clusters"]
