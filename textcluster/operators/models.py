@@ -24,6 +24,18 @@ DEFAULT_K = 20
 DEFAULT_ITER = 30
 DEFAULT_INIT = 3
 DEFAULT_BATCH = 50000
+DEFAULT_PARALLEL = 4  # restarts fitted at once (the reference used 4 processes)
+
+
+def _fit_runs(fit_one, n_init: int, parallel: int):
+    """Run ``fit_one(run)`` for every restart; up to ``parallel`` fits are submitted as concurrent
+    Spark jobs (the restarts share the cluster instead of queueing behind each other)."""
+    if parallel <= 1 or n_init <= 1:
+        return [fit_one(r) for r in range(n_init)]
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=min(parallel, n_init)) as pool:
+        return list(pool.map(fit_one, range(n_init)))
 
 
 def kmeans_restarts(
@@ -35,19 +47,22 @@ def kmeans_restarts(
     init_mode: str = "k-means||",
     tol: float = 1e-4,
     features_col: str = "features",
+    parallel: int = DEFAULT_PARALLEL,
 ) -> tuple[KMeansModel, list[tuple[int, int, float]]]:
-    """M3 / M5: fit ``n_init`` times; return the model with the lowest cost and every
-    ``(run, seed, cost)``. ``vectors`` should be cached by the caller."""
-    best, runs = None, []
-    for run in range(n_init):
-        s = seed + run
-        km = KMeans(k=k, maxIter=max_iter, seed=s, initMode=init_mode, tol=tol, featuresCol=features_col)
-        model = km.fit(vectors.select(features_col))
-        cost = float(model.summary.trainingCost)
-        runs.append((run, s, cost))
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best[0], runs
+    """M3 / M5: fit ``n_init`` times (seeds seed, seed+1, ...; up to ``parallel`` at once); return
+    the model with the lowest cost (ties: the earlier run) and every ``(run, seed, cost)``.
+    ``vectors`` should be materialised by the caller."""
+    data = vectors.select(features_col)
+
+    def fit_one(run: int):
+        km = KMeans(k=k, maxIter=max_iter, seed=seed + run, initMode=init_mode, tol=tol, featuresCol=features_col)
+        model = km.fit(data)
+        return model, float(model.summary.trainingCost)
+
+    fitted = _fit_runs(fit_one, n_init, parallel)
+    runs = [(r, seed + r, cost) for r, (_, cost) in enumerate(fitted)]
+    best = min(range(n_init), key=lambda r: (fitted[r][1], r))
+    return fitted[best][0], runs
 
 
 def assign_model(model: KMeansModel, vectors: DataFrame, keep=("doc_id", "permalink")) -> DataFrame:
@@ -148,14 +163,23 @@ def _step_fn(bc, features_col):
     return run
 
 
+# Partial sums fetched without a reduce stage only while partitions x k x (V + 1), an upper bound on
+# the rows the tasks can emit, stays under this many rows; above it Spark aggregates them first.
+DIRECT_FETCH_ROWS = 4_000_000
+
+
 def step_sums(spark, batch: DataFrame, centers: np.ndarray, features_col: str = "features"):
-    """One mini-batch step's per-(centre, term) sums and per-centre sizes (term_idx -1): assign in
-    tasks, aggregate partially, fetch at most k x (V + 1) rows as Arrow columns.
-    Returns ``(cluster_id, term_idx, s)`` numpy arrays."""
+    """One mini-batch step's per-(centre, term) sums and per-centre sizes (term_idx -1), as
+    ``(cluster_id, term_idx, s)`` numpy arrays. Tasks assign their rows and sum them per
+    (centre, term); the partials are either fetched directly (bounded, see ``DIRECT_FETCH_ROWS``)
+    or aggregated by Spark first, so the driver never receives more than the bound."""
     bc = spark.sparkContext.broadcast(centers)
     try:
         part = batch.select(features_col).mapInArrow(_step_fn(bc, features_col), "cluster_id int, term_idx bigint, s double")
-        t = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).toArrow()
+        bound = batch.rdd.getNumPartitions() * centers.shape[0] * (centers.shape[1] + 1)
+        if bound > DIRECT_FETCH_ROWS:
+            part = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s"))
+        t = part.toArrow()
     finally:
         bc.unpersist()
     return tuple(t.column(c).to_numpy() for c in ("cluster_id", "term_idx", "s"))
@@ -242,13 +266,15 @@ def minibatch_kmeans(
         def batch_of(step: int) -> DataFrame:
             return vectors.select(features_col)
 
-    best, init_costs = None, []
-    for run in range(n_init):
-        m = KMeans(k=k, maxIter=0, seed=seed + run, initMode="k-means||", featuresCol=features_col).fit(batch_of(0))
-        cost = float(m.summary.trainingCost)
-        init_costs.append((run, seed + run, cost))
-        if best is None or cost < best[1]:
-            best = (m, cost)
+    first = batch_of(0)
+
+    def seed_one(run: int):
+        m = KMeans(k=k, maxIter=0, seed=seed + run, initMode="k-means||", featuresCol=features_col).fit(first)
+        return m, float(m.summary.trainingCost)
+
+    seeded = _fit_runs(seed_one, n_init, DEFAULT_PARALLEL)
+    init_costs = [(r, seed + r, cost) for r, (_, cost) in enumerate(seeded)]
+    best = seeded[min(range(n_init), key=lambda r: (seeded[r][1], r))]
     centers = centers_of(best[0])
     if centers.shape[0] < k:  # fewer distinct points than k: pad with copies of the first centre
         centers = np.vstack([centers, np.repeat(centers[:1], k - centers.shape[0], axis=0)])

@@ -64,14 +64,15 @@ def spread(df):
 
 
 def materialize(df, how: str = "checkpoint"):
-    """Cut lineage before iterative passes: ``checkpoint`` writes the rows to the shared checkpoint
-    folder (survives executor loss without recomputing upstream); ``persist`` keeps them in executor
-    memory and disk (recomputed from lineage if an executor is lost)."""
+    """Cut lineage before iterative passes. ``checkpoint`` writes the rows to the shared checkpoint
+    folder and keeps them in executor memory/disk too: passes read the cache, and an executor lost
+    mid-way recomputes its blocks from the written rows, not from the source. ``persist`` only
+    caches (a loss recomputes from the source)."""
     from pyspark import StorageLevel
 
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     raise ValueError("how must be 'checkpoint' or 'persist'")
