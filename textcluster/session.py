@@ -76,3 +76,21 @@ def materialize(df, how: str = "checkpoint"):
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     raise ValueError("how must be 'checkpoint' or 'persist'")
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run sized from the input volume: input splits and shuffle partitions of
+    about ``target_partition_bytes`` (so a task's data fits executor memory), at least 3 tasks per
+    core, AQE coalescing and skew splitting on, and broadcasts capped at 64 MB (only the bounded
+    tables - vocabulary, centroids - are broadcast explicitly)."""
+    shuffle_parts = max(3 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
