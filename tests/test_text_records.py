@@ -47,3 +47,22 @@ def test_line_based_records_equal_whole_file_records(spark, tmp_dir):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert by_lines == whole and len(whole) == 4
+
+
+def test_line_based_records_many_small_files_and_small_batches(spark, tmp_dir):
+    from textcluster.sources.text import read_text_records_by_lines
+
+    os.makedirs(tmp_dir, exist_ok=True)
+    for i in range(4):
+        with open(f"{tmp_dir}/f{i}.txt", "w", encoding="utf-8") as f:
+            f.write(FILE.replace("2811", f"{i}811"))
+    whole = {(r["source_file"], r["seq"], r["record"].strip("\n")) for r in read_text_records(spark, tmp_dir).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {
+            (r["source_file"], r["seq"], r["record"].strip("\n"))
+            for r in read_text_records_by_lines(spark, tmp_dir).collect()
+        }
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == whole and len(whole) == 16

@@ -43,28 +43,58 @@ def read_text_lines(spark: SparkSession, path, extensions=SUPPORTED_EXTENSIONS)
     )
 
 
+def _local_id_counts(batches):
+    """Inside one scan partition the lines of each (file, split) arrive contiguously and in order:
+    add ``local`` = id lines before this line in its split (a running sum that carries across Arrow
+    batches). No exchange is needed for this step."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    last_key, carried = None, 0
+    for b in batches:
+        n = b.num_rows
+        if n == 0:
+            continue
+        files = b.column("source_file").to_numpy(zero_copy_only=False)
+        blocks = b.column("block").to_numpy(zero_copy_only=False)
+        is_id = pc.fill_null(pc.starts_with(b.column("line"), "PMID"), False).to_numpy(zero_copy_only=False).astype(np.int64)
+        new_seg = np.ones(n, dtype=bool)
+        new_seg[1:] = (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])
+        continues = last_key == (files[0], blocks[0])
+        new_seg[0] = not continues
+        seg = np.cumsum(new_seg)  # segment 0 (if any) continues the previous batch's split
+        before = np.cumsum(is_id) - is_id  # id lines before each row within this batch
+        base = np.zeros(seg[-1] + 1, dtype=np.int64)
+        starts = np.flatnonzero(new_seg)
+        base[seg[starts]] = before[starts]
+        local = before - base[seg]
+        if continues:
+            local[seg == 0] += carried
+        carried = int(local[-1] + is_id[-1])
+        last_key = (files[-1], blocks[-1])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("source_file"), b.column("block"), b.column("line_key"), b.column("line"), pa.array(is_id), pa.array(local)],
+            names=["source_file", "block", "line_key", "line", "is_id", "local"],
+        )
+
+
 def records_from_lines(lines: DataFrame) -> DataFrame:
     """S3 for files too large to read whole: ``(source_file, seq, record)`` from numbered lines.
 
-    A line's record number is the count of id lines before it in its file. That count is taken in
-    two levels, so no task holds a whole file: id lines per (file, split), offsets by a running sum
-    over the splits of a file (one row per split), then a running count inside each split. Lines
-    are then grouped per record (one record per group) and joined in order; trailing text with
-    no id line is not a record.
+    A line's record number is the count of id lines before it in its file, taken in two levels so
+    that no task holds a whole file: inside each split where the lines already are (running sum
+    over Arrow batches, no exchange), plus the split's offset = id lines in earlier splits of the
+    file (per-split counts, one row per split). Lines are then grouped per record (one record per
+    group) and joined in order; trailing text with no id line is not a record.
     """
-    is_id = F.startswith(F.col("line"), F.lit("PMID")).cast("int")
-    ln = lines.withColumn("is_id", is_id)
-    per_split = ln.groupBy("source_file", "block").agg(F.sum("is_id").alias("n_id"))
+    local = lines.mapInArrow(
+        _local_id_counts, "source_file string, block bigint, line_key bigint, line string, is_id bigint, local bigint"
+    )
+    per_split = local.groupBy("source_file", "block").agg(F.sum("is_id").alias("n_id"))
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_split.select("source_file", "block", F.coalesce(F.sum("n_id").over(before), F.lit(0)).alias("off"))
-    upto = Window.partitionBy("source_file", "block").orderBy("line_key").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    numbered = (
-        ln.withColumn("local", F.sum("is_id").over(upto) - F.col("is_id"))
-        .join(offsets, ["source_file", "block"])
-        .withColumn("seq", (F.col("off") + F.col("local")).cast("bigint"))
-    )
+    numbered = local.join(offsets, ["source_file", "block"]).withColumn("seq", (F.col("off") + F.col("local")).cast("bigint"))
     grouped = numbered.groupBy("source_file", "seq").agg(
         F.sort_array(F.collect_list(F.struct("block", "line_key", "line", "is_id"))).alias("ls")
     )
