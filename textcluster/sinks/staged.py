@@ -28,8 +28,17 @@ def write_per_source(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_staged(spark: SparkSession, *paths: str) -> DataFrame:
-    """The union of staged folders or parts."""
-    return spark.read.option("basePath", _base(paths[0])).parquet(*paths) if len(paths) > 1 else spark.read.parquet(paths[0])
+    """The union of staged folders or parts (``part`` typed as written, bigint)."""
+    if len(paths) > 1:
+        df = spark.read.option("basePath", _base(paths[0])).parquet(*paths)
+    else:
+        df = spark.read.parquet(paths[0])
+    return _typed(df)
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    # Partition discovery infers small integers as int; parts are bigint everywhere else.
+    return df.withColumn("part", F.col("part").cast("bigint")) if "part" in df.columns else df
 
 
 def _base(p: str) -> str:
@@ -51,4 +60,4 @@ def load_or_stage(spark: SparkSession, path: str, build, threshold: int = PART_T
     """Replay staged records when present, else build them (``build()`` -> DataFrame), stage, replay."""
     if not staged_exists(spark, path):
         write_parts(build(), path, threshold)
-    return spark.read.parquet(path)
+    return read_staged(spark, path)
