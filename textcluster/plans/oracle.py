@@ -170,6 +170,11 @@ def oracle_sql() -> dict[str, str]:
         "SELECT count(*) AS n_read, count(*) FILTER (WHERE lang <> 'de') AS n_valid, "
         "count(*) FILTER (WHERE lang = 'de') AS n_rejected FROM documents"
     )
+    q["xml_pages"] = (
+        "SELECT page_id, CAST(page_id + 20000000 AS VARCHAR) AS permalink, "
+        r"trim(regexp_replace(url, '[ \t\r\n]+', ' ', 'g')) AS title, "
+        r"trim(regexp_replace(html, '[ \t\r\n]+', ' ', 'g')) AS content FROM pages"
+    )
     q["parser_identity"] = q["xml_extract"]
     q["parser_custom"] = f"WITH {_XML} SELECT doc_id, permalink, title AS content FROM xv"
     q["project_stream"] = f"WITH {_XML} SELECT permalink, content FROM xv"

@@ -145,6 +145,21 @@ def q_xml_extract(spark, sf_dir):
     return cn.valid(_xml_cleaned(spark, sf_dir)).select("doc_id", "permalink", "title", "content")
 
 
+PAGE_ID_OFFSET = 20000000
+
+
+def q_xml_pages(spark, sf_dir):
+    """S1/F1 under markup stress: every web page (URL as title, whole HTML as abstract, escaped)
+    as a record; parsing gives back the text with whitespace collapsed."""
+    pages = read_table(spark, sf_dir, "pages")
+    recs = pages.select(
+        F.col("page_id").alias("seq"),
+        rc.xml_record_of(F.col("page_id") + F.lit(PAGE_ID_OFFSET), F.col("url"), F.col("html")).alias("record"),
+    )
+    v = cn.valid(cn.finalize(ps.parse_xml(recs, keep=("seq",))))
+    return v.select(F.col("seq").alias("page_id"), "permalink", "title", "content")
+
+
 def q_xml_fallback(spark, sf_dir):
     """records without an abstract take their title as content."""
     v = cn.valid(_xml_cleaned(spark, sf_dir))
@@ -488,6 +503,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_tsv": q_vector_tsv,
         "xml_extract": q_xml_extract,
         "xml_fallback": q_xml_fallback,
+        "xml_pages": q_xml_pages,
         "xml_reject_counts": q_xml_reject_counts,
         "parser_identity": q_parser_identity,
         "parser_custom": q_parser_custom,

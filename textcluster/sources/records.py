@@ -1,4 +1,4 @@
-"""Raw XML and delimited-text records built in a column from ``documents``.
+"""Raw XML and delimited-text records built in a column from ``documents`` (and ``pages``).
 
 These let the parsers run over whole tables and be checked against SQL, and they feed the
 directory-scan and streaming jobs. The record shape varies by language (fixed rule):
@@ -52,6 +52,18 @@ def xml_record(doc_id: Column, text: Column, lang: Column) -> Column:
     )
 
 
+def xml_record_of(record_id: Column, title: Column, body: Column) -> Column:
+    """A full record with escaped title and abstract text (any text, markup included)."""
+    return F.concat(
+        F.lit('<PubmedArticle><MedlineCitation><PMID Version="1">'),
+        record_id.cast("string"),
+        F.lit("</PMID><Article>"),
+        _el("ArticleTitle", xml_escape(title)),
+        _el("Abstract", _el("AbstractText", xml_escape(body))),
+        F.lit("</Article></MedlineCitation></PubmedArticle>"),
+    )
+
+
 def xml_records(documents: DataFrame) -> DataFrame:
     """``(doc_id, seq, lang, record)``."""
     return documents.select(
