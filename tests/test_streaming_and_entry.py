@@ -67,3 +67,19 @@ def test_stage_per_source_and_reuse_saved_vectorizer(spark):
     again = jobs.cluster_articles(spark, arts, cfg, features_path=feats)  # S8: loads the saved model
     assert again.vectorizer.vocabulary == first.vectorizer.vocabulary
     assert again.membership.count() == 30 and again.keywords.count() == 2
+
+
+def test_stage_arriving_text_files(spark):
+    from textcluster.sources import records as rc
+
+    docs = spark.createDataFrame(
+        [(i, f"Title {i}\nbody words {i}", "en", "s") for i in range(6)] + [(9, "short", "es", "s")],
+        "doc_id long, text string, lang string, source string",
+    )
+    src = scratch_path(spark, "t_arriving_txt")
+    rc.text_records(docs).repartition(3).select("record").write.text(src)
+    out, ckpt = scratch_path(spark, "t_staged_txt"), scratch_path(spark, "t_ckpt_txt")
+    st.stage_arriving(spark, src, out, ckpt, require_title=True, in_format="txt")
+    got = sorted(r["permalink"] for r in spark.read.parquet(out).collect())
+    assert got == [str(10000000 + i) for i in range(6)]  # the short 'es' record has too few segments
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 3  # one file per batch

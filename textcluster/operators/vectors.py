@@ -17,7 +17,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import spread
 from . import features as fe

@@ -59,18 +59,48 @@ def xml_file_stream(spark: SparkSession, in_dir: str, record_tag: str = ps.RECOR
     return cut_records(raw.select("value", F.col("_metadata.file_path").alias("source_file")), record_tag)
 
 
+def text_file_stream(spark: SparkSession, in_dir: str, files_per_batch: int = 1) -> DataFrame:
+    """S3 as a stream: records of arriving delimited text files (each file read whole)."""
+    from ..sources.text import split_records
+
+    raw = (
+        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        .option("pathGlobFilter", "*.txt")
+        .text(in_dir, wholetext=True)
+    )
+    return raw.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.posexplode(split_records(F.col("value"))).alias("pos", "record"),
+    )
+
+
 def stage_arriving(
-    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, require_title: bool = True, files_per_batch: int = 1
+    spark: SparkSession,
+    in_dir: str,
+    out_dir: str,
+    checkpoint: str,
+    require_title: bool = True,
+    files_per_batch: int = 1,
+    in_format: str = "xml",
 ) -> None:
-    """Parse each micro-batch of arriving XML files and stage valid records as Parquet, one
-    folder per batch id (a replayed batch overwrites its folder)."""
-    stream = xml_file_stream(spark, in_dir, files_per_batch=files_per_batch)
+    """Parse each micro-batch of arriving XML (or delimited text) files and stage the valid
+    records as Parquet, one folder per batch id (a replayed batch overwrites its folder)."""
+    if in_format not in ("xml", "txt"):
+        raise ValueError("in_format must be 'xml' or 'txt'")
+    stream = (
+        xml_file_stream(spark, in_dir, files_per_batch=files_per_batch)
+        if in_format == "xml"
+        else text_file_stream(spark, in_dir, files_per_batch)
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
         seq = F.lit(batch_id).cast("bigint") * F.lit(1 << 42) + F.monotonically_increasing_id()
         recs = batch.withColumn("seq", seq)
-        good = cn.valid(cn.finalize(ps.parse_xml(recs), require_title)).drop("title_as_content")
-        good.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        if in_format == "xml":
+            cleaned = cn.finalize(ps.parse_xml(recs), require_title)
+        else:
+            cleaned = cn.finalize(ps.parse_text(recs), require_title, title_fallback=False)
+        cn.valid(cleaned).drop("title_as_content").write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
