@@ -53,3 +53,21 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 << 40, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert int(cluster_conf(1 << 20, 16)["spark.sql.shuffle.partitions"]) == 48
+
+
+def test_run_with_num_docs_keeps_first_records(spark, tmp_dir):
+    import os
+
+    from textcluster.sources import records as rc
+
+    docs = spark.createDataFrame(
+        [(i, f"Title {i}\nalpha beta gamma w{i % 4}", "en", "s") for i in range(12)],
+        "doc_id long, text string, lang string, source string",
+    )
+    src = os.path.join(tmp_dir, "in")
+    rc.text_records(docs).coalesce(1).select("record").write.text(src)
+    cfg = jobs.JobConfig(k=2, n_init=1, max_iter=3, num_docs=5, params=fe.TfidfParams(min_df=0.0, max_df=1.0))
+    paths = jobs.run(spark, src, os.path.join(tmp_dir, "out"), "txt", cfg)
+    members = spark.read.option("header", True).csv(paths["clusters"]).collect()
+    assert sorted(r["permalink"] for r in members) == [str(10000000 + i) for i in range(5)]
+    assert spark.read.option("header", True).csv(paths["cluster_keywords"]).count() == 2

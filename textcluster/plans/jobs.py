@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as cn
+from ..operators.counts import first_n
 from ..operators import features as fe
 from ..operators import models as md
 from ..operators import parse as ps
@@ -48,6 +49,7 @@ class JobConfig:
     require_title: bool = True
     seed: int = 1
     materialize: str = "checkpoint"
+    num_docs: int = 0  # L1 / L2: keep only the first n records in read order (0 = all)
     params: fe.TfidfParams = field(default_factory=fe.TfidfParams)
 
     def check(self) -> "JobConfig":
@@ -58,6 +60,8 @@ class JobConfig:
             raise ValueError("keywords need the tfidf vocabulary; hashing vectors have none")
         if self.k < 1:
             raise ValueError("k must be positive")
+        if self.num_docs < 0:
+            raise ValueError("num_docs must be 0 (all) or positive")
         return self
 
 
@@ -160,5 +164,7 @@ def run(
     """The whole job: load, cluster, export. Returns the exported folders by table name."""
     cfg = (cfg or JobConfig()).check()
     arts = load_articles(spark, source, in_format, cfg.require_title, staged_path)
+    if cfg.num_docs > 0:
+        arts = first_n(arts, cfg.num_docs, *(["part", "seq"] if "part" in arts.columns else ["seq"]))
     result = cluster_articles(spark, arts, cfg, features_path)
     return export(result, out_root, cfg)
