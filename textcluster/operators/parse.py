@@ -6,7 +6,8 @@ instead of failing the job. Built-in ``xpath`` would raise on the first malforme
 re-parse the record once per field.
 
 Fixed values (XML record shape):
-  * record element ``PubmedArticle``; title ``ArticleTitle``; abstract ``Abstract``; id ``PMID``
+  * file root element ``PubmedArticleSet``; record element ``PubmedArticle``; title ``ArticleTitle``;
+    abstract ``Abstract``; id ``PMID``
   * own id: the first ``MedlineCitation/PMID`` directly under the record, else the first ``PMID``
   * text of an element: its text nodes joined by one space, whitespace runs collapsed, trimmed
 
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from ..session import spread
 from ..functions.text import collapse_blank_lines, element_at_index, extract_id, split_literal
 
+ROOT_TAG = "PubmedArticleSet"
 RECORD_TAG = "PubmedArticle"
 TITLE_TAG = "ArticleTitle"
 ABSTRACT_TAG = "Abstract"

@@ -238,7 +238,7 @@ def q_dir_scan(spark, sf_dir):
         .write.partitionBy("lang")
         .format("xml")
         .option("rowTag", ps.RECORD_TAG)
-        .option("rootTag", "PubmedArticleSet")
+        .option("rootTag", ps.ROOT_TAG)
         .save(root)
     )
     docs.select("doc_id").write.json(f"{root}/lang=zz")
@@ -401,7 +401,7 @@ def q_end_to_end_tfidf(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     src = scratch_path(spark, "e2e_xml")
     rc.xml_struct(docs).write.partitionBy("lang").format("xml").option("rowTag", ps.RECORD_TAG).option(
-        "rootTag", "PubmedArticleSet"
+        "rootTag", ps.ROOT_TAG
     ).save(src)
     out = scratch_path(spark, "e2e_out")
     paths = jobs.run(spark, src, out, "xml", jobs.JobConfig(collate=True))
@@ -440,7 +440,7 @@ def q_stream_stage(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     src = scratch_path(spark, "arriving_xml")
     rc.xml_struct(docs).write.partitionBy("lang").format("xml").option("rowTag", ps.RECORD_TAG).option(
-        "rootTag", "PubmedArticleSet"
+        "rootTag", ps.ROOT_TAG
     ).save(src)
     out, ckpt = scratch_path(spark, "stream_staged"), scratch_path(spark, "stream_stage_ckpt")
     st.stage_arriving(spark, src, out, ckpt)
