@@ -51,8 +51,10 @@ def kmeans_restarts(
 ) -> tuple[KMeansModel, list[tuple[int, int, float]]]:
     """M3 / M5: fit ``n_init`` times (seeds seed, seed+1, ...; up to ``parallel`` at once); return
     the model with the lowest cost (ties: the earlier run) and every ``(run, seed, cost)``.
-    ``vectors`` should be materialised by the caller."""
-    data = vectors.select(features_col)
+    ``vectors`` should be materialised by the caller: the fits read that one cached table (Spark ML
+    caches its input itself only when the given DataFrame is not cached, which would give one extra
+    copy per concurrent restart)."""
+    data = vectors
 
     def fit_one(run: int):
         km = KMeans(k=k, maxIter=max_iter, seed=seed + run, initMode=init_mode, tol=tol, featuresCol=features_col)
@@ -264,15 +266,24 @@ def minibatch_kmeans(
     else:
 
         def batch_of(step: int) -> DataFrame:
-            return vectors.select(features_col)
+            return vectors
+
+    from pyspark import StorageLevel
 
     first = batch_of(0)
+    own_cache = first.storageLevel == StorageLevel.NONE  # one shared copy for the concurrent seedings
+    if own_cache:
+        first = first.persist(StorageLevel.MEMORY_AND_DISK)
 
     def seed_one(run: int):
         m = KMeans(k=k, maxIter=0, seed=seed + run, initMode="k-means||", featuresCol=features_col).fit(first)
         return m, float(m.summary.trainingCost)
 
-    seeded = _fit_runs(seed_one, n_init, DEFAULT_PARALLEL)
+    try:
+        seeded = _fit_runs(seed_one, n_init, DEFAULT_PARALLEL)
+    finally:
+        if own_cache:
+            first.unpersist()
     init_costs = [(r, seed + r, cost) for r, (_, cost) in enumerate(seeded)]
     best = seeded[min(range(n_init), key=lambda r: (seeded[r][1], r))]
     centers = centers_of(best[0])
