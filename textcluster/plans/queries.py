@@ -23,7 +23,7 @@ from ..operators import tokens as tk
 from ..functions.text import last_path_component
 from ..session import materialize, scratch_path, spread
 from ..sources import records as rc
-from ..sources.tables import articles, read_table
+from ..sources.tables import articles, permalink_of, read_table
 from ..sources.xml import read_xml_records
 from ..sinks import export as ex
 from ..sinks import staged as sg
@@ -43,18 +43,22 @@ def _tfidf_parts(spark: SparkSession, sf_dir: str, params: fe.TfidfParams = fe.T
 
 
 def q_term_freq(spark, sf_dir):
+    """C10 + F7 + A1: term counts of every document."""
     return tk.term_freq(articles(spark, sf_dir))
 
 
 def q_doc_freq(spark, sf_dir):
+    """A2 + A3: document and corpus frequency of every term."""
     return tk.term_stats(tk.term_freq(articles(spark, sf_dir)))
 
 
 def q_vocabulary(spark, sf_dir):
+    """F8 + L3 + L5: the df-bounded, capped, alphabetically indexed vocabulary."""
     return _tfidf_parts(spark, sf_dir)[2]
 
 
 def q_idf(spark, sf_dir):
+    """A4: smoothed idf + 1 of every vocabulary term."""
     idf = _tfidf_parts(spark, sf_dir)[3]
     return idf.select("term_idx", "term", "df", F.round("idf", 6).alias("idf"))
 
@@ -66,10 +70,12 @@ def _tfidf(spark, sf_dir, norm):
 
 
 def q_tfidf_l1(spark, sf_dir):
+    """M1 (long form), A5 with L1 rows."""
     return _tfidf(spark, sf_dir, "l1")
 
 
 def q_tfidf_l2(spark, sf_dir):
+    """M1 (long form), A5 with L2 rows."""
     return _tfidf(spark, sf_dir, "l2")
 
 
@@ -89,7 +95,7 @@ def _quality_membership(spark, sf_dir) -> DataFrame:
         "doc_id",
         F.col("quality").cast("int").alias("cluster_id"),
         F.col("doc_id").alias("seq"),
-        (F.col("doc_id") + F.lit(10000000)).cast("string").alias("permalink"),
+        permalink_of("doc_id").alias("permalink"),
     )
 
 

@@ -21,9 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def permalink_of(doc_id) -> "F.Column":
-    return (F.col(doc_id) + F.lit(PERMALINK_OFFSET)).cast("string") if isinstance(doc_id, str) else (
-        doc_id + F.lit(PERMALINK_OFFSET)
-    ).cast("string")
+    """The eight-digit permalink of a document id (a column or column name)."""
+    c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return (c + F.lit(PERMALINK_OFFSET)).cast("string")
 
 
 def articles_from_documents(documents: DataFrame) -> DataFrame:
