@@ -52,12 +52,16 @@ def doc_count(docs: DataFrame) -> Column:
 
 
 def vocabulary(tf: DataFrame, n_docs: Column, params: TfidfParams = TfidfParams()) -> DataFrame:
-    """F8 + L3 + L5: ``(term_idx, term, df, cf)``.
+    """F8 + L3 + L5 from per-document term counts: see ``vocabulary_from_stats``."""
+    return vocabulary_from_stats(term_stats(tf), n_docs, params)
+
+
+def vocabulary_from_stats(stats: DataFrame, n_docs: Column, params: TfidfParams = TfidfParams()) -> DataFrame:
+    """F8 + L3 + L5: ``(term_idx, term, df, cf)`` from ``(term, df, cf)``.
 
     Keep terms with min_df*N <= df <= max_df*N, then the ``max_features`` most frequent by corpus
     count (ties by term), then index them alphabetically from 0. At most ``max_features`` rows.
     """
-    stats = term_stats(tf)
     kept = stats.where(
         (F.col("df") >= F.lit(float(params.min_df)) * n_docs) & (F.col("df") <= F.lit(float(params.max_df)) * n_docs)
     )

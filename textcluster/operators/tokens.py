@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import english_stop_words
+from ..session import spread
 from ..functions.text import remove_words, tokenize
 
 
@@ -47,6 +48,23 @@ def term_freq(df: DataFrame, id_col: str = "doc_id", text_col: str = "content",
     )
 
 
+def term_stats_from_docs(df: DataFrame, text_col: str = "content", stop_words=None) -> DataFrame:
+    """A2 + A3 straight from the documents, with no exchange of text: each row emits one df
+    contribution per distinct term (``array_distinct`` inside the row) and one cf contribution
+    per occurrence; partial aggregation by term leaves one row per term per task to shuffle."""
+    tokens = remove_words(tokenize(F.col(text_col)), _words(stop_words))
+    contrib = F.concat(
+        F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))),
+        F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))),
+    )
+    return (
+        spread(df.select(text_col))
+        .select(F.inline(contrib))
+        .groupBy("term")
+        .agg(F.sum("d").cast("bigint").alias("df"), F.sum("c").cast("bigint").alias("cf"))
+    )
+
+
 def term_stats(tf: DataFrame) -> DataFrame:
     """A2 + A3: ``(term, df, cf)`` = documents containing the term, and its total count."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf"))

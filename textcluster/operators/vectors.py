@@ -1,7 +1,7 @@
 """Document vectors for the clustering models (M1 ML form, M2, M9, M10, K3, S8).
 
-Fitting needs one pass with a partial aggregation by term (the vocabulary, at most ``max_features``
-terms, and their idf); transforming is row-local: Spark ML stages look each token up in a
+Fitting needs one pass with a partial aggregation by term, and no exchange of text (the
+vocabulary, at most ``max_features`` terms, and their idf); transforming is row-local: Spark ML stages look each token up in a
 broadcast vocabulary, scale by the broadcast idf vector and normalise, with no shuffle at all.
 
   tfidf   : CountVectorizerModel(vocabulary) -> ElementwiseProduct(idf + 1) -> Normalizer(p)
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from ..session import spread
 from . import features as fe
-from .tokens import add_tokens, term_freq
+from .tokens import add_tokens, term_stats_from_docs
 
 HASH_FEATURES = 1 << 18
 
@@ -65,9 +65,10 @@ class Vectorizer:
 
 def fit_tfidf(docs: DataFrame, params: fe.TfidfParams = fe.TfidfParams(), id_col="doc_id", text_col="content") -> Vectorizer:
     """M1 fit: relational vocabulary and idf (bounded by ``max_features``) into ML stages."""
-    tf = term_freq(docs, id_col, text_col, params.stop_words)
+    # Corpus statistics come straight from the documents: no text is shuffled to fit.
+    stats = term_stats_from_docs(docs, text_col, params.stop_words)
     n = fe.doc_count(docs)
-    idf = fe.idf_table(fe.vocabulary(tf, n, params), n)
+    idf = fe.idf_table(fe.vocabulary_from_stats(stats, n, params), n)
     rows = idf.orderBy("term_idx").select("term", "idf").collect()  # <= max_features rows
     vocab = [r["term"] for r in rows]
     stages = [

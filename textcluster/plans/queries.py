@@ -47,19 +47,27 @@ def q_term_freq(spark, sf_dir):
     return tk.term_freq(articles(spark, sf_dir))
 
 
+def _vocab_only(spark, sf_dir, params: fe.TfidfParams = fe.TfidfParams()):
+    """Vocabulary and idf from corpus statistics taken without any exchange of text."""
+    arts = articles(spark, sf_dir)
+    n = fe.doc_count(arts)
+    vocab = fe.vocabulary_from_stats(tk.term_stats_from_docs(arts, "content", params.stop_words), n, params)
+    return vocab, fe.idf_table(vocab, n)
+
+
 def q_doc_freq(spark, sf_dir):
     """A2 + A3: document and corpus frequency of every term."""
-    return tk.term_stats(tk.term_freq(articles(spark, sf_dir)))
+    return tk.term_stats_from_docs(articles(spark, sf_dir))
 
 
 def q_vocabulary(spark, sf_dir):
     """F8 + L3 + L5: the df-bounded, capped, alphabetically indexed vocabulary."""
-    return _tfidf_parts(spark, sf_dir)[2]
+    return _vocab_only(spark, sf_dir)[0]
 
 
 def q_idf(spark, sf_dir):
     """A4: smoothed idf + 1 of every vocabulary term."""
-    idf = _tfidf_parts(spark, sf_dir)[3]
+    idf = _vocab_only(spark, sf_dir)[1]
     return idf.select("term_idx", "term", "df", F.round("idf", 6).alias("idf"))
 
 
