@@ -49,19 +49,16 @@ def term_freq(df: DataFrame, id_col: str = "doc_id", text_col: str = "content",
 
 
 def term_stats_from_docs(df: DataFrame, text_col: str = "content", stop_words=None) -> DataFrame:
-    """A2 + A3 straight from the documents, with no exchange of text: each row emits one df
-    contribution per distinct term (``array_distinct`` inside the row) and one cf contribution
-    per occurrence; partial aggregation by term leaves one row per term per task to shuffle."""
-    tokens = remove_words(tokenize(F.col(text_col)), _words(stop_words))
-    contrib = F.concat(
-        F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))),
-        F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))),
-    )
-    return (
-        spread(df.select(text_col))
-        .select(F.inline(contrib))
-        .groupBy("term")
-        .agg(F.sum("d").cast("bigint").alias("df"), F.sum("c").cast("bigint").alias("cf"))
+    """A2 + A3 straight from the documents, with no exchange of text: each row emits its distinct
+    terms (``array_distinct``, flag 1: a df contribution) followed by every occurrence (flag 0: a
+    cf contribution); partial aggregation by term leaves one row per term per task to shuffle.
+    Built from array built-ins only (no lambdas), with the tokens computed once per row."""
+    tok = spread(df.select(text_col)).select(remove_words(tokenize(F.col(text_col)), _words(stop_words)).alias("t"))
+    distinct = F.array_distinct("t")
+    flags = F.concat(F.array_repeat(F.lit(1), F.size(distinct)), F.array_repeat(F.lit(0), F.size("t")))
+    rows = tok.select(F.inline(F.arrays_zip(F.concat(distinct, F.col("t")).alias("term"), flags.alias("d"))))
+    return rows.groupBy("term").agg(
+        F.sum("d").cast("bigint").alias("df"), F.sum(F.lit(1) - F.col("d")).cast("bigint").alias("cf")
     )
 
 
