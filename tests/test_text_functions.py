@@ -58,3 +58,8 @@ def test_last_path_component_and_extension(spark):
 
 def test_collapse_ws(spark):
     assert one(spark, tx.collapse_ws, "  a \t b\r\n c  ") == "a b c"
+
+
+def test_id_line_prefix(spark):
+    assert one(spark, tx.starts_with_id_line, "PMID: 28111111") is True
+    assert one(spark, tx.starts_with_id_line, " PMID: 28111111") is False

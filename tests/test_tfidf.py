@@ -72,3 +72,10 @@ def test_term_freq_independent_of_partitioning(spark, docs):
     b = sorted(tk.term_freq(docs.repartition(3), stop_words=()).collect())
     assert a == b and sum(r["tf"] for r in a) == 7
     assert tk.term_freq(docs, stop_words=()).where(F.col("tf") > 1).count() == 1
+
+
+def test_term_stats_without_text_exchange_equal_per_document_path(docs):
+    a = sorted(tk.term_stats(tk.term_freq(docs, stop_words=())).collect())
+    b = sorted(tk.term_stats_from_docs(docs, stop_words=()).collect())
+    assert a == b
+    assert {r["term"]: (r["df"], r["cf"]) for r in b} == {"aa": (1, 2), "bb": (2, 2), "cc": (2, 2), "dd": (1, 1)}
