@@ -43,3 +43,18 @@ def test_dense_index_with_gaps_and_small_buckets(spark):
     assert got == [(k, i) for i, k in enumerate(keys)]
     totals = ct.part_counts(ct.with_parts(spark.range(10).withColumnRenamed("id", "seq"), "seq", 3)).orderBy("part")
     assert [(r["part"], r["n_docs"], r["running_total"]) for r in totals.collect()] == [(1, 4, 4), (2, 3, 7), (3, 3, 10)]
+
+
+def test_collate_pages_cross_bucket_boundaries(spark):
+    # Cluster 0 members at sparse keys; with page_size 4 the buckets are {0,1}, {5,6,7}, {12},
+    # so the first page spans two buckets. Cluster 1 interleaves and cluster 2 is empty.
+    rows = [(0, o, f"a{o}") for o in (0, 1, 5, 6, 7, 12)] + [(1, o, f"b{o}") for o in (2, 3, 4, 8, 9)]
+    mem = spark.createDataFrame(rows, "cluster_id int, seq long, permalink string")
+    got = sorted((r["cluster_id"], r["page"], r["clickable_content"]) for r in rp.collate(mem, 3, BASE, page_size=4).collect())
+    assert got == [
+        (0, 0, BASE + "a0%20a1%20a5%20a6"),
+        (0, 1, BASE + "a7%20a12"),
+        (1, 0, BASE + "b2%20b3%20b4%20b8"),
+        (1, 1, BASE + "b9"),
+        (2, 0, BASE),
+    ]
