@@ -88,3 +88,25 @@ def test_file_scan_ignores_ids_outside_records_and_attributes(spark, tmp_dir):
     assert all(r["permalink"] == "11111111" and r["error"] is None for r in parsed)
     with pytest.raises(ValueError):
         read_xml_records(spark, tmp_dir, on_bad="error")
+
+
+def test_record_scan_survives_tiny_splits(spark, tmp_dir):
+    import os
+
+    os.makedirs(tmp_dir, exist_ok=True)
+    recs = "".join(
+        f'<PubmedArticle><MedlineCitation><PMID>{30000000 + i}</PMID><Article><ArticleTitle>T{i}</ArticleTitle>'
+        f"<Abstract><AbstractText>body &amp; text {i}</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>\n"
+        for i in range(50)
+    )
+    with open(f"{tmp_dir}/big.xml", "w") as f:
+        f.write('<?xml version="1.0"?>\n<PubmedArticleSet>\n' + recs + "</PubmedArticleSet>\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        recs_df = read_xml_records(spark, tmp_dir)
+        assert recs_df.rdd.getNumPartitions() > 10
+        rows = ps.parse_xml(recs_df).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["permalink"] for r in rows) == [str(30000000 + i) for i in range(50)]
+    assert all(r["error"] is None and r["content"] == f"body & text {int(r['permalink']) - 30000000}" for r in rows)
