@@ -83,3 +83,22 @@ def test_stage_arriving_text_files(spark):
     got = sorted(r["permalink"] for r in spark.read.parquet(out).collect())
     assert got == [str(10000000 + i) for i in range(6)]  # the short 'es' record has too few segments
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 3  # one file per batch
+
+
+def test_stream_hashing_then_idf_equals_batch_hashing(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import HashingTF, Normalizer
+
+    arts = _articles(spark)
+    path = scratch_path(spark, "t_staged_hash")
+    sg.write_parts(arts, path, threshold=9)
+    stages = PipelineModel(
+        [HashingTF(numFeatures=1 << 10, inputCol="tokens", outputCol="tf"), Normalizer(p=1.0, inputCol="tf", outputCol="features")]
+    )
+    sink, ckpt = scratch_path(spark, "t_hash_sink"), scratch_path(spark, "t_hash_ckpt")
+    st.drain(st.hash_stream(st.replay(spark, path), stages), sink, ckpt)
+    streamed = {r["doc_id"]: r["features"] for r in st.finish_hashing(spark, sink).collect()}
+    batch_vec = vz.fit_hashing(arts, fe.TfidfParams(), num_features=1 << 10)
+    batch = {r["doc_id"]: r["features"] for r in batch_vec.transform(arts, keep=("doc_id",)).collect()}
+    assert streamed.keys() == batch.keys()
+    assert all(np.allclose(streamed[d].toArray(), batch[d].toArray()) for d in batch)

@@ -116,6 +116,21 @@ def hash_stream(articles_stream: DataFrame, vectorizer_pipeline, keep=("doc_id",
     return vectorizer_pipeline.transform(tok).select(*cols, "features")
 
 
+def finish_hashing(spark: SparkSession, counts_path: str, norm: str = "l1", features_col: str = "features") -> DataFrame:
+    """The batch half of T3: fit idf (+1) over the normalised hashed counts a stream has written,
+    then scale and normalise again (the same stages as the batch hashing vectorizer)."""
+    from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import DenseVector
+
+    p = {"l1": 1.0, "l2": 2.0}[norm]
+    counts = spark.read.parquet(counts_path)
+    idf = IDF(inputCol=features_col, outputCol="_unused").fit(counts).idf.toArray() + 1.0
+    scaled = ElementwiseProduct(scalingVec=DenseVector(idf), inputCol=features_col, outputCol="_w").transform(counts)
+    return Normalizer(p=p, inputCol="_w", outputCol="_f").transform(scaled).drop(features_col, "_w").withColumnRenamed(
+        "_f", features_col
+    )
+
+
 def _centres_path(state_dir: str, batch_id: int) -> str:
     return f"{state_dir}/batch_id={batch_id:012d}"
 
