@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, value):
+    """A broadcast of a bounded object whose classes travel with it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpack(shared):
+    return pickle.loads(shared.value)
+
+
 def total(df: DataFrame, column: str) -> int:
     """Sum of a column (0 for an empty table): one number to the driver."""
     return int(df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0])

@@ -17,6 +17,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
+DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE32 = " || ".join(f"substr('{DIGITS}', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS BIGINT) >> {shift}) & 31) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+
+OP1 = f"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS first FROM rows GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {BASE32.replace("(h,", "(r.h,")} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM rows r JOIN firsts f ON r.h = f.h
+"""
+
+OP4 = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
 WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP9 = f"""
@@ -57,4 +80,4 @@ FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op9_decontamination": OP9, "op10_ngram_jaccard": OP10}
+    return {"op1_warc": OP1, "op4_exact_topk": OP4, "op2_line_dedup": OP2, "op9_decontamination": OP9, "op10_ngram_jaccard": OP10}

@@ -8,8 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_dedup
+from . import chunk_dedup, decontaminate, jaccard, line_dedup, pieces, pii, quality, topk, toxicity, warc
 from .common import table
+from .labelled import fold
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as gzip streams, normalised to one member per record and read back by offset."""
+    index, base = warc.archive_pages(table(spark, sf_dir, "pages"))
+    found = warc.read_archives(index, base)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +29,54 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.score_column(spark, model, F.col("text")).alias("found"))
+    score = F.col("found.score")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document, with the terms that reveal them."""
+    marked = pii.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("__pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("__pii", lambda s: s["kind"].isin(*pii.KINDS))
+    return marked.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__pii")).alias("spans"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality probability of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.score_column(spark, model, F.col("text")).alias("score"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document under merge-dropout, and whether they decode to its text."""
+    vocabulary = pieces.load()
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    encoded = docs.withColumn("ids", pieces.encode_column(spark, vocabulary, F.col("text"), seed=7, rate=0.1))
+    back = pieces.decode_column(spark, vocabulary, F.col("ids"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", back.eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that repeats one of a document with a smaller id, with that document."""
+    found = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_chunks", F.col("kept_in").alias("kept_doc_id"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,5 +95,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+OPERATORS = (
+    op1_warc, op2_line_dedup, op3_toxicity, op4_exact_topk, op5_pii, op6_quality, op7_pieces, op8_chunk_dedup,
+    op9_decontamination, op10_ngram_jaccard,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op9_decontamination, op10_ngram_jaccard)}
+    return {f.__name__: f for f in OPERATORS}

@@ -15,7 +15,16 @@ import pyarrow as pa
 SLICE = 4 << 20
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """Travels empty: each worker fills its own."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def _classes(*ranges: tuple[int, int]) -> np.ndarray:
@@ -65,7 +74,7 @@ def powers(base: int, n: int) -> np.ndarray:
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of slices of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -79,7 +88,7 @@ def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, "right")) - 1)
         yield i, data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
         i = j
 
