@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash over the last 32 bytes cuts every text where its top bits are zero, at least
-``MIN_BYTES`` and at most ``MAX_BYTES`` after the cut before. Cuts depend on nearby bytes alone, so
+``MIN_BYTES`` and at most ``MAX_BYTES`` after the cut before, and between characters only. Cuts depend on nearby bytes alone, so
 an insertion shifts no cut beyond the next few. Chunks with equal 128-bit digests are one chunk; the
 smallest document that holds it keeps it, in all others it is a repeat. Neighbouring repeats form a
 span, and spans of at least ``min_bytes`` bytes are returned.
@@ -42,20 +42,28 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """End positions of all chunks; every non-empty text ends with a cut. The first cut of a text is
     at least 32 bytes in, so no hash reaches back into the text before."""
-    marks = np.flatnonzero((gear_hashes(data) >> np.uint32(32 - CUT_BITS)) == 0) + 1 if len(data) else np.zeros(0, np.int64)
+    inner = (data & 0xC0) == 0x80
+    marks = np.flatnonzero(((gear_hashes(data) >> np.uint32(32 - CUT_BITS)) == 0) & ~np.append(inner[1:], False)) + 1 if len(data) else np.zeros(0, np.int64)
+
+    def forced(last: int) -> int:
+        last += MAX_BYTES
+        while inner[last]:
+            last -= 1
+        return last
+
     bounds = np.searchsorted(marks, offsets)
     marks, out = marks.tolist(), []
     for i in range(len(offsets) - 1):
         last, end = int(offsets[i]), int(offsets[i + 1])
         for mark in marks[bounds[i] : bounds[i + 1]]:
             while mark - last > MAX_BYTES:
-                last += MAX_BYTES
+                last = forced(last)
                 out.append(last)
             if mark - last >= MIN_BYTES and mark < end:
                 out.append(mark)
                 last = mark
         while end - last > MAX_BYTES:
-            last += MAX_BYTES
+            last = forced(last)
             out.append(last)
         if end > last:
             out.append(end)

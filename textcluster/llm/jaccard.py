@@ -5,7 +5,9 @@ similar enough share an n-gram among the first few of each (the prefix). Candida
 prefix n-grams under a first order, must also share prefix n-grams under two more orders, and are
 then verified with their whole sets. All orders put frequent n-grams last (a fixed-size counting
 sketch over the whole corpus gives the frequency class) and break ties by differently keyed hashes;
-a sketch collision only changes the order, never the result.
+a sketch collision only changes the order, never the result. Prefix n-grams that no other set holds,
+and those before the first shared one, cannot be common, which bounds a pair's overlap before it is
+verified.
 
 Dense groups do not give all pairs. Equal sets are one node. In a first round each node is compared
 only with one hub per shared prefix n-gram; the links found join nodes into components. In the
@@ -157,16 +159,24 @@ def profiles(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col:
     return written(docs.select(doc, _profile_udf(levels, how)(F.col(text_col)).alias("p")).select("doc", "p.*"), "jaccard-profiles")
 
 
-def _sizes_fit(a: str, b: str, how: Similarity):
-    return F.least(a, b) * how.den >= F.greatest(a, b) * how.num
+def _enough(overlap, a: str, b: str, how: Similarity):
+    """Whether an overlap of that size can link sets of sizes a and b."""
+    return overlap * (how.num + how.den) >= (F.col(a) + F.col(b)) * how.num
+
+
+def _bound(one: str, two: str, n: str):
+    """Most n-grams of a set of size n that can be common, by the first common one of its prefix."""
+    return F.col(n) - F.array_position(one, F.element_at(F.array_intersect(one, two), 1)) + 1
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Similarity, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that share prefix n-grams under the other orders too and are similar enough."""
-    filters = nodes.select("doc", "pre2", "pre3")
-    left, right = (filters.select(F.col("doc").alias(x), F.col("pre2").alias(f"{x}2"), F.col("pre3").alias(f"{x}3")) for x in "ab")
-    met = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-    met = written(met, "jaccard-candidates")
+    left, right = (nodes.select(F.col("doc").alias(x), F.col("n").alias(f"{x}n"), F.col("pre2").alias(f"{x}2"), F.col("pre3").alias(f"{x}3")) for x in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    for order in "23":
+        met = met.filter(F.arrays_overlap(f"a{order}", f"b{order}"))
+        met = met.filter(_enough(F.least(_bound(f"a{order}", f"b{order}", "an"), _bound(f"b{order}", f"a{order}", "bn")), "an", "bn", how))
+    met = written(met.select("a", "b").distinct(), "jaccard-candidates")
     # a bitmap of fixed size (at most 2 ** 17 words) keeps most other documents out of the shuffle
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
     wanted = met.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
@@ -188,30 +198,36 @@ def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: s
     full = profile.filter("n > 0")
     reps = written(full.groupBy(*keys).agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
     nodes = written(full.join(reps.select(*keys, F.col("rep").alias("doc")), [*keys, "doc"], "left_semi").dropDuplicates([*keys, "doc"]), "jaccard-nodes")
-    posts = nodes.select("doc", "n", "heat", "n_index", F.posexplode("pre1").alias("pos", "gram"))
-    posts = written(posts.select("gram", "doc", "n", "heat", (F.col("pos") < F.col("n_index")).alias("low")), "jaccard-posts")
-    hub = F.min(F.struct("heat", "doc", "n", "low")).alias("hub")
-    shared = written(posts.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), hub).filter("x < y").select("gram", "hub"), "jaccard-shared")
-    posts = written(posts.join(shared, "gram"), "jaccard-posts")
+    posts = nodes.select("doc", "n", "heat", "n_index", F.size("pre1").alias("prefix"), F.posexplode("pre1").alias("pos", "gram"))
+    posts = written(posts.select("gram", "doc", "n", "heat", "prefix", (F.col("pos") < F.col("n_index")).alias("low")), "jaccard-posts")
+    shared = posts.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("gram")
+    posts = written(posts.join(written(shared, "jaccard-shared"), "gram"), "jaccard-posts")
+    # top: the most that can be common, as prefix n-grams held by no other set cannot
+    own = posts.groupBy("doc", "n", "prefix").agg(F.count("*").alias("held")).select("doc", "n", (F.col("n") - F.col("prefix") + F.col("held")).alias("top"))
+    own = own.filter(F.col("top") * how.den >= F.col("n") * how.num)
+    posts = written(posts.drop("prefix").join(own, ["doc", "n"]), "jaccard-posts")
+    hubs = posts.groupBy("gram").agg(F.min(F.struct("heat", "doc", "n", "low", "top")).alias("hub"))
+    hubs = written(hubs.select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("doc", "n", "low", "top")]), "jaccard-hubs")
 
     # round 1: every node against the hub of each n-gram
-    small_low = F.when(F.struct("n", "doc") < F.struct("hub.n", "hub.doc"), F.col("low")).otherwise(F.col("hub.low"))
-    first = posts.filter("doc <> hub.doc").filter(small_low & _sizes_fit("n", "hub.n", how))
-    first = written(first.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct(), "jaccard-pairs")
+    met = posts.join(hubs, "gram").filter("doc <> hub_doc")
+    smaller = F.when(F.struct("n", "doc") < F.struct("hub_n", "hub_doc"), F.col("low")).otherwise(F.col("hub_low"))
+    met = met.filter(smaller & _enough(F.least("n", "hub_n", "top", "hub_top"), "n", "hub_n", how))
+    first = written(met.select(F.least("doc", "hub_doc").alias("a"), F.greatest("doc", "hub_doc").alias("b")).distinct(), "jaccard-pairs")
     links = written(_verified(first, nodes, docs, how, id_col, text_col), "jaccard-links")
     found = components(links)
 
     # round 2: nodes outside an n-gram's largest component against the nodes of other components
     own = posts.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    own = written(own.select("gram", "doc", "n", "low", "component"), "jaccard-posts")
+    own = written(own.select("gram", "doc", "n", "low", "top", "component"), "jaccard-posts")
     parts = own.groupBy("gram", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("gram", F.col("top.component").alias("main"))
     mixed = written(mixed, "jaccard-mixed")
     rest = written(own.join(mixed, "gram"), "jaccard-rest")
-    x = rest.filter("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "low", "component")])
-    y = rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "low", "component")])
+    x = rest.filter("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "low", "top", "component")])
+    y = rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "low", "top", "component")])
     smaller = F.when(F.struct("x_n", "x_doc") < F.struct("y_n", "y_doc"), F.col("x_low")).otherwise(F.col("y_low"))
-    second = x.join(y, "gram").filter("x_component <> y_component").filter(smaller & _sizes_fit("x_n", "y_n", how))
+    second = x.join(y, "gram").filter("x_component <> y_component").filter(smaller & _enough(F.least("x_n", "y_n", "x_top", "y_top"), "x_n", "y_n", how))
     second = second.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _verified(second, nodes, docs, how, id_col, text_col)

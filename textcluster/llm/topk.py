@@ -8,7 +8,7 @@ searches one shard; the kth scores found there are shared with the searches of a
 which so start with a bound. A last ranking per query joins the shards' survivors.
 
 Scores are whole numbers and exact: products run in float64 while they stay below 2 ** 53, else in
-Python integers.
+Python integers; a score beyond 64 bits raises an error.
 
 Defined results: rows with a null id, a null or empty vector, or null or non-finite components take
 no part; only vectors of the same length are compared; rows with the same id and vector are one, an
@@ -166,7 +166,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     keys = ["dim", "block", "shard"]
 
     def searched(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        return queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_group_search(k), FOUND)
+        own = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])  # both sides come from one table
+        return queries.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(_group_search(k), FOUND)
 
     home = F.pmod(F.col("block"), F.lit(shards))
     # the first shard of each block
