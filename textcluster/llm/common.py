@@ -85,28 +85,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     cur = written(cur, "cc")
-    state = None
+    state = _state(cur)
     for _ in range(max_rounds):
+        pairs = 2 * state[0]  # each pair is seen from both of its ends
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         # large star: every larger neighbour of u is linked to the smallest node u knows
-        large = _star(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _star(both, low, pairs).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: u and its smaller neighbours are linked to the smallest of them
         low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _star(large, low2).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _star(large, low2, pairs).select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = low2.select("u", F.col("m").alias("v"))
         cur = written(small.unionByName(own).filter("u <> v").distinct(), "cc")
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == now:
+        before, state = state, _state(cur)
+        if state == before:
             break
-        state = now
     else:
         raise RuntimeError("the component search did not settle")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _star(pairs: DataFrame, low: DataFrame) -> DataFrame:
+def _state(pairs: DataFrame) -> tuple:
+    """Count and hash sum: equal for equal sets of pairs."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _star(pairs: DataFrame, low: DataFrame, n_pairs: int) -> DataFrame:
     """Attach the smallest known node of u to its pairs; a hub's pairs may be a third of all."""
-    low = written(low, "cc-low")
-    return lookup(pairs, low, ["u"], "n", ["m"], total(low, "n"))
+    return lookup(pairs, written(low, "cc-low"), ["u"], "n", ["m"], n_pairs)

@@ -5,9 +5,8 @@ similar enough share an n-gram among the first few of each (the prefix). Candida
 prefix n-grams under a first order, must also share prefix n-grams under two more orders, and are
 then verified with their whole sets. All orders put frequent n-grams last (a fixed-size counting
 sketch over the whole corpus gives the frequency class) and break ties by differently keyed hashes;
-a sketch collision only changes the order, never the result. Prefix n-grams that no other set holds,
-and those before the first shared one, cannot be common, which bounds a pair's overlap before it is
-verified.
+a sketch collision only changes the order, never the result. N-grams before the first shared one of
+a prefix cannot be common, which bounds a pair's overlap before it is verified.
 
 Dense groups do not give all pairs. Equal sets are one node. In a first round each node is compared
 only with one hub per shared prefix n-gram; the links found join nodes into components. In the
@@ -198,14 +197,13 @@ def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: s
     full = profile.filter("n > 0")
     reps = written(full.groupBy(*keys).agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
     nodes = written(full.join(reps.select(*keys, F.col("rep").alias("doc")), [*keys, "doc"], "left_semi").dropDuplicates([*keys, "doc"]), "jaccard-nodes")
-    posts = nodes.select("doc", "n", "heat", "n_index", F.size("pre1").alias("prefix"), F.posexplode("pre1").alias("pos", "gram"))
-    posts = written(posts.select("gram", "doc", "n", "heat", "prefix", (F.col("pos") < F.col("n_index")).alias("low")), "jaccard-posts")
+    posts = nodes.select("doc", "n", "heat", "n_index", F.posexplode("pre1").alias("pos", "gram"))
+    posts = written(posts.select("gram", "doc", "n", "heat", "pos", (F.col("pos") < F.col("n_index")).alias("low")), "jaccard-posts")
     shared = posts.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("gram")
     posts = written(posts.join(written(shared, "jaccard-shared"), "gram"), "jaccard-posts")
-    # top: the most that can be common, as prefix n-grams held by no other set cannot
-    own = posts.groupBy("doc", "n", "prefix").agg(F.count("*").alias("held")).select("doc", "n", (F.col("n") - F.col("prefix") + F.col("held")).alias("top"))
-    own = own.filter(F.col("top") * how.den >= F.col("n") * how.num)
-    posts = written(posts.drop("prefix").join(own, ["doc", "n"]), "jaccard-posts")
+    # top: the most that can be common, as the first common n-gram of linked sets is in both prefixes
+    own = posts.groupBy("doc", "n").agg((F.col("n") - F.min("pos")).alias("top")).filter(F.col("top") * how.den >= F.col("n") * how.num)
+    posts = written(posts.drop("pos").join(own, ["doc", "n"]), "jaccard-posts")
     hubs = posts.groupBy("gram").agg(F.min(F.struct("heat", "doc", "n", "low", "top")).alias("hub"))
     hubs = written(hubs.select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("doc", "n", "low", "top")]), "jaccard-hubs")
 
