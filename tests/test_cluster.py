@@ -52,7 +52,7 @@ def test_kmeans_best_of_n_and_membership(text_vectors):
 
 def test_minibatch_labels_every_document_once(spark, text_vectors):
     _, vectors = text_vectors
-    res = md.minibatch_kmeans(spark, vectors, k=3, batch_size=20, max_steps=5, n_init=2)
+    res = md.minibatch_kmeans(spark, vectors, k=3, batch_size=20, max_iter=2, n_init=2)
     mem = md.assign_with_centres(spark, vectors, res.centers).collect()
     assert len(mem) == 45 and len({r["doc_id"] for r in mem}) == 45
     assert {r["cluster_id"] for r in mem} <= {0, 1, 2}

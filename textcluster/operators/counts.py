@@ -31,6 +31,22 @@ def dense_index(df: DataFrame, order_col: str = "seq", width: int = DEFAULT_WIDT
     )
 
 
+def number_records(records: DataFrame, out_col: str = "seq") -> DataFrame:
+    """W1 over several files: ``seq`` replaced by one unique, dense number 0..n-1 in (file, block,
+    seq) order.
+
+    ``records`` must be a written table whose ``seq`` has no gaps inside a (source_file, block). A
+    record's number is its distance from the first of its block plus the records of all blocks
+    before, from one row per input split; no record is sorted or moved.
+    """
+    keys = ["source_file", "block"]
+    per_block = records.groupBy(*keys).agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row per input split
+    offsets = per_block.select(*keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    numbered = records.join(offsets, keys).withColumn(out_col, (F.col("seq") + F.col("_off")).cast("bigint"))
+    return numbered.drop("_off", "block")
+
+
 def part_number(idx_col: str = "idx", threshold: int = PART_THRESHOLD):
     """Staged part of a 0-based row index: rows 0..threshold are part 1, then threshold each."""
     return F.greatest(F.lit(1), F.ceil(F.col(idx_col) / F.lit(threshold))).cast("bigint")

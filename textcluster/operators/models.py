@@ -5,8 +5,8 @@ dimensions. Vectors stay in executors, cached across passes.
 
 * M3 / M5: Spark ML ``KMeans`` (k-means|| initialisation, Lloyd iterations as distributed
   aggregations); ``n_init`` restarts with different seeds, the lowest training cost wins.
-* M4: mini-batch k-means (Sculley, WWW 2010, with per-centre learning rate 1/count). Each step
-  reads one hashed batch (a pruned partition of a written table), assigns it to the broadcast centres with numpy inside
+* M4: mini-batch k-means (Sculley, WWW 2010, with per-centre learning rate 1/count). An epoch visits
+  every hashed batch once; a step reads one batch (a pruned partition of a written table), assigns it to the broadcast centres with numpy inside
   ``mapInArrow`` (sparse dot products on whole Arrow batches), and sums members per (centre, term) with a partial
   aggregation; the driver folds the k x V sums into the centres.
 """
@@ -24,6 +24,7 @@ DEFAULT_K = 20
 DEFAULT_ITER = 30
 DEFAULT_INIT = 3
 DEFAULT_BATCH = 50000
+ROWS_PER_FILE = 10000  # of a written mini-batch
 DEFAULT_PARALLEL = 4  # restarts fitted at once (the reference used 4 processes)
 
 
@@ -165,23 +166,14 @@ def _step_fn(bc, features_col):
     return run
 
 
-# Partial sums fetched without a reduce stage only while partitions x k x (V + 1), an upper bound on
-# the rows the tasks can emit, stays under this many rows; above it Spark aggregates them first.
-DIRECT_FETCH_ROWS = 4_000_000
-
-
 def step_sums(spark, batch: DataFrame, centers: np.ndarray, features_col: str = "features"):
     """One mini-batch step's per-(centre, term) sums and per-centre sizes (term_idx -1), as
-    ``(cluster_id, term_idx, s)`` numpy arrays. Tasks assign their rows and sum them per
-    (centre, term); the partials are either fetched directly (bounded, see ``DIRECT_FETCH_ROWS``)
-    or aggregated by Spark first, so the driver never receives more than the bound."""
+    ``(cluster_id, term_idx, s)`` numpy arrays. Tasks assign their rows and sum them per (centre,
+    term), Spark adds the partial sums, and the driver gets the non-zero entries of the k x V sums."""
     bc = spark.sparkContext.broadcast(centers)
     try:
         part = batch.select(features_col).mapInArrow(_step_fn(bc, features_col), "cluster_id int, term_idx bigint, s double")
-        bound = batch.rdd.getNumPartitions() * centers.shape[0] * (centers.shape[1] + 1)
-        if bound > DIRECT_FETCH_ROWS:
-            part = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s"))
-        t = part.toArrow()
+        t = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).toArrow()
     finally:
         bc.unpersist()
     return tuple(t.column(c).to_numpy() for c in ("cluster_id", "term_idx", "s"))
@@ -219,6 +211,7 @@ class MiniBatchResult:
     counts: np.ndarray
     init_costs: list = field(default_factory=list)
     steps: int = 0
+    folded: int = 0  # members folded in: documents x epochs
 
 
 def _bucket(id_col: str, seed: int, n_buckets: int):
@@ -230,66 +223,58 @@ def minibatch_kmeans(
     vectors: DataFrame,
     k: int = DEFAULT_K,
     batch_size: int = DEFAULT_BATCH,
-    max_steps: int = DEFAULT_ITER,
+    max_iter: int = DEFAULT_ITER,
     n_init: int = DEFAULT_INIT,
     seed: int = 1,
     id_col: str = "doc_id",
     features_col: str = "features",
 ) -> MiniBatchResult:
-    """M4: mini-batch k-means.
+    """M4: mini-batch k-means: ``max_iter`` epochs, each visiting every document once.
 
-    Documents are dealt once into ceil(N / batch_size) batches by hashing (id, seed); when there is
-    more than one batch, the vectors are written to the shared checkpoint folder partitioned by
-    batch, so step s reads only batch s mod n (partition pruning), never the whole table. Batches
-    are disjoint, so every ceil(N / batch_size) steps visit each document once.
+    Documents are dealt once into ceil(N / batch_size) disjoint batches by hashing (id, seed), and
+    their vectors are written to the shared checkpoint folder with one folder per batch, so a step
+    reads only its batch (partition pruning). An epoch takes the batches in turn.
 
-    Initialisation: ``n_init`` k-means|| seedings (Spark ML with zero Lloyd iterations) on the
-    first batch; the seeding with the lowest cost there wins. Then ``max_steps`` batch steps.
-    Every document is labelled afterwards by ``assign_with_centres``.
+    Initialisation: ``n_init`` k-means|| seedings (Spark ML with zero Lloyd iterations) over all
+    vectors; the seeding with the lowest cost wins. Documents are labelled afterwards by
+    ``assign_with_centres``.
     """
+    from pyspark import StorageLevel
+
     from ..session import scratch_path
 
     n_docs = vectors.count()
     if n_docs == 0:
         raise ValueError("no documents to cluster")
     n_batches = max(1, -(-n_docs // batch_size))
-    if n_batches > 1:
-        path = scratch_path(spark, "minibatches")
-        vectors.select(id_col, features_col).withColumn("mb", _bucket(id_col, seed, n_batches)).write.partitionBy(
-            "mb"
-        ).parquet(path)
-        staged = spark.read.parquet(path)
-
-        def batch_of(step: int) -> DataFrame:
-            return staged.where(F.col("mb") == step % n_batches).select(features_col)
-
-    else:
-
-        def batch_of(step: int) -> DataFrame:
-            return vectors
-
-    from pyspark import StorageLevel
+    path = scratch_path(spark, "minibatches")
+    dealt = vectors.select(id_col, features_col).withColumn("mb", _bucket(id_col, seed, n_batches))
+    # a batch's rows meet in a few tasks before the write: few files per folder
+    files = max(1, -(-batch_size // ROWS_PER_FILE))
+    dealt = dealt.repartition("mb", F.pmod(F.xxhash64(F.col(id_col)), F.lit(files)))
+    dealt.write.partitionBy("mb").parquet(path)
+    staged = spark.read.parquet(path)
 
-    first = batch_of(0)
-    own_cache = first.storageLevel == StorageLevel.NONE  # one shared copy for the concurrent seedings
-    if own_cache:
-        first = first.persist(StorageLevel.MEMORY_AND_DISK)
+    own_cache = vectors.storageLevel == StorageLevel.NONE  # one shared copy for the concurrent seedings
+    everyone = vectors.select(features_col).persist(StorageLevel.MEMORY_AND_DISK) if own_cache else vectors
 
     def seed_one(run: int):
-        m = KMeans(k=k, maxIter=0, seed=seed + run, initMode="k-means||", featuresCol=features_col).fit(first)
+        m = KMeans(k=k, maxIter=0, seed=seed + run, initMode="k-means||", featuresCol=features_col).fit(everyone)
         return m, float(m.summary.trainingCost)
 
     try:
         seeded = _fit_runs(seed_one, n_init, DEFAULT_PARALLEL)
     finally:
         if own_cache:
-            first.unpersist()
+            everyone.unpersist()
     init_costs = [(r, seed + r, cost) for r, (_, cost) in enumerate(seeded)]
     best = seeded[min(range(n_init), key=lambda r: (seeded[r][1], r))]
     centers = centers_of(best[0])
     if centers.shape[0] < k:  # fewer distinct points than k: pad with copies of the first centre
         centers = np.vstack([centers, np.repeat(centers[:1], k - centers.shape[0], axis=0)])
     counts = np.zeros(k)
-    for step in range(max_steps):
-        centers, counts = fold_step(centers, counts, step_sums(spark, batch_of(step), centers, features_col))
-    return MiniBatchResult(centers, counts, init_costs, max_steps)
+    for _ in range(max_iter):
+        for batch in range(n_batches):
+            agg = step_sums(spark, staged.where(F.col("mb") == batch).select(features_col), centers, features_col)
+            centers, counts = fold_step(centers, counts, agg)
+    return MiniBatchResult(centers, counts, init_costs, max_iter * n_batches, int(round(counts.sum())))

@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
 from ..functions.text import collapse_blank_lines, element_at_index, extract_id, split_literal
 
 ROOT_TAG = "PubmedArticleSet"
@@ -94,7 +93,8 @@ def xml_record_udf(records: pd.Series) -> pd.DataFrame:
 def parse_xml(df: DataFrame, record_col: str = "record", keep: tuple[str, ...] = ("source_file", "seq")) -> DataFrame:
     """``keep + (title, content, permalink, error)`` from XML record strings."""
     cols = [c for c in keep if c in df.columns]
-    parsed = spread(df.select(*cols, record_col)).select(*cols, xml_record_udf(F.col(record_col)).alias("p"))
+    # marked as nondeterministic so that no filter or projection above copies the parse
+    parsed = df.select(*cols, xml_record_udf.asNondeterministic()(F.col(record_col)).alias("p"))
     return parsed.select(*cols, "p.title", "p.content", "p.permalink", "p.error")
 
 
@@ -118,7 +118,7 @@ def parse_text(
     has no fields). There is no title fallback for text records.
     """
     cols = [c for c in keep if c in df.columns]
-    df = spread(df.select(*cols, record_col))
+    df = df.select(*cols, record_col)
     segs = segments(F.col(record_col), sep)
     content = element_at_index(segs, content_idx)
     title = F.when(content.isNotNull(), element_at_index(segs, title_idx))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import english_stop_words
-from ..session import spread
 from ..functions.text import remove_words, tokenize
 
 
@@ -53,7 +52,7 @@ def term_stats_from_docs(df: DataFrame, text_col: str = "content", stop_words=No
     terms (``array_distinct``, flag 1: a df contribution) followed by every occurrence (flag 0: a
     cf contribution); partial aggregation by term leaves one row per term per task to shuffle.
     Built from array built-ins only (no lambdas), with the tokens computed once per row."""
-    tok = spread(df.select(text_col)).select(remove_words(tokenize(F.col(text_col)), _words(stop_words)).alias("t"))
+    tok = df.select(remove_words(tokenize(F.col(text_col)), _words(stop_words)).alias("t"))
     distinct = F.array_distinct("t")
     flags = F.concat(F.array_repeat(F.lit(1), F.size(distinct)), F.array_repeat(F.lit(0), F.size("t")))
     rows = tok.select(F.inline(F.arrays_zip(F.concat(distinct, F.col("t")).alias("term"), flags.alias("d"))))

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.text import join_terms
 
 
-def fit_lda(counts: DataFrame, n_topics: int = 20, max_iter: int = 30, seed: int = 1, features_col: str = "features") -> LDAModel:
-    """M7: fit topics on count vectors."""
-    return LDA(k=n_topics, maxIter=max_iter, seed=seed, optimizer="online", featuresCol=features_col).fit(
+def fit_lda(
+    counts: DataFrame, n_topics: int = 20, max_iter: int = 30, seed: int = 1, features_col: str = "features", rate: float = 1.0
+) -> LDAModel:
+    """M7: fit topics on count vectors. ``rate`` is the share of the documents an iteration draws; at
+    1.0 every iteration is a full pass."""
+    return LDA(k=n_topics, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=rate, featuresCol=features_col).fit(
         counts.select(features_col)
     )
 

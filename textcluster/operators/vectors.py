@@ -18,7 +18,6 @@ from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Ha
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 
-from ..session import spread
 from . import features as fe
 from .tokens import add_tokens, term_stats_from_docs
 
@@ -41,7 +40,7 @@ class Vectorizer:
 
     def transform(self, df: DataFrame, text_col: str = "content", keep=("doc_id", "permalink")) -> DataFrame:
         cols = [c for c in keep if c in df.columns]
-        tok = add_tokens(spread(df.select(*cols, text_col)), text_col, "tokens", self.params.stop_words)
+        tok = add_tokens(df.select(*cols, text_col), text_col, "tokens", self.params.stop_words)
         return self.pipeline.transform(tok).select(*cols, "features")
 
     def vocabulary_df(self, spark) -> DataFrame:
@@ -84,7 +83,7 @@ def fit_hashing(
 ) -> Vectorizer:
     """M2 fit: hashed counts, normalised, idf (+1) fitted on them, normalised again."""
     p = _p(params.norm)
-    tok = add_tokens(spread(docs.select(text_col)), text_col, "tokens", params.stop_words)
+    tok = add_tokens(docs.select(text_col), text_col, "tokens", params.stop_words)
     htf = HashingTF(numFeatures=num_features, inputCol="tokens", outputCol="tf")
     n1 = Normalizer(p=p, inputCol="tf", outputCol="tfn")
     idf_model = IDF(inputCol="tfn", outputCol="_unused").fit(n1.transform(htf.transform(tok)))
@@ -98,10 +97,12 @@ def fit_hashing(
     return Vectorizer("hashing", PipelineModel(stages), [], params)
 
 
-def fit_vectorizer(docs: DataFrame, kind: str = "tfidf", params: fe.TfidfParams = fe.TfidfParams()) -> Vectorizer:
+def fit_vectorizer(
+    docs: DataFrame, kind: str = "tfidf", params: fe.TfidfParams = fe.TfidfParams(), num_features: int = HASH_FEATURES
+) -> Vectorizer:
     """M9: choose the vectorizer; anything but tfidf / hashing is an error."""
     fe.check_vectorizer(kind)
-    return fit_tfidf(docs, params) if kind == "tfidf" else fit_hashing(docs, params)
+    return fit_tfidf(docs, params) if kind == "tfidf" else fit_hashing(docs, params, num_features)
 
 
 def counts_pipeline(vec: Vectorizer) -> PipelineModel:

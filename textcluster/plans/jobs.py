@@ -7,22 +7,24 @@ folder, and the membership / keyword / collated tables are exported one folder e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as cn
-from ..operators.counts import first_n
+from ..operators.counts import first_n, number_records
 from ..operators import features as fe
 from ..operators import models as md
 from ..operators import parse as ps
 from ..operators import report as rp
 from ..operators import vectors as vz
 from ..sinks import export as ex
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sinks import staged as sg
-from ..sources.files import validate_file
+from ..sources.files import TEXT_EXTENSIONS, XML_EXTENSIONS, validate_file
 from ..sources.text import read_text_records_by_lines
 from ..sources.xml import read_xml_records
 
@@ -50,6 +52,12 @@ class JobConfig:
     seed: int = 1
     materialize: str = "checkpoint"
     num_docs: int = 0  # L1 / L2: keep only the first n records in read order (0 = all)
+    hash_features: int = 1 << 20  # M2: width of hashing vectors
+    on_bad: str = "error"  # S5: "error" or "skip" for files with another extension
+    parser: ps.RecordParser | None = None  # X1
+    segment_sep: str = ps.SEGMENT_SEP
+    content_segment: int = ps.CONTENT_SEGMENT
+    title_segment: int = ps.TITLE_SEGMENT
     params: fe.TfidfParams = field(default_factory=fe.TfidfParams)
 
     def check(self) -> "JobConfig":
@@ -72,6 +80,31 @@ class JobResult:
     collated: DataFrame | None
     vectorizer: vz.Vectorizer
     runs: list
+    vectors: DataFrame
+
+
+def load_records(spark: SparkSession, source: str, in_format: str = "xml", cfg: JobConfig | None = None, single_file: bool = False) -> DataFrame:
+    """P3 dispatch by format: ``(source_file, seq, title, content, permalink, reject_reason)`` of every
+    record read, parsed once and written to the shared folder; ``seq`` is 0..n-1 in read order over
+    all files."""
+    cfg = cfg or JobConfig()
+    if in_format not in IN_FORMATS:
+        raise ValueError(f"input format must be one of {IN_FORMATS}")
+    if single_file:
+        validate_file(source, XML_EXTENSIONS if in_format == "xml" else TEXT_EXTENSIONS)
+    keep = ("source_file", "block", "seq")
+    if in_format == "xml":
+        records = ps.apply_parser(read_xml_records(spark, source, on_bad=cfg.on_bad), cfg.parser)
+        cleaned = cn.finalize(ps.parse_xml(records, keep=keep), cfg.require_title)
+    else:
+        records = read_text_records_by_lines(spark, source, on_bad=cfg.on_bad).withColumn("block", F.lit(0).cast("bigint"))
+        parsed = ps.parse_text(
+            ps.apply_parser(records, cfg.parser), sep=cfg.segment_sep, content_idx=cfg.content_segment, title_idx=cfg.title_segment, keep=keep
+        )
+        cleaned = cn.finalize(parsed, cfg.require_title, title_fallback=False)
+    path = scratch_path(spark, "parsed")
+    cleaned.drop("title_as_content").write.parquet(path)
+    return number_records(spark.read.parquet(path))
 
 
 def load_articles(
@@ -81,43 +114,48 @@ def load_articles(
     require_title: bool = True,
     staged_path: str | None = None,
     single_file: bool = False,
+    cfg: JobConfig | None = None,
 ) -> DataFrame:
-    """P3 dispatch by format: ``(source_file, seq, title, content, permalink)`` of valid records.
+    """The valid records of ``load_records``: ``(source_file, seq, title, content, permalink)``.
     With ``staged_path``, records are staged once as Parquet parts and replayed afterwards (S7)."""
-    if in_format not in IN_FORMATS:
-        raise ValueError(f"input format must be one of {IN_FORMATS}")
-    if single_file:
-        validate_file(source)
+    cfg = cfg or JobConfig(require_title=require_title)
+    build = lambda: cn.valid(load_records(spark, source, in_format, cfg, single_file))
+    return sg.load_or_stage(spark, staged_path, build) if staged_path else build()
 
-    def build() -> DataFrame:
-        if in_format == "xml":
-            parsed = ps.parse_xml(read_xml_records(spark, source))
-            cleaned = cn.finalize(parsed, require_title)
-        else:
-            parsed = ps.parse_text(read_text_records_by_lines(spark, source))
-            cleaned = cn.finalize(parsed, require_title, title_fallback=False)
-        return cn.valid(cleaned).drop("title_as_content")
 
-    if staged_path:
-        return sg.load_or_stage(spark, staged_path, build)
-    return build()
+def ingest_directory(spark: SparkSession, source: str, out: str, in_format: str = "xml", cfg: JobConfig | None = None) -> DataFrame:
+    """S4 + K2: every file of a directory parsed and staged in its own folder; returns the A7 counts."""
+    records = load_records(spark, source, in_format, cfg)
+    sg.write_per_source(cn.valid(records), out)
+    return cn.ingest_counts(records)
+
+
+def features_saved(spark: SparkSession, features_path: str | None) -> bool:
+    """A saved vectorizer and its vectors are present."""
+    return bool(features_path) and sg.staged_exists(spark, f"{features_path}/model/metadata") and sg.staged_exists(spark, f"{features_path}/vectors")
 
 
 def cluster_articles(
-    spark: SparkSession, arts: DataFrame, cfg: JobConfig, features_path: str | None = None
+    spark: SparkSession, arts: DataFrame | Callable[[], DataFrame], cfg: JobConfig, features_path: str | None = None
 ) -> JobResult:
-    """Vectorise (or reuse a saved vectorizer, S8), cluster, label every record, and build
-    keywords and collated URLs when asked."""
+    """Vectorise (or reuse saved vectors, K3 / S8: then ``arts`` is not needed), cluster, label
+    every record, and build keywords and collated URLs when asked."""
     cfg.check()
-    arts = arts.withColumn("doc_id", F.col("seq")) if "doc_id" not in arts.columns else arts
-    if features_path and sg.staged_exists(spark, features_path + "/model"):
-        vec = vz.Vectorizer.load(features_path + "/model", cfg.params)
+    keep = ("doc_id", "seq", "permalink")
+    if features_saved(spark, features_path):
+        vec = vz.Vectorizer.load(f"{features_path}/model", cfg.params)
+        vectors = spark.read.parquet(f"{features_path}/vectors").persist(StorageLevel.MEMORY_AND_DISK)
     else:
-        vec = vz.fit_vectorizer(arts, cfg.vectorizer, cfg.params)
+        arts = arts() if callable(arts) else arts
+        arts = arts.withColumn("doc_id", F.col("seq")) if "doc_id" not in arts.columns else arts
+        vec = vz.fit_vectorizer(arts, cfg.vectorizer, cfg.params, cfg.hash_features)
+        vectors = vec.transform(arts, keep=keep)
         if features_path:
-            vec.save(features_path + "/model")
-    # Written to the shared checkpoint folder: restarts and batch steps re-read vectors, never re-tokenise.
-    vectors = materialize(vec.transform(arts, keep=("doc_id", "seq", "permalink")), cfg.materialize)
+            vec.save(f"{features_path}/model")
+            vz.write_features(vectors, f"{features_path}/vectors")
+            vectors = spark.read.parquet(f"{features_path}/vectors").persist(StorageLevel.MEMORY_AND_DISK)
+        else:  # restarts and batch steps re-read vectors, never re-tokenise
+            vectors = materialize(vectors, cfg.materialize)
     runs: list = []
     try:
         if cfg.algorithm in ("kmeans", "kmeans_pp"):
@@ -142,7 +180,7 @@ def cluster_articles(
     except Exception:
         vectors.unpersist()
         raise
-    return JobResult(membership, keywords, collated, vec, runs)
+    return JobResult(membership, keywords, collated, vec, runs, vectors)
 
 
 def export(result: JobResult, out_root: str, cfg: JobConfig) -> dict[str, str]:
@@ -161,10 +199,27 @@ def run(
     staged_path: str | None = None,
     features_path: str | None = None,
 ) -> dict[str, str]:
-    """The whole job: load, cluster, export. Returns the exported folders by table name."""
+    """The whole job: load, cluster, export. Returns the exported folders by table name. Unless the
+    records or their vectors are reused, ``rejected`` (F9) and ``ingest_counts`` (A7) are exported too."""
     cfg = (cfg or JobConfig()).check()
-    arts = load_articles(spark, source, in_format, cfg.require_title, staged_path)
-    if cfg.num_docs > 0:
-        arts = first_n(arts, cfg.num_docs, *(["part", "seq"] if "part" in arts.columns else ["seq"]))
-    result = cluster_articles(spark, arts, cfg, features_path)
-    return export(result, out_root, cfg)
+    extra: dict[str, DataFrame] = {}
+
+    def articles() -> DataFrame:
+        if staged_path and sg.staged_exists(spark, staged_path):
+            arts = sg.read_staged(spark, staged_path)
+        else:
+            records = load_records(spark, source, in_format, cfg)
+            extra.update(rejected=cn.rejected(records), ingest_counts=cn.ingest_counts(records))
+            arts = cn.valid(records)
+            if staged_path:
+                arts = sg.load_or_stage(spark, staged_path, lambda: cn.valid(records))
+        if cfg.num_docs > 0:
+            arts = first_n(arts, cfg.num_docs, *(["part", "seq"] if "part" in arts.columns else ["seq"]))
+        return arts
+
+    result = cluster_articles(spark, articles, cfg, features_path)
+    try:
+        paths = export(result, out_root, cfg)
+    finally:
+        result.vectors.unpersist()
+    return paths | ex.export_tables(out_root, extra, cfg.out_format)

@@ -21,7 +21,7 @@ from ..operators import features as fe
 from ..operators import report as rp
 from ..operators import tokens as tk
 from ..functions.text import last_path_component
-from ..session import materialize, scratch_path, spread
+from ..session import materialize, scratch_path
 from ..sources import records as rc
 from ..sources.tables import articles, permalink_of, read_table
 from ..sources.xml import read_xml_records
@@ -401,7 +401,7 @@ def q_lda_topics(spark, sf_dir):
     """M7 + M8: 10 LDA topics on term counts over the tfidf vocabulary, 20 keywords each."""
     arts = articles(spark, sf_dir)
     vec = vz.fit_vectorizer(arts, "tfidf")
-    tokens = tk.add_tokens(spread(arts.select("doc_id", "content")), "content", "tokens")
+    tokens = tk.add_tokens(arts.select("doc_id", "content"), "content", "tokens")
     counts = materialize(vz.counts_pipeline(vec).transform(tokens).select("doc_id", "features"))
     model = tp.fit_lda(counts, n_topics=10, max_iter=30)
     return tp.topic_terms(model, vec.vocabulary_df(spark), TOP_N)

@@ -42,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="textcluster-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -53,14 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df):
-    """Before heavy per-row work (parsing, tokenising): if the input has fewer partitions than the
-    cluster has cores (a few large files), deal rows round-robin over that many. Large inputs
-    already have many splits and pass through untouched; streams are left alone."""
-    if df.isStreaming:
-        return df
+def deal_small(df, bytes_per_core: int = 64 << 20):
+    """Deal the rows of a table round-robin over the cores when the whole table is smaller than
+    ``bytes_per_core`` times the cores, for which a file's row groups are too few to fill them. The size comes
+    from the plan's file statistics, so no job runs; a larger table is read by its own splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < bytes_per_core * cores else df
 
 
 def materialize(df, how: str = "checkpoint"):

@@ -22,8 +22,9 @@ def write_parts(
 
 
 def write_per_source(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: one folder per input file (by file name)."""
-    named = df.withColumn("source_name", F.element_at(F.split(F.col("source_file"), "/"), -1))
+    """K2: one folder per input file, named by its whole path so that equal names in two folders stay
+    apart. Rows of a file meet in the tasks that write its folder."""
+    named = df.withColumn("source_name", F.regexp_replace(F.regexp_replace("source_file", "^[a-z]+:/+", ""), "[/=]", "__"))
     named.write.mode(mode).partitionBy("source_name").parquet(path)
 
 
@@ -46,14 +47,9 @@ def _base(p: str) -> str:
 
 
 def staged_exists(spark: SparkSession, path: str) -> bool:
-    """A readable, non-empty staged folder is present."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolving the schema lists the folder
-        return True
-    except AnalysisException:
-        return False
+    """A completely written folder is present (its writer has left the success marker)."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))
 
 
 def load_or_stage(spark: SparkSession, path: str, build, threshold: int = PART_THRESHOLD) -> DataFrame:

@@ -10,14 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_line
+from ..session import deal_small
 
 PERMALINK_OFFSET = 10000000
 
+#: tables whose rows cost most per byte read
+TEXT_TABLES = ("documents", "pages")
+
 ARTICLE_COLUMNS = ("doc_id", "seq", "title", "content", "permalink")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return deal_small(df) if name in TEXT_TABLES else df
 
 
 def permalink_of(doc_id) -> "F.Column":

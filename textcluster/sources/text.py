@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import SUPPORTED_EXTENSIONS, with_source
+from .files import TEXT_EXTENSIONS, with_source
 
 # Fixed value: one record = shortest text ending with a line that starts with the id tag.
 RECORD_PATTERN = r"(?ms)(.*?^PMID[^\n]*)"
@@ -21,20 +21,20 @@ def split_records(text_col) -> "F.Column":
     return F.regexp_extract_all(text_col, F.lit(RECORD_PATTERN), F.lit(1))
 
 
-def read_text_records(spark: SparkSession, path, extensions=SUPPORTED_EXTENSIONS, on_bad: str = "skip") -> DataFrame:
+def read_text_records(spark: SparkSession, path, extensions=TEXT_EXTENSIONS, on_bad: str = "skip") -> DataFrame:
     """``(source_file, seq, record)``, ``seq`` = 0-based record number within its file."""
     raw = spark.read.option("encoding", "UTF-8").text(path, wholetext=True)
-    raw = with_source(raw.select("value", "_metadata"), extensions, on_bad)
+    raw = with_source(raw.select("value", "_metadata"), extensions, on_bad, path)
     return raw.select("source_file", F.posexplode(split_records(F.col("value"))).alias("seq", "record")).select(
         "source_file", F.col("seq").cast("bigint").alias("seq"), "record"
     )
 
 
-def read_text_lines(spark: SparkSession, path, extensions=SUPPORTED_EXTENSIONS) -> DataFrame:
+def read_text_lines(spark: SparkSession, path, extensions=TEXT_EXTENSIONS, on_bad: str = "skip") -> DataFrame:
     """``(source_file, block, line_key, line)``. Lines are ordered by (file, block, line_key):
     ``block`` is the start offset of the input split, ``line_key`` increases within a split."""
     raw = spark.read.text(path)
-    raw = with_source(raw.select("value", "_metadata"), extensions)
+    raw = with_source(raw.select("value", "_metadata"), extensions, on_bad, path)
     return raw.select(
         "source_file",
         F.col("_metadata.file_block_start").alias("block"),
@@ -94,16 +94,19 @@ def records_from_lines(lines: DataFrame) -> DataFrame:
     per_split = local.groupBy("source_file", "block").agg(F.sum("is_id").alias("n_id"))
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_split.select("source_file", "block", F.coalesce(F.sum("n_id").over(before), F.lit(0)).alias("off"))
-    numbered = local.join(offsets, ["source_file", "block"]).withColumn("seq", (F.col("off") + F.col("local")).cast("bigint"))
+    # lines behind a file's last id line belong to no record: they go before any grouping
+    records = per_split.groupBy("source_file").agg(F.sum("n_id").alias("n_records"))
+    numbered = local.join(offsets.join(records, "source_file"), ["source_file", "block"])
+    numbered = numbered.withColumn("seq", (F.col("off") + F.col("local")).cast("bigint")).where("seq < n_records")
     grouped = numbered.groupBy("source_file", "seq").agg(
         F.sort_array(F.collect_list(F.struct("block", "line_key", "line", "is_id"))).alias("ls")
     )
-    return grouped.where(F.exists("ls", lambda x: x["is_id"] == 1)).select(
+    return grouped.select(
         "source_file", "seq", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("record")
     )
 
 
-def read_text_records_by_lines(spark: SparkSession, path, extensions=SUPPORTED_EXTENSIONS) -> DataFrame:
+def read_text_records_by_lines(spark: SparkSession, path, extensions=TEXT_EXTENSIONS, on_bad: str = "skip") -> DataFrame:
     """S2 + S3 over splittable line reads: same records as ``read_text_records`` (without the final
     line break), for files of any size."""
-    return records_from_lines(read_text_lines(spark, path, extensions))
+    return records_from_lines(read_text_lines(spark, path, extensions, on_bad))

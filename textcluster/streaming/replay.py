@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..operators import clean as cn
 from ..operators import models as md
 from ..operators import parse as ps
+from ..sources.files import TEXT_EXTENSIONS, XML_EXTENSIONS, with_source
 from ..sources.xml import cut_records
 
 STAGED_SCHEMA = T.StructType(
@@ -53,23 +54,18 @@ def xml_file_stream(spark: SparkSession, in_dir: str, record_tag: str = ps.RECOR
     raw = (
         spark.readStream.option("lineSep", f"</{record_tag}>")
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", "*.xml")
         .text(in_dir)
     )
-    return cut_records(raw.select("value", F.col("_metadata.file_path").alias("source_file")), record_tag)
+    return cut_records(with_source(raw.select("value", "_metadata"), XML_EXTENSIONS).drop("_metadata"), record_tag)
 
 
 def text_file_stream(spark: SparkSession, in_dir: str, files_per_batch: int = 1) -> DataFrame:
     """S3 as a stream: records of arriving delimited text files (each file read whole)."""
     from ..sources.text import split_records
 
-    raw = (
-        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", "*.txt")
-        .text(in_dir, wholetext=True)
-    )
-    return raw.select(
-        F.col("_metadata.file_path").alias("source_file"),
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(in_dir, wholetext=True)
+    return with_source(raw.select("value", "_metadata"), TEXT_EXTENSIONS).select(
+        "source_file",
         F.posexplode(split_records(F.col("value"))).alias("pos", "record"),
     )
 
@@ -84,7 +80,8 @@ def stage_arriving(
     in_format: str = "xml",
 ) -> None:
     """Parse each micro-batch of arriving XML (or delimited text) files and stage the valid
-    records as Parquet, one folder per batch id (a replayed batch overwrites its folder)."""
+    records as Parquet, one folder per batch id (a replayed batch overwrites its folder). Rejected
+    records go the same way to ``<out_dir>_rejected``, with their reason. (batch_id, seq) is unique."""
     if in_format not in ("xml", "txt"):
         raise ValueError("in_format must be 'xml' or 'txt'")
     stream = (
@@ -94,13 +91,17 @@ def stage_arriving(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seq = F.lit(batch_id).cast("bigint") * F.lit(1 << 42) + F.monotonically_increasing_id()
-        recs = batch.withColumn("seq", seq)
+        recs = batch.withColumn("seq", F.monotonically_increasing_id())
         if in_format == "xml":
             cleaned = cn.finalize(ps.parse_xml(recs), require_title)
         else:
             cleaned = cn.finalize(ps.parse_text(recs), require_title, title_fallback=False)
-        cn.valid(cleaned).drop("title_as_content").write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        cleaned = cleaned.drop("title_as_content").persist()  # parsed once for both outputs
+        try:
+            cn.valid(cleaned).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+            cn.rejected(cleaned).write.mode("overwrite").parquet(f"{out_dir}_rejected/batch_id={batch_id}")
+        finally:
+            cleaned.unpersist()
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -135,19 +136,17 @@ def _centres_path(state_dir: str, batch_id: int) -> str:
     return f"{state_dir}/batch_id={batch_id:012d}"
 
 
-def _latest_state(spark: SparkSession, state_dir: str, before: int):
-    """Centres and counts saved by the latest applied batch < ``before`` (None when none)."""
+def _state_of(spark: SparkSession, state_dir: str, batch_id: int):
+    """Centres and counts saved by one batch (None when it has saved none)."""
     from pyspark.errors import AnalysisException
 
     try:
-        st = spark.read.parquet(state_dir)
-    except AnalysisException:
+        rows = spark.read.parquet(_centres_path(state_dir, batch_id)).orderBy("cluster_id").collect()  # k rows
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    ids = [r[0] for r in st.select("batch_id").distinct().where(F.col("batch_id") < before).collect()]
-    if not ids:
-        return None
-    rows = st.where(F.col("batch_id") == max(ids)).orderBy("cluster_id").collect()  # k rows
-    return np.array([r["center"] for r in rows]), np.array([r["n"] for r in rows], dtype=float)
+    return (np.array([r["center"] for r in rows]), np.array([r["n"] for r in rows], dtype=float)) if rows else None
 
 
 def minibatch_stream(
@@ -164,15 +163,10 @@ def minibatch_stream(
     The first batch seeds the centres with k-means||."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            if spark.read.parquet(_centres_path(state_dir, batch_id)).count() > 0:
-                return  # already applied
-        except AnalysisException:
-            pass
+        if _state_of(spark, state_dir, batch_id) is not None:
+            return  # already applied
         feats = batch.select(features_col)
-        prev = _latest_state(spark, state_dir, batch_id)
+        prev = _state_of(spark, state_dir, batch_id - 1)  # batch ids are consecutive
         if prev is None:
             m = KMeans(k=k, maxIter=0, seed=seed, initMode="k-means||", featuresCol=features_col).fit(feats)
             centers = md.centers_of(m)
@@ -196,7 +190,7 @@ def minibatch_stream(
 
 def final_centres(spark: SparkSession, state_dir: str):
     """Centres after the last applied batch."""
-    st = _latest_state(spark, state_dir, 1 << 62)
-    if st is None:
+    last = spark.read.parquet(state_dir).agg(F.max("batch_id")).first()[0]
+    if last is None:
         raise ValueError("no batch has been applied")
-    return st
+    return _state_of(spark, state_dir, int(last))
