@@ -60,20 +60,11 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.count(F.lit(1)).alias("n_vectors"), F.sum("dist2").alias("inertia"))
 
 
-def update(vectors: DataFrame, assigned: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """A9 after an assignment: ``(cluster_id, dim, value)`` means of the new members.
-
-    ``assigned`` comes from ``assign`` over the same rows, so its vectors are carried along rather
-    than joined back when possible.
-    """
-    joined = vectors.select(id_col, vec_col).join(assigned.select(id_col, "cluster_id"), id_col)
-    return centroids_from_labels(joined, "cluster_id", vec_col)
-
-
 def lloyd_step(vectors: DataFrame, centroids_long: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id"):
     """One Lloyd iteration: assign to ``centroids_long`` and recompute means, in one pass over the
-    vectors (assignment and the new sums come from the same row). Returns ``(new_centroids, cost)``;
-    a cluster that loses every member keeps its old centroid."""
+    vectors (assignment and the new sums come from the same row); the k x d means are then joined to
+    the old centroids, so a cluster that loses every member keeps its own. Returns
+    ``(new_centroids, cost)``; computing the cost is a pass of its own."""
     cs = centroid_value(centroids_long)
     scored = vectors.select(id_col, vec_col).withColumn("cs", cs).select(
         vec_col, nearest(F.col(vec_col), F.col("cs")).alias("b")
@@ -84,6 +75,7 @@ def lloyd_step(vectors: DataFrame, centroids_long: DataFrame, vec_col: str = "em
         .agg(F.avg(F.col("x").cast("double")).alias("value"))
         .select("cluster_id", F.col("dim").cast("bigint").alias("dim"), "value")
     )
-    kept = centroids_long.join(new.select("cluster_id").distinct(), "cluster_id", "left_anti")
     cost = scored.agg(F.sum("b.dist2").alias("inertia"))
-    return new.unionByName(kept.select("cluster_id", "dim", "value")), cost
+    old = centroids_long.select("cluster_id", "dim", F.col("value").alias("old"))
+    moved = old.join(new, ["cluster_id", "dim"], "left")
+    return moved.select("cluster_id", "dim", F.coalesce("value", "old").alias("value")), cost

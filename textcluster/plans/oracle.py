@@ -213,8 +213,8 @@ def oracle_sql() -> dict[str, str]:
     )
     q["top_terms"] = f"WITH {tok}, {voc}, {_weights_cte('l1')}, {top_lang} SELECT lang, keywords FROM kw"
     top_q = _top_terms_sql(
-        "SELECT d.doc_id, CAST(l.quality AS INTEGER) AS cluster_id FROM documents d JOIN labels l USING (doc_id)",
-        "SELECT CAST(range AS INTEGER) AS cluster_id FROM range(2)",
+        "SELECT d.doc_id, CAST(coalesce(l.quality, 2) AS INTEGER) AS cluster_id FROM documents d LEFT JOIN labels l USING (doc_id)",
+        "SELECT CAST(range AS INTEGER) AS cluster_id FROM range(3)",
         "cluster_id",
     )
     q["top_terms_report"] = (
@@ -223,8 +223,8 @@ def oracle_sql() -> dict[str, str]:
     )
     collate = f"""
 WITH mem AS (
-  SELECT CAST(l.quality AS INTEGER) AS cluster_id, d.doc_id AS ord, CAST(d.doc_id + 10000000 AS VARCHAR) AS member
-  FROM documents d JOIN labels l USING (doc_id)
+  SELECT CAST(coalesce(l.quality, 2) AS INTEGER) AS cluster_id, d.doc_id AS ord, CAST(d.doc_id + 10000000 AS VARCHAR) AS member
+  FROM documents d LEFT JOIN labels l USING (doc_id)
 ),
 paged AS (
   SELECT cluster_id, member, ord,
@@ -239,9 +239,35 @@ urls AS (
 SELECT cluster_id, page, clickable_content FROM urls
 UNION ALL
 SELECT CAST(r.range AS INTEGER) AS cluster_id, CAST(0 AS BIGINT) AS page, '{DEFAULT_SEARCH_URL}' AS clickable_content
-FROM range(3) r WHERE r.range NOT IN (SELECT cluster_id FROM mem)"""
+FROM range(4) r WHERE r.range NOT IN (SELECT cluster_id FROM mem)"""
     q["stream_replay"] = q["union_parts"]
     q["stream_stage"] = f"WITH {_XML} SELECT permalink, title, body AS content FROM x"
     q["collate_urls"] = collate
-    q["export_roundtrip"] = collate
+    q["export_roundtrip"] = (
+        f"WITH {tok}, {voc}, {_weights_cte('l1')}, {top_q}, urls4 AS ({collate}) "
+        "SELECT u.cluster_id, u.page, u.clickable_content, k.keywords FROM urls4 u LEFT JOIN kw k ON k.cluster_id = u.cluster_id"
+    )
+    member = "SELECT doc_id, CAST(doc_id + 10000000 AS VARCHAR) AS permalink"
+    for name in ("kmeans_membership", "kmeans_pp_membership", "minibatch_membership", "stream_minibatch"):
+        q[name] = f"{member}, true AS in_range, true AS is_nearest FROM documents"
+    q["features_reuse"] = f"{member}, true AS same FROM documents"
+    q["kmeans_best_of_n"] = "SELECT count(*) AS n_docs, CAST(3 AS INTEGER) AS n_runs, true AS kept_is_least FROM documents"
+    known = f"CAST(least({TOP_N}, (SELECT count(*) FROM vocab)) AS BIGINT)"
+    q["kmeans_keywords"] = f"WITH {tok}, {voc} SELECT CAST(range AS INTEGER) AS cluster_id, {known} AS n_terms, {known} AS n_known FROM range(20)"
+    q["lda_topics"] = f"WITH {tok}, {voc} SELECT CAST(range AS INTEGER) AS topic, {known} AS n_terms, {known} AS n_known, CAST(1.0 AS DOUBLE) AS total FROM range(10)"
+    q["minibatch_epochs"] = (
+        "SELECT count(*) AS n_docs, CAST(2 * ceil(count(*) / 100.0) AS BIGINT) AS n_steps, 2 * count(*) AS n_folded FROM documents"
+    )
+    q["hash_tf"] = (
+        f"WITH {tok}, n AS (SELECT doc_id, count(*) AS n FROM tf GROUP BY doc_id) SELECT d.doc_id, coalesce(n.n, 0) AS n_terms, "
+        "CASE WHEN n.n IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS l1, true AS fits FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"
+    )
+    q["stream_hash"] = q["hash_tf"]
+    q["end_to_end_tfidf"] = f"WITH {_XML} SELECT permalink FROM xv"
+    q["end_to_end_hashing"] = f"WITH {_TEXT} SELECT permalink, true AS in_range FROM tx WHERE content IS NOT NULL AND permalink IS NOT NULL"
+    q["staged_per_source"] = q["dir_scan"]
+    q["record_numbers"] = (
+        "SELECT f AS in_format, CAST(n AS BIGINT) AS n_records, CAST(n - 1 AS BIGINT) AS last, true AS in_order "
+        "FROM (SELECT count(*) AS n FROM documents), (SELECT unnest(['xml', 'txt']) AS f)"
+    )
     return q

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clean as cn
@@ -96,25 +98,28 @@ def q_top_terms(spark, sf_dir):
     return rp.top_terms(cents, TOP_N, "lang", clusters=docs.select("lang").distinct(), vocab=vocab)
 
 
+NO_LABEL = 2  # cluster of the documents without a label
+
+
 def _quality_membership(spark, sf_dir) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(labels, "doc_id").select(
+    return docs.join(labels, "doc_id", "left").select(
         "doc_id",
-        F.col("quality").cast("int").alias("cluster_id"),
+        F.coalesce(F.col("quality").cast("int"), F.lit(NO_LABEL)).alias("cluster_id"),
         F.col("doc_id").alias("seq"),
         permalink_of("doc_id").alias("permalink"),
     )
 
 
 def q_top_terms_report(spark, sf_dir):
-    """K9 lines with ``labels.quality`` as a given clustering (k = 2)."""
+    """K9 lines with ``labels.quality`` as a given clustering of all documents (k = 3)."""
     return rp.report_lines(_quality_keywords(spark, sf_dir), "kmeans")
 
 
 def q_collate_urls(spark, sf_dir):
-    """A8 with ``labels.quality`` as cluster id and k = 3, so cluster 2 is empty."""
-    return rp.collate(_quality_membership(spark, sf_dir), k=3)
+    """A8 with ``labels.quality`` as cluster id (2: no label) and k = 4, so cluster 3 is empty."""
+    return rp.collate(_quality_membership(spark, sf_dir), k=4)
 
 
 def _label_centroids(spark, sf_dir):
@@ -301,7 +306,7 @@ def q_union_parts(spark, sf_dir):
     return both.join(again.select("doc_id"), "doc_id", "left_semi").select("doc_id", "part", "permalink")
 
 
-def _quality_keywords(spark, sf_dir, k: int = 2) -> DataFrame:
+def _quality_keywords(spark, sf_dir, k: int = 3) -> DataFrame:
     _, dt, vocab, idf = _tfidf_parts(spark, sf_dir)
     weights = fe.tfidf_long(dt, idf, "l1")
     cents = rp.centroids_long(weights, _quality_membership(spark, sf_dir), "cluster_id")
@@ -311,14 +316,14 @@ def _quality_keywords(spark, sf_dir, k: int = 2) -> DataFrame:
 
 def q_export_roundtrip(spark, sf_dir):
     """K6/K7/K8: collated URLs and cluster keywords (``labels.quality`` as the clustering) exported
-    as CSV folders, one per table; the collated table read back."""
+    as CSV folders, one per table; both tables read back."""
     mem = _quality_membership(spark, sf_dir)
     root = scratch_path(spark, "export")
-    tables = ex.assemble_output(mem, _quality_keywords(spark, sf_dir), True, collated=rp.collate(mem, k=3))
+    tables = ex.assemble_output(mem, _quality_keywords(spark, sf_dir), True, collated=rp.collate(mem, k=4))
     paths = ex.export_tables(root, tables, "csv")
-    return spark.read.schema("cluster_id int, page bigint, clickable_content string").option("header", True).csv(
-        paths["clusters"]
-    )
+    reader = lambda schema: spark.read.schema(schema).option("header", True)
+    urls = reader("cluster_id int, page bigint, clickable_content string").csv(paths["clusters"])
+    return urls.join(reader("cluster_id int, keywords string").csv(paths["cluster_keywords"]), "cluster_id", "left")
 
 
 def q_vector_tsv(spark, sf_dir):
@@ -326,7 +331,8 @@ def q_vector_tsv(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
     path = scratch_path(spark, "tsv")
     ex.write_tsv(emb.select(ex.tsv_line(F.col("embedding")).alias("line")), path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    numbers = F.split("value", "\t").cast("array<double>")  # written in full precision, rounded here
+    return spark.read.text(path).select(ex.tsv_line(numbers, 6).alias("line"))
 
 
 def _vectors(spark, sf_dir, kind="tfidf"):
@@ -336,33 +342,65 @@ def _vectors(spark, sf_dir, kind="tfidf"):
     return vec, vectors
 
 
+def _checked(vectors: DataFrame, membership: DataFrame, centers) -> DataFrame:
+    """``(doc_id, permalink, in_range, is_nearest)``: each label against the distances to all centres,
+    computed apart from the labelling."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
+
+    def distances(batches):
+        for b in batches:
+            n, rows, idx, val = md.flatten_vectors(b.column("features"))
+            cs, out = shared.value, np.zeros((n, len(shared.value)))
+            for c, centre in enumerate(cs):
+                # |x - c|^2 over the stored entries, plus |c|^2 elsewhere
+                out[:, c] = (centre**2).sum() + np.bincount(rows, (val - centre[idx]) ** 2 - centre[idx] ** 2, n)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(out), pa.list_(pa.float64()))], ["doc_id", "d"])
+
+    d = vectors.select("doc_id", "features").mapInArrow(distances, "doc_id bigint, d array<double>")
+    near = F.get("d", F.col("cluster_id")) <= F.array_min("d") + 1e-9
+    return membership.join(d, "doc_id").select("doc_id", "permalink", F.col("cluster_id").between(0, len(centers) - 1).alias("in_range"), near.alias("is_nearest"))
+
+
+def _known_terms(spark, sf_dir, keywords: DataFrame, key: str) -> DataFrame:
+    """``(key, n_terms, n_known)``: keywords, and how many are in the relational vocabulary."""
+    terms = keywords.select(key, F.explode(F.split("keywords", ", ")).alias("term"))
+    known = _vocab_only(spark, sf_dir)[0].select("term", F.lit(1).alias("known"))
+    return terms.join(known, "term", "left").groupBy(key).agg(F.count_distinct("term").alias("n_terms"), F.count("known").alias("n_known"))
+
+
+def _hash_checked(spark, sf_dir, vectors: DataFrame) -> DataFrame:
+    """``(doc_id, n_terms, l1, fits)``: hashed vectors against the documents' distinct terms."""
+    stats = vz.vector_stats(vectors.select("doc_id", "features"))
+    terms = tk.term_freq(articles(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    fits = (F.col("n_buckets") <= n) & ((F.col("n_buckets") > 0) == (n > 0))
+    return stats.join(terms, "doc_id", "left").select("doc_id", n.alias("n_terms"), F.round("l1", 6).alias("l1"), fits.alias("fits"))
+
+
 def q_vector_dense_dump(spark, sf_dir):
     """K4 + M1 (ML form): L1 tf-idf vectors of every document as dense arrays over the vocabulary,
     written as Parquet and read back."""
     arts = articles(spark, sf_dir)
     vec = vz.fit_vectorizer(arts, "tfidf")
-    dense = vec.transform(arts, keep=("doc_id",)).select(
-        "doc_id", F.transform(ex.dense_array(F.col("features")), lambda x: F.round(x, 6)).alias("vec")
-    )
     path = scratch_path(spark, "dense")
-    dense.write.parquet(path)
-    return spark.read.parquet(path)
+    vec.transform(arts, keep=("doc_id",)).select("doc_id", ex.dense_array(F.col("features")).alias("vec")).write.parquet(path)
+    return spark.read.parquet(path).select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 def q_kmeans_membership(spark, sf_dir):
-    """M1 + M3 + M6 + J1: tfidf vectors of every document, k-means (k 20, best of 3), labels."""
+    """M1 + M3 + M6 + J1: tfidf vectors of every document, k-means (k 20, best of 3), labels checked."""
     _, vectors = _vectors(spark, sf_dir)
     model, _ = md.kmeans_restarts(vectors)
-    return md.assign_model(model, vectors)
+    return _checked(vectors, md.assign_model(model, vectors), md.centers_of(model))
 
 
 def q_kmeans_best_of_n(spark, sf_dir):
-    """M3: cost of each restart and the one kept."""
+    """M3: the restarts, and that the kept model's cost over all vectors is their least."""
     _, vectors = _vectors(spark, sf_dir)
-    _, runs = md.kmeans_restarts(vectors)
-    best = min(r[2] for r in runs)
-    rows = [(r[0], r[1], r[2], r[2] == best) for r in runs]
-    return spark.createDataFrame(rows, "run int, seed int, cost double, chosen boolean")
+    model, runs = md.kmeans_restarts(vectors)
+    kept = md.assign_with_centres(spark, vectors, md.centers_of(model)).agg(F.sum("dist2").alias("cost"), F.count("*").alias("n_docs"))
+    least = F.lit(min(r[2] for r in runs))
+    return kept.select("n_docs", F.lit(len(runs)).alias("n_runs"), (F.abs(F.col("cost") - least) <= 1e-6 * least).alias("kept_is_least"))
 
 
 def q_kmeans_keywords(spark, sf_dir):
@@ -372,44 +410,51 @@ def q_kmeans_keywords(spark, sf_dir):
     vocab = vec.vocabulary_df(spark)
     cents = md.centroid_terms(spark, md.centers_of(model), vocab)
     clusters = spark.range(md.DEFAULT_K).select(F.col("id").cast("int").alias("cluster_id"))
-    return rp.top_terms(cents, TOP_N, "cluster_id", clusters=clusters, vocab=vocab)
+    return _known_terms(spark, sf_dir, rp.top_terms(cents, TOP_N, "cluster_id", clusters=clusters, vocab=vocab), "cluster_id")
 
 
 def q_kmeans_pp_membership(spark, sf_dir):
     """M5: one k-means|| (scalable k-means++) run of 30 iterations, no standardising."""
     _, vectors = _vectors(spark, sf_dir)
     model, _ = md.kmeans_restarts(vectors, n_init=1)
-    return md.assign_model(model, vectors)
+    return _checked(vectors, md.assign_model(model, vectors), md.centers_of(model))
 
 
 def q_minibatch_membership(spark, sf_dir):
-    """M4: mini-batch k-means, then every document labelled."""
+    """M4: mini-batch k-means (batches of 1,000, 3 epochs), then every document labelled."""
     _, vectors = _vectors(spark, sf_dir)
-    res = md.minibatch_kmeans(spark, vectors)
-    return md.assign_with_centres(spark, vectors, res.centers).drop("dist2")
+    res = md.minibatch_kmeans(spark, vectors, batch_size=1000, max_iter=3)
+    return _checked(vectors, md.assign_with_centres(spark, vectors, res.centers).drop("dist2"), res.centers)
+
+
+def q_minibatch_epochs(spark, sf_dir):
+    """M4: members folded in by 2 epochs over batches of 100 documents."""
+    arts, vectors = articles(spark, sf_dir), _vectors(spark, sf_dir)[1]
+    res = md.minibatch_kmeans(spark, vectors, k=5, batch_size=100, max_iter=2, n_init=1)
+    return arts.agg(F.count("*").alias("n_docs")).select("n_docs", F.lit(res.steps).cast("bigint").alias("n_steps"), F.lit(res.folded).cast("bigint").alias("n_folded"))
 
 
 def q_hash_tf(spark, sf_dir):
     """M2: hashing vectors; per document the non-zero buckets and the L1 norm (1, or 0 when empty)."""
     _, vectors = _vectors(spark, sf_dir, "hashing")
-    return vz.vector_stats(vectors.select("doc_id", "features")).select(
-        "doc_id", "n_buckets", F.round("l1", 6).alias("l1")
-    )
+    return _hash_checked(spark, sf_dir, vectors)
 
 
 def q_lda_topics(spark, sf_dir):
-    """M7 + M8: 10 LDA topics on term counts over the tfidf vocabulary, 20 keywords each."""
+    """M7 + M8: 10 LDA topics by 10 full passes over term counts, 20 keywords each, all known terms."""
     arts = articles(spark, sf_dir)
     vec = vz.fit_vectorizer(arts, "tfidf")
     tokens = tk.add_tokens(arts.select("doc_id", "content"), "content", "tokens")
     counts = materialize(vz.counts_pipeline(vec).transform(tokens).select("doc_id", "features"))
-    model = tp.fit_lda(counts, n_topics=10, max_iter=30)
-    return tp.topic_terms(model, vec.vocabulary_df(spark), TOP_N)
+    model = tp.fit_lda(counts, n_topics=10, max_iter=10)
+    sums = spark.createDataFrame([(i, s) for i, s in enumerate(tp.topic_sums(model))], "topic int, total double")
+    named = tp.topic_terms(model, vec.vocabulary_df(spark), TOP_N).drop("top_weight_sum")
+    return _known_terms(spark, sf_dir, named, "topic").join(sums, "topic").select("topic", "n_terms", "n_known", F.round("total", 6).alias("total"))
 
 
 def q_end_to_end_tfidf(spark, sf_dir):
     """XML files -> parse -> tfidf -> k-means -> keywords + collated URLs -> CSV; the
-    collated table read back."""
+    members of the collated URLs read back."""
     from . import jobs
 
     docs = read_table(spark, sf_dir, "documents")
@@ -418,10 +463,10 @@ def q_end_to_end_tfidf(spark, sf_dir):
         "rootTag", ps.ROOT_TAG
     ).save(src)
     out = scratch_path(spark, "e2e_out")
-    paths = jobs.run(spark, src, out, "xml", jobs.JobConfig(collate=True))
-    return spark.read.schema("cluster_id int, page bigint, clickable_content string").option("header", True).csv(
-        paths["clusters"]
-    )
+    paths = jobs.run(spark, src, out, "xml", jobs.JobConfig(collate=True, on_bad="skip"))
+    urls = spark.read.schema("cluster_id int, page bigint, clickable_content string").option("header", True).csv(paths["clusters"])
+    ids = F.replace("clickable_content", F.lit(rp.DEFAULT_SEARCH_URL), F.lit(""))
+    return urls.select(F.explode(F.split(ids, "%20")).alias("permalink")).where("permalink <> ''")
 
 
 def q_end_to_end_hashing(spark, sf_dir):
@@ -432,9 +477,12 @@ def q_end_to_end_hashing(spark, sf_dir):
     src = scratch_path(spark, "e2e_txt")
     rc.text_records(docs).select("record").write.text(src)
     out = scratch_path(spark, "e2e_out")
-    cfg = jobs.JobConfig(vectorizer="hashing", algorithm="minibatch", gen_keywords=False, require_title=False)
+    cfg = jobs.JobConfig(
+        vectorizer="hashing", algorithm="minibatch", gen_keywords=False, require_title=False, on_bad="skip", hash_features=1 << 18, max_iter=3
+    )
     paths = jobs.run(spark, src, out, "txt", cfg, staged_path=scratch_path(spark, "e2e_staged"))
-    return spark.read.schema("cluster_id int, permalink string").option("header", True).csv(paths["clusters"])
+    members = spark.read.schema("cluster_id int, permalink string").option("header", True).csv(paths["clusters"])
+    return members.select("permalink", F.col("cluster_id").between(0, cfg.k - 1).alias("in_range"))
 
 
 def q_stream_replay(spark, sf_dir):
@@ -476,7 +524,7 @@ def q_stream_hash(spark, sf_dir):
     sink, ckpt = scratch_path(spark, "hash_sink"), scratch_path(spark, "hash_ckpt")
     st.drain(st.hash_stream(st.replay(spark, path), stages), sink, ckpt)
     final = st.finish_hashing(spark, sink)  # idf fitted afterwards over what the stream wrote
-    return vz.vector_stats(final).select("doc_id", "n_buckets", F.round("l1", 6).alias("l1"))
+    return _hash_checked(spark, sf_dir, final)
 
 
 def q_stream_minibatch(spark, sf_dir):
@@ -491,7 +539,58 @@ def q_stream_minibatch(spark, sf_dir):
     st.minibatch_stream(spark, vectors_stream, state, ckpt)
     centers, _ = st.final_centres(spark, state)
     all_vectors = vec.transform(spark.read.parquet(path), keep=("doc_id", "permalink"))
-    return md.assign_with_centres(spark, all_vectors, centers).drop("dist2")
+    return _checked(all_vectors, md.assign_with_centres(spark, all_vectors, centers).drop("dist2"), centers)
+
+
+def _xml_folder(spark, sf_dir, name):
+    src = scratch_path(spark, name)
+    docs = read_table(spark, sf_dir, "documents")
+    rc.xml_struct(docs).write.partitionBy("lang").format("xml").option("rowTag", ps.RECORD_TAG).option("rootTag", ps.ROOT_TAG).save(src)
+    return src
+
+
+def q_record_numbers(spark, sf_dir):
+    """S1/S3/W1 over many files: every record of XML and text folders has its own number, 0..n-1, and
+    a file's numbers follow those of the files before it by name."""
+    from . import jobs
+
+    text = scratch_path(spark, "numbers_txt")
+    rc.text_records(read_table(spark, sf_dir, "documents")).select("record").write.text(text)
+    out = None
+    for kind, src in (("xml", _xml_folder(spark, sf_dir, "numbers_xml")), ("txt", text)):
+        recs = jobs.load_records(spark, src, kind, jobs.JobConfig(on_bad="skip", require_title=False))
+        files = recs.groupBy("source_file").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count_distinct("seq").alias("n"))
+        after = F.lag("hi").over(Window.orderBy("source_file"))  # one row per file
+        files = files.withColumn("ordered", F.col("lo") == F.coalesce(after, F.lit(-1)) + 1)
+        row = files.agg(
+            F.sum("n").alias("n_records"), F.max("hi").alias("last"), F.bool_and((F.col("hi") - F.col("lo") + 1 == F.col("n")) & F.col("ordered")).alias("in_order")
+        ).select(F.lit(kind).alias("in_format"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def q_staged_per_source(spark, sf_dir):
+    """S4 + K2: a directory of XML files staged one folder per file, read back."""
+    from . import jobs
+
+    out = scratch_path(spark, "per_source")
+    jobs.ingest_directory(spark, _xml_folder(spark, sf_dir, "per_source_xml"), out, "xml", jobs.JobConfig(on_bad="skip"))
+    return spark.read.parquet(out).groupBy(F.regexp_extract("source_name", "lang=?_*([a-z]{2})__", 1).alias("lang")).agg(F.count("*").alias("n_records"))
+
+
+def q_features_reuse(spark, sf_dir):
+    """K3 + S8: a second job over saved vectors reads no records and gives the same clusters."""
+    from . import jobs
+
+    saved, cfg = scratch_path(spark, "features"), jobs.JobConfig(k=5, n_init=1, max_iter=5)
+
+    def absent():
+        raise AssertionError("the records were read again")
+
+    first = jobs.cluster_articles(spark, articles(spark, sf_dir), cfg, saved).membership
+    again = jobs.cluster_articles(spark, absent, cfg, saved).membership
+    both = first.join(again.select("doc_id", F.col("cluster_id").alias("again")), "doc_id")
+    return both.select("doc_id", "permalink", (F.col("cluster_id") == F.col("again")).alias("same"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -506,6 +605,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_keywords": q_kmeans_keywords,
         "kmeans_pp_membership": q_kmeans_pp_membership,
         "minibatch_membership": q_minibatch_membership,
+        "minibatch_epochs": q_minibatch_epochs,
+        "record_numbers": q_record_numbers,
+        "staged_per_source": q_staged_per_source,
+        "features_reuse": q_features_reuse,
         "hash_tf": q_hash_tf,
         "lda_topics": q_lda_topics,
         "end_to_end_tfidf": q_end_to_end_tfidf,

@@ -49,11 +49,14 @@ def dense_array(vec: Column) -> Column:
     return vector_to_array(vec)
 
 
-def tsv_line(values: Column, decimals: int = 6) -> Column:
-    """K5: numbers as text, tab-separated, fixed ``decimals``."""
-    return F.concat_ws(
-        "\t", F.transform(values, lambda x: F.round(x.cast("double"), decimals).cast(f"decimal(38,{decimals})").cast("string"))
-    )
+def fixed_decimals(value: Column, decimals: int) -> Column:
+    return F.round(value.cast("double"), decimals).cast(f"decimal(38,{decimals})").cast("string")
+
+
+def tsv_line(values: Column, decimals: int | None = None) -> Column:
+    """K5: numbers as text, tab-separated, in full precision or with fixed ``decimals``."""
+    text = lambda x: x.cast("double").cast("string") if decimals is None else fixed_decimals(x, decimals)
+    return F.concat_ws("\t", F.transform(values, text))
 
 
 def write_tsv(lines: DataFrame, path: str, col: str = "line") -> None:
