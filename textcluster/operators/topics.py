@@ -45,4 +45,4 @@ def topic_sums(model: LDAModel) -> list[float]:
     """Sum of each topic's normalised term distribution (1.0 each); the V x k matrix is bounded by
     the vocabulary size and topic count."""
     m = model.topicsMatrix().toArray()
-    return list((m / m.sum(axis=0, keepdims=True)).sum(axis=0))
+    return (m / m.sum(axis=0, keepdims=True)).sum(axis=0).tolist()

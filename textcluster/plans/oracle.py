@@ -263,7 +263,7 @@ FROM range(4) r WHERE r.range NOT IN (SELECT cluster_id FROM mem)"""
         "CASE WHEN n.n IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS l1, true AS fits FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"
     )
     q["stream_hash"] = q["hash_tf"]
-    q["end_to_end_tfidf"] = f"WITH {_XML} SELECT permalink FROM xv"
+    q["end_to_end_tfidf"] = f"WITH {_XML} SELECT permalink FROM x"
     q["end_to_end_hashing"] = f"WITH {_TEXT} SELECT permalink, true AS in_range FROM tx WHERE content IS NOT NULL AND permalink IS NOT NULL"
     q["staged_per_source"] = q["dir_scan"]
     q["record_numbers"] = (
