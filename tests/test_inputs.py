@@ -101,7 +101,7 @@ def test_one_python_node_per_parse(spark):
         assert plan.count("ArrowEvalPython") + plan.count("BatchEvalPython") == 1, name
 
 
-LAZY = ["term_freq", "doc_freq", "vocabulary", "tfidf_l1", "top_terms", "collate_urls", "assign_nearest", "lloyd_step", "xml_extract", "text_extract", "part_numbers", "xml_pages"]
+LAZY = ["term_freq", "doc_freq", "vocabulary", "idf", "collate_urls", "assign_nearest", "lloyd_step", "xml_extract", "text_extract", "part_numbers", "xml_pages"]
 
 
 def test_building_a_query_runs_no_job(spark):

@@ -92,9 +92,9 @@ def normalise_long(weights: DataFrame, norm: str = "l1", id_col: str = "doc_id",
 def tfidf_long(tf: DataFrame, idf: DataFrame, norm: str = "l1", id_col: str = "doc_id") -> DataFrame:
     """M1 (long form): ``(doc_id, term_idx, term, tf, weight)`` for terms in the vocabulary.
 
-    ``tf`` comes from ``tokens.term_freq`` and is partitioned by document, so the broadcast join
-    (vocabulary side: at most ``max_features`` rows, a top-n) and the per-document norm window
-    run without another exchange. Documents with no kept term have no rows (a zero vector).
+    The broadcast side is the vocabulary, a top-n of at most ``max_features`` rows; the norm window
+    exchanges the weights by document. ``vectors.tfidf_rows`` gives the same rows with no exchange,
+    from a fitted vectorizer. Documents with no kept term have no rows (a zero vector).
     """
     joined = tf.join(F.broadcast(idf.select("term", "term_idx", "idf")), "term")
     w = joined.select(id_col, "term_idx", "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))

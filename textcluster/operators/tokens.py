@@ -1,10 +1,8 @@
 """Tokens and term statistics.
 
-Plan shape: the ``(doc_id, text)`` rows are hash-partitioned by document once (``by_document``);
-the text is the most compact form of a document's tokens, so this is the cheapest exchange that
-makes every per-document step local. After it, tokenising, term counts (A1), the vocabulary join
-and the per-document norm run inside partitions with no further exchange of term rows. Corpus
-statistics (A2, A3) shuffle by term after a partial aggregation in each task.
+Plan shape: every document is one row, so its term counts (A1) are made inside the row, with no
+exchange of text or terms. Corpus statistics (A2, A3) shuffle by term after a partial aggregation in
+each task.
 """
 
 from __future__ import annotations
@@ -20,11 +18,6 @@ def _words(stop_words):
     return english_stop_words() if stop_words is None else tuple(stop_words)
 
 
-def by_document(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Hash-partition by document id (partition count from the session; AQE may coalesce)."""
-    return df.repartition(F.col(id_col))
-
-
 def add_tokens(df: DataFrame, text_col: str = "content", out_col: str = "tokens", stop_words=None) -> DataFrame:
     """C10 + F7 as an array column, token order kept (``stop_words=()`` keeps every token)."""
     return df.withColumn(out_col, remove_words(tokenize(F.col(text_col)), _words(stop_words)))
@@ -38,13 +31,28 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "content",
 
 
 def term_freq(df: DataFrame, id_col: str = "doc_id", text_col: str = "content", stop_words=None) -> DataFrame:
-    """A1: ``(id_col, term, tf)`` from documents, computed per document after one exchange by id."""
-    docs = by_document(df.select(id_col, text_col), id_col)
-    return (
-        token_rows(docs, id_col, text_col, stop_words)
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """A1: ``(id_col, term, tf)`` from documents; a row's tokens are counted on their Arrow batch."""
+    id_type = df.schema[id_col].dataType.simpleString()
+    toks = add_tokens(df.select(id_col, text_col), text_col, "t", stop_words).select(id_col, "t")
+    return toks.mapInArrow(_count_fn(id_col), f"{id_col} {id_type}, term string, tf bigint")
+
+
+def _count_fn(id_col: str):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            lists = b.column("t")
+            rows = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            coded = pc.list_flatten(lists).dictionary_encode()
+            width = max(len(coded.dictionary), 1)
+            key, tf = np.unique(rows * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            cols = [b.column(id_col).take(pa.array(key // width)), coded.dictionary.take(pa.array(key % width)), pa.array(tf)]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "term", "tf"])
+
+    return run
 
 
 def term_stats_from_docs(df: DataFrame, text_col: str = "content", stop_words=None) -> DataFrame:

@@ -105,6 +105,31 @@ def fit_vectorizer(
     return fit_tfidf(docs, params) if kind == "tfidf" else fit_hashing(docs, params, num_features)
 
 
+def tfidf_rows(vec: Vectorizer, docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """M1 (long form): ``(id_col, term_idx, term, tf, weight)`` of the non-zero vector entries, read
+    off each row's vectors: no exchange of text or term rows. The vocabulary (at most
+    ``max_features`` terms) travels with the tasks."""
+    import pyarrow as pa
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    tok = add_tokens(docs.select(id_col, text_col), text_col, "tokens", vec.params.stop_words)
+    terms = docs.sparkSession.sparkContext.broadcast(vec.vocabulary)
+
+    def run(batches):
+        from .models import flatten_vectors
+
+        vocabulary = pa.array(terms.value, pa.string())
+        for b in batches:
+            _, rows, idx, weight = flatten_vectors(b.column("features"))
+            tf = flatten_vectors(b.column("tf"))[3]
+            cols = [b.column(id_col).take(pa.array(rows)), pa.array(idx.astype("int64")), vocabulary.take(pa.array(idx)), pa.array(tf.astype("int64")), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "term_idx", "term", "tf", "weight"])
+
+    return vec.pipeline.transform(tok).select(id_col, "tf", "features").mapInArrow(
+        run, f"{id_col} {id_type}, term_idx bigint, term string, tf bigint, weight double"
+    )
+
+
 def counts_pipeline(vec: Vectorizer) -> PipelineModel:
     """Raw term counts over the same vocabulary (the LDA input)."""
     if not vec.vocabulary:

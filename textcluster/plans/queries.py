@@ -35,15 +35,6 @@ SMALL_THRESHOLD = 100  # part size for the staging queries, so sf 0.01 spans sev
 TOP_N = 20
 
 
-def _tfidf_parts(spark: SparkSession, sf_dir: str, params: fe.TfidfParams = fe.TfidfParams()):
-    arts = articles(spark, sf_dir)
-    dt = tk.term_freq(arts, "doc_id", "content", params.stop_words)
-    n = fe.doc_count(arts)
-    vocab = fe.vocabulary(dt, n, params)
-    idf = fe.idf_table(vocab, n)
-    return arts, dt, vocab, idf
-
-
 def q_term_freq(spark, sf_dir):
     """C10 + F7 + A1: term counts of every document."""
     return tk.term_freq(articles(spark, sf_dir))
@@ -74,8 +65,8 @@ def q_idf(spark, sf_dir):
 
 
 def _tfidf(spark, sf_dir, norm):
-    _, dt, _, idf = _tfidf_parts(spark, sf_dir)
-    w = fe.tfidf_long(dt, idf, norm)
+    arts = articles(spark, sf_dir)
+    w = vz.tfidf_rows(vz.fit_tfidf(arts, fe.TfidfParams(norm=norm)), arts)
     return w.select("doc_id", "term_idx", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
@@ -91,8 +82,9 @@ def q_tfidf_l2(spark, sf_dir):
 
 def q_top_terms(spark, sf_dir):
     """Top terms with ``lang`` as a given clustering."""
-    _, dt, vocab, idf = _tfidf_parts(spark, sf_dir)
-    weights = fe.tfidf_long(dt, idf, "l1")
+    arts = articles(spark, sf_dir)
+    vec = vz.fit_tfidf(arts)
+    weights, vocab = vz.tfidf_rows(vec, arts), vec.vocabulary_df(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     cents = rp.centroids_long(weights, docs, "lang")
     return rp.top_terms(cents, TOP_N, "lang", clusters=docs.select("lang").distinct(), vocab=vocab)
@@ -307,8 +299,9 @@ def q_union_parts(spark, sf_dir):
 
 
 def _quality_keywords(spark, sf_dir, k: int = 3) -> DataFrame:
-    _, dt, vocab, idf = _tfidf_parts(spark, sf_dir)
-    weights = fe.tfidf_long(dt, idf, "l1")
+    arts = articles(spark, sf_dir)
+    vec = vz.fit_tfidf(arts)
+    weights, vocab = vz.tfidf_rows(vec, arts), vec.vocabulary_df(spark)
     cents = rp.centroids_long(weights, _quality_membership(spark, sf_dir), "cluster_id")
     clusters = spark.range(k).select(F.col("id").cast("int").alias("cluster_id"))
     return rp.top_terms(cents, TOP_N, "cluster_id", clusters=clusters, vocab=vocab)
