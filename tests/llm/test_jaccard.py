@@ -51,7 +51,7 @@ def test_prefix_lengths_reach_every_partner():
             for m in range(n, 260):
                 least = -(-how.num * (n + m) // (how.num + how.den))  # overlap of a linked pair
                 if least <= n:
-                    assert how.index(n) >= n - least + 1 and how.probe(m) >= m - least + 1
+                    assert how.prefix(n) >= n - least + 1 and how.prefix(m) >= m - least + 1
 
 
 def test_components_of_chains_and_stars(spark):

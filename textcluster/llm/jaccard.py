@@ -5,8 +5,8 @@ similar enough share an n-gram among the first few of each (the prefix). Candida
 prefix n-grams under a first order, must also share prefix n-grams under two more orders, and are
 then verified with their whole sets. All orders put frequent n-grams last (a fixed-size counting
 sketch over the whole corpus gives the frequency class) and break ties by differently keyed hashes;
-a sketch collision only changes the order, never the result. N-grams before the first shared one of
-a prefix cannot be common, which bounds a pair's overlap before it is verified.
+a sketch collision only changes the order, never the result. N-grams before the first common one are
+not common, which bounds a pair's overlap by the places of a shared n-gram before it is verified.
 
 Dense groups do not give all pairs. Equal sets are one node. In a first round each node is compared
 only with one hub per shared prefix n-gram; the links found join nodes into components. In the
@@ -40,7 +40,7 @@ from .common import MIN_LONG, components, lookup, total, written
 SKETCH_BITS = 22
 BLOCK = 1 << 14
 ORDER_SEEDS = (0x0A11CE, 0x0B0B, 0x0CA501)
-PROFILE = "struct<n:int,f1:bigint,f2:bigint,heat:int,n_index:int,pre1:array<bigint>,pre2:array<int>,pre3:array<int>>"
+PROFILE = "struct<n:int,f1:bigint,f2:bigint,heat:int,pre1:array<bigint>,pre2:array<int>,pre3:array<int>>"
 
 
 @dataclass(frozen=True)
@@ -51,14 +51,10 @@ class Similarity:
     num: int = 80
     den: int = 100
 
-    def probe(self, n: int) -> int:
-        """Prefix length that meets every partner."""
+    def prefix(self, n: int) -> int:
+        """Prefix length that holds the first common n-gram with every partner."""
         return n - -(-self.num * n // self.den) + 1
 
-    def index(self, n: int) -> int:
-        """Prefix length that meets every partner of at least this size."""
-        return n - -(-2 * self.num * n // (self.num + self.den)) + 1
-
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): hashes of text i are first[i] .. first[i + 1], with repeats."""
@@ -120,15 +116,15 @@ def _profile_udf(shared, how: Similarity):
                     rows.append({"n": 0})
                     continue
                 level = levels[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                prefixes, p = [], how.probe(n)
+                prefixes, p = [], how.prefix(n)
                 for seed in ORDER_SEEDS:
                     order = (level.astype(np.uint64) << np.uint64(58)) | (scan.mixed(own ^ np.uint64(seed)) >> np.uint64(6))
                     at = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                     prefixes.append(own[at[np.argsort(order[at])]])
                 f1, f2 = (int(scan.mixed(own + np.uint64(s)).sum().view(np.int64)) for s in (1, 2))
-                rows.append({"n": n, "f1": f1, "f2": f2, "heat": -int(100 * level.mean()), "n_index": how.index(n), "pre1": prefixes[0].view(np.int64), "pre2": _short(prefixes[1]), "pre3": _short(prefixes[2])})
+                rows.append({"n": n, "f1": f1, "f2": f2, "heat": -int(100 * level.mean()), "pre1": prefixes[0].view(np.int64), "pre2": _short(prefixes[1]), "pre3": _short(prefixes[2])})
         ints = pa.list_(pa.int32())
-        kind = pa.struct([("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("heat", pa.int32()), ("n_index", pa.int32()), ("pre1", pa.list_(pa.int64())), ("pre2", ints), ("pre3", ints)])
+        kind = pa.struct([("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("heat", pa.int32()), ("pre1", pa.list_(pa.int64())), ("pre2", ints), ("pre3", ints)])
         return pa.array(rows, kind)
 
     return profile.asNondeterministic()
@@ -163,6 +159,13 @@ def _enough(overlap, a: str, b: str, how: Similarity):
     return overlap * (how.num + how.den) >= (F.col(a) + F.col(b)) * how.num
 
 
+def _in_reach(a: str, b: str, how: Similarity):
+    """Whether a shared n-gram at these prefix places can be the first common one of a linked pair: all
+    that is common then stands at or behind it, in both sets."""
+    rest = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos"))
+    return _enough(rest, f"{a}n", f"{b}n", how)
+
+
 def _bound(one: str, two: str, n: str):
     """Most n-grams of a set of size n that can be common, by the first common one of its prefix."""
     return F.col(n) - F.array_position(one, F.element_at(F.array_intersect(one, two), 1)) + 1
@@ -197,35 +200,28 @@ def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: s
     full = profile.filter("n > 0")
     reps = written(full.groupBy(*keys).agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
     nodes = written(full.join(reps.select(*keys, F.col("rep").alias("doc")), [*keys, "doc"], "left_semi").dropDuplicates([*keys, "doc"]), "jaccard-nodes")
-    posts = nodes.select("doc", "n", "heat", "n_index", F.posexplode("pre1").alias("pos", "gram"))
-    posts = written(posts.select("gram", "doc", "n", "heat", "pos", (F.col("pos") < F.col("n_index")).alias("low")), "jaccard-posts")
-    shared = posts.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("gram")
-    posts = written(posts.join(written(shared, "jaccard-shared"), "gram"), "jaccard-posts")
-    # top: the most that can be common, as the first common n-gram of linked sets is in both prefixes
-    own = posts.groupBy("doc", "n").agg((F.col("n") - F.min("pos")).alias("top")).filter(F.col("top") * how.den >= F.col("n") * how.num)
-    posts = written(posts.drop("pos").join(own, ["doc", "n"]), "jaccard-posts")
-    hubs = posts.groupBy("gram").agg(F.min(F.struct("heat", "doc", "n", "low", "top")).alias("hub"))
-    hubs = written(hubs.select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("doc", "n", "low", "top")]), "jaccard-hubs")
+    posts = nodes.select("doc", "n", "heat", F.posexplode("pre1").alias("pos", "gram"))
+    posts = written(posts.select("gram", "doc", "n", "heat", "pos"), "jaccard-posts")
+    hubs = posts.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.min(F.struct("heat", "doc", "n", "pos")).alias("hub"))
+    hubs = written(hubs.filter("x < y").select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("doc", "n", "pos")]), "jaccard-hubs")
+    posts = written(posts.join(hubs, "gram"), "jaccard-posts")
 
     # round 1: every node against the hub of each n-gram
-    met = posts.join(hubs, "gram").filter("doc <> hub_doc")
-    smaller = F.when(F.struct("n", "doc") < F.struct("hub_n", "hub_doc"), F.col("low")).otherwise(F.col("hub_low"))
-    met = met.filter(smaller & _enough(F.least("n", "hub_n", "top", "hub_top"), "n", "hub_n", how))
+    met = posts.filter("doc <> hub_doc").filter(_in_reach("", "hub_", how))
     first = written(met.select(F.least("doc", "hub_doc").alias("a"), F.greatest("doc", "hub_doc").alias("b")).distinct(), "jaccard-pairs")
     links = written(_verified(first, nodes, docs, how, id_col, text_col), "jaccard-links")
     found = components(links)
 
     # round 2: nodes outside an n-gram's largest component against the nodes of other components
     own = posts.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    own = written(own.select("gram", "doc", "n", "low", "top", "component"), "jaccard-posts")
+    own = written(own.select("gram", "doc", "n", "pos", "component"), "jaccard-posts")
     parts = own.groupBy("gram", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("gram", F.col("top.component").alias("main"))
     mixed = written(mixed, "jaccard-mixed")
     rest = written(own.join(mixed, "gram"), "jaccard-rest")
-    x = rest.filter("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "low", "top", "component")])
-    y = rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "low", "top", "component")])
-    smaller = F.when(F.struct("x_n", "x_doc") < F.struct("y_n", "y_doc"), F.col("x_low")).otherwise(F.col("y_low"))
-    second = x.join(y, "gram").filter("x_component <> y_component").filter(smaller & _enough(F.least("x_n", "y_n", "x_top", "y_top"), "x_n", "y_n", how))
+    x = rest.filter("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "pos", "component")])
+    y = rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "pos", "component")])
+    second = x.join(y, "gram").filter("x_component <> y_component").filter(_in_reach("x_", "y_", how))
     second = second.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _verified(second, nodes, docs, how, id_col, text_col)
