@@ -33,7 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 VARIANTS = 16
 LONG = 96
-SLICE = 4 << 20
+#: bytes of text, and ids, that are worked on at a time
+SLICE, IDS = 1 << 20, 1 << 18
 NONE = np.int64(1) << 62
 
 
@@ -89,7 +90,7 @@ def _slot(keys: np.ndarray, size: int) -> np.ndarray:
 
 
 def _table(pairs: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size = 1 << max(4, (4 * len(pairs)).bit_length())
+    size = 1 << max(4, (2 * len(pairs)).bit_length())
     keys, merged, ranks = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int64)
     slots = _slot(np.fromiter(pairs, np.int64, len(pairs)), size).tolist()
     for (key, (piece, rank)), slot in zip(pairs.items(), slots, strict=True):
@@ -295,10 +296,13 @@ def decode_slice(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np
 def encode_column(spark, vocabulary: Vocabulary, text: Column, seed: int = 7, rate: float = 0.1) -> Column:
     """array<int> of piece ids of a text."""
     shared = ship(spark, vocabulary)
+    ready: list = []
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        own_vocabulary = unpack(shared)
+        if not ready:
+            ready.append(unpack(shared))
+        own_vocabulary = ready[0]
         ids, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         for _, data, offsets in scan.texts(column, SLICE):
             own, n = encode_slice(own_vocabulary, data, offsets, seed, rate)
@@ -311,13 +315,23 @@ def encode_column(spark, vocabulary: Vocabulary, text: Column, seed: int = 7, ra
 def decode_column(spark, vocabulary: Vocabulary, ids: Column) -> Column:
     """The text of an array of piece ids; null for null."""
     shared = ship(spark, vocabulary)
+    ready: list = []
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(unpack(shared))
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         counts = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
-        flat = np.asarray(column.flatten()).astype(np.int64)
-        body, offsets = decode_slice(unpack(shared), flat, counts)
-        return pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body.tobytes())]).cast(pa.string())
+        flat, stop = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(counts)])
+        parts, ends, i = [], [np.zeros(1, np.int64)], 0
+        while i < len(counts):
+            j = max(i + 1, int(np.searchsorted(stop, stop[i] + IDS, "right")) - 1)
+            body, offsets = decode_slice(ready[0], flat[stop[i] : stop[j]], counts[i:j])
+            parts.append(body.tobytes())
+            ends.append(offsets[1:] + ends[-1][-1])
+            i = j
+        texts = pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(np.concatenate(ends)), pa.py_buffer(b"".join(parts))])
+        return texts.cast(pa.string())
 
     return F.when(ids.isNotNull(), decode(ids))
