@@ -41,6 +41,12 @@ def test_null_and_repeated_ids(spark):
     assert sorted(((x["doc"], x["component"]) for x in rows), key=str) == sorted([(4, None), (None, None), (9, None), (2, 2), (9, None)], key=str)
 
 
+def test_an_id_kept_for_one_of_its_texts_stays(spark):
+    a, b = (" ".join(words(rng(i), 60)) for i in (1, 2))
+    kept = jaccard.keep_one(docs(spark, [a, b, b, a], [5, 5, 2, 7]), jaccard.Similarity())
+    assert sorted(x["doc_id"] for x in kept.collect()) == [2, 5, 5]
+
+
 def test_empty_table(spark):
     assert jaccard.components_of(empty(spark), jaccard.Similarity()).count() == 0
 

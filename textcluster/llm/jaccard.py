@@ -168,7 +168,7 @@ def _in_reach(a: str, b: str, how: Similarity):
 
 def _bound(one: str, two: str, n: str):
     """Most n-grams of a set of size n that can be common, by the first common one of its prefix."""
-    return F.col(n) - F.array_position(one, F.element_at(F.array_intersect(one, two), 1)) + 1
+    return F.col(n) - F.array_position(one, F.get(F.array_intersect(one, two), 0)) + 1
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Similarity, id_col: str, text_col: str) -> DataFrame:
@@ -232,7 +232,7 @@ def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: s
 
 
 def components_of(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_grams, component, copies) per document row; an empty set is its own component."""
+    """(doc, n_grams, component) per document row; an empty set is its own component."""
     profile, members = linked(docs, how, id_col, text_col)
     plain = profile.select("doc", "f1", "f2", "n")
     found = lookup(plain, members, ["f1", "f2", "n"], "copies", ["component"], total(members, "copies"))
@@ -246,8 +246,9 @@ def real_component(found: DataFrame):
 
 
 def keep_one(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. Documents with an
-    empty set stay; rows that repeat the kept id stay as one row per text."""
+    """``docs`` with one document of each component: the one with the smallest id, with all its rows.
+    Documents with an empty set stay; an id with several texts stays if it is kept for any of them."""
     found = components_of(docs, how, id_col, text_col)
-    lost = found.filter(~F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("__jc_doc")).distinct()
+    kept = F.bool_or(F.col("doc").eqNullSafe(F.col("component"))).alias("kept")
+    lost = found.groupBy("doc").agg(kept).filter(~F.col("kept")).select(F.col("doc").alias("__jc_doc"))
     return docs.join(lost, docs[id_col].eqNullSafe(lost["__jc_doc"]), "left_anti")
