@@ -20,7 +20,6 @@ from textcluster.llm.common import table, written
 #: near duplicates: word 5-grams, Jaccard similarity of 0.8 or more
 NEAR = jaccard.Similarity(k=5, num=80, den=100)
 SEED, RATE = 7, 0.1
-ENCODED = ("n_pieces", "piece_ids", "round_trip")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids under merge-dropout, their number, and whether they decode
     to the text; an input column with one of these names gives way."""
-    vocabulary = pieces.load()
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select(*[c for c in docs.columns if c not in ENCODED]).withColumn("piece_ids", pieces.encode_column(spark, vocabulary, text, SEED, RATE))
-    back = pieces.decode_column(spark, vocabulary, F.col("piece_ids"))
-    return own.withColumns({"n_pieces": F.size("piece_ids").cast("long"), "round_trip": back.eqNullSafe(text)})
+    return pieces.encode_documents(docs, pieces.load(), seed=SEED, rate=RATE)
 
 
 STAGES = [

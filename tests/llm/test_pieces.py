@@ -73,3 +73,14 @@ def test_columns(spark, vocabulary):
     assert all(x["back"] == (x["text"] or "") for x in rows) and len(rows) == len(texts)
     none = empty(spark).select(pieces.encode_column(spark, vocabulary, F.col("text")).alias("ids"))
     assert none.select(pieces.decode_column(spark, vocabulary, F.col("ids"))).count() == 0
+
+
+def test_documents_keep_their_columns(spark, vocabulary):
+    texts = awkward(rng(2))
+    frame = docs(spark, texts).withColumn("n_pieces", F.lit("taken"))
+    out = pieces.encode_documents(frame, vocabulary, seed=3, rate=0.1)
+    assert out.columns == [c for c in frame.columns if c != "n_pieces"] + list(pieces.ENCODED)
+    rows = {x["doc_id"]: x for x in out.collect()}
+    want = encoded(vocabulary, [t or "" for t in texts], 3, 0.1)
+    assert all(rows[i]["piece_ids"] == w and rows[i]["n_pieces"] == len(w) and rows[i]["round_trip"] and rows[i]["text"] == texts[i] for i, w in enumerate(want))
+    assert pieces.encode_documents(empty(spark), vocabulary).count() == 0

@@ -23,8 +23,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scan
 from .common import ship, unpack
@@ -293,6 +294,34 @@ def decode_slice(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np
     return body[~gone], offsets - np.concatenate([[0], np.cumsum(gone)])[offsets]
 
 
+ENCODED = ("piece_ids", "n_pieces", "round_trip")
+
+
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", seed: int = 7, rate: float = 0.1) -> DataFrame:
+    """The columns of ``docs`` (those named as in ``ENCODED`` give way) with the piece ids of each text,
+    their number, and whether they decode to the text (null: the empty text). A task holds one input
+    batch and the pieces of one slice of it at a time."""
+    plain = [f for f in docs.schema.fields if f.name not in ENCODED]
+    schema = T.StructType([*plain, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+    shared = ship(docs.sparkSession, vocabulary)
+
+    def run(batches):
+        own = unpack(shared)
+        for batch in batches:
+            for i, data, offsets in scan.texts(batch.column(text_col), SLICE):
+                ids, counts = encode_slice(own, data, offsets, seed, rate)
+                body, ends = decode_slice(own, ids, counts)
+                same = np.diff(ends) == np.diff(offsets)
+                if not (same.all() and np.array_equal(body, data)):
+                    same &= [np.array_equal(body[a:b], data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:], strict=True)]
+                rows = batch.slice(i, len(counts))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+                columns = [rows.column(f.name) for f in plain] + [lists, pa.array(counts), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.select(*[f.name for f in plain]).mapInArrow(run, schema)
+
+
 def encode_column(spark, vocabulary: Vocabulary, text: Column, seed: int = 7, rate: float = 0.1) -> Column:
     """array<int> of piece ids of a text."""
     shared = ship(spark, vocabulary)

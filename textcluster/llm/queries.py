@@ -63,12 +63,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document under merge-dropout, and whether they decode to its text."""
-    vocabulary = pieces.load()
-    text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    encoded = docs.withColumn("ids", pieces.encode_column(spark, vocabulary, F.col("text"), seed=7, rate=0.1))
-    back = pieces.decode_column(spark, vocabulary, F.col("ids"))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", back.eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load(), seed=7, rate=0.1)
+    return encoded.select("doc_id", "n_pieces", F.col("piece_ids").alias("ids"), "round_trip")
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
