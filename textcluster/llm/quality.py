@@ -30,6 +30,8 @@ from .labelled import sample, sigmoid, temperature
 
 BITS, DIM, NONZERO, WINDOW, HIDDEN = 14, 64, 4, 2, 32
 BUCKETS, BLOCK = 1 << BITS, 1 << 10
+#: bytes of training text whose token vectors the driver holds at a time
+TRAIN_SLICE = 1 << 18
 #: class of each byte: 0 space, 1 letter, 2 digit, 3 other
 KIND = np.full(256, 3, np.uint8)
 KIND[scan.LETTER], KIND[0x30:0x3A], KIND[scan.SPACE] = 1, 2, 0
@@ -97,7 +99,7 @@ def word_vectors(context: np.ndarray) -> np.ndarray:
     own = np.zeros((BUCKETS, DIM))
     np.add.at(own, (np.arange(BUCKETS)[:, None], places), signs)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    return unit(context.astype(float)) + unit(own)
+    return (unit(context.astype(float)) + unit(own)).astype(np.float32)
 
 
 @dataclass
@@ -134,7 +136,7 @@ def shape(buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
 def train(table: pa.Table, counts: dict[int, int], vectors: np.ndarray, epochs: int = 60, batch: int = 64, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     y = table["y"].to_numpy().astype(float)
-    x = [np.concatenate([pooled(vectors, *found), shape(*found)], 1) for _, d, o in scan.texts(table["text"]) for found in [tokens(d, o)]]
+    x = [np.concatenate([pooled(vectors, *found), shape(*found)], 1) for _, d, o in scan.texts(table["text"], TRAIN_SLICE) for found in [tokens(d, o)]]
     held = table["fold"].to_numpy() == 1
     own = np.flatnonzero(~held)
     if len({*y[own].tolist()}) < 2:
