@@ -67,6 +67,26 @@ def test_removal(spark):
     assert all(words_left[i] == n - hit for i, (n, hit, _) in brute(enumerate(texts), items).items())
 
 
+@pytest.mark.parametrize("max_bytes", [64 << 20, 10])
+def test_rows_that_share_an_id_or_have_none(spark, max_bytes):
+    texts, items, table = case(spark)
+    want = brute(enumerate(texts), items)
+    ids = [(None, 7, i)[i % 3] for i in range(len(texts))]
+    frame = docs(spark, texts, ids)
+    rows = decontaminate.mark(frame, table, max_bytes=max_bytes).collect()
+    got = [(x["doc_id"], x["text"], x["__dc_n_words"], x["__dc_n_hit"], list(x["__dc_items"])) for x in rows]
+    assert sorted(map(repr, got)) == sorted(repr((ids[i], t, *want[i])) for i, t in enumerate(texts))
+    kept = decontaminate.remove_documents(frame, table, max_bytes=max_bytes).collect()
+    assert sorted(repr((x["doc_id"], x["text"])) for x in kept) == sorted(repr((ids[i], t)) for i, t in enumerate(texts) if not want[i][1])
+
+
+def test_spans_are_removed_beyond_the_broadcast(spark):
+    texts, _, table = case(spark)
+    frame = docs(spark, texts, [(None, 7, i)[i % 3] for i in range(len(texts))])
+    cut = [sorted(repr((x["doc_id"], x["text"])) for x in decontaminate.remove_spans(frame, table, max_bytes=n).collect()) for n in (64 << 20, 10)]
+    assert len(cut[0]) == len(texts) and cut[0] == cut[1]
+
+
 def test_empty_tables(spark):
     _, _, table = case(spark)
     assert decontaminate.mark(empty(spark), table).count() == 0

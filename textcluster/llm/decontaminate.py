@@ -8,7 +8,8 @@ The window set is broadcast only if its measured size is at most ``max_bytes``;
 windows of documents and items meet in a shuffled join (``joined_scan``) with the same results.
 
 Defined results: null or empty texts have no words and are clean; items without words or without an
-id give no window; repeated items count once per id; repeated documents are scanned each for itself;
+id give no window; repeated items count once per id; repeated documents are scanned each for itself,
+also where rows share an id or have none;
 empty tables give clean documents or no rows. Other columns pass through untouched.
 """
 
@@ -143,32 +144,64 @@ def _spans(hit, starts, ends, points, origin):
 
 
 def joined_scan(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc, n_words, n_hit, items): the same counts without a broadcast, by joining window hashes."""
+    """(doc, text_hash, n_words, n_hit, items, at), one row for each id and text: the same counts without
+    a broadcast, by joining window hashes; ``at`` lists the hit words' places."""
     lengths = [r[0] for r in windows.select("length").distinct().collect()]  # at most ``width`` numbers
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("body"))
-    counted = rows.select("doc", "text_hash", scan_column(docs.sparkSession, {}, F.col("body"))["n_words"].alias("n_words"))
+    counted = rows.select("doc", "text_hash", scan_column(docs.sparkSession, {}, F.col("body"))["n_words"].alias("n_words")).distinct()
     found = None
     for length in lengths:
         own = rows.select("doc", "text_hash", F.inline(_windows_udf(length, False)("body"))).join(windows.select("hash", "words", "item"), ["hash", "words"])
         own = own.select("doc", "text_hash", "pos", "length", "item")
         found = own if found is None else found.unionByName(own)
+    none = F.array().cast("array<bigint>"), F.array().cast("array<int>")
     if found is None:
-        return counted.select("doc", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<bigint>").alias("items"))
-    hits = found.select("doc", "text_hash", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("at")).distinct().groupBy("doc", "text_hash").agg(F.count("*").alias("n_hit"))
-    items = found.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    both = hits.join(items, [hits.doc.eqNullSafe(items.doc), hits.text_hash == items.text_hash]).select(hits.doc.alias("d"), hits.text_hash.alias("t"), "n_hit", "items")
-    out = counted.join(both, [counted.doc.eqNullSafe(both.d), counted.text_hash == both.t], "left")
-    return out.select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+        return counted.select("doc", "text_hash", "n_words", F.lit(0).cast("long").alias("n_hit"), none[0].alias("items"), none[1].alias("at"))
+    hits = found.groupBy(F.col("doc").alias("d"), F.col("text_hash").alias("t")).agg(
+        F.sort_array(F.collect_set("item")).alias("items"), F.collect_set(F.struct("pos", "length")).alias("places")
+    )
+    places = F.flatten(F.transform("places", lambda x: F.sequence(x["pos"], x["pos"] + x["length"] - 1)))
+    hits = hits.select("d", "t", "items", F.sort_array(F.array_distinct(places)).alias("at"))
+    out = counted.join(hits, [counted.doc.eqNullSafe(hits.d), counted.text_hash == hits.t], "left")
+    out = out.select("doc", "text_hash", "n_words", F.coalesce("items", none[0]).alias("items"), F.coalesce("at", none[1]).alias("at"))
+    return out.select("doc", "text_hash", "n_words", F.size("at").cast("long").alias("n_hit"), "items", "at")
+
+
+def _place_udf():
+    """Code point spans of the runs of words at the given places of a text."""
+
+    @F.arrow_udf("struct<starts:array<int>,ends:array<int>>")
+    def place(column: pa.Array, at: pa.Array) -> pa.Array:
+        begins, stops = [], []
+        for i, data, offsets in scan.texts(column):
+            starts, ends, first = scan.runs(data, offsets, scan.ALNUM[data])
+            points = scan.code_points(data)
+            for doc in range(len(offsets) - 1):
+                own = slice(first[doc], first[doc + 1])
+                hit = np.zeros(first[doc + 1] - first[doc], bool)
+                hit[at[i + doc].as_py()] = True
+                a, b = _spans(hit, starts[own], ends[own], points, offsets[doc])
+                begins.append(a)
+                stops.append(b)
+        kind = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(begins, kind), pa.array(stops, kind)], ["starts", "ends"])
+
+    return place.asNondeterministic()
 
 
 def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", width: int = 10, max_bytes: int = 64 << 20, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``__dc_n_words``, ``__dc_n_hit`` and ``__dc_items``; with the broadcast also the
-    spans ``__dc_starts``, ``__dc_ends`` (code points) of the hit words."""
+    """``docs`` with ``__dc_n_words``, ``__dc_n_hit``, ``__dc_items`` and the spans ``__dc_starts``,
+    ``__dc_ends`` (code points) of the hit words."""
     windows = item_windows(items, width=width)
     found = window_set(windows, max_bytes)
     if found is None:
-        part = joined_scan(docs, windows, id_col, text_col, width).distinct().select(F.col("doc").alias("__dc_doc"), *[F.col(c).alias(f"__dc_{c}") for c in ("n_words", "n_hit", "items")])
-        return docs.join(part, docs[id_col].eqNullSafe(part["__dc_doc"])).drop("__dc_doc")
+        part = joined_scan(docs, windows, id_col, text_col, width)
+        part = part.select(F.col("doc").alias("__dc_doc"), F.col("text_hash").alias("__dc_hash"), *[F.col(c).alias(f"__dc_{c}") for c in ("n_words", "n_hit", "items", "at")])
+        own = docs.withColumn("__dc_key", F.xxhash64(F.col(text_col)))
+        joined = own.join(part, own[id_col].eqNullSafe(part["__dc_doc"]) & (own["__dc_key"] == part["__dc_hash"]))
+        marked = joined.withColumn("__dc", _place_udf()(F.col(text_col), F.col("__dc_at")))
+        counts = [F.col(f"__dc_{c}") for c in ("n_words", "n_hit", "items")]
+        return marked.select(*[F.col(c) for c in docs.columns], *counts, *[F.col(f"__dc.{c}").alias(f"__dc_{c}") for c in ("starts", "ends")])
     marked = docs.withColumn("__dc", scan_column(docs.sparkSession, found, F.col(text_col)))
     return marked.select(*[F.col(c) for c in docs.columns], *[F.col(f"__dc.{c}").alias(f"__dc_{c}") for c in ("n_words", "n_hit", "items", "starts", "ends")])
 
@@ -178,11 +211,9 @@ def remove_documents(docs: DataFrame, items: DataFrame, text_col: str = "text",
     return mark(docs, items, text_col, width, **more).filter("__dc_n_hit = 0").select(*docs.columns)
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", width: int = 10, max_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` with the hit spans cut out of their texts (broadcast window sets only)."""
-    marked = mark(docs, items, text_col, width, max_bytes)
-    if "__dc_starts" not in marked.columns:
-        raise ValueError("the window set exceeds max_bytes; remove whole documents or split the benchmark")
+def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", width: int = 10, max_bytes: int = 64 << 20, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the hit spans cut out of their texts."""
+    marked = mark(docs, items, text_col, width, max_bytes, id_col)
     text = F.col(text_col)
     begin = F.concat(F.array(F.lit(0)), F.col("__dc_ends"))
     end = F.concat(F.col("__dc_starts"), F.array(F.length(text)))
