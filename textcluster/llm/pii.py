@@ -5,9 +5,10 @@ entity c; its contexts are the ``RADIUS`` words on either side of its spans. Ove
 p(c) is the share of all words that stand in contexts of c and p(c | t) the share of the occurrences
 of term t that do. By pointwise mutual information log2(p(c | t) / p(c)) against the information
 content -log2 p(c), a term reveals part of what the entity does: from ``GENERALISE`` of it on, its
-occurrences in contexts of c are generalised, from ``REMOVE`` on removed. A term must also stand in
-``SUPPORT`` of all contexts of c (at least 3), which bounds the terms to be counted, and so the
-broadcast, at len(KINDS) * 2 * RADIUS / SUPPORT whatever the corpus.
+occurrences in contexts of c are generalised, from ``REMOVE`` on removed. A term must also stand
+``LEAST`` times in contexts of c, whatever the corpus. Counts and mutual information are made by term
+in Spark; the disclosing terms are broadcast if their measured size is at most ``max_bytes``, and
+beyond that meet the words in contexts in a shuffled join with the same results.
 
 Defined results: null and empty texts have no spans; spans of different kinds may overlap, spans of
 one kind do not; terms never lie inside a pattern span; repeated documents count as often as they
@@ -17,7 +18,6 @@ occur; an empty table gives no rows; only the text column is read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,7 +34,13 @@ IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]+")
-RADIUS, SUPPORT, GENERALISE, REMOVE = 8, 0.002, 0.5, 0.75
+RADIUS, LEAST, GENERALISE, REMOVE = 8, 3, 0.5, 0.75
+#: share of an entity's contexts that a term must fill: none, as any would rise with the corpus
+SUPPORT = 0.0
+#: bytes that a term takes in a broadcast
+TERM_BYTES = 200
+#: copies of a term in the shuffled join
+DEAL = 16
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -113,63 +120,53 @@ def _slices(batches):
             yield data, offsets
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text") -> dict[int, dict[int, str]]:
-    """{kind: {word hash: "generalise" or "remove"}}, from statistics over all documents."""
+def term_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, term, told): the word hashes that reveal a kind, with "generalise" or "remove", from
+    statistics over all documents."""
 
-    def near(batches):
-        count: Counter = Counter()
-        words = 0
+    def count(batches):
         for data, offsets in _slices(batches):
-            words += len(scan.runs(data, offsets, scan.LETTER[data])[0])
+            starts, ends, _ = scan.runs(data, offsets, scan.LETTER[data])
+            found = [(-1, scan.run_hashes(data, starts, ends))]
             for i in _suspects(data, offsets):
                 body = data[offsets[i] : offsets[i + 1]]
                 spans = base_spans(body.tobytes().decode())
                 if spans:
                     (_, _, hashes), kinds = _contexts(body, spans)
-                    for kind, at in enumerate(kinds):
-                        if len(at):
-                            count.update(zip([kind] * len(at), hashes[at].view(np.int64).tolist(), strict=True))
-                            count[kind, None] += len(at)
-        rows = [(k, t, n) for (k, t), n in count.items()] + [(-1, None, words)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["kind", "term", "n"])
-
-    texts = docs.select(text_col)
-    counted = texts.mapInArrow(near, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")).persist()
-    try:
-        sizes = {r[0]: r[1] for r in counted.filter("term is null").select("kind", "n").collect()}
-        least = F.lit(0)
-        for kind in range(len(KINDS)):
-            least = F.when(F.col("kind") == kind, F.lit(max(3, int(np.ceil(SUPPORT * sizes.get(kind, 0) / (2 * RADIUS)))))).otherwise(least)
-        frequent = counted.filter("term is not null").filter(F.col("n") >= least).collect()  # bounded by SUPPORT
-    finally:
-        counted.unpersist()
-    terms = np.unique(np.array([r["term"] for r in frequent], np.int64).view(np.uint64))
-    if not len(terms):
-        return {}
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def everywhere(batches):
-        own = shared.value
-        seen = np.zeros(len(own), np.int64)
-        for data, offsets in _slices(batches):
-            starts, ends, _ = scan.runs(data, offsets, scan.LETTER[data])
-            hashes = scan.run_hashes(data, starts, ends)
-            at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-            seen += np.bincount(at[own[at] == hashes], minlength=len(own))
-        full = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(own[full].view(np.int64)), pa.array(seen[full])], ["term", "n"])
-
-    whole = {r[0]: r[1] for r in texts.mapInArrow(everywhere, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
+                    found += [(kind, hashes[at]) for kind, at in enumerate(kinds) if len(at)]
+            for kind in sorted({k for k, _ in found}):
+                terms, n = np.unique(np.concatenate([h for k, h in found if k == kind]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), kind, np.int32)), pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "term", "n"])
+
+    rows = docs.select(text_col).mapInArrow(count, "kind int, term long, n long")
+    own = {"whole": -1} | {f"n{k}": k for k in range(len(KINDS))}
+    counts = written(rows.groupBy("term").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for c, k in own.items()]), "pii-terms")
+    sizes = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in own]).first()
+    kinds = []
+    for kind in range(len(KINDS)):
+        share = sizes[f"n{kind}"] / sizes["whole"] if sizes["whole"] else 0.0
+        if 0 < share < 1:
+            kinds.append(F.struct(F.lit(kind).alias("kind"), F.col(f"n{kind}").alias("n"), F.lit(share).alias("share"), F.lit(float(-np.log2(share))).alias("content")))
+    if not kinds:
+        return counts.select(F.lit(0).alias("kind"), "term", F.lit("").alias("told")).limit(0)
+    near = counts.select("term", "whole", F.inline(F.array(*kinds))).filter(F.col("n") >= LEAST)
+    pmi = F.log2(F.col("n") / F.col("whole") / F.col("share"))
+    told = F.when(pmi >= REMOVE * F.col("content"), "remove").when(pmi >= GENERALISE * F.col("content"), "generalise")
+    return written(near.select("kind", "term", told.alias("told")).filter("told is not null"), "pii-told")
+
+
+def _on_driver(table: DataFrame) -> dict[int, dict[int, str]]:
     out: dict[int, dict[int, str]] = {}
-    for row in frequent:
-        share = sizes[row["kind"]] / sizes[-1]
-        content = -np.log2(share) if share < 1 else 0.0
-        told = np.log2(row["n"] / whole[row["term"]] / share)
-        if content > 0 and told >= GENERALISE * content:
-            out.setdefault(row["kind"], {})[row["term"]] = "remove" if told >= REMOVE * content else "generalise"
+    for row in table.toLocalIterator():
+        out.setdefault(row["kind"], {})[row["term"]] = row["told"]
     return out
 
 
+def disclosing_terms(docs: DataFrame, text_col: str = "text") -> dict[int, dict[int, str]]:
+    """{kind: {word hash: "generalise" or "remove"}} on the driver, for tables known to be small."""
+    return _on_driver(term_table(docs, text_col))
+
+
 FOUND = "struct<kind:string,start:int,end:int>"
 
 
@@ -204,13 +201,58 @@ def spans_column(spark, terms: dict[int, dict[int, str]], text: Column) -> Colum
     return find.asNondeterministic()(text)
 
 
-def mark(docs: DataFrame, text_col: str = "text", terms: dict | None = None) -> DataFrame:
+def _context_words_udf():
+    """array<struct<kind, term, start, end>> of a text: the words in contexts of each kind."""
+    names = ("kind", "term", "start", "end")
+
+    @F.arrow_udf("array<struct<kind:int,term:bigint,start:int,end:int>>")
+    def near(column: pa.Array) -> pa.Array:
+        out = []
+        for _, data, offsets in scan.texts(column):
+            rows: list[list] = [[] for _ in range(len(offsets) - 1)]
+            for i in _suspects(data, offsets):
+                body = data[offsets[i] : offsets[i + 1]]
+                spans = base_spans(body.tobytes().decode())
+                if spans:
+                    (starts, ends, hashes), kinds = _contexts(body, spans)
+                    points = scan.code_points(body)
+                    for kind, at in enumerate(kinds):
+                        each = (hashes[at].view(np.int64).tolist(), points[starts[at]].tolist(), points[ends[at]].tolist())
+                        rows[i] += [dict(zip(names, (kind, *x), strict=True)) for x in zip(*each, strict=True)]
+            out += rows
+        return pa.array(out, pa.list_(pa.struct(list(zip(names, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)))))
+
+    return near.asNondeterministic()
+
+
+def _joined_mark(docs: DataFrame, text_col: str, table: DataFrame) -> DataFrame:
+    """``mark`` without a broadcast: words in contexts meet the terms by kind and term, the spans found
+    come back to the rows by text. A term may stand beside every span, so its words are dealt out over
+    ``DEAL`` copies of it."""
+    key = F.sha2(F.col(text_col).cast("binary"), 256)
+    texts = docs.select(key.alias("__pii_key"), F.col(text_col).alias("body")).filter("body rlike '[@0-9]'")
+    words = texts.dropDuplicates(["__pii_key"]).select("__pii_key", F.inline(_context_words_udf()("body")))
+    words = words.withColumn("deal", F.pmod(F.xxhash64("__pii_key", "start"), F.lit(DEAL)).cast("int"))
+    dealt = table.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    found = words.join(dealt, ["kind", "term", "deal"]).groupBy("__pii_key", "start", "end").agg(F.max("told").alias("told"))
+    found = found.groupBy("__pii_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "told"))).alias("__pii_told"))
+    own = docs.withColumn("__pii_own", F.coalesce(key, F.lit("")))
+    base = own.join(found, own["__pii_own"] == found["__pii_key"], "left").withColumn("__pii_base", spans_column(docs.sparkSession, {}, F.col(text_col)))
+    told = F.transform("__pii_told", lambda x: F.struct(x["told"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return base.select(*docs.columns, F.concat("__pii_base", F.coalesce(told, F.array().cast(f"array<{FOUND}>"))).alias("__pii"))
+
+
+def mark(docs: DataFrame, text_col: str = "text", terms: dict | None = None, max_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with ``__pii``, the spans of each text."""
-    terms = disclosing_terms(docs, text_col) if terms is None else terms
+    if terms is None:
+        table = term_table(docs, text_col)
+        if table.count() * TERM_BYTES > max_bytes:
+            return _joined_mark(docs, text_col, table)
+        terms = _on_driver(table)
     return docs.withColumn("__pii", spans_column(docs.sparkSession, terms, F.col(text_col)))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", terms: dict | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", terms: dict | None = None, max_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with pattern spans replaced by their kind, generalised terms by [TERM], removed terms
     by nothing. Where spans overlap, the one that starts first (then the longer) is replaced."""
     order = F.array_sort("__pii", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
@@ -223,5 +265,5 @@ def sanitise(docs: DataFrame, text_col: str = "text", terms: dict | None = None)
         return F.when(span["start"] < acc["at"], acc).otherwise(F.struct(added.alias("out"), span["end"].alias("at")))
 
     clean = F.aggregate(order, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    marked = mark(docs, text_col, terms).withColumn("__pii_text", F.when(F.size("__pii") > 0, clean).otherwise(text))
+    marked = mark(docs, text_col, terms, max_bytes).withColumn("__pii_text", F.when(F.size("__pii") > 0, clean).otherwise(text))
     return marked.select(*[F.col("__pii_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
