@@ -46,6 +46,24 @@ def test_dropout_varies_by_seed_and_is_lossless(spark, vocabulary):
     assert len({tuple(x) for x in np.split(one, np.flatnonzero([vocabulary.spelled[vocabulary.spelled_at[i]] == 32 for i in one])) for x in [x.tolist()]}) > 5
 
 
+def test_the_skip_share_of_every_merge_nears_the_rate(vocabulary):
+    # one merge a word: "▁" and a letter; 80 texts of 50 times the letters
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{i} " + " ".join(letters * 50) for i in range(80)]
+    ids = np.concatenate([np.array(x) for x in encoded(vocabulary, texts, 7, 0.1)])
+    for c in letters:
+        alone, merged = vocabulary.symbols[ord(c)], vocabulary.merged[pieces._find(vocabulary, np.array([vocabulary.space]), vocabulary.symbols[[ord(c)]])][0]
+        skipped, whole = (ids == alone).sum(), (ids == merged).sum()
+        assert skipped + whole == 4000 and abs(skipped / 4000 - 0.1) < 0.022, c
+    # the variety of a word grows with its occurrences
+    texts = [f"{i} " + " ".join(["internationalization"] * 100) for i in range(20)]
+    cut = set()
+    for x in encoded(vocabulary, texts, 7, 0.3):
+        at = np.flatnonzero([vocabulary.spelled[vocabulary.spelled_at[i]] == 32 for i in x])
+        cut |= {tuple(w.tolist()) for w in np.split(np.array(x), at)}
+    assert len(cut) > 100
+
+
 def test_slices_and_order_do_not_matter(vocabulary):
     texts = cases()
     whole = encoded(vocabulary, texts, 5, 0.2)

@@ -2,13 +2,14 @@
 
 Encoding is merge agenda processing: of all adjacent pairs whose join is a piece, the one with the
 best score (then the leftmost) is merged, until none is left. With a dropout rate, each candidate
-merge is skipped for good by a hash of the seed, the word's content, a variant drawn from the word's
-place in its text, and the candidate's place in the word. The segmentation is thus a function of
-text, seed and rate alone: the same on every run, executor and retry, and other at other places of
-the text. Rate 0 gives the model's own encoding. Characters without a piece become byte pieces.
-
-The agenda runs in numpy over the distinct (word, variant) pairs of a slice, one merge per word and
-round; words above ``LONG`` symbols use a heap. A word ends where no piece can cross: before white
+merge is skipped for good by a hash of the seed, the text's content, the word's place in its text,
+and the candidate's place in the word. The segmentation is thus a function of text, seed and rate
+alone: the same on every run, executor and retry, and drawn anew at every place of every text. Rate
+0 gives the model's own encoding. Characters without a piece become byte pieces.
+
+The agenda runs in numpy, one merge per word and round, over the distinct words of a slice without
+dropout, and again over each occurrence for which a candidate merge met there is skipped; words
+above ``LONG`` symbols use a heap. A word ends where no piece can cross: before white
 space that follows other characters, and at characters without a piece.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; U+2581 in a text
@@ -32,7 +33,6 @@ from .common import ship, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-VARIANTS = 16
 LONG = 96
 #: bytes of text, and ids, that are worked on at a time
 SLICE, IDS = 1 << 20, 1 << 18
@@ -116,26 +116,32 @@ def _find(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def _skipped(seed: int, rate: float, word: np.ndarray, a, m, b) -> np.ndarray:
-    """Whether the candidate that joins symbols a..m and m..b of a word is skipped."""
+def _merge_keys(seed: int, a, m, b) -> np.ndarray:
+    """A hash of the candidate that joins symbols a..m and m..b of a word."""
     place = (np.asarray(a, np.uint64) << np.uint64(42)) ^ (np.asarray(m, np.uint64) << np.uint64(21)) ^ np.asarray(b, np.uint64)
-    draw = scan.mixed(word ^ scan.mixed(place + np.uint64(seed & scan.MASK)))
-    return (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
+    return scan.mixed(place + np.uint64(seed & scan.MASK))
+
 
+def _skipped(rate: float, occurrence: np.ndarray, merge: np.ndarray) -> np.ndarray:
+    """Whether a candidate is skipped at an occurrence of its word."""
+    return (scan.mixed(occurrence ^ merge) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
 
-def _scored(v: Vocabulary, left, right, key, a, m, b, seed: int, rate: float) -> np.ndarray:
+
+def _scored(v: Vocabulary, left, right, key, a, m, b, seed: int, rate: float, met: list | None = None) -> np.ndarray:
     """rank << 46 | joined piece of candidate pairs (symbols a..m and m..b of a word), NONE where they
     are no piece or skipped."""
     slot = _find(v, left, right)
     out = np.full(len(slot), NONE)
     ok = np.flatnonzero(slot >= 0)
     if rate > 0 and len(ok):
-        ok = ok[~_skipped(seed, rate, key[ok], a[ok], m[ok], b[ok])]
+        ok = ok[~_skipped(rate, key[ok], _merge_keys(seed, a[ok], m[ok], b[ok]))]
+    if met is not None:
+        met.append((key[ok], _merge_keys(seed, a[ok], m[ok], b[ok])))
     out[ok] = (v.ranks[slot[ok]] << 46) | v.merged[slot[ok]]
     return out
 
 
-def _agenda(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, seed: int, rate: float):
+def _agenda(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, seed: int, rate: float, met: list | None = None):
     """(word, begin, id) of the final pieces of many words, one merge per word and round."""
     word, length, place = np.arange(len(sizes)), sizes.astype(np.int32), np.arange(len(ids), dtype=np.int64) << 16
     ids, begin = ids.astype(np.int32), _ramp(sizes).astype(np.int32)
@@ -144,7 +150,7 @@ def _agenda(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray,
     inner = np.ones(len(ids), bool)
     inner[starts + sizes - 1] = False
     at = np.flatnonzero(inner)
-    rank[at] = _scored(v, ids[at], ids[at + 1], np.repeat(keys, sizes - 1), begin[at], begin[at] + 1, begin[at] + 2, seed, rate)
+    rank[at] = _scored(v, ids[at], ids[at + 1], np.repeat(keys, sizes - 1), begin[at], begin[at] + 1, begin[at] + 2, seed, rate, met)
     done = []
     while len(ids):
         best = np.minimum.reduceat(rank + place[: len(ids)], starts)
@@ -173,7 +179,7 @@ def _agenda(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray,
         left = np.flatnonzero(at > starts)
         i, w = np.concatenate([at[right], at[left] - 1]), np.concatenate([right, left])
         end = np.where(i + 2 < stop[w], begin[np.minimum(i + 2, len(ids) - 1)], length[w])
-        rank[i] = _scored(v, ids[i], ids[i + 1], keys[w], begin[i], begin[i + 1], end, seed, rate)
+        rank[i] = _scored(v, ids[i], ids[i + 1], keys[w], begin[i], begin[i + 1], end, seed, rate, met)
     return [np.concatenate(x) for x in zip(*done, strict=True)] if done else [np.zeros(0, np.int64)] * 3
 
 
@@ -191,7 +197,7 @@ def _heap_agenda(v: Vocabulary, ids: np.ndarray, key: np.uint64, seed: int, rate
             return
         left, right = np.array([ids[i] for i in many]), np.array([ids[after[i]] for i in many])
         slots = _find(v, left, right)
-        skip = _skipped(seed, rate, word, many, [end[i] for i in many], [end[after[i]] for i in many]) if rate > 0 else np.zeros(len(many), bool)
+        skip = _skipped(rate, word, _merge_keys(seed, many, [end[i] for i in many], [end[after[i]] for i in many])) if rate > 0 else np.zeros(len(many), bool)
         for i, slot, drop in zip(many, slots.tolist(), skip.tolist(), strict=True):
             if slot >= 0 and not drop:
                 heapq.heappush(heap, (int(v.ranks[slot]), i, end[i], end[after[i]], int(v.merged[slot])))
@@ -230,29 +236,55 @@ def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, seed: int
     np.cumsum(scan.mixed(symbols.astype(np.uint64)) * scan.powers(scan.BASE, len(symbols)), out=prefix[1:])
     hashes = scan.span_hashes(prefix, starts, ends)
     first = np.searchsorted(starts, begin)
-    if rate > 0:
-        ordinal = (np.arange(len(starts)) - np.repeat(first, np.diff(np.concatenate([first, [len(starts)]])))).astype(np.uint64)
-        variant = scan.mixed(hashes + ordinal * np.uint64(scan.BASE) + np.uint64(seed & scan.MASK)) % np.uint64(VARIANTS)
-        hashes = scan.mixed(hashes ^ (variant + np.uint64(1)))
-    keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    lengths = ends[where] - starts[where]
+    _, where, unit = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths = ends - starts
     words, begins, pieces = [], [], []
-    short = np.flatnonzero(lengths <= LONG)
-    if len(short):
-        size = lengths[short]
-        flat = np.repeat(starts[where[short]], size) + _ramp(size)
-        w, b, p = _agenda(v, symbols[flat], size, keys[short], seed, rate)
-        words.append(short[w]), begins.append(b), pieces.append(p)
-    for i in np.flatnonzero(lengths > LONG).tolist():
-        b, p = _heap_agenda(v, symbols[starts[where[i]] : ends[where[i]]], keys[i], seed, rate)
-        words.append(np.full(len(b), i)), begins.append(np.array(b)), pieces.append(np.array(p))
+
+    def segment(at: np.ndarray, keys: np.ndarray, base: int, rate: float, met: list | None = None):
+        """Adds the pieces of the words at ``at`` as units from ``base`` on."""
+        short = np.flatnonzero(lengths[at] <= LONG)
+        size = lengths[at[short]]
+        flat = np.repeat(starts[at[short]], size) + _ramp(size)
+        w, b, p = _agenda(v, symbols[flat], size, keys[short], seed, rate, met)
+        words.append(base + short[w]), begins.append(b), pieces.append(p)
+        for i in np.flatnonzero(lengths[at] > LONG).tolist():
+            b, p = _heap_agenda(v, symbols[starts[at[i]] : ends[at[i]]], keys[i], seed, rate)
+            words.append(np.full(len(b), base + i)), begins.append(np.array(b)), pieces.append(np.array(p))
+
+    if rate > 0:
+        n_words = np.diff(np.append(first, len(starts)))
+        text = scan.span_hashes(prefix, begin, np.append(begin[1:], len(symbols)))
+        ordinal = (np.arange(len(starts)) - np.repeat(first, n_words)).astype(np.uint64)
+        occurrence = scan.mixed(np.repeat(text, n_words) + ordinal * np.uint64(scan.BASE))
+        # words that stand several times are segmented once for all occurrences that skip none of the candidates met
+        shared = np.flatnonzero((np.bincount(unit) > 1) & (lengths[where] <= LONG))
+        met: list = []
+        segment(where[shared], np.arange(len(shared), dtype=np.uint64), 0, 0.0, met)
+        of, merge = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.uint64),) * 2
+        order = np.argsort(of, kind="stable")
+        merge, n_met = merge[order], np.bincount(of.astype(np.int64), minlength=len(shared))
+        number = np.full(len(where), -1)
+        number[shared] = np.arange(len(shared))
+        unit = number[unit]
+        many = np.flatnonzero(unit >= 0)
+        n = n_met[unit[many]]
+        draws = np.repeat((np.cumsum(n_met) - n_met)[unit[many]], n) + _ramp(n)
+        skip = _skipped(rate, np.repeat(occurrence[many], n), merge[draws])
+        unit[np.repeat(many, n)[skip]] = -1
+        own = np.flatnonzero(unit < 0)
+        unit[own] = len(shared) + np.arange(len(own))
+        segment(own, occurrence[own], len(shared), rate)
+        n_units = len(shared) + len(own)
+    else:
+        segment(where, hashes[where], 0, 0.0)
+        n_units = len(where)
     word, place, piece = (np.concatenate(x) for x in (words, begins, pieces))
     order = np.lexsort((place, word))
     word, piece = _spell_bytes(v, word[order], piece[order])
-    size = np.bincount(word, minlength=len(keys))
+    size = np.bincount(word, minlength=n_units)
     base = np.concatenate([[0], np.cumsum(size)])[:-1]
-    each = size[inverse]
-    ids = piece[np.repeat(base[inverse], each) + _ramp(each)]
+    each = size[unit]
+    ids = piece[np.repeat(base[unit], each) + _ramp(each)]
     done = np.concatenate([[0], np.cumsum(each)])
     counts[full] = done[np.concatenate([first[1:], [len(starts)]])] - done[first]
     return ids.astype(np.int32), counts
