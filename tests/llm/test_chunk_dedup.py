@@ -84,6 +84,26 @@ def test_an_insertion_moves_few_cuts():
     assert len(a - b) <= 4
 
 
+def test_no_short_passage_is_missed(spark):
+    # 50-word passages (about 320 bytes) at random offsets of two texts each
+    r = rng(13)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    texts, places = [], {}
+    for i in range(300):
+        passage = " ".join(word() for _ in range(50))
+        for doc in (2 * i, 2 * i + 1):
+            head = " ".join(word() for _ in range(r.randint(5, 60))) + " "
+            places[doc] = (len(head), len(head) + len(passage))
+            texts.append(head + passage + " " + " ".join(word() for _ in range(r.randint(5, 60))))
+    found = {}
+    for x in chunk_dedup.repeated_spans(docs(spark, texts)).collect():
+        a, b = places[x["doc"]]
+        assert x["doc"] % 2 == 1 and x["kept_in"] == x["doc"] - 1 and x["start"] >= a - 4 and x["end"] <= b + 4
+        found[x["doc"]] = found.get(x["doc"], 0) + x["end"] - x["start"]
+    share = [found.get(d, 0) / (places[d][1] - places[d][0]) for d in range(1, 600, 2)]
+    assert min(share) > 0.5 and sum(share) / len(share) > 0.8
+
+
 def test_null_and_repeated_ids(spark):
     text = " ".join(words(rng(5), 100))
     rows = chunk_dedup.repeated_spans(docs(spark, [text, text, text, "x"], [3, None, 3, 4])).collect()

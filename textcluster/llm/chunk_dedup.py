@@ -24,26 +24,29 @@ from .common import MIN_LONG, lookup, total, written
 
 GEAR = scan.keyed(101, 256).astype(np.uint32)
 SECOND = scan.keyed(202, 256)
-MIN_BYTES, MAX_BYTES, CUT_BITS = 32, 512, 5
+MIN_BYTES, MAX_BYTES, CUT_BITS = 8, 512, 4
 MIN_SPAN = 64
 KEY = ["h1", "h2"]
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """hash[i] = sum of GEAR[data[i - j]] << j over the last 32 bytes, by doubling."""
+def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """hash[i] = sum of GEAR[data[i - j]] << j over the last 32 bytes of the same text, by doubling."""
     out = GEAR[data]
+    begin, end = offsets[:-1, None], offsets[1:, None]
     for step in (1, 2, 4, 8, 16):
         more = out.copy()
         more[step:] += out[:-step] << np.uint32(step)
+        head = begin + np.arange(step)
+        head = head[head < end]
+        more[head] = out[head]  # nothing of the text before
         out = more
     return out
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """End positions of all chunks; every non-empty text ends with a cut. The first cut of a text is
-    at least 32 bytes in, so no hash reaches back into the text before."""
+    """End positions of all chunks; every non-empty text ends with a cut."""
     inner = (data & 0xC0) == 0x80
-    marks = np.flatnonzero(((gear_hashes(data) >> np.uint32(32 - CUT_BITS)) == 0) & ~np.append(inner[1:], False)) + 1 if len(data) else np.zeros(0, np.int64)
+    marks = np.flatnonzero(((gear_hashes(data, offsets) >> np.uint32(32 - CUT_BITS)) == 0) & ~np.append(inner[1:], False)) + 1 if len(data) else np.zeros(0, np.int64)
 
     def forced(last: int) -> int:
         last += MAX_BYTES
