@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 def test_all_operators_are_registered():
     names = list(entry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert all(k in names for k in entry.oracle_sql())
 
 

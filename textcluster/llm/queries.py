@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, jaccard, line_dedup, pieces, pii, quality, topk, toxicity, warc
-from .common import table
+from . import chunk_dedup, decontaminate, jaccard, lexical, line_dedup, line_rules, pieces, pii, prefix_trie, quality, topk, toxicity, warc
+from .common import table, written
 from .labelled import fold
 
 
@@ -91,9 +91,29 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document, with the lines that are frequent on its source."""
+    found = line_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), *line_rules.COUNTS, "base_failed", "kept")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over the conversations, rebuilt with shared openings."""
+    own = written(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "trie-sequences")
+    conv, most = F.col("conv_id"), 5
+    head = (F.crc32(conv.cast("string")) % (most + 1)).cast("int")
+    return prefix_trie.trie(prefix_trie.rebuilt(own, conv - conv % 100, head, most))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents with the highest scores for every benchmark item."""
+    found = lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
+
+
 OPERATORS = (
     op1_warc, op2_line_dedup, op3_toxicity, op4_exact_topk, op5_pii, op6_quality, op7_pieces, op8_chunk_dedup,
-    op9_decontamination, op10_ngram_jaccard,
+    op9_decontamination, op10_ngram_jaccard, op11_line_rules, op12_prefix_trie, op13_lexical_search,
 )
 
 
