@@ -41,10 +41,42 @@ def test_null_and_repeated_ids(spark):
     assert sorted(((x["doc"], x["component"]) for x in rows), key=str) == sorted([(4, None), (None, None), (9, None), (2, 2), (9, None)], key=str)
 
 
-def test_an_id_kept_for_one_of_its_texts_stays(spark):
+def kept_rows(spark, texts, ids):
+    return sorted(((x["doc_id"], x["text"]) for x in jaccard.keep_one(docs(spark, texts, ids), jaccard.Similarity()).collect()), key=str)
+
+
+def test_groups_are_of_texts_where_an_id_has_several(spark):
     a, b = (" ".join(words(rng(i), 60)) for i in (1, 2))
-    kept = jaccard.keep_one(docs(spark, [a, b, b, a], [5, 5, 2, 7]), jaccard.Similarity())
-    assert sorted(x["doc_id"] for x in kept.collect()) == [2, 5, 5]
+    assert kept_rows(spark, [a, b, b, a], [5, 5, 2, 7]) == sorted([(5, a), (2, b)], key=str)
+    # near copies of both texts of one id lie in different documents
+    rows = kept_rows(spark, [a, b, a + " end", b + " end"], [3, 3, 1, 9])
+    assert rows == sorted([(1, a + " end"), (3, b)], key=str)
+
+
+def test_one_row_of_repeated_rows_and_of_null_ids_stays(spark):
+    a, b, c = (" ".join(words(rng(i), 60)) for i in (3, 4, 5))
+    rows = kept_rows(spark, [a, a, b, c, c, c, "", "", None], [None, None, None, 4, 4, 6, 7, 7, None])
+    assert rows == sorted([(None, a), (None, b), (4, c), (7, ""), (7, ""), (None, None)], key=str)
+
+
+def test_kept_rows_match_brute_force_by_row(spark):
+    r = rng(21)
+    base = [words(r, 40) for _ in range(4)]
+    texts, ids = [], []
+    for _ in range(150):
+        texts += varied(r, r.choice(base), 1, 0.1)
+        ids.append(r.choice([None, *range(40)]))
+    sets = {i: grams(t, 5) for i, t in enumerate(texts)}
+    found = groups(sets, 80, 100)
+    members = {}
+    for i in sets:
+        members.setdefault(found[i], []).append(i)
+    low = lambda i: -1 if ids[i] is None else ids[i]
+    rows = kept_rows(spark, texts, ids)
+    assert len(rows) == len(members)
+    for m in members.values():
+        least = min(map(low, m))
+        assert sum(row in [(ids[i], texts[i]) for i in m if low(i) == least] for row in rows) == 1
 
 
 def test_empty_table(spark):

@@ -13,6 +13,8 @@ from textcluster.session import scratch_path
 MIN_LONG = -(1 << 63)
 #: groups that hold at least this share of all grouped rows are looked up by broadcast: at most 1 / HOT_SHARE of them exist
 HOT_SHARE = 0.002
+#: places of a bitmap of keys: 1 MB of bits
+BITS = 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,22 @@ def _plain(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in ("bigint", "int")] or [df.columns[0]]
 
 
+def bitmap(keys: DataFrame, on: list[str], bits: int = BITS) -> DataFrame:
+    """(word, bits): which of 2 ** bits hash places the keys take; at most 2 ** (bits - 6) rows."""
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, cast(__place % 64 as int))")
+    return keys.select(place.alias("__place")).groupBy((F.col("__place") / 64).cast("int").alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame, on: list[Column], bits: int = BITS) -> DataFrame:
+    """The rows with ``__maybe``: whether their key may be in the bitmap, which is broadcast."""
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << bits))
+    placed = rows.withColumn("__place", place).withColumn("__word", (F.col("__place") / 64).cast("int"))
+    joined = placed.join(F.broadcast(bitmap), "__word", "left")
+    there = F.coalesce(F.getbit("__bits", (F.col("__place") % 64).cast("int")) == 1, F.lit(False))
+    return joined.withColumn("__maybe", there).drop("__place", "__word", "__bits")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node reachable over the edges, itself included.
 

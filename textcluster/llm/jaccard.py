@@ -17,10 +17,10 @@ those of the complete join.
 N-grams are 64-bit hashes and sets are identified by 128 bits and their size.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with
-nothing; a text of fewer than ``k`` words is one n-gram of all its words; an id with several texts
-gives a row per text, each in the group of its own text (groups whose smallest id is that id become
-one); a null id sorts below all ids and is returned as null; an empty table gives an empty result.
-Only the id and text columns are read.
+nothing; a text of fewer than ``k`` words is one n-gram of all its words; groups are of texts, so an id
+with several texts gives a row per text, each in its own text's group (two groups may then have the
+same smallest id); a null id sorts below all ids and is returned as null; an empty table gives an
+empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import MIN_LONG, components, lookup, total, written
+from .common import MIN_LONG, bitmap, components, lookup, maybe_in, total, written
 
 SKETCH_BITS = 22
 BLOCK = 1 << 14
@@ -79,7 +79,7 @@ def frequency_levels(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     def count(batches):
         seen = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for _, data, offsets in scan.texts(batch.column(0)):
+            for _, data, offsets in scan.texts(batch.column(0), 1 << 20):
                 hashes, _ = shingle_hashes(data, offsets, k)
                 where, n = np.unique((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
                 seen[where] += n.astype(np.uint32)
@@ -107,7 +107,7 @@ def _profile_udf(shared, how: Similarity):
     def profile(column: pa.Array) -> pa.Array:
         levels = shared.value
         rows = []
-        for _, data, offsets in scan.texts(column):
+        for _, data, offsets in scan.texts(column, 1 << 20):
             hashes, first = shingle_hashes(data, offsets, how.k)
             for i in range(len(offsets) - 1):
                 own = np.unique(hashes[first[i] : first[i + 1]])
@@ -125,7 +125,10 @@ def _profile_udf(shared, how: Similarity):
                 rows.append({"n": n, "f1": f1, "f2": f2, "heat": -int(100 * level.mean()), "pre1": prefixes[0].view(np.int64), "pre2": _short(prefixes[1]), "pre3": _short(prefixes[2])})
         ints = pa.list_(pa.int32())
         kind = pa.struct([("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("heat", pa.int32()), ("pre1", pa.list_(pa.int64())), ("pre2", ints), ("pre3", ints)])
-        return pa.array(rows, kind)
+        found = pa.array(rows, kind)
+        rows.clear()
+        scan.release()
+        return found
 
     return profile.asNondeterministic()
 
@@ -139,7 +142,7 @@ def _set_udf(k: int):
     @F.arrow_udf("array<bigint>")
     def whole_set(column: pa.Array) -> pa.Array:
         sets = []
-        for _, data, offsets in scan.texts(column):
+        for _, data, offsets in scan.texts(column, 1 << 20):
             hashes, first = shingle_hashes(data, offsets, k)
             sets += [np.unique(hashes[first[i] : first[i + 1]]).view(np.int64) for i in range(len(offsets) - 1)]
         return pa.array(sets, pa.list_(pa.int64()))
@@ -148,10 +151,11 @@ def _set_udf(k: int):
 
 
 def profiles(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One written row per document: id, set size and identity, and its prefixes under three orders."""
+    """One written row per document: id and text hash, set size and identity, and its prefixes under three orders."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, text_col, how.k))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("doc")
-    return written(docs.select(doc, _profile_udf(levels, how)(F.col(text_col)).alias("p")).select("doc", "p.*"), "jaccard-profiles")
+    rows = docs.select(doc, F.xxhash64(text_col).alias("th"), _profile_udf(levels, how)(F.col(text_col)).alias("p"))
+    return written(rows.select("doc", "th", "p.*"), "jaccard-profiles")
 
 
 def _enough(overlap, a: str, b: str, how: Similarity):
@@ -172,83 +176,99 @@ def _bound(one: str, two: str, n: str):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that share prefix n-grams under the other orders too and are similar enough."""
-    left, right = (nodes.select(F.col("doc").alias(x), F.col("n").alias(f"{x}n"), F.col("pre2").alias(f"{x}2"), F.col("pre3").alias(f"{x}3")) for x in "ab")
+    """The pairs (a, b) of nodes that share prefix n-grams under the other orders too and are similar enough."""
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("pre2").alias(f"{x}2"), F.col("pre3").alias(f"{x}3")) for x in "ab")
     met = pairs.join(left, "a").join(right, "b")
     for order in "23":
         met = met.filter(F.arrays_overlap(f"a{order}", f"b{order}"))
         met = met.filter(_enough(F.least(_bound(f"a{order}", f"b{order}", "an"), _bound(f"b{order}", f"a{order}", "bn")), "an", "bn", how))
     met = written(met.select("a", "b").distinct(), "jaccard-candidates")
-    # a bitmap of fixed size (at most 2 ** 17 words) keeps most other documents out of the shuffle
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
-    wanted = met.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    bits = wanted.select(at(F.col("doc")).alias("h")).groupBy((F.col("h") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("doc"), F.col(text_col).alias("body")).withColumn("h", at(F.col("doc")))
-    own = own.withColumn("word", (F.col("h") / 64).cast("int")).join(F.broadcast(bits), "word").filter(F.getbit("bits", (F.col("h") % 64).cast("int")) == 1)
-    sets = own.select("doc", _set_udf(how.k)(F.col("body")).alias("grams")).filter(F.size("grams") > 0).join(wanted, "doc", "left_semi")
-    sets = written(sets, "jaccard-sets")
-    left, right = (sets.select(F.col("doc").alias(x), F.col("grams").alias(f"{x}s")) for x in "ab")
+    # a node's set is made from one text; a bitmap of fixed size keeps most other texts out of the shuffle
+    wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc", "th"), "node")
+    wanted = written(wanted, "jaccard-wanted")
+    key = ["doc", "th"]
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("body"))
+    own = maybe_in(own, bitmap(wanted, key), [F.col(c) for c in key]).filter("__maybe")
+    own = own.groupBy(*key).agg(F.first("body").alias("body"))
+    sets = written(own.join(wanted, key).select("node", _set_udf(how.k)(F.col("body")).alias("grams")), "jaccard-sets")
+    left, right = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"{x}s")) for x in "ab")
     both = met.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("as", "bs")))
     return both.filter(F.col("shared") * how.den >= (F.size("as") + F.size("bs") - F.col("shared")) * how.num).select("a", "b").distinct()
 
 
 def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(profiles, members): members has one row per set identity (f1, f2, n): its smallest document
-    ``rep``, its number of rows ``copies`` and its ``component``, the smallest linked document."""
+    """(profiles, members): members has one row per set identity (f1, f2, n), which is a node: its number
+    of rows ``copies``, and of all rows linked with it the smallest document ``component`` with the
+    smallest text hash ``component_th``."""
     profile = profiles(docs, how, id_col, text_col)
     keys = ["f1", "f2", "n"]
     full = profile.filter("n > 0")
-    reps = written(full.groupBy(*keys).agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
-    nodes = written(full.join(reps.select(*keys, F.col("rep").alias("doc")), [*keys, "doc"], "left_semi").dropDuplicates([*keys, "doc"]), "jaccard-nodes")
-    posts = nodes.select("doc", "n", "heat", F.posexplode("pre1").alias("pos", "gram"))
-    posts = written(posts.select("gram", "doc", "n", "heat", "pos"), "jaccard-posts")
-    hubs = posts.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.min(F.struct("heat", "doc", "n", "pos")).alias("hub"))
-    hubs = written(hubs.filter("x < y").select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("doc", "n", "pos")]), "jaccard-hubs")
+    reps = full.groupBy(*keys).agg(F.min(F.struct("doc", "th")).alias("rep"), F.count("*").alias("copies"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), *keys, "rep.doc", "rep.th", "copies"), "jaccard-reps")
+    nodes = full.join(reps.select("node", *keys, "doc", "th"), [*keys, "doc", "th"]).dropDuplicates(["node"])
+    nodes = written(nodes.select("node", "doc", "th", "n", "heat", "pre1", "pre2", "pre3"), "jaccard-nodes")
+    posts = nodes.select("node", "n", "heat", F.posexplode("pre1").alias("pos", "gram"))
+    posts = written(posts.select("gram", "node", "n", "heat", "pos"), "jaccard-posts")
+    hubs = posts.groupBy("gram").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min(F.struct("heat", "node", "n", "pos")).alias("hub"))
+    hubs = written(hubs.filter("x < y").select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "pos")]), "jaccard-hubs")
     posts = written(posts.join(hubs, "gram"), "jaccard-posts")
 
     # round 1: every node against the hub of each n-gram
-    met = posts.filter("doc <> hub_doc").filter(_in_reach("", "hub_", how))
-    first = written(met.select(F.least("doc", "hub_doc").alias("a"), F.greatest("doc", "hub_doc").alias("b")).distinct(), "jaccard-pairs")
+    met = posts.filter("node <> hub_node").filter(_in_reach("", "hub_", how))
+    first = written(met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct(), "jaccard-pairs")
     links = written(_verified(first, nodes, docs, how, id_col, text_col), "jaccard-links")
     found = components(links)
 
     # round 2: nodes outside an n-gram's largest component against the nodes of other components
-    own = posts.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    own = written(own.select("gram", "doc", "n", "pos", "component"), "jaccard-posts")
+    own = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = written(own.select("gram", "node", "n", "pos", "component"), "jaccard-posts")
     parts = own.groupBy("gram", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("gram", F.col("top.component").alias("main"))
     mixed = written(mixed, "jaccard-mixed")
     rest = written(own.join(mixed, "gram"), "jaccard-rest")
-    x = rest.filter("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "pos", "component")])
-    y = rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "pos", "component")])
+    x = rest.filter("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component")])
+    y = rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component")])
     second = x.join(y, "gram").filter("x_component <> y_component").filter(_in_reach("x_", "y_", how))
-    second = second.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+    second = second.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _verified(second, nodes, docs, how, id_col, text_col)
     all_links = written(links.unionByName(more), "jaccard-links")
-    found = components(all_links).withColumnRenamed("node", "rep")
-    members = reps.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return profile, written(members, "jaccard-members")
+    grouped = reps.join(components(all_links).withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = written(grouped, "jaccard-grouped")
+    tops = grouped.groupBy("group").agg(F.min(F.struct("doc", "th")).alias("top"), F.count("*").alias("size"))
+    tops = written(tops.select("group", "size", F.col("top.doc").alias("component"), F.col("top.th").alias("component_th")), "jaccard-tops")
+    members = lookup(grouped.select(*keys, "copies", "group"), tops, ["group"], "size", ["component", "component_th"], total(tops, "size"))
+    return profile, written(members.drop("group"), "jaccard-members")
 
 
-def components_of(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_grams, component) per document row; an empty set is its own component."""
+def _grouped_rows(docs: DataFrame, how: Similarity, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, n, component, component_th) per document row; an empty set is its own component."""
     profile, members = linked(docs, how, id_col, text_col)
-    plain = profile.select("doc", "f1", "f2", "n")
-    found = lookup(plain, members, ["f1", "f2", "n"], "copies", ["component"], total(members, "copies"))
-    real = lambda c: F.when(F.col(c) != MIN_LONG, F.col(c))
-    return found.select(real("doc").alias("doc"), F.col("n").cast("long").alias("n_grams"), real_component(found).alias("component"))
+    plain = profile.select("doc", "th", "f1", "f2", "n")
+    found = lookup(plain, members, ["f1", "f2", "n"], "copies", ["component", "component_th"], total(members, "copies"))
+    return found.select("doc", "th", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("component_th", "th").alias("component_th"))
 
 
-def real_component(found: DataFrame):
-    own = F.coalesce(F.col("component"), F.col("doc"))
-    return F.when(own != MIN_LONG, own)
+def components_of(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, n_grams, component) per document row; an empty set is its own component."""
+    found = _grouped_rows(docs, how, id_col, text_col)
+    real = lambda c: F.when(F.col(c) != MIN_LONG, F.col(c))
+    return found.select(real("doc").alias("doc"), F.col("n").cast("long").alias("n_grams"), real("component").alias("component"))
 
 
 def keep_one(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id, with all its rows.
-    Documents with an empty set stay; an id with several texts stays if it is kept for any of them."""
-    found = components_of(docs, how, id_col, text_col)
-    kept = F.bool_or(F.col("doc").eqNullSafe(F.col("component"))).alias("kept")
-    lost = found.groupBy("doc").agg(kept).filter(~F.col("kept")).select(F.col("doc").alias("__jc_doc"))
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["__jc_doc"]), "left_anti")
+    """``docs`` with one row of each group of texts: the one with the smallest id, of its texts in the
+    group that with the smallest hash, and one of rows that repeat both. Documents with an empty set stay.
+    Only texts that go or repeat are shuffled; a bitmap tells them from the others."""
+    key, own = ["doc", "th"], ["__jc_doc", "__jc_th"]
+    rows = _grouped_rows(docs, how, id_col, text_col).filter("n > 0")
+    lost = (F.col("doc") != F.col("component")) | (F.col("th") != F.col("component_th"))
+    touched = rows.withColumn("lost", lost).groupBy(*key, "lost").agg(F.count("*").alias("copies")).filter("lost or copies > 1")
+    touched = written(touched.select(*[F.col(c).alias(o) for c, o in zip(key, own, strict=True)], F.col("lost").alias("__jc_lost")), "jaccard-touched")
+    values = [F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)), F.xxhash64(text_col)]
+    marked = maybe_in(docs, bitmap(touched, own), values)
+    same = marked.filter(~F.col("__maybe")).select(*docs.columns)
+    other = marked.filter("__maybe").select(*docs.columns, *[v.alias(f"{o}_own") for v, o in zip(values, own, strict=True)])
+    met = other.join(touched, [F.col(f"{o}_own") == F.col(o) for o in own], "left").filter(~F.coalesce("__jc_lost", F.lit(False)))
+    repeated = met.filter("__jc_lost is not null").dropDuplicates(own).select(*docs.columns)
+    return same.unionByName(met.filter("__jc_lost is null").select(*docs.columns)).unionByName(repeated)

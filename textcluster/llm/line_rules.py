@@ -29,14 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import MIN_LONG, fingerprint, lookup, total, written
+from .common import MIN_LONG, bitmap, fingerprint, lookup, maybe_in, total, written
 
 SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 SECOND = np.uint64(0x2545F4914F6CDD1D)
 WINDOW = 3
 LINE = ["host", "h1", "h2"]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-BITS = 23
 
 
 @dataclass(frozen=True)
@@ -165,22 +164,6 @@ def _host(col: Column) -> Column:
     return F.when(col.isNull(), 0).otherwise(F.xxhash64(col.cast("string")))
 
 
-def _bitmap(keys: DataFrame, on: list[str]) -> DataFrame:
-    """(word, bits): which of 2 ** BITS hash places the keys take; at most 2 ** (BITS - 6) rows."""
-    place = F.pmod(F.xxhash64(*on), F.lit(1 << BITS))
-    bit = F.expr("shiftleft(1L, cast(__place % 64 as int))")
-    return keys.select(place.alias("__place")).groupBy((F.col("__place") / 64).cast("int").alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-
-
-def _maybe(rows: DataFrame, bitmap: DataFrame, on: list[Column]) -> DataFrame:
-    """The rows with ``__maybe``: whether their key may be in the bitmap."""
-    place = F.pmod(F.xxhash64(*on), F.lit(1 << BITS))
-    placed = rows.withColumn("__place", place).withColumn("__word", (F.col("__place") / 64).cast("int"))
-    joined = placed.join(F.broadcast(bitmap), "__word", "left")
-    there = F.coalesce(F.getbit("__bits", (F.col("__place") % 64).cast("int")) == 1, F.lit(False))
-    return joined.withColumn("__maybe", there).drop("__place", "__word", "__bits")
-
-
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One written row per document row: ``row``, ``doc``, ``host``, the text's identity, COUNTS, lines."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("doc")
@@ -203,7 +186,7 @@ def removed_lines(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(row, h1, h2, words): the lines to remove from each row, with all words that they hold there."""
     common = boilerplate(profile, rules)
     lines = profile.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
-    near = _maybe(lines, _bitmap(common, LINE), [F.col(c) for c in LINE]).filter("__maybe").drop("__maybe")
+    near = maybe_in(lines, bitmap(common, LINE), [F.col(c) for c in LINE]).filter("__maybe").drop("__maybe")
     found = lookup(near, common.withColumn("hit", F.lit(1)), LINE, "n", ["hit"], total(common, "n"))
     return found.filter("hit = 1").select("row", "h1", "h2", "words")
 
@@ -239,7 +222,7 @@ def clean(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     names = [f"__lr_{c}" for c in key]
     f1, f2 = fingerprint(F.col(text_col))
     own = [F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)), _host(F.col(host_col)), f1, f2]
-    marked = _maybe(docs, _bitmap(touched, names), own)
+    marked = maybe_in(docs, bitmap(touched, names), own)
     same = marked.filter(~F.col("__maybe")).select(*docs.columns)
     other = marked.filter("__maybe").select(*docs.columns, *[x.alias(f"__own_{c}") for x, c in zip(own, key, strict=True)])
     met = other.join(touched, [F.col(f"__own_{c}") == F.col(f"__lr_{c}") for c in key], "left").filter(F.coalesce("__lr_kept", F.lit(True)))
