@@ -35,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 96
 #: bytes of text, and ids, that are worked on at a time
-SLICE, IDS = 1 << 20, 1 << 18
+SLICE, IDS = 1 << 19, 1 << 18
 NONE = np.int64(1) << 62
 
 
@@ -350,6 +350,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
                 columns = [rows.column(f.name) for f in plain] + [lists, pa.array(counts), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            scan.release()
 
     return docs.select(*[f.name for f in plain]).mapInArrow(run, schema)
 

@@ -7,6 +7,7 @@ by the longest text. Words are runs of bytes of one class; every byte of a non-A
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +63,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE + (1 << 18))
+        size = 1 << max(16, (n - 1).bit_length())
         step = np.full(size, base & MASK, np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
@@ -74,6 +75,14 @@ def powers(base: int, n: int) -> np.ndarray:
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def release() -> None:
+    """Hands memory that numpy and Arrow have freed back to the system: a worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def texts(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of slices of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -116,10 +116,11 @@ def train(table: pa.Table, epochs: int = 6, batch: int = 32, rate: float = 0.05,
     """Fit the network on (text, y, fold); fold 1 is held back for the cuts."""
     rng = np.random.default_rng(seed)
     y, held = table["y"].to_numpy(), table["fold"].to_numpy() == 1
-    parts = [(word_features(d, o)) for _, d, o in scan.texts(table["text"])]
+    parts = [(word_features(d, o)) for _, d, o in scan.texts(table["text"], 1 << 20)]
     docs = [p[0][p[2][i] : p[2][i + 1]] for p in parts for i in range(len(p[2]) - 1)]
     keys = _language_keys()
     langs = np.concatenate([languages(p[1], p[2], keys) for p in parts]) if parts else np.zeros(0, int)
+    del parts
     own = np.flatnonzero(~held)
     model = Model(
         np.zeros((PAD + 1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS],
@@ -221,7 +222,9 @@ def _calibrate(model: Model, docs, langs, y, held) -> None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    return train(sample(docs, labels, label)[0])
+    model = train(sample(docs, labels, label)[0])
+    scan.release()
+    return model
 
 
 def score_column(spark, model: Model, text: Column) -> Column:
@@ -236,7 +239,7 @@ def score_column(spark, model: Model, text: Column) -> Column:
             ready.update(model=own, tables=own.projected(), keys=_language_keys())
         own = ready["model"]
         scores, names = [], []
-        for _, data, offsets in scan.texts(column):
+        for _, data, offsets in scan.texts(column, 1 << 20):
             features, hashes, first = word_features(data, offsets)
             lang = languages(hashes, first, ready["keys"])
             names += [LANGUAGES[i] for i in lang]
@@ -245,6 +248,7 @@ def score_column(spark, model: Model, text: Column) -> Column:
                 continue
             cuts = np.array([own.cuts.get(x, own.cuts[""]) for x in LANGUAGES])
             scores.append(sigmoid(own.slope * (logits(own, ready["tables"], features, first) - cuts[lang])))
+        scan.release()
         return pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(names, pa.string())], ["score", "language"])
 
     return score.asNondeterministic()(text)
