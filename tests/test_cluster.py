@@ -50,18 +50,6 @@ def test_kmeans_best_of_n_and_membership(text_vectors):
     assert len({r["doc_id"] for r in mem}) == 45
 
 
-def test_minibatch_labels_every_document_once(spark, text_vectors):
-    _, vectors = text_vectors
-    res = md.minibatch_kmeans(spark, vectors, k=3, batch_size=20, max_iter=2, n_init=2)
-    mem = md.assign_with_centres(spark, vectors, res.centers).collect()
-    assert len(mem) == 45 and len({r["doc_id"] for r in mem}) == 45
-    assert {r["cluster_id"] for r in mem} <= {0, 1, 2}
-    groups = {}
-    for r in mem:
-        groups.setdefault(r["doc_id"] // 100, set()).add(r["cluster_id"])
-    assert all(len(v) == 1 for v in groups.values())  # well separated groups stay together
-
-
 def test_numpy_nearest_matches_brute_force():
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(4, 6))
@@ -70,10 +58,3 @@ def test_numpy_nearest_matches_brute_force():
     lab, d2 = md.nearest_centres(5, rows, idx, dense[rows, idx], centers, (centers**2).sum(1))
     brute = ((dense[:, None, :] - centers[None]) ** 2).sum(-1)
     assert (lab == brute.argmin(1)).all() and np.allclose(d2, brute.min(1))
-
-
-def test_fold_step_is_running_mean():
-    centers, counts = np.zeros((2, 3)), np.array([1.0, 0.0])
-    agg = (np.array([0, 0]), np.array([0, -1]), np.array([3.0, 2.0]))
-    c, n = md.fold_step(centers, counts, agg)
-    assert np.allclose(c[0], [1.0, 0, 0]) and n.tolist() == [3.0, 0.0] and np.allclose(c[1], 0)

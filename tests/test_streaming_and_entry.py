@@ -35,11 +35,29 @@ def test_minibatch_stream_replay_is_idempotent(spark):
     state = scratch_path(spark, "t_state")
     ckpt = scratch_path(spark, "t_ckpt2")
     st.minibatch_stream(spark, vec.transform(st.replay(spark, path)), state, ckpt, k=2)
-    c1, n1 = st.final_centres(spark, state)
+    one, width = st.final_centres(spark, state, 2), len(vec.vocabulary)
+    members = sorted(map(tuple, st.streamed_members(spark, state).collect()))
     # A fresh checkpoint replays every batch; applied batches are skipped, so nothing moves.
     st.minibatch_stream(spark, vec.transform(st.replay(spark, path)), state, scratch_path(spark, "t_ckpt3"), k=2)
-    c2, n2 = st.final_centres(spark, state)
-    assert np.allclose(c1, c2) and np.allclose(n1, n2) and n1.sum() == 30
+    two = st.final_centres(spark, state, 2)
+    assert np.allclose(one.dense(width), two.dense(width)) and np.allclose(one.counts, two.counts) and round(one.counts.sum()) == 30
+    assert members == sorted(map(tuple, st.streamed_members(spark, state).collect()))
+    assert [m[0] for m in members] == list(range(30)) and len({m[-1] for m in members}) >= 4
+
+
+def test_minibatch_stream_waits_for_k_distinct_vectors(spark):
+    rows = [(i, i, "t", f"word{i} common{i % 2}" if i > 4 else "same words", str(i)) for i in range(40)]
+    arts = spark.createDataFrame(rows, "doc_id long, seq long, title string, content string, permalink string")
+    path = scratch_path(spark, "t_staged_wait")
+    sg.write_parts(arts, path, threshold=3)
+    vec = vz.fit_tfidf(arts, fe.TfidfParams(min_df=0.0, max_df=1.0))
+    state = scratch_path(spark, "t_state_wait")
+    st.minibatch_stream(spark, vec.transform(st.replay(spark, path)), state, scratch_path(spark, "t_ckpt_wait"), k=20)
+    centres = st.final_centres(spark, state).dense(len(vec.vocabulary))
+    assert len({tuple(np.round(c, 9)) for c in centres}) == 20
+    members = st.streamed_members(spark, state).collect()
+    assert sorted(m["doc_id"] for m in members) == list(range(40))
+    assert min(m["centres_batch"] for m in members) > 3  # the first batches waited and were labelled later
 
 
 def test_entry_and_registry(spark):

@@ -1,20 +1,15 @@
 """Clustering models on ML vectors.
 
-The driver holds only k centroids of at most ``max_features`` (tfidf) or 2^18 (hashing)
-dimensions. Vectors stay in executors, cached across passes.
+The driver holds only k centroids of at most ``max_features`` dimensions. Vectors stay in executors,
+cached across passes.
 
 * M3 / M5: Spark ML ``KMeans`` (k-means|| initialisation, Lloyd iterations as distributed
   aggregations); ``n_init`` restarts with different seeds, the lowest training cost wins.
-* M4: mini-batch k-means (Sculley, WWW 2010, with per-centre learning rate 1/count). An epoch visits
-  every hashed batch once; a step reads one batch (a pruned partition of a written table), assigns it to the broadcast centres with numpy inside
-  ``mapInArrow`` (sparse dot products on whole Arrow batches), and sums members per (centre, term) with a partial
-  aggregation; the driver folds the k x V sums into the centres.
+* M4: mini-batch k-means is in ``minibatch``, with its centres in a table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import DataFrame
@@ -24,7 +19,6 @@ DEFAULT_K = 20
 DEFAULT_ITER = 30
 DEFAULT_INIT = 3
 DEFAULT_BATCH = 50000
-ROWS_PER_FILE = 10000  # of a written mini-batch
 DEFAULT_PARALLEL = 4  # restarts fitted at once (the reference used 4 processes)
 
 
@@ -142,43 +136,6 @@ def _assign_fn(bc, id_cols, features_col):
     return run
 
 
-def _step_fn(bc, features_col):
-    def run(batches):
-        import pyarrow as pa
-
-        centers = bc.value
-        k, dim = centers.shape
-        c_sq = (centers * centers).sum(axis=1)
-        for b in batches:
-            n, rows, idx, val = flatten_vectors(b.column(features_col))
-            if n == 0:
-                continue
-            lab, _ = nearest_centres(n, rows, idx, val, centers, c_sq)
-            key = lab[rows].astype(np.int64) * dim + idx
-            uk, inv = np.unique(key, return_inverse=True)
-            sums = np.bincount(inv, weights=val)
-            counts = np.bincount(lab, minlength=k)
-            cid = np.concatenate([uk // dim, np.nonzero(counts)[0]]).astype(np.int32)
-            tid = np.concatenate([uk % dim, np.full(np.count_nonzero(counts), -1)]).astype(np.int64)
-            s = np.concatenate([sums, counts[counts > 0].astype(float)])
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(tid), pa.array(s)], names=["cluster_id", "term_idx", "s"])
-
-    return run
-
-
-def step_sums(spark, batch: DataFrame, centers: np.ndarray, features_col: str = "features"):
-    """One mini-batch step's per-(centre, term) sums and per-centre sizes (term_idx -1), as
-    ``(cluster_id, term_idx, s)`` numpy arrays. Tasks assign their rows and sum them per (centre,
-    term), Spark adds the partial sums, and the driver gets the non-zero entries of the k x V sums."""
-    bc = spark.sparkContext.broadcast(centers)
-    try:
-        part = batch.select(features_col).mapInArrow(_step_fn(bc, features_col), "cluster_id int, term_idx bigint, s double")
-        t = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).toArrow()
-    finally:
-        bc.unpersist()
-    return tuple(t.column(c).to_numpy() for c in ("cluster_id", "term_idx", "s"))
-
-
 def assign_with_centres(spark, vectors: DataFrame, centers: np.ndarray, keep=("doc_id", "permalink"), features_col="features"):
     """M6 with explicit centres: ``keep + (cluster_id, dist2)``."""
     cols = [c for c in keep if c in vectors.columns]
@@ -186,95 +143,3 @@ def assign_with_centres(spark, vectors: DataFrame, centers: np.ndarray, keep=("d
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*cols).schema.fields)
     schema = (schema + ", " if schema else "") + "cluster_id int, dist2 double"
     return vectors.select(*cols, features_col).mapInArrow(_assign_fn(bc, cols, features_col), schema)
-
-
-def fold_step(centers: np.ndarray, counts: np.ndarray, agg) -> tuple[np.ndarray, np.ndarray]:
-    """Fold one batch's per-(centre, term) sums and per-centre sizes (term_idx -1) into the
-    centres: c <- (c * n + batch_sum) / (n + batch_n), i.e. learning rate 1 / count per member.
-    ``agg`` is ``(cluster_id, term_idx, s)`` arrays."""
-    cid, tid, s = (np.asarray(a) for a in agg)
-    centers = centers.copy()
-    k = centers.shape[0]
-    size_rows = tid < 0
-    n_b = np.bincount(cid[size_rows].astype(np.int64), weights=s[size_rows], minlength=k)
-    sums = np.zeros_like(centers)
-    np.add.at(sums, (cid[~size_rows].astype(np.int64), tid[~size_rows].astype(np.int64)), s[~size_rows])
-    moved = n_b > 0
-    new_counts = counts + n_b
-    centers[moved] = (centers[moved] * counts[moved, None] + sums[moved]) / new_counts[moved, None]
-    return centers, new_counts
-
-
-@dataclass
-class MiniBatchResult:
-    centers: np.ndarray
-    counts: np.ndarray
-    init_costs: list = field(default_factory=list)
-    steps: int = 0
-    folded: int = 0  # members folded in: documents x epochs
-
-
-def _bucket(id_col: str, seed: int, n_buckets: int):
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_buckets)).cast("int")
-
-
-def minibatch_kmeans(
-    spark,
-    vectors: DataFrame,
-    k: int = DEFAULT_K,
-    batch_size: int = DEFAULT_BATCH,
-    max_iter: int = DEFAULT_ITER,
-    n_init: int = DEFAULT_INIT,
-    seed: int = 1,
-    id_col: str = "doc_id",
-    features_col: str = "features",
-) -> MiniBatchResult:
-    """M4: mini-batch k-means: ``max_iter`` epochs, each visiting every document once.
-
-    Documents are dealt once into ceil(N / batch_size) disjoint batches by hashing (id, seed), and
-    their vectors are written to the shared checkpoint folder with one folder per batch, so a step
-    reads only its batch (partition pruning). An epoch takes the batches in turn.
-
-    Initialisation: ``n_init`` k-means|| seedings (Spark ML with zero Lloyd iterations) over all
-    vectors; the seeding with the lowest cost wins. Documents are labelled afterwards by
-    ``assign_with_centres``.
-    """
-    from pyspark import StorageLevel
-
-    from ..session import scratch_path
-
-    n_docs = vectors.count()
-    if n_docs == 0:
-        raise ValueError("no documents to cluster")
-    n_batches = max(1, -(-n_docs // batch_size))
-    path = scratch_path(spark, "minibatches")
-    dealt = vectors.select(id_col, features_col).withColumn("mb", _bucket(id_col, seed, n_batches))
-    # a batch's rows meet in a few tasks before the write: few files per folder
-    files = max(1, -(-batch_size // ROWS_PER_FILE))
-    dealt = dealt.repartition("mb", F.pmod(F.xxhash64(F.col(id_col)), F.lit(files)))
-    dealt.write.partitionBy("mb").parquet(path)
-    staged = spark.read.parquet(path)
-
-    own_cache = vectors.storageLevel == StorageLevel.NONE  # one shared copy for the concurrent seedings
-    everyone = vectors.select(features_col).persist(StorageLevel.MEMORY_AND_DISK) if own_cache else vectors
-
-    def seed_one(run: int):
-        m = KMeans(k=k, maxIter=0, seed=seed + run, initMode="k-means||", featuresCol=features_col).fit(everyone)
-        return m, float(m.summary.trainingCost)
-
-    try:
-        seeded = _fit_runs(seed_one, n_init, DEFAULT_PARALLEL)
-    finally:
-        if own_cache:
-            everyone.unpersist()
-    init_costs = [(r, seed + r, cost) for r, (_, cost) in enumerate(seeded)]
-    best = seeded[min(range(n_init), key=lambda r: (seeded[r][1], r))]
-    centers = centers_of(best[0])
-    if centers.shape[0] < k:  # fewer distinct points than k: pad with copies of the first centre
-        centers = np.vstack([centers, np.repeat(centers[:1], k - centers.shape[0], axis=0)])
-    counts = np.zeros(k)
-    for _ in range(max_iter):
-        for batch in range(n_batches):
-            agg = step_sums(spark, staged.where(F.col("mb") == batch).select(features_col), centers, features_col)
-            centers, counts = fold_step(centers, counts, agg)
-    return MiniBatchResult(centers, counts, init_costs, max_iter * n_batches, int(round(counts.sum())))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as cn
 from ..operators.counts import first_n, number_records
 from ..operators import features as fe
+from ..operators import minibatch as mb
 from ..operators import models as md
 from ..operators import parse as ps
 from ..operators import report as rp
@@ -53,6 +54,8 @@ class JobConfig:
     materialize: str = "checkpoint"
     num_docs: int = 0  # L1 / L2: keep only the first n records in read order (0 = all)
     hash_features: int = 1 << 20  # M2: width of hashing vectors
+    max_no_improvement: int | None = 10  # M4: steps without a lower average inertia before the end (None: all epochs)
+    reassignment_ratio: float = 0.01  # M4: share of the largest centre's members below which a centre restarts
     on_bad: str = "error"  # S5: "error" or "skip" for files with another extension
     parser: ps.RecordParser | None = None  # X1
     segment_sep: str = ps.SEGMENT_SEP
@@ -162,18 +165,20 @@ def cluster_articles(
             n_init = cfg.n_init if cfg.algorithm == "kmeans" else 1
             model, runs = md.kmeans_restarts(vectors, cfg.k, n_init, cfg.max_iter, cfg.seed)
             membership = md.assign_model(model, vectors, keep=("doc_id", "seq", "permalink"))
-            centers = md.centers_of(model)
         else:
-            res = md.minibatch_kmeans(spark, vectors, cfg.k, cfg.batch_size, cfg.max_iter, cfg.n_init, cfg.seed)
-            runs = res.init_costs
-            membership = md.assign_with_centres(spark, vectors, res.centers, keep=("doc_id", "seq", "permalink")).drop(
-                "dist2"
+            res = mb.fit(
+                vectors, cfg.k, cfg.batch_size, cfg.max_iter, cfg.n_init, cfg.seed,
+                max_no_improvement=cfg.max_no_improvement, reassignment_ratio=cfg.reassignment_ratio,
             )
-            centers = res.centers
+            runs = res.init_costs
+            membership = mb.assign(vectors, res.centres, keep=("doc_id", "seq", "permalink")).drop("dist2")
         keywords = None
         if cfg.gen_keywords:
             vocab = vec.vocabulary_df(spark)
-            cents = md.centroid_terms(spark, centers, vocab)
+            if cfg.algorithm == "minibatch":
+                cents = res.centres.weights().join(F.broadcast(vocab), "term_idx").select("cluster_id", "term", "weight")
+            else:
+                cents = md.centroid_terms(spark, md.centers_of(model), vocab)
             clusters = spark.range(cfg.k).select(F.col("id").cast("int").alias("cluster_id"))
             keywords = rp.top_terms(cents, cfg.n_terms, "cluster_id", clusters=clusters, vocab=vocab)
         collated = rp.collate(membership, cfg.k, cfg.base_url) if cfg.collate else None

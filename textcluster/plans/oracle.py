@@ -256,8 +256,9 @@ FROM range(4) r WHERE r.range NOT IN (SELECT cluster_id FROM mem)"""
     q["kmeans_keywords"] = f"WITH {tok}, {voc} SELECT CAST(range AS INTEGER) AS cluster_id, {known} AS n_terms, {known} AS n_known FROM range(20)"
     q["lda_topics"] = f"WITH {tok}, {voc} SELECT CAST(range AS INTEGER) AS topic, {known} AS n_terms, {known} AS n_known, CAST(1.0 AS DOUBLE) AS total FROM range(10)"
     q["minibatch_epochs"] = (
-        "SELECT count(*) AS n_docs, CAST(2 * ceil(count(*) / 100.0) AS BIGINT) AS n_steps, 2 * count(*) AS n_folded FROM documents"
+        "SELECT count(*) AS n_docs, CAST(30 * ceil(count(*) / 50000.0) AS BIGINT) AS n_steps, 30 * count(*) AS n_folded FROM documents"
     )
+    q["minibatch_cost"] = "SELECT count(*) AS n_docs, CAST(20 AS INTEGER) AS k, true AS near_full_fit FROM documents"
     q["hash_tf"] = (
         f"WITH {tok}, n AS (SELECT doc_id, count(*) AS n FROM tf GROUP BY doc_id) SELECT d.doc_id, coalesce(n.n, 0) AS n_terms, "
         "CASE WHEN n.n IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS l1, true AS fits FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"

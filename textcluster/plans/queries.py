@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as cn
 from ..operators import cluster as cl
 from ..operators import counts as ct
+from ..operators import minibatch as mb
 from ..operators import models as md
 from ..operators import parse as ps
 from ..operators import topics as tp
@@ -413,20 +414,34 @@ def q_kmeans_pp_membership(spark, sf_dir):
     return _checked(vectors, md.assign_model(model, vectors), md.centers_of(model))
 
 
+def _minibatch(vectors: DataFrame, **more) -> mb.Fit:
+    return mb.fit(vectors, md.DEFAULT_K, md.DEFAULT_BATCH, md.DEFAULT_ITER, md.DEFAULT_INIT, 1, **more)
+
+
 def q_minibatch_membership(spark, sf_dir):
-    """M4: mini-batch k-means (batches of 1,000, 3 epochs), then every document labelled."""
-    _, vectors = _vectors(spark, sf_dir)
-    res = md.minibatch_kmeans(spark, vectors, batch_size=1000, max_iter=3)
-    return _checked(vectors, md.assign_with_centres(spark, vectors, res.centers).drop("dist2"), res.centers)
+    """M4: mini-batch k-means with the default settings, then every document labelled."""
+    vec, vectors = _vectors(spark, sf_dir)
+    res = _minibatch(vectors)
+    return _checked(vectors, mb.assign(vectors, res.centres).drop("dist2"), res.centres.dense(len(vec.vocabulary)))
 
 
 def q_minibatch_epochs(spark, sf_dir):
-    """M4: members folded in by 2 epochs over batches of 100 documents."""
+    """M4: steps and members folded in by all epochs, with no early stop."""
     arts, vectors = articles(spark, sf_dir), _vectors(spark, sf_dir)[1]
-    res = md.minibatch_kmeans(spark, vectors, k=5, batch_size=100, max_iter=2, n_init=1)
+    res = _minibatch(vectors, max_no_improvement=None)
     return arts.agg(F.count("*").alias("n_docs")).select("n_docs", F.lit(res.steps).cast("bigint").alias("n_steps"), F.lit(res.folded).cast("bigint").alias("n_folded"))
 
 
+def q_minibatch_cost(spark, sf_dir):
+    """M4 against M3: the documents, the mini-batch clusters in use, and whether their cost is at most
+    a tenth above that of the best of three full fits."""
+    _, vectors = _vectors(spark, sf_dir)
+    res = _minibatch(vectors)
+    cost = mb.assign(vectors, res.centres).agg(F.count("*").alias("n_docs"), F.sum("dist2").alias("cost"))
+    full = min(r[2] for r in md.kmeans_restarts(vectors)[1])
+    return cost.select("n_docs", F.lit(md.DEFAULT_K).alias("k"), (F.col("cost") <= 1.1 * full).alias("near_full_fit"))
+
+
 def q_hash_tf(spark, sf_dir):
     """M2: hashing vectors; per document the non-zero buckets and the L1 norm (1, or 0 when empty)."""
     _, vectors = _vectors(spark, sf_dir, "hashing")
@@ -471,7 +486,7 @@ def q_end_to_end_hashing(spark, sf_dir):
     rc.text_records(docs).select("record").write.text(src)
     out = scratch_path(spark, "e2e_out")
     cfg = jobs.JobConfig(
-        vectorizer="hashing", algorithm="minibatch", gen_keywords=False, require_title=False, on_bad="skip", hash_features=1 << 18, max_iter=3
+        vectorizer="hashing", algorithm="minibatch", gen_keywords=False, require_title=False, on_bad="skip"
     )
     paths = jobs.run(spark, src, out, "txt", cfg, staged_path=scratch_path(spark, "e2e_staged"))
     members = spark.read.schema("cluster_id int, permalink string").option("header", True).csv(paths["clusters"])
@@ -521,8 +536,8 @@ def q_stream_hash(spark, sf_dir):
 
 
 def q_stream_minibatch(spark, sf_dir):
-    """T4: one mini-batch k-means step per replayed part (tfidf fitted on the staged batch), then
-    every document labelled with the final centres."""
+    """T4: one mini-batch k-means step per replayed part (tfidf fitted on the staged batch); every
+    document is labelled once, by the centres of the batch it came in, and each label is the nearest."""
     from ..streaming import replay as st
 
     path = _staged(spark, sf_dir)
@@ -530,9 +545,15 @@ def q_stream_minibatch(spark, sf_dir):
     vectors_stream = vec.transform(st.replay(spark, path), keep=("doc_id", "permalink"))
     state, ckpt = scratch_path(spark, "mb_state"), scratch_path(spark, "mb_ckpt")
     st.minibatch_stream(spark, vectors_stream, state, ckpt)
-    centers, _ = st.final_centres(spark, state)
-    all_vectors = vec.transform(spark.read.parquet(path), keep=("doc_id", "permalink"))
-    return _checked(all_vectors, md.assign_with_centres(spark, all_vectors, centers).drop("dist2"), centers)
+    members = st.streamed_members(spark, state)
+    vectors = vec.transform(spark.read.parquet(path), keep=("doc_id", "permalink"))
+    out = None
+    for version in [r[0] for r in members.select("centres_batch").distinct().orderBy("centres_batch").collect()]:  # one per batch
+        own = members.where(F.col("centres_batch") == version).select("doc_id", "permalink", "cluster_id")
+        centres = st.centres_after(spark, state, version).dense(len(vec.vocabulary))
+        part = _checked(vectors.join(own.select("doc_id"), "doc_id", "left_semi"), own, centres)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _xml_folder(spark, sf_dir, name):
@@ -599,6 +620,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_pp_membership": q_kmeans_pp_membership,
         "minibatch_membership": q_minibatch_membership,
         "minibatch_epochs": q_minibatch_epochs,
+        "minibatch_cost": q_minibatch_cost,
         "record_numbers": q_record_numbers,
         "staged_per_source": q_staged_per_source,
         "features_reuse": q_features_reuse,

@@ -7,15 +7,15 @@ that is replayed after a failure overwrites its own output instead of appending
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean as cn
+from ..operators import minibatch as mb
 from ..operators import models as md
 from ..operators import parse as ps
+from ..sinks.staged import staged_exists
 from ..sources.files import TEXT_EXTENSIONS, XML_EXTENSIONS, with_source
 from ..sources.xml import cut_records
 
@@ -132,21 +132,13 @@ def finish_hashing(spark: SparkSession, counts_path: str, norm: str = "l1", feat
     )
 
 
-def _centres_path(state_dir: str, batch_id: int) -> str:
-    return f"{state_dir}/batch_id={batch_id:012d}"
+def _part(state_dir: str, kind: str, batch_id: int) -> str:
+    return f"{state_dir}/{kind}/batch_id={batch_id:012d}"
 
 
-def _state_of(spark: SparkSession, state_dir: str, batch_id: int):
-    """Centres and counts saved by one batch (None when it has saved none)."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.parquet(_centres_path(state_dir, batch_id)).orderBy("cluster_id").collect()  # k rows
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return (np.array([r["center"] for r in rows]), np.array([r["n"] for r in rows], dtype=float)) if rows else None
+def centres_after(spark: SparkSession, state_dir: str, batch_id: int, k: int = md.DEFAULT_K) -> mb.Centres:
+    """The centres as they were after a batch."""
+    return mb.load(spark.read.schema(mb.TABLE).parquet(_part(state_dir, "centres", batch_id)), k)
 
 
 def minibatch_stream(
@@ -156,31 +148,44 @@ def minibatch_stream(
     checkpoint: str,
     k: int = md.DEFAULT_K,
     seed: int = 1,
-    features_col: str = "features",
+    n_init: int = md.DEFAULT_INIT,
+    init_size: int = 3 * md.DEFAULT_BATCH,
+    id_col: str = "doc_id",
+    keep=("doc_id", "permalink"),
 ) -> None:
-    """T4: one mini-batch k-means step per micro-batch. Centres live in ``state_dir`` keyed by
-    batch id; a batch whose state exists is skipped, so a replay after failure is idempotent.
-    The first batch seeds the centres with k-means||."""
+    """T4: one mini-batch k-means step per micro-batch, and its documents labelled.
+
+    State is written per batch id: ``waiting`` (vectors of the batches before there are centres),
+    ``centres`` (the table of sums after the batch) and ``members`` (``keep``, cluster_id, dist2 and
+    centres_batch, the batch whose centres labelled the document), the last of which marks the batch
+    as applied. Vectors wait until ``k`` distinct ones have come; then they seed the centres, are
+    folded in and labelled together. A replayed batch finds the state before it unchanged and
+    writes the same again; an applied one is skipped."""
+    schema = T.StructType([vectors_stream.schema[c] for c in keep])
+    names = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, cluster_id int, dist2 double, centres_batch bigint"
+
+    def label(rows: DataFrame, centres: mb.Centres, batch_id: int) -> None:
+        found = mb.assign(rows, centres, keep, id_col).withColumn("centres_batch", F.lit(batch_id).cast("bigint"))
+        found.write.mode("overwrite").parquet(_part(state_dir, "members", batch_id))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if _state_of(spark, state_dir, batch_id) is not None:
+        if staged_exists(spark, _part(state_dir, "members", batch_id)):
             return  # already applied
-        feats = batch.select(features_col)
-        prev = _state_of(spark, state_dir, batch_id - 1)  # batch ids are consecutive
-        if prev is None:
-            m = KMeans(k=k, maxIter=0, seed=seed, initMode="k-means||", featuresCol=features_col).fit(feats)
-            centers = md.centers_of(m)
-            if centers.shape[0] < k:
-                centers = np.vstack([centers, np.repeat(centers[:1], k - centers.shape[0], axis=0)])
-            counts = np.zeros(k)
-        else:
-            centers, counts = prev
-        agg = md.step_sums(spark, feats, centers, features_col)
-        centers, counts = md.fold_step(centers, counts, agg)
-        rows = [(int(c), centers[c].tolist(), float(counts[c])) for c in range(k)]
-        spark.createDataFrame(rows, "cluster_id int, center array<double>, n double").write.mode("overwrite").parquet(
-            _centres_path(state_dir, batch_id)
-        )
+        own = _part(state_dir, "centres", batch_id)
+        if batch_id > 0 and staged_exists(spark, _part(state_dir, "centres", batch_id - 1)):  # batch ids are consecutive
+            rows = batch.persist()
+            try:
+                label(rows, mb.fold(rows, centres_after(spark, state_dir, batch_id - 1, k), own, id_col, keep=True), batch_id)
+            finally:
+                rows.unpersist()
+            return
+        batch.write.mode("overwrite").parquet(_part(state_dir, "waiting", batch_id))
+        rows = spark.read.schema(batch.schema).parquet(*[_part(state_dir, "waiting", b) for b in range(batch_id + 1)])
+        if rows.select(F.xxhash64("features").alias("h")).distinct().limit(k).count() < k:
+            spark.createDataFrame([], names).write.mode("overwrite").parquet(_part(state_dir, "members", batch_id))
+            return
+        centres, _ = mb.seed_centres(rows, k, n_init, seed, init_size, _part(state_dir, "seed", batch_id), id_col)
+        label(rows, mb.fold(rows, centres, own, id_col, keep=True), batch_id)
 
     q = vectors_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
@@ -188,9 +193,14 @@ def minibatch_stream(
     q.awaitTermination()
 
 
-def final_centres(spark: SparkSession, state_dir: str):
+def streamed_members(spark: SparkSession, state_dir: str) -> DataFrame:
+    """Every labelled document of the stream so far, once."""
+    return spark.read.parquet(f"{state_dir}/members").drop("batch_id")
+
+
+def final_centres(spark: SparkSession, state_dir: str, k: int = md.DEFAULT_K) -> mb.Centres:
     """Centres after the last applied batch."""
-    last = spark.read.parquet(state_dir).agg(F.max("batch_id")).first()[0]
+    last = spark.read.schema(mb.TABLE + ", batch_id bigint").parquet(f"{state_dir}/centres").agg(F.max("batch_id")).first()[0]
     if last is None:
         raise ValueError("no batch has been applied")
-    return _state_of(spark, state_dir, int(last))
+    return centres_after(spark, state_dir, int(last), k)
