@@ -39,7 +39,7 @@ def test_part_numbers_example(spark):
 def test_dense_index_with_gaps_and_small_buckets(spark):
     keys = [5, 17, 18, 40, 41, 99, 1000]
     df = spark.createDataFrame([(k,) for k in keys], "seq long")
-    got = sorted((r["seq"], r["idx"]) for r in ct.dense_index(df, "seq", width=10).collect())
+    got = sorted((r["seq"], r["idx"]) for r in ct.dense_index(df, "seq").collect())
     assert got == [(k, i) for i, k in enumerate(keys)]
     totals = ct.part_counts(ct.with_parts(spark.range(10).withColumnRenamed("id", "seq"), "seq", 3)).orderBy("part")
     assert [(r["part"], r["n_docs"], r["running_total"]) for r in totals.collect()] == [(1, 4, 4), (2, 3, 7), (3, 3, 10)]

@@ -148,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "p AS (SELECT doc_id, idx, CAST(greatest(1, ceil(idx / 100)) AS BIGINT) AS part FROM i) "
     )
     q["part_numbers"] = parts + "SELECT doc_id, idx, part FROM p"
+    q["sparse_part_numbers"] = parts + "SELECT doc_id, doc_id * 10000000 AS seq, idx, part FROM p"
     q["running_count"] = (
         parts + ", c AS (SELECT part, count(*) AS n_docs FROM p GROUP BY part) "
         "SELECT part, n_docs, CAST(sum(n_docs) OVER (ORDER BY part) AS BIGINT) AS running_total FROM c"

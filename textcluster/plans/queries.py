@@ -266,6 +266,13 @@ def q_part_numbers(spark, sf_dir):
     return parts.select("doc_id", "idx", "part")
 
 
+def q_sparse_part_numbers(spark, sf_dir):
+    """W1 + W2 over sparse order keys (ids times 10^7): the index, and the part found in place."""
+    keys = articles(spark, sf_dir).select("doc_id", (F.col("doc_id") * 10_000_000).alias("seq"))
+    placed = ct.located_parts(keys, "seq", SMALL_THRESHOLD)
+    return ct.dense_index(placed, "seq").select("doc_id", "seq", "idx", "part")
+
+
 def q_running_count(spark, sf_dir):
     """A6 + W4: documents per part and the running total."""
     parts = ct.with_parts(articles(spark, sf_dir).select("seq"), "seq", SMALL_THRESHOLD)
@@ -629,6 +636,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "end_to_end_tfidf": q_end_to_end_tfidf,
         "end_to_end_hashing": q_end_to_end_hashing,
         "part_numbers": q_part_numbers,
+        "sparse_part_numbers": q_sparse_part_numbers,
         "running_count": q_running_count,
         "first_n": q_first_n,
         "staged_roundtrip": q_staged_roundtrip,

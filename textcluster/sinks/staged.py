@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.counts import PART_THRESHOLD, with_parts
+from ..operators.counts import PART_THRESHOLD, located_parts
 
 
 def write_parts(
     df: DataFrame, path: str, threshold: int = PART_THRESHOLD, order_col: str = "seq", mode: str = "overwrite"
 ) -> None:
-    """K1: one folder per part of ``threshold`` records (part 1 has one more, see W2)."""
-    with_parts(df, order_col, threshold).drop("idx").write.mode(mode).option(
+    """K1: one folder per part of ``threshold`` records (part 1 has one more, see W2). Records are
+    written where they were read: only their order keys are exchanged, to find where parts begin."""
+    located_parts(df, order_col, threshold).write.mode(mode).option(
         "maxRecordsPerFile", threshold
     ).partitionBy("part").parquet(path)
 
