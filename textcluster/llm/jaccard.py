@@ -205,7 +205,8 @@ def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: s
     full = profile.filter("n > 0")
     reps = full.groupBy(*keys).agg(F.min(F.struct("doc", "th")).alias("rep"), F.count("*").alias("copies"))
     reps = written(reps.select(F.monotonically_increasing_id().alias("node"), *keys, "rep.doc", "rep.th", "copies"), "jaccard-reps")
-    nodes = full.join(reps.select("node", *keys, "doc", "th"), [*keys, "doc", "th"]).dropDuplicates(["node"])
+    row = [*keys, "doc", "th"]  # one exchange for the join and for rows that repeat
+    nodes = full.join(reps.select("node", *row), row).dropDuplicates(row)
     nodes = written(nodes.select("node", "doc", "th", "n", "heat", "pre1", "pre2", "pre3"), "jaccard-nodes")
     posts = nodes.select("node", "n", "heat", F.posexplode("pre1").alias("pos", "gram"))
     posts = written(posts.select("gram", "node", "n", "heat", "pos"), "jaccard-posts")
