@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from textcluster.session import scratch_path
 MIN_LONG = -(1 << 63)
 #: groups that hold at least this share of all grouped rows are looked up by broadcast: at most 1 / HOT_SHARE of them exist
 HOT_SHARE = 0.002
+#: Spark's setting that a query's shuffle files are deleted at its end, and not when the driver's garbage is collected
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: places of a bitmap of keys: 1 MB of bits
 BITS = 23
 
@@ -26,10 +29,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lineage, so an executor lost later costs a re-read and not a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _freed_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _freed_shuffles(spark: SparkSession):
+    """A write's shuffle files go when it ends: whatever follows reads the written table."""
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def ship(spark: SparkSession, value):
     """A broadcast of a bounded object whose classes travel with it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -208,11 +208,11 @@ def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: s
     row = [*keys, "doc", "th"]  # one exchange for the join and for rows that repeat
     nodes = full.join(reps.select("node", *row), row).dropDuplicates(row)
     nodes = written(nodes.select("node", "doc", "th", "n", "heat", "pre1", "pre2", "pre3"), "jaccard-nodes")
-    posts = nodes.select("node", "n", "heat", F.posexplode("pre1").alias("pos", "gram"))
-    posts = written(posts.select("gram", "node", "n", "heat", "pos"), "jaccard-posts")
+    # read off the nodes where needed: most are of n-grams that no other set has in its prefix
+    posts = nodes.select("node", "n", "heat", F.posexplode("pre1").alias("pos", "gram")).select("gram", "node", "n", "heat", "pos")
     hubs = posts.groupBy("gram").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min(F.struct("heat", "node", "n", "pos")).alias("hub"))
     hubs = written(hubs.filter("x < y").select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "pos")]), "jaccard-hubs")
-    posts = written(posts.join(hubs, "gram"), "jaccard-posts")
+    posts = written(posts.drop("heat").join(hubs, "gram"), "jaccard-posts")
 
     # round 1: every node against the hub of each n-gram
     met = posts.filter("node <> hub_node").filter(_in_reach("", "hub_", how))
