@@ -10,7 +10,8 @@ not common, which bounds a pair's overlap by the places of a shared n-gram befor
 
 Dense groups do not give all pairs. Equal sets are one node. In a first round each node is compared
 only with one hub per shared prefix n-gram; the links found join nodes into components. In the
-second round, an n-gram's nodes outside its largest component meet the nodes of other components.
+second round, an n-gram's nodes outside its largest component meet the nodes of other components, a
+pair as a rule at its first common n-gram only.
 Pairs inside a component need no comparison, all other candidate pairs get one: the components equal
 those of the complete join.
 
@@ -39,6 +40,7 @@ from .common import MIN_LONG, bitmap, components, lookup, maybe_in, total, writt
 
 SKETCH_BITS = 22
 BLOCK = 1 << 14
+STRETCH = 32
 ORDER_SEEDS = (0x0A11CE, 0x0B0B, 0x0CA501)
 PROFILE = "struct<n:int,f1:bigint,f2:bigint,heat:int,pre1:array<bigint>,pre2:array<int>,pre3:array<int>>"
 
@@ -196,6 +198,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Similari
     return both.filter(F.col("shared") * how.den >= (F.size("as") + F.size("bs") - F.col("shared")) * how.num).select("a", "b").distinct()
 
 
+def _with_grams_before(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``posts`` with ``before``: the n-grams that stand before it in its stretch of STRETCH places of the
+    prefix. Two nodes with one of them in common also meet there, at smaller places, so that the pair is in
+    reach there too."""
+    posts = written(posts, "jaccard-mixed-posts")
+    own = maybe_in(nodes.select("node", "pre1"), bitmap(posts, ["node"]), [F.col("node")]).filter("__maybe")
+    places = F.sequence(F.lit(0), F.floor((F.size("pre1") - 1) / STRETCH).cast("int"))
+    stretches = F.transform(places, lambda s: F.slice("pre1", s * STRETCH + 1, STRETCH))
+    own = own.select("node", F.posexplode(stretches).alias("stretch", "grams"))
+    met = posts.withColumn("stretch", F.floor(F.col("pos") / STRETCH).cast("int")).join(own, ["node", "stretch"])
+    return met.select(*posts.columns, F.slice("grams", F.lit(1), F.col("pos") % STRETCH).alias("before"))
+
+
 def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(profiles, members): members has one row per set identity (f1, f2, n), which is a node: its number
     of rows ``copies``, and of all rows linked with it the smallest document ``component`` with the
@@ -226,10 +241,11 @@ def linked(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: s
     parts = own.groupBy("gram", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("gram", F.col("top.component").alias("main"))
     mixed = written(mixed, "jaccard-mixed")
-    rest = written(own.join(mixed, "gram"), "jaccard-rest")
-    x = rest.filter("component <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component")])
-    y = rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component")])
-    second = x.join(y, "gram").filter("x_component <> y_component").filter(_in_reach("x_", "y_", how))
+    rest = written(_with_grams_before(own.join(mixed, "gram"), nodes), "jaccard-rest")
+    x, y = (rest.select("gram", "main", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "component", "before")]) for s in "xy")
+    second = x.filter("x_component <> main").join(y.drop("main"), "gram").filter("x_component <> y_component").filter(_in_reach("x_", "y_", how))
+    # a pair once, not from both sides, and not again at an n-gram behind one where it has met
+    second = second.filter("y_component = main or x_node < y_node").filter(~F.arrays_overlap("x_before", "y_before"))
     second = second.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _verified(second, nodes, docs, how, id_col, text_col)
