@@ -18,6 +18,7 @@ from .tokens import term_stats
 
 VECTORIZERS = ("tfidf", "hashing")
 NORMS = ("l1", "l2")
+COUNTED_BY = ("grouping", "summary")
 
 
 @dataclass(frozen=True)

@@ -55,15 +55,17 @@ def _count_fn(id_col: str):
     return run
 
 
-def term_stats_from_docs(df: DataFrame, text_col: str = "content", stop_words=None) -> DataFrame:
+def term_stats_from_docs(df: DataFrame, text_col: str = "content", stop_words=None, only: DataFrame | None = None) -> DataFrame:
     """A2 + A3 straight from the documents, with no exchange of text: each row emits its distinct
     terms (``array_distinct``, flag 1: a df contribution) followed by every occurrence (flag 0: a
     cf contribution); partial aggregation by term leaves one row per term per task to shuffle.
-    Built from array built-ins only (no lambdas), with the tokens computed once per row."""
+    Built from array built-ins only (no lambdas), with the tokens computed once per row. ``only``
+    (a column ``term``) restricts the counts to those terms, before the aggregation."""
     tok = df.select(remove_words(tokenize(F.col(text_col)), _words(stop_words)).alias("t"))
     distinct = F.array_distinct("t")
     flags = F.concat(F.array_repeat(F.lit(1), F.size(distinct)), F.array_repeat(F.lit(0), F.size("t")))
     rows = tok.select(F.inline(F.arrays_zip(F.concat(distinct, F.col("t")).alias("term"), flags.alias("d"))))
+    rows = rows if only is None else rows.join(only, "term", "left_semi")
     return rows.groupBy("term").agg(
         F.sum("d").cast("bigint").alias("df"), F.sum(F.lit(1) - F.col("d")).cast("bigint").alias("cf")
     )

@@ -19,6 +19,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 
 from . import features as fe
+from .heavy import frequent_term_stats
 from .tokens import add_tokens, term_stats_from_docs
 
 HASH_FEATURES = 1 << 18
@@ -62,10 +63,22 @@ class Vectorizer:
         return cls("tfidf" if vocab else "hashing", pm, vocab, params)
 
 
-def fit_tfidf(docs: DataFrame, params: fe.TfidfParams = fe.TfidfParams(), id_col="doc_id", text_col="content") -> Vectorizer:
+def corpus_stats(docs: DataFrame, params: fe.TfidfParams, text_col: str = "content", by: str = "grouping") -> DataFrame:
+    """``(term, df, cf)`` for a vocabulary: ``by`` a grouping over all terms (one pass), or by a
+    ``summary`` of the frequent terms (two passes, shuffles bounded by its counters)."""
+    if by not in fe.COUNTED_BY:
+        raise ValueError(f"terms are counted by one of {fe.COUNTED_BY}, got {by!r}")
+    if by == "summary":
+        return frequent_term_stats(docs, params, text_col)
+    return term_stats_from_docs(docs, text_col, params.stop_words)
+
+
+def fit_tfidf(
+    docs: DataFrame, params: fe.TfidfParams = fe.TfidfParams(), id_col="doc_id", text_col="content", by: str = "grouping"
+) -> Vectorizer:
     """M1 fit: relational vocabulary and idf (bounded by ``max_features``) into ML stages."""
     # Corpus statistics come straight from the documents: no text is shuffled to fit.
-    stats = term_stats_from_docs(docs, text_col, params.stop_words)
+    stats = corpus_stats(docs, params, text_col, by)
     n = fe.doc_count(docs)
     idf = fe.idf_table(fe.vocabulary_from_stats(stats, n, params), n)
     rows = idf.orderBy("term_idx").select("term", "idf").collect()  # <= max_features rows
@@ -98,11 +111,15 @@ def fit_hashing(
 
 
 def fit_vectorizer(
-    docs: DataFrame, kind: str = "tfidf", params: fe.TfidfParams = fe.TfidfParams(), num_features: int = HASH_FEATURES
+    docs: DataFrame,
+    kind: str = "tfidf",
+    params: fe.TfidfParams = fe.TfidfParams(),
+    num_features: int = HASH_FEATURES,
+    by: str = "grouping",
 ) -> Vectorizer:
     """M9: choose the vectorizer; anything but tfidf / hashing is an error."""
     fe.check_vectorizer(kind)
-    return fit_tfidf(docs, params) if kind == "tfidf" else fit_hashing(docs, params, num_features)
+    return fit_tfidf(docs, params, by=by) if kind == "tfidf" else fit_hashing(docs, params, num_features)
 
 
 def tfidf_rows(vec: Vectorizer, docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:

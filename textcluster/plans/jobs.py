@@ -54,6 +54,7 @@ class JobConfig:
     materialize: str = "checkpoint"
     num_docs: int = 0  # L1 / L2: keep only the first n records in read order (0 = all)
     hash_features: int = 1 << 20  # M2: width of hashing vectors
+    count_terms_by: str = "grouping"  # F8: or "summary" (two passes, no shuffle of all distinct terms)
     max_no_improvement: int | None = 10  # M4: steps without a lower average inertia before the end (None: all epochs)
     reassignment_ratio: float = 0.01  # M4: share of the largest centre's members below which a centre restarts
     on_bad: str = "error"  # S5: "error" or "skip" for files with another extension
@@ -69,6 +70,8 @@ class JobConfig:
             raise ValueError(f"algorithm must be one of {ALGORITHMS}")
         if self.gen_keywords and self.vectorizer == "hashing":
             raise ValueError("keywords need the tfidf vocabulary; hashing vectors have none")
+        if self.count_terms_by not in fe.COUNTED_BY:
+            raise ValueError(f"count_terms_by must be one of {fe.COUNTED_BY}")
         if self.k < 1:
             raise ValueError("k must be positive")
         if self.num_docs < 0:
@@ -151,7 +154,7 @@ def cluster_articles(
     else:
         arts = arts() if callable(arts) else arts
         arts = arts.withColumn("doc_id", F.col("seq")) if "doc_id" not in arts.columns else arts
-        vec = vz.fit_vectorizer(arts, cfg.vectorizer, cfg.params, cfg.hash_features)
+        vec = vz.fit_vectorizer(arts, cfg.vectorizer, cfg.params, cfg.hash_features, cfg.count_terms_by)
         vectors = vec.transform(arts, keep=keep)
         if features_path:
             vec.save(f"{features_path}/model")

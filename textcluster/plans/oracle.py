@@ -197,6 +197,7 @@ def oracle_sql() -> dict[str, str]:
     q["term_freq"] = f"WITH {tok} SELECT doc_id, term, tf FROM tf"
     q["doc_freq"] = f"WITH {tok} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term"
     q["vocabulary"] = f"WITH {tok}, {voc} SELECT term_idx, term, df, cf FROM vocab"
+    q["vocabulary_summary"] = q["vocabulary"]
     q["idf"] = f"WITH {tok}, {voc} SELECT term_idx, term, df, round(idf, 6) AS idf FROM idf"
     for norm in ("l1", "l2"):
         q[f"tfidf_{norm}"] = (

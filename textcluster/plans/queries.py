@@ -59,6 +59,12 @@ def q_vocabulary(spark, sf_dir):
     return _vocab_only(spark, sf_dir)[0]
 
 
+def q_vocabulary_summary(spark, sf_dir):
+    """F8 + L3 + L5 from a heavy-hitter summary: only its terms are counted and shuffled."""
+    arts, params = articles(spark, sf_dir), fe.TfidfParams()
+    return fe.vocabulary_from_stats(vz.corpus_stats(arts, params, by="summary"), fe.doc_count(arts), params)
+
+
 def q_idf(spark, sf_dir):
     """A4: smoothed idf + 1 of every vocabulary term."""
     idf = _vocab_only(spark, sf_dir)[1]
@@ -662,6 +668,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "term_freq": q_term_freq,
         "doc_freq": q_doc_freq,
         "vocabulary": q_vocabulary,
+        "vocabulary_summary": q_vocabulary_summary,
         "idf": q_idf,
         "tfidf_l1": q_tfidf_l1,
         "tfidf_l2": q_tfidf_l2,
