@@ -113,6 +113,23 @@ def test_joined_terms_equal_broadcast_terms(spark):
     assert got[0] == got[1] and any("remove" in x for x in got[0])
 
 
+def test_spans_are_ordered_by_kind_then_start(spark):
+    texts = ["x weak a@b.c strong y strong weak 1.2.3.4"]
+    hashes = pii.disclosing_terms(docs(spark, ["strong a@b.c strong strong " + " ".join(words(rng(3), 40))]))
+    strong = next(iter(hashes[0]))
+    import numpy as np
+
+    from textcluster.llm import scan
+
+    weak = int(scan.run_hashes(np.frombuffer(b"weak", np.uint8), np.array([0]), np.array([4])).view(np.int64)[0])
+    frame, order = docs(spark, texts), (*pii.KINDS, "generalise", "remove")
+    table = spark.createDataFrame([(0, strong, "remove"), (0, weak, "generalise")], "kind int, term long, told string")
+    for marked in (pii.mark(frame, terms={0: {strong: "remove", weak: "generalise"}}), pii._joined_mark(frame, "text", table)):
+        spans = [(s["kind"], s["start"]) for s in marked.first()["__pii"]]
+        assert spans == sorted(spans, key=lambda s: (order.index(s[0]), s[1]))
+        assert [k for k, _ in spans] == ["email", "ip", "generalise", "generalise", "remove", "remove"]
+
+
 def test_sanitised_texts(spark):
     texts = corpus(rng(6)) + [None, "", "no data"]
     out = {x["doc_id"]: x["text"] for x in pii.sanitise(docs(spark, texts)).collect()}

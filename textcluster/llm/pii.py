@@ -172,7 +172,7 @@ FOUND = "struct<kind:string,start:int,end:int>"
 
 def spans_column(spark, terms: dict[int, dict[int, str]], text: Column) -> Column:
     """array<struct<kind, start, end>> of a text: pattern spans by kind and start, then term spans
-    (kind ``generalise`` or ``remove``) by start."""
+    by kind (``generalise``, ``remove``) and start."""
     shared = spark.sparkContext.broadcast(terms)
 
     @F.arrow_udf(f"array<{FOUND}>")
@@ -193,7 +193,7 @@ def spans_column(spark, terms: dict[int, dict[int, str]], text: Column) -> Colum
                             if h in own:
                                 told[w] = max(told.get(w, ""), own[h])
                     points = scan.code_points(body) if told else None
-                    for w in sorted(told):
+                    for w in sorted(told, key=lambda w: (told[w], w)):
                         rows[i].append({"kind": told[w], "start": int(points[starts[w]]), "end": int(points[ends[w]])})
             out += rows
         return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
@@ -235,7 +235,7 @@ def _joined_mark(docs: DataFrame, text_col: str, table: DataFrame) -> DataFrame:
     words = words.withColumn("deal", F.pmod(F.xxhash64("__pii_key", "start"), F.lit(DEAL)).cast("int"))
     dealt = table.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
     found = words.join(dealt, ["kind", "term", "deal"]).groupBy("__pii_key", "start", "end").agg(F.max("told").alias("told"))
-    found = found.groupBy("__pii_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "told"))).alias("__pii_told"))
+    found = found.groupBy("__pii_key").agg(F.sort_array(F.collect_list(F.struct("told", "start", "end"))).alias("__pii_told"))
     own = docs.withColumn("__pii_own", F.coalesce(key, F.lit("")))
     base = own.join(found, own["__pii_own"] == found["__pii_key"], "left").withColumn("__pii_base", spans_column(docs.sparkSession, {}, F.col(text_col)))
     told = F.transform("__pii_told", lambda x: F.struct(x["told"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
