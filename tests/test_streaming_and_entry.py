@@ -104,19 +104,25 @@ def test_stage_arriving_text_files(spark):
 
 
 def test_stream_hashing_then_idf_equals_batch_hashing(spark):
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import HashingTF, Normalizer
-
     arts = _articles(spark)
     path = scratch_path(spark, "t_staged_hash")
     sg.write_parts(arts, path, threshold=9)
-    stages = PipelineModel(
-        [HashingTF(numFeatures=1 << 10, inputCol="tokens", outputCol="tf"), Normalizer(p=1.0, inputCol="tf", outputCol="features")]
-    )
-    sink, ckpt = scratch_path(spark, "t_hash_sink"), scratch_path(spark, "t_hash_ckpt")
-    st.drain(st.hash_stream(st.replay(spark, path), stages), sink, ckpt)
-    streamed = {r["doc_id"]: r["features"] for r in st.finish_hashing(spark, sink).collect()}
-    batch_vec = vz.fit_hashing(arts, fe.TfidfParams(), num_features=1 << 10)
-    batch = {r["doc_id"]: r["features"] for r in batch_vec.transform(arts, keep=("doc_id",)).collect()}
-    assert streamed.keys() == batch.keys()
-    assert all(np.allclose(streamed[d].toArray(), batch[d].toArray()) for d in batch)
+    state, ckpt = scratch_path(spark, "t_hash_state"), scratch_path(spark, "t_hash_ckpt")
+    width = 1 << 10
+    st.hash_arriving(st.replay(spark, path), state, ckpt, width)
+    last = st.last_batch(spark, state)
+    assert last >= 2
+    for batch_id in (0, last // 2, last):  # as of every batch: a fit over the documents so far
+        streamed = {r["doc_id"]: r["features"] for r in st.finish_hashing(spark, state, batch_id, width=width).collect()}
+        so_far = arts.where(F.col("doc_id").isin(list(streamed)))
+        vec = vz.fit_hashing(so_far, fe.TfidfParams(), num_features=width)
+        batch = {r["doc_id"]: r["features"] for r in vec.transform(so_far, keep=("doc_id",)).collect()}
+        assert streamed.keys() == batch.keys() and (len(batch) == arts.count()) == (batch_id == last)
+        assert all(np.allclose(streamed[d].toArray(), batch[d].toArray()) for d in batch)
+        assert np.allclose(st.idf_after(spark, state, batch_id, width), vec.pipeline.stages[0].getScalingVec().toArray())
+    # an arriving batch goes on from the state; the stateless form gives the same counts
+    st.hash_arriving(st.replay(spark, path), state, ckpt, width)
+    assert st.last_batch(spark, state) == last
+    sink = scratch_path(spark, "t_hash_sink")
+    st.drain(st.hash_stream(st.replay(spark, path), width), sink, scratch_path(spark, "t_hash_ckpt"))
+    assert spark.read.parquet(sink).count() == arts.count()

@@ -5,8 +5,8 @@ vocabulary, at most ``max_features`` terms, and their idf); transforming is row-
 broadcast vocabulary, scale by the broadcast idf vector and normalise, with no shuffle at all.
 
   tfidf   : CountVectorizerModel(vocabulary) -> ElementwiseProduct(idf + 1) -> Normalizer(p)
-  hashing : HashingTF(2^18 buckets) -> Normalizer(p) -> IDF fit -> ElementwiseProduct(idf + 1)
-            -> Normalizer(p). Buckets are unsigned counts; there is no vocabulary, so no keywords.
+  hashing : signed counts by MD5 over 2^20 buckets, divided by their norm (``hashing``) ->
+            ElementwiseProduct(idf + 1) -> Normalizer(p). There is no vocabulary, so no keywords.
 """
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 
 from . import features as fe
+from . import hashing as hs
+from .hashing import HASH_FEATURES
 from .heavy import frequent_term_stats
 from .tokens import add_tokens, term_stats_from_docs
 
-HASH_FEATURES = 1 << 18
-
 
 def _p(norm: str) -> float:
     return {"l1": 1.0, "l2": 2.0}[norm]
@@ -41,9 +41,17 @@ class Vectorizer:
 
     def transform(self, df: DataFrame, text_col: str = "content", keep=("doc_id", "permalink")) -> DataFrame:
         cols = [c for c in keep if c in df.columns]
+        if self.kind == "hashing":
+            counts = hs.signed_counts(df, self.width, self.params.norm, cols, text_col, self.params.stop_words, "counts")
+            return self.pipeline.transform(counts).select(*cols, "features")
         tok = add_tokens(df.select(*cols, text_col), text_col, "tokens", self.params.stop_words)
         return self.pipeline.transform(tok).select(*cols, "features")
 
+    @property
+    def width(self) -> int:
+        """Entries of a vector."""
+        return len(self.vocabulary) if self.kind == "tfidf" else self.pipeline.stages[0].getScalingVec().size
+
     def vocabulary_df(self, spark) -> DataFrame:
         """``(term_idx, term)``."""
         if not self.vocabulary:
@@ -94,20 +102,20 @@ def fit_tfidf(
 def fit_hashing(
     docs: DataFrame, params: fe.TfidfParams = fe.TfidfParams(), num_features: int = HASH_FEATURES, text_col="content"
 ) -> Vectorizer:
-    """M2 fit: hashed counts, normalised, idf (+1) fitted on them, normalised again."""
-    p = _p(params.norm)
-    tok = add_tokens(docs.select(text_col), text_col, "tokens", params.stop_words)
-    htf = HashingTF(numFeatures=num_features, inputCol="tokens", outputCol="tf")
-    n1 = Normalizer(p=p, inputCol="tf", outputCol="tfn")
-    idf_model = IDF(inputCol="tfn", outputCol="_unused").fit(n1.transform(htf.transform(tok)))
-    plus_one = DenseVector(idf_model.idf.toArray() + 1.0)
-    stages = [
-        htf,
-        n1,
-        ElementwiseProduct(scalingVec=plus_one, inputCol="tfn", outputCol="w"),
-        Normalizer(p=p, inputCol="w", outputCol="features"),
-    ]
-    return Vectorizer("hashing", PipelineModel(stages), [], params)
+    """M2 fit: signed hashed counts, normalised, and the idf (+1) of their buckets from one pass."""
+    counts = hs.signed_counts(docs, num_features, params.norm, (), text_col, params.stop_words)
+    return hashing_vectorizer(hs.idf_of(hs.bucket_df(counts, num_features), num_features), params)
+
+
+def hashing_vectorizer(idf, params: fe.TfidfParams = fe.TfidfParams()) -> Vectorizer:
+    """M2 from the idf of every bucket (its length is the width), e.g. one read from a stream's state."""
+    return Vectorizer("hashing", PipelineModel(idf_stages(idf, params.norm, "counts")), [], params)
+
+
+def idf_stages(idf, norm: str, in_col: str, out_col: str = "features") -> list:
+    """Scale normalised counts by the idf, then normalise again."""
+    scaled = ElementwiseProduct(scalingVec=DenseVector(idf), inputCol=in_col, outputCol="w")
+    return [scaled, Normalizer(p=_p(norm), inputCol="w", outputCol=out_col)]
 
 
 def fit_vectorizer(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ..functions.stopwords import english_stop_words, sql_list
 from ..operators.features import TfidfParams
+from ..operators.hashing import HASH_FEATURES
 from ..operators.report import DEFAULT_SEARCH_URL, RANK_DECIMALS
 
 P = TfidfParams()
@@ -261,10 +262,18 @@ FROM range(4) r WHERE r.range NOT IN (SELECT cluster_id FROM mem)"""
         "SELECT count(*) AS n_docs, CAST(30 * ceil(count(*) / 50000.0) AS BIGINT) AS n_steps, 30 * count(*) AS n_folded FROM documents"
     )
     q["minibatch_cost"] = "SELECT count(*) AS n_docs, CAST(20 AS INTEGER) AS k, true AS near_full_fit FROM documents"
-    q["hash_tf"] = (
-        f"WITH {tok}, n AS (SELECT doc_id, count(*) AS n FROM tf GROUP BY doc_id) SELECT d.doc_id, coalesce(n.n, 0) AS n_terms, "
-        "CASE WHEN n.n IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS l1, true AS fits FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"
-    )
+    q["hash_tf"] = f"""WITH {tok},
+h AS (SELECT doc_id, tf, md5(term) AS m FROM tf),
+b AS (
+  SELECT doc_id, CAST(concat('0x', m[1:8]) AS BIGINT) % {HASH_FEATURES} AS bucket,
+         sum(CASE WHEN CAST(concat('0x', m[9:10]) AS BIGINT) % 2 = 1 THEN -tf ELSE tf END) AS v
+  FROM h GROUP BY ALL HAVING v <> 0
+),
+df AS (SELECT bucket, count(*) AS df FROM b GROUP BY bucket),
+w AS (
+  SELECT doc_id, bucket, v * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM b JOIN df USING (bucket)
+)
+SELECT doc_id, bucket, round(w / sum(abs(w)) OVER (PARTITION BY doc_id), 6) AS weight FROM w"""
     q["stream_hash"] = q["hash_tf"]
     q["end_to_end_tfidf"] = f"WITH {_XML} SELECT permalink FROM x"
     q["end_to_end_hashing"] = f"WITH {_TEXT} SELECT permalink, true AS in_range FROM tx WHERE content IS NOT NULL AND permalink IS NOT NULL"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as cn
 from ..operators import cluster as cl
 from ..operators import counts as ct
+from ..operators import hashing as hs
 from ..operators import minibatch as mb
 from ..operators import models as md
 from ..operators import parse as ps
@@ -375,13 +376,9 @@ def _known_terms(spark, sf_dir, keywords: DataFrame, key: str) -> DataFrame:
     return terms.join(known, "term", "left").groupBy(key).agg(F.count_distinct("term").alias("n_terms"), F.count("known").alias("n_known"))
 
 
-def _hash_checked(spark, sf_dir, vectors: DataFrame) -> DataFrame:
-    """``(doc_id, n_terms, l1, fits)``: hashed vectors against the documents' distinct terms."""
-    stats = vz.vector_stats(vectors.select("doc_id", "features"))
-    terms = tk.term_freq(articles(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0)).cast("bigint")
-    fits = (F.col("n_buckets") <= n) & ((F.col("n_buckets") > 0) == (n > 0))
-    return stats.join(terms, "doc_id", "left").select("doc_id", n.alias("n_terms"), F.round("l1", 6).alias("l1"), fits.alias("fits"))
+def _hashed(vectors: DataFrame) -> DataFrame:
+    """``(doc_id, bucket, weight)`` of hashed vectors."""
+    return hs.entries(vectors).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 def q_vector_dense_dump(spark, sf_dir):
@@ -456,9 +453,9 @@ def q_minibatch_cost(spark, sf_dir):
 
 
 def q_hash_tf(spark, sf_dir):
-    """M2: hashing vectors; per document the non-zero buckets and the L1 norm (1, or 0 when empty)."""
-    _, vectors = _vectors(spark, sf_dir, "hashing")
-    return _hash_checked(spark, sf_dir, vectors)
+    """M2: signed hashing vectors (2^20 buckets, L1, idf): every non-zero weight of every document."""
+    arts = articles(spark, sf_dir)
+    return _hashed(vz.fit_vectorizer(arts, "hashing").transform(arts, keep=("doc_id",)))
 
 
 def q_lda_topics(spark, sf_dir):
@@ -531,21 +528,13 @@ def q_stream_stage(spark, sf_dir):
 
 
 def q_stream_hash(spark, sf_dir):
-    """Hashed, normalised term counts computed on the replayed stream (no fit needed), then
-    the idf batch fit over the written counts."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import HashingTF, Normalizer
-
+    """Signed hashed counts of the replayed stream and its running document frequencies; the
+    weights under the idf of the last batch's state."""
     from ..streaming import replay as st
 
-    path = _staged(spark, sf_dir)
-    stages = PipelineModel(
-        [HashingTF(numFeatures=vz.HASH_FEATURES, inputCol="tokens", outputCol="tf"), Normalizer(p=1.0, inputCol="tf", outputCol="features")]
-    )
-    sink, ckpt = scratch_path(spark, "hash_sink"), scratch_path(spark, "hash_ckpt")
-    st.drain(st.hash_stream(st.replay(spark, path), stages), sink, ckpt)
-    final = st.finish_hashing(spark, sink)  # idf fitted afterwards over what the stream wrote
-    return _hash_checked(spark, sf_dir, final)
+    state, ckpt = scratch_path(spark, "hash_state"), scratch_path(spark, "hash_ckpt")
+    st.hash_arriving(st.replay(spark, _staged(spark, sf_dir), files_per_batch=16), state, ckpt)
+    return _hashed(st.finish_hashing(spark, state))
 
 
 def q_stream_minibatch(spark, sf_dir):

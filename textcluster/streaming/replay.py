@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean as cn
+from ..operators import hashing as hs
 from ..operators import minibatch as mb
 from ..operators import models as md
 from ..operators import parse as ps
+from ..operators import vectors as vz
 from ..sinks.staged import staged_exists
 from ..sources.files import TEXT_EXTENSIONS, XML_EXTENSIONS, with_source
 from ..sources.xml import cut_records
@@ -107,29 +109,66 @@ def stage_arriving(
     q.awaitTermination()
 
 
-def hash_stream(articles_stream: DataFrame, vectorizer_pipeline, keep=("doc_id", "permalink")) -> DataFrame:
-    """Stateless vectorising of streamed documents with fitted stages (e.g. HashingTF +
-    Normalizer, which need no fit); idf is a later batch fit over the written counts."""
-    from ..operators.tokens import add_tokens
+def hash_stream(articles_stream: DataFrame, width: int = hs.HASH_FEATURES, norm: str = "l1", keep=("doc_id", "permalink")) -> DataFrame:
+    """The signed hashed counts of streamed documents, with no state and no fit."""
+    return hs.signed_counts(articles_stream, width, norm, keep)
 
-    cols = [c for c in keep if c in articles_stream.columns]
-    tok = add_tokens(articles_stream.select(*cols, "content"), "content", "tokens")
-    return vectorizer_pipeline.transform(tok).select(*cols, "features")
 
+def hash_arriving(
+    articles_stream: DataFrame,
+    state_dir: str,
+    checkpoint: str,
+    width: int = hs.HASH_FEATURES,
+    norm: str = "l1",
+    keep=("doc_id", "permalink"),
+    stop_words=None,
+) -> None:
+    """Every micro-batch's signed hashed counts, and the document frequency of every bucket over all
+    batches so far (the state: at most ``width`` + 1 rows), each one folder per batch id. A replayed batch
+    starts from the state before it and overwrites its own folders, so nothing counts twice."""
+    stream = hs.signed_counts(articles_stream, width, norm, keep, stop_words=stop_words)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        counts = _part(state_dir, "counts", batch_id)
+        batch.write.mode("overwrite").parquet(counts)
+        df = hs.bucket_df(spark.read.parquet(counts), width)
+        if batch_id:
+            df = hs.add_df(spark.read.schema(hs.DF_TABLE).parquet(_part(state_dir, "df", batch_id - 1)), df)
+        df.write.mode("overwrite").parquet(_part(state_dir, "df", batch_id))
+
+    q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
-def finish_hashing(spark: SparkSession, counts_path: str, norm: str = "l1", features_col: str = "features") -> DataFrame:
-    """The batch half of T3: fit idf (+1) over the normalised hashed counts a stream has written,
-    then scale and normalise again (the same stages as the batch hashing vectorizer)."""
-    from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
-    from pyspark.ml.linalg import DenseVector
 
-    p = {"l1": 1.0, "l2": 2.0}[norm]
-    counts = spark.read.parquet(counts_path)
-    idf = IDF(inputCol=features_col, outputCol="_unused").fit(counts).idf.toArray() + 1.0
-    scaled = ElementwiseProduct(scalingVec=DenseVector(idf), inputCol=features_col, outputCol="_w").transform(counts)
-    return Normalizer(p=p, inputCol="_w", outputCol="_f").transform(scaled).drop(features_col, "_w").withColumnRenamed(
-        "_f", features_col
-    )
+def last_batch(spark: SparkSession, state_dir: str) -> int:
+    """The last batch whose document frequencies are written."""
+    done = 0
+    while staged_exists(spark, _part(state_dir, "df", done)):
+        done += 1
+    if not done:
+        raise ValueError(f"no batch is written in {state_dir}")
+    return done - 1
+
+
+def idf_after(spark: SparkSession, state_dir: str, batch_id: int | None = None, width: int = hs.HASH_FEATURES):
+    """The idf (+1) of every bucket as of a batch (default: the last), read from the state: equal to a fit
+    over the documents of batches 0..``batch_id``."""
+    at = last_batch(spark, state_dir) if batch_id is None else batch_id
+    return hs.idf_of(spark.read.parquet(_part(state_dir, "df", at)), width)
+
+
+def finish_hashing(
+    spark: SparkSession, state_dir: str, batch_id: int | None = None, norm: str = "l1", width: int = hs.HASH_FEATURES
+) -> DataFrame:
+    """The vectors of batches 0..``batch_id`` (default: the last) under the idf of that batch's state: the
+    batch hashing vectors of those documents, without a pass to fit."""
+    from pyspark.ml import PipelineModel
+
+    at = last_batch(spark, state_dir) if batch_id is None else batch_id
+    counts = spark.read.parquet(*[_part(state_dir, "counts", i) for i in range(at + 1)])
+    stages = PipelineModel(vz.idf_stages(idf_after(spark, state_dir, at, width), norm, "features", "scaled"))
+    return stages.transform(counts).drop("features", "w").withColumnRenamed("scaled", "features")
 
 
 def _part(state_dir: str, kind: str, batch_id: int) -> str:
