@@ -21,6 +21,7 @@ from ..operators import minibatch as mb
 from ..operators import models as md
 from ..operators import parse as ps
 from ..operators import report as rp
+from ..operators import restarts as rs
 from ..operators import vectors as vz
 from ..sinks import export as ex
 from ..session import materialize, scratch_path
@@ -29,7 +30,7 @@ from ..sources.files import TEXT_EXTENSIONS, XML_EXTENSIONS, validate_file
 from ..sources.text import read_text_records_by_lines
 from ..sources.xml import read_xml_records
 
-ALGORITHMS = ("kmeans", "kmeans_pp", "minibatch")
+ALGORITHMS = ("kmeans", "kmeans_one_scan", "kmeans_pp", "minibatch")
 IN_FORMATS = ("xml", "txt")
 
 
@@ -167,7 +168,12 @@ def cluster_articles(
         if cfg.algorithm in ("kmeans", "kmeans_pp"):
             n_init = cfg.n_init if cfg.algorithm == "kmeans" else 1
             model, runs = md.kmeans_restarts(vectors, cfg.k, n_init, cfg.max_iter, cfg.seed)
+            centres = md.centers_of(model)
             membership = md.assign_model(model, vectors, keep=("doc_id", "seq", "permalink"))
+        elif cfg.algorithm == "kmeans_one_scan":
+            fitted = rs.fit(vectors, cfg.k, cfg.n_init, cfg.max_iter, cfg.seed)
+            centres, runs = fitted.centres, fitted.costs
+            membership = md.assign_with_centres(spark, vectors, centres, keep=("doc_id", "seq", "permalink")).drop("dist2")
         else:
             res = mb.fit(
                 vectors, cfg.k, cfg.batch_size, cfg.max_iter, cfg.n_init, cfg.seed,
@@ -181,7 +187,7 @@ def cluster_articles(
             if cfg.algorithm == "minibatch":
                 cents = res.centres.weights().join(F.broadcast(vocab), "term_idx").select("cluster_id", "term", "weight")
             else:
-                cents = md.centroid_terms(spark, md.centers_of(model), vocab)
+                cents = md.centroid_terms(spark, centres, vocab)
             clusters = spark.range(cfg.k).select(F.col("id").cast("int").alias("cluster_id"))
             keywords = rp.top_terms(cents, cfg.n_terms, "cluster_id", clusters=clusters, vocab=vocab)
         collated = rp.collate(membership, cfg.k, cfg.base_url) if cfg.collate else None

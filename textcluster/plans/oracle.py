@@ -251,9 +251,28 @@ FROM range(4) r WHERE r.range NOT IN (SELECT cluster_id FROM mem)"""
         "SELECT u.cluster_id, u.page, u.clickable_content, k.keywords FROM urls4 u LEFT JOIN kw k ON k.cluster_id = u.cluster_id"
     )
     member = "SELECT doc_id, CAST(doc_id + 10000000 AS VARCHAR) AS permalink"
-    for name in ("kmeans_membership", "kmeans_pp_membership", "minibatch_membership", "stream_minibatch"):
+    for name in ("kmeans_membership", "kmeans_pp_membership", "kmeans_one_scan", "minibatch_membership", "stream_minibatch"):
         q[name] = f"{member}, true AS in_range, true AS is_nearest FROM documents"
     q["features_reuse"] = f"{member}, true AS same FROM documents"
+    q["restarts_step"] = """
+WITH e AS (
+  SELECT vec_id, CAST(label AS INTEGER) AS own0, CAST(vec_id % 3 AS INTEGER) AS own1, CAST(unnest(embedding) AS DOUBLE) AS x,
+         generate_subscripts(embedding, 1) AS dim
+  FROM embeddings
+),
+c AS (
+  SELECT 0 AS run, own0 AS own, dim, avg(x) AS v FROM e GROUP BY ALL
+  UNION ALL SELECT 1 AS run, own1 AS own, dim, avg(x) AS v FROM e GROUP BY ALL
+),
+ranked AS (SELECT run, CAST(dense_rank() OVER (PARTITION BY run ORDER BY own) - 1 AS INTEGER) AS cluster_id, dim, v FROM c),
+d AS (
+  SELECT r.run, r.cluster_id, e.vec_id, sum((e.x - r.v) * (e.x - r.v)) AS d2, sum(e.x) AS entries
+  FROM e JOIN ranked r USING (dim) GROUP BY ALL
+),
+near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY run, vec_id ORDER BY d2, cluster_id) = 1),
+got AS (SELECT run, cluster_id, count(*) AS n, sum(d2) AS cost, sum(entries) AS entries FROM near GROUP BY ALL)
+SELECT k.run, k.cluster_id, coalesce(n, 0) AS n_members, round(coalesce(cost, 0), 4) AS cost, round(coalesce(entries, 0), 4) AS entries
+FROM (SELECT DISTINCT run, cluster_id FROM ranked) k LEFT JOIN got USING (run, cluster_id)"""
     q["kmeans_best_of_n"] = "SELECT count(*) AS n_docs, CAST(3 AS INTEGER) AS n_runs, true AS kept_is_least FROM documents"
     known = f"CAST(least({TOP_N}, (SELECT count(*) FROM vocab)) AS BIGINT)"
     q["kmeans_keywords"] = f"WITH {tok}, {voc} SELECT CAST(range AS INTEGER) AS cluster_id, {known} AS n_terms, {known} AS n_known FROM range(20)"

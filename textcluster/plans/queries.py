@@ -19,6 +19,7 @@ from ..operators import hashing as hs
 from ..operators import minibatch as mb
 from ..operators import models as md
 from ..operators import parse as ps
+from ..operators import restarts as rs
 from ..operators import topics as tp
 from ..operators import vectors as vz
 from ..operators import features as fe
@@ -398,6 +399,32 @@ def q_kmeans_membership(spark, sf_dir):
     return _checked(vectors, md.assign_model(model, vectors), md.centers_of(model))
 
 
+def q_kmeans_one_scan(spark, sf_dir):
+    """M3 + M6: k-means (k 20, best of 3) with the restarts in one scan an iteration, labels checked."""
+    _, vectors = _vectors(spark, sf_dir)
+    centres = rs.fit(vectors).centres
+    return _checked(vectors, md.assign_with_centres(spark, vectors, centres), centres)
+
+
+def q_restarts_step(spark, sf_dir):
+    """Members, cost and sum of entries by run and centre of one shared scan over the
+    embeddings; the runs start at the means of the labels and of three residues of the id."""
+    from pyspark.ml.functions import array_to_vector
+
+    emb = read_table(spark, sf_dir, "embeddings")
+    points = emb.select(array_to_vector("embedding").alias("features"))
+    starts = {}
+    for run, own in enumerate(("label", "vec_id % 3")):
+        means = cl.centroids_from_labels(emb.withColumn("own", F.expr(own).cast("int")), "own", "embedding")
+        rows = means.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("c")).orderBy("cluster_id").collect()
+        starts[run] = np.array([[x["value"] for x in r["c"]] for r in rows])
+    return rs.run_sums(points, starts).groupBy("run", "cluster_id").agg(
+        F.sum(F.when(F.col("term") == rs.MEMBERS, F.col("s")).otherwise(0.0)).cast("bigint").alias("n_members"),
+        F.round(F.sum(F.when(F.col("term") == rs.COST, F.col("s")).otherwise(0.0)), 4).alias("cost"),
+        F.round(F.sum(F.when(F.col("term") >= 0, F.col("s")).otherwise(0.0)), 4).alias("entries"),
+    )
+
+
 def q_kmeans_best_of_n(spark, sf_dir):
     """M3: the restarts, and that the kept model's cost over all vectors is their least."""
     _, vectors = _vectors(spark, sf_dir)
@@ -657,6 +684,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "term_freq": q_term_freq,
         "doc_freq": q_doc_freq,
         "vocabulary": q_vocabulary,
+        "kmeans_one_scan": q_kmeans_one_scan,
+        "restarts_step": q_restarts_step,
         "vocabulary_summary": q_vocabulary_summary,
         "idf": q_idf,
         "tfidf_l1": q_tfidf_l1,
