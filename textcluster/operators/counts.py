@@ -45,10 +45,11 @@ def part_starts(df: DataFrame, order_col: str = "seq", threshold: int = PART_THR
     return [r[0] for r in ranks.where(first).orderBy("idx").select(order_col).collect()]
 
 
-def located_parts(df: DataFrame, order_col: str = "seq", threshold: int = PART_THRESHOLD) -> DataFrame:
-    """W2 in place: ``part`` of every row from the parts' first keys, with no exchange of rows. The
-    keys reach the tasks as one value (an array with one key per ``threshold`` rows)."""
-    starts = part_starts(df, order_col, threshold)
+def located_parts(df: DataFrame, order_col: str = "seq", threshold: int = PART_THRESHOLD, starts: list | None = None) -> DataFrame:
+    """W2 in place: ``part`` of every row from the parts' first keys (``starts``, where the caller has them),
+    with no exchange of rows. The keys reach the tasks as one value (an array with one key per
+    ``threshold`` rows)."""
+    starts = part_starts(df, order_col, threshold) if starts is None else starts
     if not starts:
         return df.withColumn("part", F.lit(1).cast("bigint"))
     kind = df.schema[order_col].dataType

@@ -70,6 +70,9 @@ class Centres:
     def dense(self, width: int) -> np.ndarray:
         """k x width on the driver, for narrow vectors (a vocabulary) and tests."""
         out = np.zeros((self.k, width))
+        if self.held is not None:
+            out[self.held.cluster, np.repeat(self.held.features, np.diff(self.held.at))] = self.held.weight
+            return out
         rows = self.weights().toArrow()
         out[rows.column("cluster_id").to_numpy(), rows.column("term_idx").to_numpy()] = rows.column("weight").to_numpy()
         return out

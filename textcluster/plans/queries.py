@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import clean as cn
 from ..operators import cluster as cl
@@ -292,9 +293,9 @@ def q_first_n(spark, sf_dir):
     return ct.first_n(articles(spark, sf_dir).select("doc_id", "seq", "permalink"), 100, "seq").select("doc_id", "permalink")
 
 
-def _staged(spark, sf_dir):
+def _staged(spark, sf_dir, folders: bool = True):
     path = scratch_path(spark, "staged")
-    sg.write_parts(articles(spark, sf_dir), path, SMALL_THRESHOLD)
+    sg.write_parts(articles(spark, sf_dir), path, SMALL_THRESHOLD, folders=folders)
     return path
 
 
@@ -351,6 +352,21 @@ def _vectors(spark, sf_dir, kind="tfidf"):
     return vec, vectors
 
 
+def _distances(n, rows, idx, val, centres) -> np.ndarray:
+    """n x k squared distances of sparse rows to dense centres."""
+    out = np.zeros((n, len(centres)))
+    for c, centre in enumerate(centres):
+        # |x - c|^2 over the stored entries, plus |c|^2 elsewhere
+        out[:, c] = (centre**2).sum() + np.bincount(rows, (val - centre[idx]) ** 2 - centre[idx] ** 2, n)
+    return out
+
+
+def _verdict(k: int) -> list:
+    """The columns of a checked label: its range, and whether no centre is nearer (``d``: all distances)."""
+    near = F.get("d", F.col("cluster_id")) <= F.array_min("d") + 1e-9
+    return ["doc_id", "permalink", F.col("cluster_id").between(0, k - 1).alias("in_range"), near.alias("is_nearest")]
+
+
 def _checked(vectors: DataFrame, membership: DataFrame, centers) -> DataFrame:
     """``(doc_id, permalink, in_range, is_nearest)``: each label against the distances to all centres,
     computed apart from the labelling."""
@@ -358,16 +374,47 @@ def _checked(vectors: DataFrame, membership: DataFrame, centers) -> DataFrame:
 
     def distances(batches):
         for b in batches:
-            n, rows, idx, val = md.flatten_vectors(b.column("features"))
-            cs, out = shared.value, np.zeros((n, len(shared.value)))
-            for c, centre in enumerate(cs):
-                # |x - c|^2 over the stored entries, plus |c|^2 elsewhere
-                out[:, c] = (centre**2).sum() + np.bincount(rows, (val - centre[idx]) ** 2 - centre[idx] ** 2, n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(out), pa.list_(pa.float64()))], ["doc_id", "d"])
+            d = _distances(*md.flatten_vectors(b.column("features")), shared.value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(d), pa.list_(pa.float64()))], ["doc_id", "d"])
 
     d = vectors.select("doc_id", "features").mapInArrow(distances, "doc_id bigint, d array<double>")
-    near = F.get("d", F.col("cluster_id")) <= F.array_min("d") + 1e-9
-    return membership.join(d, "doc_id").select("doc_id", "permalink", F.col("cluster_id").between(0, len(centers) - 1).alias("in_range"), near.alias("is_nearest"))
+    return membership.join(d, "doc_id").select(*_verdict(len(centers)))
+
+
+VERSIONS = 16  # states of the centres that a task holds at a time
+
+
+def _checked_by_version(vectors: DataFrame, members: DataFrame, centres_of) -> DataFrame:
+    """``_checked`` where every document has its own version of the centres (``centres_batch``). Labels and
+    vectors are joined and written once, in one folder per ``VERSIONS`` versions; each folder is read
+    with the centres of its versions alone."""
+    spark, path = vectors.sparkSession, scratch_path(vectors.sparkSession, "versions")
+    own = members.select("doc_id", "permalink", "cluster_id", "centres_batch").join(vectors.select("doc_id", "features"), "doc_id")
+    own.withColumn("folder", F.floor(F.col("centres_batch") / VERSIONS).cast("bigint")).write.partitionBy("folder").parquet(path)
+    known = sorted(r[0] for r in members.select("centres_batch").distinct().collect())  # one per batch
+    schema = T.StructType([*own.schema.fields[:4], T.StructField("features", own.schema["features"].dataType), T.StructField("folder", T.LongType())])
+    out = None
+    for folder in sorted({v // VERSIONS for v in known}):
+        centres = {v: centres_of(v) for v in known if v // VERSIONS == folder}
+        shared = spark.sparkContext.broadcast(centres)
+
+        def distances(batches, shared=shared):
+            for b in batches:
+                version, d = b.column("centres_batch").to_numpy(zero_copy_only=False), None
+                for v in np.unique(version):
+                    mine = np.flatnonzero(version == v)
+                    found = _distances(*md.flatten_vectors(b.column("features").take(pa.array(mine))), shared.value[int(v)])
+                    d = np.zeros((b.num_rows, found.shape[1])) if d is None else d
+                    d[mine] = found
+                if d is not None:
+                    lists = pa.array(list(d), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "permalink", "cluster_id")], lists], ["doc_id", "permalink", "cluster_id", "d"])
+
+        rows = spark.read.schema(schema).parquet(path).where(F.col("folder") == folder).select("doc_id", "permalink", "cluster_id", "centres_batch", "features")
+        k = len(next(iter(centres.values())))
+        part = rows.mapInArrow(distances, "doc_id bigint, permalink string, cluster_id int, d array<double>").select(*_verdict(k))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _known_terms(spark, sf_dir, keywords: DataFrame, key: str) -> DataFrame:
@@ -534,7 +581,7 @@ def q_stream_replay(spark, sf_dir):
     """Staged parts replayed one file per micro-batch into a Parquet sink."""
     from ..streaming import replay as st
 
-    path = _staged(spark, sf_dir)
+    path = _staged(spark, sf_dir, folders=False)
     sink, ckpt = scratch_path(spark, "replay_sink"), scratch_path(spark, "replay_ckpt")
     st.drain(st.replay(spark, path), sink, ckpt)
     return spark.read.schema(st.STAGED_SCHEMA).parquet(sink).select("doc_id", "part", "permalink")
@@ -560,29 +607,23 @@ def q_stream_hash(spark, sf_dir):
     from ..streaming import replay as st
 
     state, ckpt = scratch_path(spark, "hash_state"), scratch_path(spark, "hash_ckpt")
-    st.hash_arriving(st.replay(spark, _staged(spark, sf_dir), files_per_batch=16), state, ckpt)
+    st.hash_arriving(st.replay(spark, _staged(spark, sf_dir, folders=False), files_per_batch=16), state, ckpt)
     return _hashed(st.finish_hashing(spark, state))
 
 
 def q_stream_minibatch(spark, sf_dir):
-    """T4: one mini-batch k-means step per replayed part (tfidf fitted on the staged batch); every
+    """T4: one mini-batch k-means step per replayed file (tfidf fitted on the staged batch); every
     document is labelled once, by the centres of the batch it came in, and each label is the nearest."""
     from ..streaming import replay as st
 
-    path = _staged(spark, sf_dir)
+    path = _staged(spark, sf_dir, folders=False)
     vec = vz.fit_tfidf(spark.read.parquet(path))
     vectors_stream = vec.transform(st.replay(spark, path), keep=("doc_id", "permalink"))
     state, ckpt = scratch_path(spark, "mb_state"), scratch_path(spark, "mb_ckpt")
     st.minibatch_stream(spark, vectors_stream, state, ckpt)
     members = st.streamed_members(spark, state)
     vectors = vec.transform(spark.read.parquet(path), keep=("doc_id", "permalink"))
-    out = None
-    for version in [r[0] for r in members.select("centres_batch").distinct().orderBy("centres_batch").collect()]:  # one per batch
-        own = members.where(F.col("centres_batch") == version).select("doc_id", "permalink", "cluster_id")
-        centres = st.centres_after(spark, state, version).dense(len(vec.vocabulary))
-        part = _checked(vectors.join(own.select("doc_id"), "doc_id", "left_semi"), own, centres)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _checked_by_version(vectors, members, lambda v: st.centres_after(spark, state, v).dense(len(vec.vocabulary)))
 
 
 def _xml_folder(spark, sf_dir, name):
