@@ -283,12 +283,14 @@ def _write(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(TABLE).parquet(path)
 
 
-def fold(batch: DataFrame, centres: Centres, path: str, id_col: str = "doc_id", keep: bool = False) -> Centres:
+def fold(batch: DataFrame, centres: Centres, path: str, id_col: str = "doc_id", keep: bool = False, width: int | None = None) -> Centres:
     """One step: the batch's sums added. A table that the driver cannot hold is written to ``path``; with
-    ``keep`` any table is."""
+    ``keep`` any table is. Where ``width`` bounds the entries, no limit (one more exchange) guards them."""
     part = batch_sums(batch, centres, id_col)
     if centres.sums is not None:
-        more = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")).limit(MAX_ENTRIES + 1).toArrow()
+        added = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s"))
+        fits = width is not None and centres.k * (width + 2) <= MAX_ENTRIES
+        more = (added if fits else added.limit(MAX_ENTRIES + 1)).toArrow()
         if more.num_rows + len(centres.sums[0]) <= MAX_ENTRIES:
             cid, tid, s = (np.concatenate(x) for x in zip(centres.sums, _columns_of(more)))
             width = int(tid.max()) + 1 - COST
@@ -406,12 +408,32 @@ def seeds(sample: DataFrame, k: int, n_init: int, seed: int, id_col: str = "doc_
     return chosen, [float(c) for c in costs]
 
 
+def smallest_hashes(rows: DataFrame, n: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """The ``n`` rows with the smallest hashes of (seed, id), where they are: no row is moved or sorted. The
+    last hash kept is found from the ids alone, first by counts of 2^16 ranges of hashes, then by
+    hash within one range. Rows that share that hash (an id that repeats) come along."""
+    value = F.xxhash64(F.lit(seed), id_col)
+    ranges = F.shiftright(value, 48)
+    before = 0
+    for at, found in sorted(rows.groupBy(ranges.alias("r")).count().collect()):  # at most 2^16 rows
+        if before + found > n:
+            break
+        before += found
+    else:
+        return rows
+    last = None
+    for h, found in sorted(rows.where(ranges == at).select(value.alias("h")).groupBy("h").count().collect()):  # 2^-16 of the ids
+        if before >= n:
+            break
+        last, before = h, before + found
+    return rows.where((ranges < at) if last is None else (value <= last))
+
+
 def seed_centres(vectors: DataFrame, k: int, n_init: int, seed: int, init_size: int, path: str, id_col: str = "doc_id") -> tuple[Centres, list]:
     """Centres without members at the best of ``n_init`` k-means|| seedings: (centres, (run, seed, cost))."""
     from pyspark import StorageLevel
 
-    sample = vectors.select(id_col, "features").orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(init_size)
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
+    sample = smallest_hashes(vectors.select(id_col, "features"), init_size, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tries, costs = seeds(sample, k, n_init, seed, id_col)
     finally:
@@ -475,6 +497,8 @@ def fit(
     if n_docs == 0:
         raise ValueError("no documents to cluster")
     n_batches = max(1, -(-n_docs // batch_size))
+    one = vectors.select("features").first()["features"]
+    width = None if one is None else len(one)
     root, path = scratch_path(spark, "centres"), scratch_path(spark, "minibatches")
     hashed = lambda *salt: F.xxhash64(F.col(id_col), *[F.lit(s) for s in salt])
     dealt = vectors.select(id_col, "features").withColumn("mb", F.pmod(hashed(seed), F.lit(n_batches)).cast("int"))
@@ -488,7 +512,7 @@ def fit(
     for step in range(max_iter * n_batches):
         batch = staged.where(F.col("mb") == step % n_batches)
         before, had = centres.costs.sum(), centres.counts.sum()
-        centres = fold(batch, centres, f"{root}/{step:06d}", id_col)
+        centres = fold(batch, centres, f"{root}/{step:06d}", id_col, width=width)
         n = int(round(centres.counts.sum() - had))
         out.steps, out.folded = step + 1, out.folded + n
         if n == 0:
