@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .models import flatten_vectors
+from .models import flatten_vectors, in_slices, list_sizes, vector_sizes
 from .tokens import add_tokens
 
 HASH_FEATURES = 1 << 20
@@ -57,7 +57,7 @@ def _counts_fn(cols: list[str], width: int, norm: str, out_col: str):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for b in batches:
+        for b in in_slices(batches, list_sizes("__tokens")):
             lists = b.column("__tokens")
             rows = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             coded = pc.list_flatten(lists).dictionary_encode()
@@ -93,7 +93,7 @@ def _df_fn(width: int, features_col: str):
         import pyarrow as pa
 
         docs, df = 0, np.zeros(width, np.int64)
-        for b in batches:
+        for b in in_slices(batches, vector_sizes(features_col)):
             n, _, idx, val = flatten_vectors(b.column(features_col))
             docs += n
             np.add.at(df, idx[val != 0], 1)
@@ -132,7 +132,7 @@ def entries(vectors: DataFrame, id_col: str = "doc_id", features_col: str = "fea
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in in_slices(batches, vector_sizes(features_col)):
             _, rows, idx, val = flatten_vectors(b.column(features_col))
             yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(rows)), pa.array(idx.astype(np.int64)), pa.array(val)], names=[id_col, "bucket", "weight"])
 

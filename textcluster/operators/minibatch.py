@@ -187,14 +187,13 @@ def _one_pass(spark, centres: Centres, emit):
     shared = spark.sparkContext.broadcast((centres.held.arrays(), centres.squares))
 
     def run(batches):
-        from .models import flatten_vectors
+        from .models import flatten_vectors, in_slices, vector_sizes
 
         block, squares = Block(*shared.value[0]), shared.value[1]
-        for b in batches:
+        for b in in_slices(batches, vector_sizes()):
             n, rows, idx, val = flatten_vectors(b.column("features"))
-            if n:
-                label, d2 = _nearest(block.products(n, rows, idx, val, len(squares)), np.bincount(rows, val * val, n), squares)
-                yield emit(b, rows, idx, val, label, d2)
+            label, d2 = _nearest(block.products(n, rows, idx, val, len(squares)), np.bincount(rows, val * val, n), squares)
+            yield emit(b, rows, idx, val, label, d2)
 
     return run
 
@@ -347,9 +346,9 @@ def _distance_rows(sample: DataFrame, tries: list[list], id_col: str) -> DataFra
     shared = sample.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches):
-        from .models import flatten_vectors
+        from .models import flatten_vectors, in_slices, vector_sizes
 
-        for b in batches:
+        for b in in_slices(batches, vector_sizes()):
             n, rows, idx, val = flatten_vectors(b.column("features"))
             x_sq = np.bincount(rows, val * val, n)
             found = [_nearest(Block(*own).products(n, rows, idx, val, len(sq)), x_sq, sq) for own, sq in shared.value]

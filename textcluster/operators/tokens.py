@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import english_stop_words
 from ..functions.text import remove_words, tokenize
+from .models import in_slices, list_sizes
 
 
 def _words(stop_words):
@@ -31,7 +32,8 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "content",
 
 
 def term_freq(df: DataFrame, id_col: str = "doc_id", text_col: str = "content", stop_words=None) -> DataFrame:
-    """A1: ``(id_col, term, tf)`` from documents; a row's tokens are counted on their Arrow batch."""
+    """A1: ``(id_col, term, tf)`` from documents; a row's tokens are counted in slices of
+    their Arrow batch."""
     id_type = df.schema[id_col].dataType.simpleString()
     toks = add_tokens(df.select(id_col, text_col), text_col, "t", stop_words).select(id_col, "t")
     return toks.mapInArrow(_count_fn(id_col), f"{id_col} {id_type}, term string, tf bigint")
@@ -43,7 +45,7 @@ def _count_fn(id_col: str):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for b in batches:
+        for b in in_slices(batches, list_sizes("t")):
             lists = b.column("t")
             rows = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             coded = pc.list_flatten(lists).dictionary_encode()

@@ -141,10 +141,10 @@ def tfidf_rows(vec: Vectorizer, docs: DataFrame, id_col: str = "doc_id", text_co
     terms = docs.sparkSession.sparkContext.broadcast(vec.vocabulary)
 
     def run(batches):
-        from .models import flatten_vectors
+        from .models import flatten_vectors, in_slices, vector_sizes
 
         vocabulary = pa.array(terms.value, pa.string())
-        for b in batches:
+        for b in in_slices(batches, vector_sizes()):
             _, rows, idx, weight = flatten_vectors(b.column("features"))
             tf = flatten_vectors(b.column("tf"))[3]
             cols = [b.column(id_col).take(pa.array(rows)), pa.array(idx.astype("int64")), vocabulary.take(pa.array(idx)), pa.array(tf.astype("int64")), pa.array(weight)]
