@@ -124,18 +124,21 @@ def parse_text(
     has no fields). There is no title fallback for text records.
     """
     cols = [c for c in keep if c in df.columns]
-    df = df.select(*cols, record_col)
-    segs = segments(F.col(record_col), sep)
-    content = element_at_index(segs, content_idx)
-    title = F.when(content.isNotNull(), element_at_index(segs, title_idx))
-    pid = F.when(title.isNotNull(), extract_id(F.col(record_col)))
-    return df.select(
-        *cols,
-        title.alias("title"),
-        content.alias("content"),
-        pid.alias("permalink"),
-        F.when(content.isNull(), F.lit("too_few_segments")).alias("error"),
-    )
+
+    def fields(record: Column, segs: Column) -> Column:
+        content = element_at_index(segs, content_idx)
+        title = F.when(content.isNotNull(), element_at_index(segs, title_idx))
+        return F.struct(
+            title.alias("title"),
+            content.alias("content"),
+            F.when(title.isNotNull(), extract_id(record)).alias("permalink"),
+            F.when(content.isNull(), F.lit("too_few_segments")).alias("error"),
+        )
+
+    # a lambda's argument is evaluated once, and nothing above a generator is pushed into it: the
+    # segments of a record are cut once, whatever reads or filters its fields
+    cut = F.transform(F.array(F.col(record_col)), lambda r: F.struct(r.alias("record"), segments(r, sep).alias("segs")))
+    return df.select(*cols, F.inline(F.transform(cut, lambda x: fields(x["record"], x["segs"]))))
 
 
 # The record-parser extension point. A parser maps the raw record column to a new record column
