@@ -37,8 +37,8 @@ SIZE, COST = -1, -2
 #: stored entries of a block of centres: at 20 bytes each, what the driver and a task hold at a time
 MAX_ENTRIES = 1 << 21
 RANGE = 1 << 12  # features per unit of which blocks are made
-#: largest features x k matrix that a task makes of a block, and stored entries multiplied at a time
-DENSE, CHUNK = 1 << 22, 1 << 16
+#: largest features x k matrix that a task makes of a block
+DENSE = 1 << 22
 TABLE = "cluster_id int, term_idx bigint, s double"
 
 
@@ -113,16 +113,13 @@ class Block:
         return np.bincount(key, np.repeat(val, size) * self.weight[flat], n * k).reshape(n, k)
 
     def _dense_products(self, n: int, rows, place, val, k: int) -> np.ndarray:
-        """The same where a features x k matrix is small: rows (in order) are summed run by run."""
+        """The same where a features x k matrix is small."""
+        from .models import products
+
         if getattr(self, "matrix", None) is None:
             self.matrix = np.zeros((len(self.features), k))
             self.matrix[np.repeat(np.arange(len(self.features)), np.diff(self.at)), self.cluster] = self.weight
-        out = np.zeros((n, k))
-        for i in range(0, len(val), CHUNK):
-            own = rows[i : i + CHUNK]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            out[own[starts]] += np.add.reduceat(self.matrix[place[i : i + CHUNK]] * val[i : i + CHUNK, None], starts, axis=0)
-        return out
+        return products(n, rows, place, val, self.matrix)
 
 
 def _arrow(cid, tid, s):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minibatch as mb
-from .models import DEFAULT_INIT, DEFAULT_ITER, DEFAULT_K, flatten_vectors, nearest_centres
+from .models import DEFAULT_INIT, DEFAULT_ITER, DEFAULT_K, flatten_vectors, in_slices, nearest_of, products, vector_sizes
 
 MAX_ENTRIES = 1 << 23
 #: ``term`` of the rows that hold a centre's members and its cost instead of a sum
@@ -43,12 +43,15 @@ def _sums_fn(shared, features_col: str, with_sums: bool):
         runs, centres = shared.value
         squares = [(c * c).sum(axis=1) for c in centres]
         ks, width = [len(c) for c in centres], centres[0].shape[1]
+        ends = np.cumsum(ks)
+        matrix = np.ascontiguousarray(np.vstack(centres).T)  # all runs' centres are multiplied at once
         sums = [np.zeros(k * width) for k in ks] if with_sums else []
         members, cost = [np.zeros(k, np.int64) for k in ks], [np.zeros(k) for k in ks]
-        for b in batches:
+        for b in in_slices(batches, vector_sizes(features_col)):
             n, rows, idx, val = flatten_vectors(b.column(features_col))
+            dots = products(n, rows, idx, val, matrix)
             for r, k in enumerate(ks):
-                label, d2 = nearest_centres(n, rows, idx, val, centres[r], squares[r])
+                label, d2 = nearest_of(dots[:, ends[r] - k : ends[r]], n, rows, val, squares[r])
                 members[r] += np.bincount(label, minlength=k)
                 cost[r] += np.bincount(label, d2, k)
                 if with_sums:
