@@ -27,7 +27,7 @@ from ..operators import features as fe
 from ..operators import report as rp
 from ..operators import tokens as tk
 from ..functions.text import last_path_component
-from ..session import materialize, scratch_path
+from ..session import deal_evenly, materialize, scratch_path
 from ..sources import records as rc
 from ..sources.tables import articles, permalink_of, read_table
 from ..sources.xml import read_xml_records
@@ -537,7 +537,7 @@ def q_lda_topics(spark, sf_dir):
     arts = articles(spark, sf_dir)
     vec = vz.fit_vectorizer(arts, "tfidf")
     tokens = tk.add_tokens(arts.select("doc_id", "content"), "content", "tokens")
-    counts = materialize(vz.counts_pipeline(vec).transform(tokens).select("doc_id", "features"))
+    counts = materialize(deal_evenly(vz.counts_pipeline(vec).transform(tokens).select("doc_id", "features")))
     model = tp.fit_lda(counts, n_topics=10, max_iter=10)
     sums = spark.createDataFrame([(i, s) for i, s in enumerate(tp.topic_sums(model))], "topic int, total double")
     named = tp.topic_terms(model, vec.vocabulary_df(spark), TOP_N).drop("top_weight_sum")

@@ -64,6 +64,14 @@ def deal_small(df, bytes_per_core: int = 64 << 20):
     return df.repartition(cores) if size < bytes_per_core * cores else df
 
 
+def deal_evenly(df, tasks_per_core: int = 3):
+    """Deal rows round-robin, for passes whose time is that of the task with most rows: at least
+    ``tasks_per_core`` tasks a core, and no core with a task more than the others."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    waves = max(tasks_per_core, -(-df.rdd.getNumPartitions() // cores))
+    return df.repartition(waves * cores)
+
+
 def materialize(df, how: str = "checkpoint"):
     """Cut lineage before iterative passes. ``checkpoint`` writes the rows to the shared checkpoint
     folder and keeps them in executor memory/disk too: passes read the cache, and an executor lost
