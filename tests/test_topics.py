@@ -114,3 +114,19 @@ def test_keywords(spark):
     vocab = spark.createDataFrame([(0, "b"), (1, "a"), (2, "c")], "term_idx bigint, term string")
     got = {r["topic"]: (r["keywords"], r["top_weight_sum"]) for r in tp.topic_terms(model, vocab, 2).collect()}
     assert got == {0: ("a, c", pytest.approx(5 / 6)), 1: ("a, b", pytest.approx(10 / 10.5))}
+
+
+def test_terms_are_counted_once(spark, tmp_dir, monkeypatch):
+    """The query's vectorizer and its relational vocabulary share one count of all terms."""
+    from textcluster.operators import tokens as tk
+    from textcluster.operators import vectors as vz
+    from textcluster.plans import queries as q
+
+    rows = [(i, " ".join(f"w{j}" for j in range(40) if (i * j) % 3), "en", "s", 10) for i in range(1, 31)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_dir}/documents.parquet")
+    seen, count = [], tk.term_stats_from_docs
+    for m in (tk, vz):
+        monkeypatch.setattr(m, "term_stats_from_docs", lambda *a, **k: (seen.append(1), count(*a, **k))[1])
+    got = q.q_lda_topics(spark, tmp_dir).collect()
+    assert len(seen) == 1 and len(got) == 10
+    assert all(r["n_terms"] == r["n_known"] > 0 and r["total"] == 1.0 for r in got)

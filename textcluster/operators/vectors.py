@@ -82,11 +82,17 @@ def corpus_stats(docs: DataFrame, params: fe.TfidfParams, text_col: str = "conte
 
 
 def fit_tfidf(
-    docs: DataFrame, params: fe.TfidfParams = fe.TfidfParams(), id_col="doc_id", text_col="content", by: str = "grouping"
+    docs: DataFrame,
+    params: fe.TfidfParams = fe.TfidfParams(),
+    id_col="doc_id",
+    text_col="content",
+    by: str = "grouping",
+    stats: DataFrame | None = None,
 ) -> Vectorizer:
-    """M1 fit: relational vocabulary and idf (bounded by ``max_features``) into ML stages."""
+    """M1 fit: relational vocabulary and idf (bounded by ``max_features``) into ML stages. ``stats`` are
+    the ``corpus_stats`` of ``docs`` where a caller has them already."""
     # Corpus statistics come straight from the documents: no text is shuffled to fit.
-    stats = corpus_stats(docs, params, text_col, by)
+    stats = corpus_stats(docs, params, text_col, by) if stats is None else stats
     n = fe.doc_count(docs)
     idf = fe.idf_table(fe.vocabulary_from_stats(stats, n, params), n)
     rows = idf.orderBy("term_idx").select("term", "idf").collect()  # <= max_features rows
@@ -124,10 +130,11 @@ def fit_vectorizer(
     params: fe.TfidfParams = fe.TfidfParams(),
     num_features: int = HASH_FEATURES,
     by: str = "grouping",
+    stats: DataFrame | None = None,
 ) -> Vectorizer:
     """M9: choose the vectorizer; anything but tfidf / hashing is an error."""
     fe.check_vectorizer(kind)
-    return fit_tfidf(docs, params, by=by) if kind == "tfidf" else fit_hashing(docs, params, num_features)
+    return fit_tfidf(docs, params, by=by, stats=stats) if kind == "tfidf" else fit_hashing(docs, params, num_features)
 
 
 def tfidf_rows(vec: Vectorizer, docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:

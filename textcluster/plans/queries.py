@@ -417,10 +417,12 @@ def _checked_by_version(vectors: DataFrame, members: DataFrame, centres_of) -> D
     return out
 
 
-def _known_terms(spark, sf_dir, keywords: DataFrame, key: str) -> DataFrame:
-    """``(key, n_terms, n_known)``: keywords, and how many are in the relational vocabulary."""
+def _known_terms(spark, sf_dir, keywords: DataFrame, key: str, vocab: DataFrame | None = None) -> DataFrame:
+    """``(key, n_terms, n_known)``: keywords, and how many are in the relational vocabulary (``vocab``, or
+    made anew)."""
     terms = keywords.select(key, F.explode(F.split("keywords", ", ")).alias("term"))
-    known = _vocab_only(spark, sf_dir)[0].select("term", F.lit(1).alias("known"))
+    vocab = _vocab_only(spark, sf_dir)[0] if vocab is None else vocab
+    known = vocab.select("term", F.lit(1).alias("known"))
     return terms.join(known, "term", "left").groupBy(key).agg(F.count_distinct("term").alias("n_terms"), F.count("known").alias("n_known"))
 
 
@@ -534,14 +536,17 @@ def q_hash_tf(spark, sf_dir):
 
 def q_lda_topics(spark, sf_dir):
     """M7 + M8: 10 LDA topics by 10 full passes over term counts, 20 keywords each, all known terms."""
-    arts = articles(spark, sf_dir)
-    vec = vz.fit_vectorizer(arts, "tfidf")
+    arts, params = articles(spark, sf_dir), fe.TfidfParams()
+    # Written once: the vectorizer and the relational vocabulary below are both made from them.
+    stats = materialize(vz.corpus_stats(arts, params))
+    vec = vz.fit_vectorizer(arts, "tfidf", params, stats=stats)
     tokens = tk.add_tokens(arts.select("doc_id", "content"), "content", "tokens")
     counts = materialize(deal_evenly(vz.counts_pipeline(vec).transform(tokens).select("doc_id", "features")))
     model = tp.fit_lda(counts, n_topics=10, max_iter=10)
     sums = spark.createDataFrame([(i, s) for i, s in enumerate(tp.topic_sums(model))], "topic int, total double")
     named = tp.topic_terms(model, vec.vocabulary_df(spark), TOP_N).drop("top_weight_sum")
-    return _known_terms(spark, sf_dir, named, "topic").join(sums, "topic").select("topic", "n_terms", "n_known", F.round("total", 6).alias("total"))
+    vocab = fe.vocabulary_from_stats(stats, fe.doc_count(arts), params)
+    return _known_terms(spark, sf_dir, named, "topic", vocab).join(sums, "topic").select("topic", "n_terms", "n_known", F.round("total", 6).alias("total"))
 
 
 def q_end_to_end_tfidf(spark, sf_dir):
