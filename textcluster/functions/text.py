@@ -82,10 +82,12 @@ def last_path_component(path: Column) -> Column:
 def collapse_blank_lines(text: Column, sep: str) -> Column:
     """Every run of one or more blank lines becomes one separator; line breaks inside a
     segment become spaces; leading and trailing breaks are dropped."""
-    t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"^\n+|\n+$", "")
+    t = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    # before one of these at the end of a text, "$" matches too; in all other texts the regex is a plain trim
+    ends = F.contains(text, F.lit("\u0085")) | F.contains(text, F.lit("\u2028")) | F.contains(text, F.lit("\u2029"))
+    t = F.when(ends, F.regexp_replace(t, r"^\n+|\n+$", "")).otherwise(F.btrim(t, F.lit("\n")))
     t = F.regexp_replace(t, r"\n[ \t]*\n(?:[ \t]*\n)*", F.lit(sep))
-    return F.regexp_replace(t, r"\n", " ")
+    return F.replace(t, F.lit("\n"), F.lit(" "))
 
 
 def starts_with_id_line(line: Column) -> Column:

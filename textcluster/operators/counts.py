@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 PART_THRESHOLD = 100000
+#: blocks of records whose offsets go to every task; with more, records and offsets are exchanged by block
+MAX_BLOCKS = 20000
 
 
 def ranked_keys(df: DataFrame, *order_cols: str, out_col: str = "idx") -> DataFrame:
@@ -80,16 +82,22 @@ def number_records(records: DataFrame, out_col: str = "seq") -> DataFrame:
 
     ``records`` must be a written table whose ``seq`` has no gaps inside a (source_file, block). A
     record's number is its distance from the first of its block plus the records of all blocks
-    before, from one row per input split; no record is sorted or moved.
+    before, from one row per input split; no record is sorted, or moved where there are at most
+    ``MAX_BLOCKS`` blocks.
     """
     keys = ["source_file", "block"]
     per_block = records.groupBy(*keys).agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row per input split
     offsets = per_block.select(*keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
-    numbered = records.join(offsets, keys).withColumn(out_col, (F.col("seq") + F.col("_off")).cast("bigint"))
+    numbered = records.join(sent_if_few(offsets, per_block), keys).withColumn(out_col, (F.col("seq") + F.col("_off")).cast("bigint"))
     return numbered.drop("_off", "block")
 
 
+def sent_if_few(offsets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``offsets`` of ``blocks``, broadcast where there are at most ``MAX_BLOCKS``."""
+    return F.broadcast(offsets) if blocks.limit(MAX_BLOCKS + 1).count() <= MAX_BLOCKS else offsets
+
+
 def part_number(idx_col: str = "idx", threshold: int = PART_THRESHOLD):
     """Staged part of a 0-based row index: rows 0..threshold are part 1, then threshold each."""
     return F.greatest(F.lit(1), F.ceil(F.col(idx_col) / F.lit(threshold))).cast("bigint")

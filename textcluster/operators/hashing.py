@@ -13,6 +13,7 @@ Null and empty texts give empty vectors and count as documents.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.ml.linalg import VectorUDT
@@ -29,12 +30,58 @@ ALL = -1
 DF_TABLE = "bucket int, df bigint"
 
 
-def codes(terms: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, signs) of terms."""
-    digests = b"".join(hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in terms)
-    rows = np.frombuffer(digests, np.uint8).reshape(-1, 16)
-    first = rows[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-    return first % width, 1.0 - 2.0 * (rows[:, 4] & 1)
+#: MD5: turns, constants and mixes of its 64 steps; the longest text that fits one block with its length; texts at a time
+TURNS = ([7, 12, 17, 22] * 4, [5, 9, 14, 20] * 4, [4, 11, 16, 23] * 4, [6, 10, 15, 21] * 4)
+SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+MIXES = (lambda b, c, d: d ^ (b & (c ^ d)), lambda b, c, d: c ^ (d & (b ^ c)), lambda b, c, d: b ^ c ^ d, lambda b, c, d: c ^ (b | ~d))
+ONE_BLOCK, AT_A_TIME = 55, 1 << 13
+
+
+def codes(terms, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, signs) of terms, a list or an Arrow array without nulls."""
+    import pyarrow as pa
+
+    terms = pa.array(terms, pa.string()) if isinstance(terms, list) else terms.cast(pa.string())
+    first, fifth = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+    for at in range(0, len(terms), AT_A_TIME):
+        own = terms.slice(at, AT_A_TIME)
+        first[at : at + AT_A_TIME], fifth[at : at + AT_A_TIME] = _md5(own)
+    return first % width, 1.0 - 2.0 * (fifth & 1)
+
+
+def _md5(terms) -> tuple[np.ndarray, np.ndarray]:
+    """(first four bytes of the MD5 as a big-endian number, a number with the lowest bit of the fifth), all
+    texts of one block at once."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    size = np.diff(offsets)
+    short = np.flatnonzero(size <= ONE_BLOCK)
+    length, n = size[short], len(short)
+    blocks = np.zeros((n, 64), np.uint8)
+    begins = np.cumsum(length) - length
+    of = np.repeat(np.arange(n), length)
+    column = np.arange(len(of)) - begins[of]
+    text = np.frombuffer(terms.buffers()[2] or b"", np.uint8)
+    blocks[of, column] = text[offsets[short][of] + column]
+    blocks[np.arange(n), length] = 0x80
+    words = np.ascontiguousarray(blocks.view("<u4").T).astype(np.uint32)
+    words[14] = length * 8
+    some = words.any(axis=1)
+    start = [np.full(n, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = start
+    for i in range(64):
+        kind, step = divmod(i, 16)
+        word = (i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16
+        mixed = MIXES[kind](b, c, d) + a + np.uint32(SINES[i])
+        if some[word]:
+            mixed += words[word]
+        turn = TURNS[kind][step]
+        a, d, c, b = d, c, b, b + ((mixed << np.uint32(turn)) | (mixed >> np.uint32(32 - turn)))
+    first, fifth = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+    first[short], fifth[short] = (a + start[0]).byteswap(), b + start[1]
+    for i in np.flatnonzero(size > ONE_BLOCK):
+        digest = hashlib.md5(terms[int(i)].as_py().encode(), usedforsecurity=False).digest()
+        first[i], fifth[i] = int.from_bytes(digest[:4], "big"), digest[4]
+    return first, fifth
 
 
 def _divided(rows: np.ndarray, val: np.ndarray, n: int, norm: str) -> np.ndarray:
@@ -61,7 +108,7 @@ def _counts_fn(cols: list[str], width: int, norm: str, out_col: str):
             lists = b.column("__tokens")
             rows = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             coded = pc.list_flatten(lists).dictionary_encode()
-            buckets, signs = codes(coded.dictionary.to_pylist(), width)
+            buckets, signs = codes(coded.dictionary, width)
             at = coded.indices.to_numpy(zero_copy_only=False)
             keys, where = np.unique(rows * width + buckets[at], return_inverse=True)
             val = np.bincount(where, signs[at], len(keys))

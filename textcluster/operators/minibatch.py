@@ -3,9 +3,10 @@
 A centre is the mean of all members folded into it so far (learning rate 1 / count), so the table holds
 their *sums*: ``(cluster_id, term_idx, s)`` rows of the entries that are not zero, plus one row per
 centre with its number of members (term_idx -1) and one with the squared distances met so far (-2).
-Up to ``MAX_ENTRIES`` rows the driver holds the table (40 MB, whatever the vectors' width) and a step is
-one job; beyond that the driver holds k counts and k lengths, and a step writes the table anew from a
-union with its batch's sums and one aggregation by (centre, entry).
+Up to ``MAX_ENTRIES`` rows the driver holds the table (at most 134 MB of sums and about 100 MB of means, whatever
+the vectors' width) and a step is one pass whose partial sums the driver adds up; beyond that the driver
+holds k counts and k lengths, and a step writes the table anew from a union with its batch's sums and
+one aggregation by (centre, entry).
 
 Tasks need the centres to assign a batch. They get them in feature blocks: ranges of term_idx with at
 most ``MAX_ENTRIES`` stored entries, each broadcast on its own. The usual table is one block and a step
@@ -14,10 +15,13 @@ by document before the nearest centre is chosen.
 
 Seeding is k-means|| on the ``init_size`` documents with the smallest hashes, all ``n_init`` tries in the
 same passes: in a few rounds about k candidates each are drawn with probability in proportion to the squared
-distance from those before (an exponential race, smallest -ln(u) / d^2, within k hash classes), and
-k-means++ over the candidates, weighted by the documents nearest to them, gives the seeds. The try with
+distance from those before (an exponential race, smallest -ln(u) / d^2, within k hash classes; each task
+gives its first of a class), and k-means++ over the candidates, weighted by the documents nearest to them, gives the seeds. The try with
 the lowest cost on that sample is kept.
 
+Vectors that are read many times (the batches, the seeding sample) are packed: a row holds a stretch of
+documents as one Arrow batch, which Spark moves as bytes and no task converts entry by entry.
+
 After each step the inertia per document enters an exponentially weighted average; a fit ends when
 that has not fallen by the share ``tol`` for ``max_no_improvement`` steps. Centres with less than ``reassignment_ratio`` of
 the largest centre's members are starving: every few steps they restart at documents of the batch.
@@ -34,11 +38,17 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 SIZE, COST = -1, -2
-#: stored entries of a block of centres: at 20 bytes each, what the driver and a task hold at a time
-MAX_ENTRIES = 1 << 21
+#: stored entries of a block of centres: what the driver (at 28 bytes each) and a task (at 12) hold at a time
+MAX_ENTRIES = 1 << 23
 RANGE = 1 << 12  # features per unit of which blocks are made
 #: largest features x k matrix that a task makes of a block
 DENSE = 1 << 22
+#: entries that a task adds up at a time, and largest features x k array that it adds them up in
+STRETCH = 1 << 21
+#: widest vectors with a place for every feature
+WIDE = 1 << 24
+PACKED = "packed"
+ROW_GROUP = 4 << 20
 TABLE = "cluster_id int, term_idx bigint, s double"
 
 
@@ -53,13 +63,17 @@ class Centres:
     squares: np.ndarray
     blocks: list  # (first, end) ranges of term_idx
     written: DataFrame | None = None
-    sums: tuple | None = None  # (cluster_id, term_idx, s) and the means, where one block holds them
+    sums: tuple | None = None  # (term_idx * k + cluster_id in ascending order, s) and the means, where one block holds them
     held: "Block | None" = None
 
     @property
     def table(self) -> DataFrame:
         """``(cluster_id, term_idx, s)``."""
-        return self.written if self.sums is None else self.spark.createDataFrame(_arrow(*self.sums), TABLE)
+        if self.sums is None:
+            return self.written
+        (key, s), own = self.sums, np.flatnonzero((self.counts != 0) | (self.costs != 0))
+        cid, tid = np.concatenate([key % self.k, own, own]), np.concatenate([key // self.k, np.repeat([SIZE, COST], len(own))])
+        return self.spark.createDataFrame(_arrow(cid.astype(np.int32), tid, np.concatenate([s, self.counts[own], self.costs[own]])), TABLE)
 
     def weights(self) -> DataFrame:
         """``(cluster_id, term_idx, weight)`` of the entries that are not zero."""
@@ -90,8 +104,14 @@ class Block:
     @classmethod
     def of(cls, cluster: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> "Block":
         order = np.argsort(feature, kind="stable")
-        features, first = np.unique(feature[order], return_index=True)
-        return cls(features, np.append(first, len(order)), cluster[order].astype(np.int32), weight[order])
+        return cls.ordered(cluster[order], feature[order], weight[order])
+
+    @classmethod
+    def ordered(cls, cluster: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> "Block":
+        """From entries in ascending order of their features."""
+        first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1])) if len(feature) else np.zeros(0, np.int64)
+        kind = np.uint16 if not len(cluster) or cluster.max() < 1 << 16 else np.int32
+        return cls(feature[first], np.append(first, len(feature)), cluster.astype(kind), weight)
 
     def arrays(self) -> tuple:
         """What a broadcast carries: plain arrays, for executors without this package."""
@@ -101,25 +121,50 @@ class Block:
         """n x k inner products of sparse rows with the centres, over this block's features."""
         if not len(self.features):
             return np.zeros((n, k))
-        place = np.minimum(np.searchsorted(self.features, idx), len(self.features) - 1)
-        hit = self.features[place] == idx
+        place, hit = self._places(idx)
         place, rows, val = place[hit], rows[hit], val[hit]
-        if len(self.features) * k <= DENSE:
-            return self._dense_products(n, rows, place, val, k)
         size = self.at[place + 1] - self.at[place]
+        dense = self._dense(k)[place]
+        own = dense >= 0
+        out = self._dense_products(n, rows[own], dense[own], val[own])
+        place, rows, val, size = place[~own], rows[~own], val[~own], size[~own]
         stop = np.cumsum(size)
         flat = np.repeat(self.at[place] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
         key = np.repeat(rows, size) * k + self.cluster[flat]
-        return np.bincount(key, np.repeat(val, size) * self.weight[flat], n * k).reshape(n, k)
-
-    def _dense_products(self, n: int, rows, place, val, k: int) -> np.ndarray:
+        return out + np.bincount(key, np.repeat(val, size) * self.weight[flat], n * k).reshape(n, k)
+
+    def _places(self, idx) -> tuple[np.ndarray, np.ndarray]:
+        """(places among the features, whether there)."""
+        width = int(self.features[-1]) + 1
+        if width > WIDE:
+            place = np.minimum(np.searchsorted(self.features, idx), len(self.features) - 1)
+            return place, self.features[place] == idx
+        if getattr(self, "table", None) is None:
+            self.table = np.full(width + 1, -1, np.int32)
+            self.table[self.features] = np.arange(len(self.features))
+        place = self.table[np.minimum(idx, width)]
+        return place, place >= 0
+
+    def _dense(self, k: int) -> np.ndarray:
+        """Of each feature its row in a features x k matrix of at most ``DENSE``, or -1: all features where they
+        fit, else those that most centres have."""
+        if getattr(self, "matrix", None) is None:
+            size = np.diff(self.at)
+            with_most = np.cumsum(np.bincount(size, minlength=k + 1)[::-1])[::-1]  # features with at least so many centres
+            least = int(np.argmax(with_most * k <= DENSE)) if (with_most * k <= DENSE).any() else k + 1
+            kept = np.flatnonzero(size >= least)
+            self.row = np.full(len(size), -1, np.int32)
+            self.row[kept] = np.arange(len(kept))
+            self.matrix = np.zeros((len(kept), k))
+            of = np.repeat(self.row, size)
+            self.matrix[of[of >= 0], self.cluster[of >= 0]] = self.weight[of >= 0]
+        return self.row
+
+    def _dense_products(self, n: int, rows, place, val) -> np.ndarray:
         """The same where a features x k matrix is small."""
         from .models import products
 
-        if getattr(self, "matrix", None) is None:
-            self.matrix = np.zeros((len(self.features), k))
-            self.matrix[np.repeat(np.arange(len(self.features)), np.diff(self.at)), self.cluster] = self.weight
-        return products(n, rows, place, val, self.matrix)
+        return products(n, rows, place, val, self.matrix) if len(self.matrix) else np.zeros((n, self.matrix.shape[1]))
 
 
 def _arrow(cid, tid, s):
@@ -136,9 +181,36 @@ def holding(spark: SparkSession, k: int, cid: np.ndarray, tid: np.ndarray, s: np
     """Centres of which the driver holds all entries."""
     counts, costs = (np.bincount(cid[tid == x], s[tid == x], k) for x in (SIZE, COST))
     entry = (tid >= 0) & (s != 0)
-    mean = s[entry] / np.maximum(counts[cid[entry]], 1e-300)
-    squares = np.bincount(cid[entry], mean * mean, k)
-    return Centres(spark, k, counts, costs, squares, [(0, None)], sums=(cid, tid, s), held=Block.of(cid[entry], tid[entry], mean))
+    key = tid[entry].astype(np.int64) * k + cid[entry]
+    order = np.argsort(key, kind="stable")
+    return _with_means(spark, k, counts, costs, key[order], s[entry][order])
+
+
+def _with_means(spark: SparkSession, k: int, counts: np.ndarray, costs: np.ndarray, key: np.ndarray, s: np.ndarray) -> Centres:
+    """The same from sums in ascending order of their keys (term_idx * k + cluster_id)."""
+    cluster = key % k
+    mean = s / np.maximum(counts, 1e-300)[cluster]
+    squares = np.bincount(cluster, mean * mean, k)
+    return Centres(spark, k, counts, costs, squares, [(0, None)], sums=(key, s), held=Block.ordered(cluster, key // k, mean))
+
+
+def _added(centres: Centres, counts: np.ndarray, costs: np.ndarray, key: np.ndarray, s: np.ndarray) -> Centres:
+    """Held centres with more members: sums by key, each key once and in ascending order."""
+    keys, sums = centres.sums[0], centres.sums[1].copy()
+    at = np.searchsorted(keys, key)
+    there = at < len(keys)
+    there[there] = keys[at[there]] == key[there]
+    sums[at[there]] += s[there]
+    keys, sums = np.insert(keys, at[~there], key[~there]), np.insert(sums, at[~there], s[~there])
+    return _with_means(centres.spark, centres.k, centres.counts + counts, centres.costs + costs, keys, sums)
+
+
+def _by_key(key: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key, in ascending order."""
+    order = np.argsort(key, kind="stable")
+    key, s = key[order], s[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(s, first) if len(key) else s
 
 
 def load(table: DataFrame, k: int) -> Centres:
@@ -179,15 +251,61 @@ def _columns(vectors: DataFrame, names) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*names).schema.fields)
 
 
-def _one_pass(spark, centres: Centres, emit):
-    """A mapInArrow function that labels every batch with the one block of centres."""
-    shared = spark.sparkContext.broadcast((centres.held.arrays(), centres.squares))
+def _stretches(batches):
+    """Arrow batches of vectors, packed or not, in slices."""
+    import pyarrow as pa
+
+    from .models import in_slices, vector_sizes
+
+    for b in batches:
+        own = [b]
+        if b.schema.names == [PACKED]:
+            own = (x for blob in b.column(PACKED) for x in pa.ipc.open_stream(blob.as_buffer()))
+        yield from in_slices(own, vector_sizes())
+
+
+def pack(rows: DataFrame, group: str | None = None, n_groups: int = 1, n_files: int = 1) -> DataFrame:
+    """``(packed)``: the rows of ``rows`` (with a column ``features``) by stretches, each one Arrow batch as bytes. With
+    ``group`` (an integer column, which is left out), ``(group, file, packed)`` with stretches of one of ``n_groups``
+    groups, dealt to ``n_files`` files."""
+    import pyarrow as pa
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        from .models import SLICE, in_slices, vector_sizes
+
+        n = TaskContext.get().partitionId()
+        for b in in_slices(batches, vector_sizes(), min(SLICE * n_groups, STRETCH)):
+            groups = b.column(group).to_numpy(zero_copy_only=False) if group else np.zeros(b.num_rows, np.int32)
+            b = b.drop_columns([group]) if group else b
+            for g in np.unique(groups):
+                own = b.take(pa.array(np.flatnonzero(groups == g))) if group else b
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as writer:
+                    writer.write_batch(own)
+                n += 1
+                found = [pa.array([g], pa.int32()), pa.array([n % n_files], pa.int32())] if group else []
+                yield pa.RecordBatch.from_arrays([*found, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[*([group, "file"] if group else []), PACKED])
+
+    return rows.mapInArrow(run, (f"{group} int, file int, " if group else "") + f"{PACKED} binary")
+
+
+def unpack(packed: DataFrame, schema) -> DataFrame:
+    """The rows again."""
+    def run(batches):
+        yield from _stretches(batches)
+
+    return packed.select(PACKED).mapInArrow(run, schema)
 
+
+def _one_pass(shared, emit):
+    """A mapInArrow function that labels every batch with the one block of ``shared`` centres."""
     def run(batches):
-        from .models import flatten_vectors, in_slices, vector_sizes
+        from .models import flatten_vectors
 
         block, squares = Block(*shared.value[0]), shared.value[1]
-        for b in in_slices(batches, vector_sizes()):
+        for b in _stretches(batches):
             n, rows, idx, val = flatten_vectors(b.column("features"))
             label, d2 = _nearest(block.products(n, rows, idx, val, len(squares)), np.bincount(rows, val * val, n), squares)
             yield emit(b, rows, idx, val, label, d2)
@@ -195,6 +313,10 @@ def _one_pass(spark, centres: Centres, emit):
     return run
 
 
+def _shared(centres: Centres):
+    return centres.spark.sparkContext.broadcast((centres.held.arrays(), centres.squares))
+
+
 def _by_blocks(vectors: DataFrame, centres: Centres, id_col: str) -> DataFrame:
     """``(id, cluster_id, dist2)`` from partial products of every block, added up by document."""
     import pyarrow as pa
@@ -237,7 +359,7 @@ def assign(vectors: DataFrame, centres: Centres, keep=("doc_id", "permalink"), i
         return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(label.astype(np.int32)), pa.array(d2)], [*keep, "cluster_id", "dist2"])
 
     schema = ", ".join(x for x in (_columns(vectors, keep), "cluster_id int, dist2 double") if x)
-    return vectors.select(*keep, "features").mapInArrow(_one_pass(vectors.sparkSession, centres, emit), schema)
+    return vectors.select(*keep, "features").mapInArrow(_one_pass(_shared(centres), emit), schema)
 
 
 def _entries(label, d2, rows, idx, val, k: int):
@@ -260,7 +382,7 @@ def batch_sums(batch: DataFrame, centres: Centres, id_col: str = "doc_id") -> Da
         def emit(b, rows, idx, val, label, d2):
             return _entries(label, d2, rows, idx, val, k)
 
-        return batch.select("features").mapInArrow(_one_pass(batch.sparkSession, centres, emit), TABLE)
+        return batch.select("features").mapInArrow(_one_pass(_shared(centres), emit), TABLE)
 
     def add(batches):
         from .models import flatten_vectors
@@ -279,23 +401,81 @@ def _write(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(TABLE).parquet(path)
 
 
-def fold(batch: DataFrame, centres: Centres, path: str, id_col: str = "doc_id", keep: bool = False, width: int | None = None) -> Centres:
+def _sums_by_key(label, idx, val, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(term_idx * k + cluster_id in ascending order, sums) of labelled entries."""
+    width = int(idx.max()) + 1 if len(idx) else 0
+    if 0 < width <= WIDE:
+        met = np.zeros(width, bool)
+        met[idx] = True
+        features = np.flatnonzero(met)
+        if len(features) * k <= 4 * STRETCH:
+            place = np.zeros(width, np.int32)
+            place[features] = np.arange(len(features))
+            sums = np.bincount(place[idx].astype(np.int64) * k + label, val, len(features) * k)
+            at = np.flatnonzero(sums)
+            return features[at // k] * k + at % k, sums[at]
+    return _by_key(idx.astype(np.int64) * k + label, val)
+
+
+def _held_sums(batch: DataFrame, shared, k: int) -> DataFrame:
+    """``(n, key, s, counts, costs)``, partial sums of the tasks as arrays of bytes with ``n`` keys: what a batch
+    adds to its nearest centres, where one block holds them."""
+    def run(batches):
+        import pyarrow as pa
+
+        parts, size, counts, costs = [], 0, np.zeros(k), np.zeros(k)
+
+        def add(b, rows, idx, val, label, d2):
+            return label, d2, label[rows].astype(np.int32), idx.astype(np.int64), val
+
+        def added():
+            key, s = _sums_by_key(*[np.concatenate(x) for x in zip(*parts)], k)
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (key.astype(np.int64), s, counts, costs)]
+            return pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64()), *blobs], ["n", "key", "s", "counts", "costs"])
+
+        for label, d2, *entries in _one_pass(shared, add)(batches):
+            counts, costs = counts + np.bincount(label, minlength=k), costs + np.bincount(label, d2, k)
+            parts.append(entries)
+            size += len(entries[0])
+            if size >= STRETCH:
+                yield added()
+                parts, size, counts, costs = [], 0, np.zeros(k), np.zeros(k)
+        if parts:
+            yield added()
+
+    return batch.mapInArrow(run, "n bigint, key binary, s binary, counts binary, costs binary")
+
+
+def _fold_held(batch: DataFrame, centres: Centres) -> Centres | None:
+    """The batch's sums added on the driver, or None where they or the table they give are too large for it."""
+    from pyspark import StorageLevel
+
+    k, shared = centres.k, _shared(centres)
+    part = _held_sums(batch, shared, k).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if (part.agg({"n": "sum"}).first()[0] or 0) > MAX_ENTRIES:
+            return None
+        rows = part.toArrow()
+    finally:
+        part.unpersist()
+        shared.destroy()
+    of = lambda c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)]])
+    key, s = _by_key(of("key", np.int64), of("s", np.float64))
+    if len(key) + len(centres.sums[0]) > MAX_ENTRIES:
+        return None
+    return _added(centres, *[of(c, np.float64).reshape(-1, k).sum(0) for c in ("counts", "costs")], key, s)
+
+
+def fold(batch: DataFrame, centres: Centres, path: str, id_col: str = "doc_id", keep: bool = False, packed: DataFrame | None = None) -> Centres:
     """One step: the batch's sums added. A table that the driver cannot hold is written to ``path``; with
-    ``keep`` any table is. Where ``width`` bounds the entries, no limit (one more exchange) guards them."""
-    part = batch_sums(batch, centres, id_col)
+    ``keep`` any table is. ``packed`` is the batch as ``pack`` gives it, where there is one."""
     if centres.sums is not None:
-        added = part.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s"))
-        fits = width is not None and centres.k * (width + 2) <= MAX_ENTRIES
-        more = (added if fits else added.limit(MAX_ENTRIES + 1)).toArrow()
-        if more.num_rows + len(centres.sums[0]) <= MAX_ENTRIES:
-            cid, tid, s = (np.concatenate(x) for x in zip(centres.sums, _columns_of(more)))
-            width = int(tid.max()) + 1 - COST
-            key, place = np.unique(cid.astype(np.int64) * width + tid - COST, return_inverse=True)
-            after = holding(centres.spark, centres.k, (key // width).astype(np.int32), key % width + COST, np.bincount(place, s, len(key)))
+        after = _fold_held(batch.select("features") if packed is None else packed.select(PACKED), centres)
+        if after is not None:
             if keep:
                 _write(after.table.coalesce(1), path)
             return after
-    both = centres.table.unionByName(part)
+    both = centres.table.unionByName(batch_sums(batch, centres, id_col))
     return load(_write(both.groupBy("cluster_id", "term_idx").agg(F.sum("s").alias("s")), path), centres.k)
 
 
@@ -307,15 +487,25 @@ def restart(batch: DataFrame, centres: Centres, starving: np.ndarray, path: str,
     size = float(np.delete(centres.counts, starving).min())
     if not len(drawn) or size <= 0:
         return centres
-    fresh = _point_rows(batch.sparkSession, [(int(c), row["features"]) for c, row in zip(starving, drawn)], size)
+    fresh = _point_rows([(int(c), row["features"]) for c, row in zip(starving, drawn)], size)
+    if centres.sums is not None:
+        (key, s), k, counts = centres.sums, centres.k, centres.counts.copy()
+        kept = ~np.isin(key % k, starving)
+        counts[starving] = size
+        cid, tid, added = fresh
+        entry = tid >= 0
+        own = _by_key(np.concatenate([key[kept], tid[entry] * k + cid[entry]]), np.concatenate([s[kept], added[entry]]))
+        return _with_means(centres.spark, k, counts, centres.costs, *own)
     kept = centres.table.where(~F.col("cluster_id").isin([int(c) for c in starving]) | (F.col("term_idx") == COST))
-    return load(_write(kept.unionByName(fresh), path), centres.k)
+    return load(_write(kept.unionByName(batch.sparkSession.createDataFrame(_arrow(*fresh), TABLE)), path), centres.k)
 
 
-def _point_rows(spark: SparkSession, points: list, size: float) -> DataFrame:
-    """TABLE rows of centres that stand at given vectors with ``size`` members (at most k rows' entries)."""
-    rows = [(c, int(i), float(v) * size) for c, x in points for i, v in zip(_sparse(x)[0], _sparse(x)[1])]
-    return spark.createDataFrame(rows + [(c, SIZE, size) for c, _ in points], TABLE)
+def _point_rows(points: list, size: float) -> tuple:
+    """TABLE columns of centres that stand at given vectors with ``size`` members (at most k rows' entries)."""
+    own = [(c, *_sparse(x)) for c, x in points]
+    cid = np.concatenate([*[np.full(len(i), c) for c, i, _ in own], [c for c, *_ in own]]).astype(np.int32)
+    tid = np.concatenate([*[i for _, i, _ in own], np.full(len(own), SIZE)]).astype(np.int64)
+    return cid, tid, np.concatenate([*[v * size for *_, v in own], np.full(len(own), size)])
 
 
 def _sparse(x) -> tuple[np.ndarray, np.ndarray]:
@@ -329,11 +519,9 @@ def _uniform(id_col: str, *salt: int) -> Column:
     return (F.pmod(F.xxhash64(F.col(id_col), *[F.lit(s) for s in salt]), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def _distance_rows(sample: DataFrame, tries: list[list], id_col: str) -> DataFrame:
-    """``(id_col, features as plain struct, d, near)``: squared distance to the nearest point of each try
-    (1 where a try has none) and that point's number."""
-    import pyarrow as pa
-
+def _distances(sample: DataFrame, tries: list[list], emit, schema: str) -> DataFrame:
+    """What ``emit`` makes of a task's ``(batch, d, near)``: squared distances to the nearest point of each try (1
+    where a try has none) and those points' numbers."""
     blocks, n_tries = [], len(tries)
     for own in tries if tries[0] else ():
         parts = [_sparse(x) for x in own]
@@ -342,22 +530,74 @@ def _distance_rows(sample: DataFrame, tries: list[list], id_col: str) -> DataFra
         blocks.append((block.arrays(), np.array([float((v * v).sum()) for _, v in parts])))
     shared = sample.sparkSession.sparkContext.broadcast(blocks)
 
-    def run(batches):
-        from .models import flatten_vectors, in_slices, vector_sizes
+    def met(batches):
+        from .models import flatten_vectors
 
-        for b in in_slices(batches, vector_sizes()):
+        own = [(Block(*x), sq) for x, sq in shared.value]
+        for b in _stretches(batches):
             n, rows, idx, val = flatten_vectors(b.column("features"))
             x_sq = np.bincount(rows, val * val, n)
-            found = [_nearest(Block(*own).products(n, rows, idx, val, len(sq)), x_sq, sq) for own, sq in shared.value]
+            found = [_nearest(block.products(n, rows, idx, val, len(sq)), x_sq, sq) for block, sq in own]
             # rounding may leave a point a hair from itself
             d = [np.where(d <= 1e-12 * (x_sq + 1e-300), 0.0, d) for _, d in found] or [np.ones(n)] * n_tries
-            near = [x for x, _ in found] or [np.zeros(n, np.int64)] * n_tries
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, 1).ravel()), n_tries) for x in (d, near)]
-            lists = [lists[0].cast(pa.list_(pa.float64())), lists[1].cast(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("features"), *lists], [id_col, "features", "d", "near"])
+            yield b, d, [x for x, _ in found] or [np.zeros(n, np.int64)] * n_tries
+
+    return sample.mapInArrow(lambda batches: emit(met(batches)), schema)
+
+
+def _winners(round_: int, n_tries: int, id_col: str):
+    """``(t, class, r, id, features)``: of a task, the first of each try and class in the exponential race. Equal
+    races go to the smaller id."""
+    def run(met):
+        import pyarrow as pa
+
+        first: dict = {}
+        for b, d, _ in met:
+            klass = b.column("klass").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, round_]
+            draws = b.column("draws").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1, n_tries)[:, round_]
+            for t in range(n_tries):
+                runs = np.flatnonzero(d[t] > 0)  # documents at a point do not run
+                race = draws[runs, t] / d[t][runs]
+                order = np.lexsort((race, klass[runs]))
+                own, r = klass[runs][order], race[order]
+                for at in np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else ():
+                    upto = at + int(np.searchsorted(own[at:], own[at], "right"))
+                    tied = runs[order[at : at + int(np.searchsorted(r[at:upto], r[at], "right"))]]
+                    ids = [b.column(id_col)[int(i)].as_py() for i in tied]
+                    best = min(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0))
+                    place = (float(r[at]), ids[best] is not None, ids[best])
+                    if (t, int(own[at])) not in first or place < first[t, int(own[at])][0]:
+                        # a copy, so that the batch can go
+                        first[t, int(own[at])] = place, b.select([id_col, "features"]).take(pa.array([int(tied[best])]))
+        for (t, c), ((r, *_), row) in sorted(first.items(), key=lambda x: x[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([c], pa.int32()), pa.array([r]), *row.columns], ["t", "class", "r", id_col, "features"])
 
-    plain = "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-    return sample.select(id_col, "features").mapInArrow(run, f"{_columns(sample, [id_col])}, {plain}, d array<double>, near array<bigint>")
+    return run
+
+
+def _met_by_point(n_tries: int):
+    """``(t, point, n)``: of a task, the documents nearest to each point of each try."""
+    def run(met):
+        import pyarrow as pa
+
+        counts = [np.zeros(0, np.int64)] * n_tries
+        for _, _, near in met:
+            for t, x in enumerate(near):
+                own = np.bincount(x, minlength=len(counts[t]))
+                own[: len(counts[t])] += counts[t]
+                counts[t] = own
+        for t, own in enumerate(counts):
+            point = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(point), t, np.int32)), pa.array(point.astype(np.int64)), pa.array(own[point].astype(np.int64))], ["t", "point", "n"])
+
+    return run
+
+
+def _costs(met):
+    import pyarrow as pa
+
+    for _, d, _ in met:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(d), dtype=np.int32)), pa.array([float(x.sum()) for x in d])], ["t", "cost"])
 
 
 def _choose(points: list, weight: np.ndarray, k: int, rng) -> list:
@@ -379,29 +619,41 @@ def _choose(points: list, weight: np.ndarray, k: int, rng) -> list:
     return chosen + chosen[:1] * (k - len(chosen))
 
 
-def seeds(sample: DataFrame, k: int, n_init: int, seed: int, id_col: str = "doc_id", rounds: int = 3) -> tuple[list[list], list[float]]:
-    """k-means|| seeds of ``n_init`` tries over a (persisted) sample: (the tries' k vectors, their costs).
-    The driver holds n_init x (rounds x k + 1) documents' vectors."""
+def seeds(
+    sample: DataFrame, k: int, n_init: int, seed: int, id_col: str = "doc_id", rounds: int = 3, hold: bool = False
+) -> tuple[list[list], list[float]]:
+    """k-means|| seeds of ``n_init`` tries over a sample: (the tries' k vectors, their costs). The driver holds
+    n_init x (rounds x k + 1) documents' vectors. With ``hold`` the sample is packed and persisted; else it
+    should be by the caller."""
+    from pyspark import StorageLevel
+
+    draws = [-F.log(_uniform(id_col, seed, t, r)) for r in range(rounds + 1) for t in range(n_init)]
+    classes = [F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(r)), F.lit(k if r else 1)).cast("int") for r in range(rounds + 1)]
+    drawn = sample.select(id_col, "features", F.array(*draws).alias("draws"), F.array(*classes).alias("klass"))
+    held = None
+    if hold:
+        drawn = held = pack(drawn).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _seeds(drawn, k, n_init, seed, id_col, rounds, _columns(sample, [id_col]))
+    finally:
+        if held is not None:
+            held.unpersist()
+
+
+def _seeds(drawn: DataFrame, k: int, n_init: int, seed: int, id_col: str, rounds: int, id_column: str) -> tuple[list[list], list[float]]:
+    plain = "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
     tries: list[list] = [[] for _ in range(n_init)]
     for round_ in range(rounds + 1):
-        picks = []
-        for t in range(n_init):
-            d = F.get("d", F.lit(t))
-            race = F.when(d > 0, -F.log(_uniform(id_col, seed, t, round_)) / d)  # documents at a point do not run
-            won = F.min_by("features", F.struct(race.isNull().alias("out"), race.alias("r"), F.col(id_col).alias("i")))
-            picks += [F.when(F.count(race) > 0, won).alias(f"t{t}")]
-        klass = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(round_)), F.lit(k if round_ else 1))
-        for row in _distance_rows(sample, tries, id_col).groupBy(klass.alias("class")).agg(*picks).orderBy("class").collect():  # k rows
-            for t in range(n_init):
-                if row[f"t{t}"] is not None:
-                    tries[t].append(row[f"t{t}"])
-    near = _distance_rows(sample, tries, id_col).select(F.posexplode("near").alias("t", "point"))
+        first = _distances(drawn, tries, _winners(round_, n_init, id_col), f"t int, class int, r double, {id_column}, {plain}")
+        won = first.groupBy("class", "t").agg(F.min_by("features", F.struct("r", F.col(id_col).alias("i"))).alias("features"))
+        for row in won.orderBy("class", "t").collect():  # k rows a try
+            tries[row["t"]].append(row["features"])
     counts = [np.zeros(len(x)) for x in tries]
-    for t, point, n in near.groupBy("t", "point").count().collect():
+    for t, point, n in _distances(drawn, tries, _met_by_point(n_init), "t int, point bigint, n bigint").groupBy("t", "point").agg(F.sum("n")).collect():
         counts[t][point] = n
     chosen = [_choose(x, c, k, np.random.default_rng(seed + t)) for t, (x, c) in enumerate(zip(tries, counts))]
-    costs = _distance_rows(sample, chosen, id_col).agg(*[F.sum(F.get("d", F.lit(t))) for t in range(n_init)]).first()
-    return chosen, [float(c) for c in costs]
+    costs = dict(_distances(drawn, chosen, _costs, "t int, cost double").groupBy("t").agg(F.sum("cost")).collect())
+    return chosen, [float(costs[t]) for t in range(n_init)]
 
 
 def smallest_hashes(rows: DataFrame, n: int, seed: int, id_col: str = "doc_id") -> DataFrame:
@@ -427,17 +679,14 @@ def smallest_hashes(rows: DataFrame, n: int, seed: int, id_col: str = "doc_id")
 
 def seed_centres(vectors: DataFrame, k: int, n_init: int, seed: int, init_size: int, path: str, id_col: str = "doc_id") -> tuple[Centres, list]:
     """Centres without members at the best of ``n_init`` k-means|| seedings: (centres, (run, seed, cost))."""
-    from pyspark import StorageLevel
-
-    sample = smallest_hashes(vectors.select(id_col, "features"), init_size, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tries, costs = seeds(sample, k, n_init, seed, id_col)
-    finally:
-        sample.unpersist()
+    sample = smallest_hashes(vectors.select(id_col, "features"), init_size, seed, id_col)
+    tries, costs = seeds(sample, k, n_init, seed, id_col, hold=True)
     best = int(np.argmin(costs))
     # a weight that the first members outweigh: the mean of a centre is then that of its members
-    table = _write(_point_rows(vectors.sparkSession, list(enumerate(tries[best])), 1e-9), path)
-    return load(table, k), [(r, seed + r, c) for r, c in enumerate(costs)]
+    rows = _point_rows(list(enumerate(tries[best])), 1e-9)
+    if len(rows[0]) <= MAX_ENTRIES:
+        return holding(vectors.sparkSession, k, *rows), [(r, seed + r, c) for r, c in enumerate(costs)]
+    return load(_write(vectors.sparkSession.createDataFrame(_arrow(*rows), TABLE), path), k), [(r, seed + r, c) for r, c in enumerate(costs)]
 
 
 @dataclass
@@ -487,28 +736,28 @@ def fit(
     """M4: at most ``max_iter`` epochs, each visiting every document once; see the module's text.
 
     Documents are dealt once into ceil(N / batch_size) batches by hashing (id, seed), and their vectors
-    written with one folder per batch, so that a step reads its batch alone."""
+    written packed with one folder per batch, so that a step reads its batch alone."""
     spark = vectors.sparkSession
     n_docs = vectors.count()
     if n_docs == 0:
         raise ValueError("no documents to cluster")
     n_batches = max(1, -(-n_docs // batch_size))
-    one = vectors.select("features").first()["features"]
-    width = None if one is None else len(one)
     root, path = scratch_path(spark, "centres"), scratch_path(spark, "minibatches")
-    hashed = lambda *salt: F.xxhash64(F.col(id_col), *[F.lit(s) for s in salt])
-    dealt = vectors.select(id_col, "features").withColumn("mb", F.pmod(hashed(seed), F.lit(n_batches)).cast("int"))
-    # a batch's rows meet in a few tasks before the write: few files per folder
-    dealt.repartition("mb", F.pmod(hashed(), F.lit(max(1, -(-batch_size // rows_per_file))))).write.partitionBy("mb").parquet(path)
-    staged = spark.read.parquet(path)
+    dealt = vectors.select(id_col, "features", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_batches)).cast("int").alias("mb"))
+    # a batch's stretches meet in a few tasks before the write: few files per folder
+    # and rows of few documents in them, so that the tasks of a step share its batch evenly
+    packed = pack(dealt, "mb", n_batches, max(1, -(-batch_size // rows_per_file))).repartition("mb", "file").drop("file")
+    packed.write.partitionBy("mb").option("parquet.block.size", ROW_GROUP).option("parquet.block.size.row.check.min", 1).parquet(path)
+    staged, schema = spark.read.parquet(path), vectors.select(id_col, "features").schema
 
     centres, init_costs = seed_centres(vectors, k, n_init, seed, 3 * batch_size, f"{root}/seed", id_col)
     out = Fit(centres, init_costs)
     stop = Stop(min(1.0, 2.0 * batch_size / (n_docs + 1)), max_no_improvement, tol)
     for step in range(max_iter * n_batches):
-        batch = staged.where(F.col("mb") == step % n_batches)
+        packed = staged.where(F.col("mb") == step % n_batches)
+        batch = unpack(packed, schema)
         before, had = centres.costs.sum(), centres.counts.sum()
-        centres = fold(batch, centres, f"{root}/{step:06d}", id_col, width=width)
+        centres = fold(batch, centres, f"{root}/{step:06d}", id_col, packed=packed)
         n = int(round(centres.counts.sum() - had))
         out.steps, out.folded = step + 1, out.folded + n
         if n == 0:

@@ -42,11 +42,14 @@ class Vectorizer:
     def transform(self, df: DataFrame, text_col: str = "content", keep=("doc_id", "permalink")) -> DataFrame:
         cols = [c for c in keep if c in df.columns]
         if self.kind == "hashing":
-            counts = hs.signed_counts(df, self.width, self.params.norm, cols, text_col, self.params.stop_words, "counts")
-            return self.pipeline.transform(counts).select(*cols, "features")
+            return self.transform_counts(hashed_counts(df, self.params, self.width, cols, text_col), cols)
         tok = add_tokens(df.select(*cols, text_col), text_col, "tokens", self.params.stop_words)
         return self.pipeline.transform(tok).select(*cols, "features")
 
+    def transform_counts(self, counts: DataFrame, keep=("doc_id", "permalink")) -> DataFrame:
+        """Hashing vectors of documents whose ``hashed_counts`` are made already."""
+        return self.pipeline.transform(counts).select(*[c for c in keep if c in counts.columns], "features")
+
     @property
     def width(self) -> int:
         """Entries of a vector."""
@@ -105,12 +108,20 @@ def fit_tfidf(
     return Vectorizer("tfidf", PipelineModel(stages), vocab, params)
 
 
+def hashed_counts(
+    docs: DataFrame, params: fe.TfidfParams = fe.TfidfParams(), num_features: int = HASH_FEATURES, keep=("doc_id", "permalink"), text_col="content"
+) -> DataFrame:
+    """M2: the ``keep`` columns and the signed hashed ``counts``, normalised, that a fit and the vectors are made of."""
+    return hs.signed_counts(docs, num_features, params.norm, keep, text_col, params.stop_words, "counts")
+
+
 def fit_hashing(
-    docs: DataFrame, params: fe.TfidfParams = fe.TfidfParams(), num_features: int = HASH_FEATURES, text_col="content"
+    docs: DataFrame, params: fe.TfidfParams = fe.TfidfParams(), num_features: int = HASH_FEATURES, text_col="content", counts: DataFrame | None = None
 ) -> Vectorizer:
-    """M2 fit: signed hashed counts, normalised, and the idf (+1) of their buckets from one pass."""
-    counts = hs.signed_counts(docs, num_features, params.norm, (), text_col, params.stop_words)
-    return hashing_vectorizer(hs.idf_of(hs.bucket_df(counts, num_features), num_features), params)
+    """M2 fit: signed hashed counts, normalised, and the idf (+1) of their buckets from one pass. ``counts``
+    are the ``hashed_counts`` of ``docs`` where a caller has them already."""
+    counts = hashed_counts(docs, params, num_features, (), text_col) if counts is None else counts
+    return hashing_vectorizer(hs.idf_of(hs.bucket_df(counts, num_features, "counts"), num_features), params)
 
 
 def hashing_vectorizer(idf, params: fe.TfidfParams = fe.TfidfParams()) -> Vectorizer:
@@ -131,10 +142,11 @@ def fit_vectorizer(
     num_features: int = HASH_FEATURES,
     by: str = "grouping",
     stats: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> Vectorizer:
     """M9: choose the vectorizer; anything but tfidf / hashing is an error."""
     fe.check_vectorizer(kind)
-    return fit_tfidf(docs, params, by=by, stats=stats) if kind == "tfidf" else fit_hashing(docs, params, num_features)
+    return fit_tfidf(docs, params, by=by, stats=stats) if kind == "tfidf" else fit_hashing(docs, params, num_features, counts=counts)
 
 
 def tfidf_rows(vec: Vectorizer, docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:

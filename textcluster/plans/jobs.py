@@ -155,14 +155,20 @@ def cluster_articles(
     else:
         arts = arts() if callable(arts) else arts
         arts = arts.withColumn("doc_id", F.col("seq")) if "doc_id" not in arts.columns else arts
-        vec = vz.fit_vectorizer(arts, cfg.vectorizer, cfg.params, cfg.hash_features, cfg.count_terms_by)
-        vectors = vec.transform(arts, keep=keep)
+        counts = None
+        if cfg.vectorizer == "hashing":  # the fit and the vectors are made of the same counts: texts are read once
+            counts = vz.hashed_counts(arts, cfg.params, cfg.hash_features, keep).persist(StorageLevel.MEMORY_AND_DISK)
+        vec = vz.fit_vectorizer(arts, cfg.vectorizer, cfg.params, cfg.hash_features, cfg.count_terms_by, counts=counts)
+        vectors = vec.transform(arts, keep=keep) if counts is None else vec.transform_counts(counts, keep)
         if features_path:
             vec.save(f"{features_path}/model")
             vz.write_features(vectors, f"{features_path}/vectors")
             vectors = spark.read.parquet(f"{features_path}/vectors").persist(StorageLevel.MEMORY_AND_DISK)
         else:  # restarts and batch steps re-read vectors, never re-tokenise
             vectors = materialize(vectors, cfg.materialize)
+        if counts is not None:
+            vectors.count()  # the vectors are held now
+            counts.unpersist()
     runs: list = []
     try:
         if cfg.algorithm in ("kmeans", "kmeans_pp"):
