@@ -215,9 +215,8 @@ def _by_key(key: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def load(table: DataFrame, k: int) -> Centres:
     """The centres of a written table of sums."""
-    small = table.limit(MAX_ENTRIES + 1).toArrow()
-    if small.num_rows <= MAX_ENTRIES:
-        return holding(table.sparkSession, k, *_columns_of(small))
+    if table.count() <= MAX_ENTRIES:
+        return holding(table.sparkSession, k, *_columns_of(table.toArrow()))
     own = table.groupBy("cluster_id").agg(
         *[F.sum(F.when(F.col("term_idx") == x, F.col("s"))).alias(n) for x, n in ((SIZE, "n"), (COST, "cost"))],
         F.sum(F.when(F.col("term_idx") >= 0, F.col("s") * F.col("s"))).alias("sq"),
@@ -329,10 +328,11 @@ def _by_blocks(vectors: DataFrame, centres: Centres, id_col: str) -> DataFrame:
         def run(batches, shared=shared, own=i == 0):
             from .models import flatten_vectors
 
-            for b in batches:
+            block = Block(*shared.value)
+            for b in _stretches(batches):
                 n, rows, idx, val = flatten_vectors(b.column("features"))
                 x_sq = np.bincount(rows, val * val, n) if own else np.zeros(n)
-                products = Block(*shared.value).products(n, rows, idx, val, k)
+                products = block.products(n, rows, idx, val, k)
                 some = np.flatnonzero(products.any(1) | own)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(products[some].ravel()), k).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(some)), pa.array(x_sq[some]), lists], [id_col, "x_sq", "p"])
